@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, lm_scoring, media, mixing, quality, toxicity
+from . import byte_bpe, embedding_dedup, lm_scoring, media, mixing, quality, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -39,5 +39,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe)}
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe, op8_substring_dedup, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
