@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, lm_scoring, media, mixing, quality, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, embedding_dedup, lm_scoring, media, mixing, ngram_join, quality, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -43,9 +43,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe, op8_substring_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe, op8_substring_dedup, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
 ORACLE_SQL: dict[str, str] = {}
