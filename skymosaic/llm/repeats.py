@@ -16,7 +16,7 @@ Rows with one id and different texts are told apart by a hash of the text; equal
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -274,23 +274,23 @@ def covered_spans(docs: DataFrame, plan: Plan) -> DataFrame:
 SHARD_BYTES = 1 << 18
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (null ids come last), twin (hash of the text), id, text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
+    """doc (null ids come last), twin (hash of the text), id, text, and a struct of the columns in `carry`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("twin"), F.col(id_col).alias("__id"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("twin"), F.col(id_col).alias("__id"), text.alias("text"), F.struct(F.lit(0).alias("nothing"), *[F.col(c) for c in carry]).alias("__carry"))
 
 
-def remove(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, n_units, n_removed, spans (array of begin, end; units), kept (binary: what is left).
+def remove(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """One row a document: id, n_units, n_removed, spans (array of begin, end; units), kept (binary: what is left), and `carry`.
 
     Words that are left are joined by one space, bytes are concatenated.
     """
     ship(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, carry)
     words = plan.words
     spans = covered_spans(rows, plan)
     by_doc = spans.groupBy("doc", "twin").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = rows.join(by_doc.hint("shuffle_hash"), ["doc", "twin"], "left").select("__id", "text", "spans")
+    joined = rows.join(by_doc.hint("shuffle_hash"), ["doc", "twin"], "left").select("__id", "text", "spans", "__carry")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,9 +319,11 @@ def remove(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str =
                 if offsets[r + 1] - offsets[begin] > 4_000_000 or r + 1 == batch.num_rows:
                     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(begin, len(total)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(lists, span), pa.array(kept, pa.binary())], [id_col, "n_units", "n_removed", "spans", "kept"]
+                        [batch.column(0).slice(begin, len(total)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(lists, span), pa.array(kept, pa.binary()), batch.column(3).slice(begin, len(total))],
+                        ["__id", "n_units", "n_removed", "spans", "kept", "__carry"],
                     )
                     total, removed, kept, lists = [], [], [], []
                     begin = r + 1
 
-    return joined.mapInArrow(cut, f"`{id_col}` {id_type}, n_units long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary")
+    schema = f"__id {id_type}, n_units long, n_removed long, spans array<struct<begin:int,end:int>>, kept binary, __carry {rows.schema['__carry'].dataType.simpleString()}"
+    return joined.mapInArrow(cut, schema).select(F.col("__id").alias(id_col), "n_units", "n_removed", "spans", "kept", *[F.col("__carry")[c].alias(c) for c in carry])

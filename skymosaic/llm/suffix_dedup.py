@@ -15,6 +15,8 @@ empty table; other columns are not read. Texts are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,9 +103,9 @@ def covered(passages: list[bytes], docs: np.ndarray, starts: np.ndarray, width:
     return n[at].astype(np.int64), o[at], o[np.append(at[1:], len(o)) - 1]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
     """See `repeats.remove`; units are bytes."""
-    return remove(docs, Plan(width, gram, False, True, covered, hot), id_col, text_col)
+    return remove(docs, Plan(width, gram, False, True, covered, hot), id_col, text_col, carry)
 
 
 def digest(removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
