@@ -33,6 +33,8 @@ TREES, DEPTH = 24, 8
 BLOCK = 512
 #: Shingles counted at a time in a comparison of two blocks.
 COLUMNS = 4_096
+#: Bits of the broadcast map of wanted documents: 2 MB, whatever the corpus is.
+MAP_BITS = 1 << 24
 
 
 def prefix_length(similarity: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -126,6 +128,19 @@ def compare(a: list[np.ndarray], b: list[np.ndarray], same: bool, threshold: flo
     return i[ok], j[ok]
 
 
+def id_map(ids: DataFrame, column: str) -> np.ndarray:
+    """Bits set at the hashed places of ids; MAP_BITS / 64 rows at most come to the driver."""
+    slots = ids.select(slot_of(column).alias("slot"))
+    words = slots.groupBy(F.expr("slot div 64").alias("at")).agg(F.expr("bit_or(shiftleft(1L, slot % 64))").alias("bits")).toArrow()
+    found = np.zeros(MAP_BITS // 64, np.int64)
+    found[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    return np.unpackbits(found.view(np.uint8), bitorder="little")
+
+
+def slot_of(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """One row a document: id, n_links (other documents at least so similar), component_id (smallest id reachable), kept."""
     spark = docs.sparkSession
@@ -174,10 +189,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = stored(cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).join(classes.select("rep", "first", "same_a", "same_b", "copies"), "rep"), "cells")
 
-    # one document of each class brings its text; of rows with one id the one whose set is meant
+    # one document of each class brings its set; the map spares other texts the work, what it lets through by chance goes in the join
     wanted = placed.select("rep", "same_a", "same_b", "cell", "blocks", "block", "copies")
-    texts = rows.select("doc", "__id", "text").join(placed.select(F.col("first").alias("doc")), "doc", "left_semi")
-    sets = texts.mapInArrow(sign, f"doc long, __id {id_type}, same_a long, same_b long, n int, keys array<long>, shingles array<long>").select("same_a", "same_b", "shingles")
+    shared = spark.sparkContext.broadcast(np.packbits(id_map(placed, "first")))
+
+    def sign_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = np.unpackbits(shared.value)
+        return sign(batch.filter(pa.array(marked[batch.column(3).to_numpy()] > 0)) for batch in batches)
+
+    sets = rows.select("doc", "__id", "text", slot_of("doc")).mapInArrow(sign_wanted, f"doc long, __id {id_type}, same_a long, same_b long, n int, keys array<long>, shingles array<long>").select("same_a", "same_b", "shingles")
     full = wanted.join(sets.dropDuplicates(["same_a", "same_b"]), ["same_a", "same_b"]).drop("same_a", "same_b")
     # block i meets block j >= i in the task (cell, i, j); small cells share tasks by their hash
     tasks = full.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
