@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bound(function):
+    """Decorator: the first argument is worked out once, however often the function names it."""
+
+    @wraps(function)
+    def call(points: Column, *rest, **named) -> Column:
+        return let(points, lambda p: function(p, *rest, **named))
+
+    return call
+
+
 def at(points: Column, i: Column) -> Column:
     """Point i (0-based)."""
     return F.element_at(points, i + 1)
@@ -32,6 +44,7 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
+@bound
 def signed_area(points: Column) -> Column:
     """Shoelace sum over two; counter-clockwise is positive where y points up. Fewer than 3 points: 0."""
     terms = F.transform(indexes(points), lambda i: at(points, i)["x"] * following(points, i)["y"] - following(points, i)["x"] * at(points, i)["y"])
@@ -42,6 +55,7 @@ def area(points: Column) -> Column:
     return F.abs(signed_area(points))
 
 
+@bound
 def side_lengths(points: Column) -> Column:
     return F.transform(indexes(points), lambda i: F.sqrt(_square(following(points, i)["x"] - at(points, i)["x"]) + _square(following(points, i)["y"] - at(points, i)["y"])))
 
@@ -66,11 +80,13 @@ def ys(points: Column) -> Column:
     return F.transform(points, lambda p: p["y"])
 
 
+@bound
 def bounds(points: Column) -> Column:
     """struct<x0,y0,x1,y1>."""
     return F.struct(F.array_min(xs(points)).alias("x0"), F.array_min(ys(points)).alias("y0"), F.array_max(xs(points)).alias("x1"), F.array_max(ys(points)).alias("y1"))
 
 
+@bound
 def centroid(points: Column) -> Column:
     """Area centroid; the mean of the points where the area is 0."""
     cross = lambda i: at(points, i)["x"] * following(points, i)["y"] - following(points, i)["x"] * at(points, i)["y"]
@@ -81,11 +97,13 @@ def centroid(points: Column) -> Column:
     return F.when(a == 0, point(total(xs(points)) / n, total(ys(points)) / n)).otherwise(point(cx / (a * 6), cy / (a * 6)))
 
 
+@bound
 def closed(ring: Column) -> Column:
     """The ring with its first point added at its end unless it is there."""
     return F.when(F.size(ring) == 0, ring).when(F.element_at(ring, 1) == F.element_at(ring, -1), ring).otherwise(F.concat(ring, F.slice(ring, 1, 1)))
 
 
+@bound
 def opened(ring: Column) -> Column:
     """The ring without a closing point."""
     n = F.size(ring)
@@ -124,13 +142,17 @@ def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column)
 
 def clip_to_convex(points: Column, window: Column, corners: int) -> Column:
     """The polygon cut to a convex polygon of `corners` points in either order."""
-    out = points
+
+    def cut(w: Column) -> Column:
+        out = points
+        for k in range(corners):
+            a, b = F.element_at(w["w"], k + 1), F.element_at(w["w"], (k + 1) % corners + 1)
+            side = lambda p, a=a, b=b: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) * w["turn"]
+            out = _clip(out, side, F.lit(0.0), False)
+        return out
+
     turn = F.when(signed_area(window) < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    for k in range(corners):
-        a, b = F.element_at(window, k + 1), F.element_at(window, (k + 1) % corners + 1)
-        side = lambda p, a=a, b=b: ((b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])) * turn
-        out = _clip(out, side, F.lit(0.0), False)
-    return out
+    return let(F.struct(window.alias("w"), turn.alias("turn")), cut)
 
 
 def _bounds_overlap(a: Column, b: Column) -> Column:
@@ -160,11 +182,16 @@ def common_area(a: Column, b: Column) -> Column:
 
 def polygon_iou(a: Column, b: Column) -> Column:
     """Intersection over union of two simple polygons; 0 if either is not valid or they are apart."""
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: _polygon_iou(s["a"], s["b"]))
+
+
+def _polygon_iou(a: Column, b: Column) -> Column:
     i = common_area(a, b)
     ratio = let(F.struct(i.alias("i"), (area(a) + area(b)).alias("s")), lambda s: F.when(s["s"] - s["i"] > 0, F.least(F.lit(1.0), s["i"] / (s["s"] - s["i"]))).otherwise(F.lit(0.0)))
     return F.when(is_simple(a) & is_simple(b) & _bounds_overlap(a, b), ratio).otherwise(F.lit(0.0))
 
 
+@bound
 def is_simple(points: Column) -> Column:
     """Three points at least, some area, and no two sides that cross."""
 
@@ -183,6 +210,7 @@ def intersects_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Colum
     return F.size(clip_to_box(points, x0, y0, x1, y1)) > 0
 
 
+@bound
 def line_meets_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Whether an open line enters a box (Liang-Barsky on each piece)."""
 
@@ -196,6 +224,7 @@ def line_meets_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Colum
     return F.when(F.size(points) < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), F.size(points) - 2), piece))
 
 
+@bound
 def min_rotated_rectangle(points: Column) -> Column:
     """Corners of the smallest rectangle around the points, among the directions of all pairs of points.
 
@@ -219,6 +248,7 @@ def min_rotated_rectangle(points: Column) -> Column:
     return let(best, lambda m: F.array(corner(m["b"], "u0", "v0"), corner(m["b"], "u1", "v0"), corner(m["b"], "u1", "v1"), corner(m["b"], "u0", "v1")))
 
 
+@bound
 def enforce_min_side(corners: Column, least: float) -> Column:
     """A parallelogram about the mean of four corners whose two side directions are `least` long at least."""
     p = [F.element_at(corners, k) for k in (1, 2, 3, 4)]

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .geometry import let
+
 # WGS84 ellipsoid and the scale of a UTM zone's central meridian.
 RADIUS, FLATTENING, SCALE, EAST, SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
 
@@ -34,26 +36,40 @@ BACKWARD = (
 
 def to_utm(lon: Column, lat: Column, zone: int, south: bool = True) -> Column:
     """struct<x,y> in metres."""
-    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - _e * F.atanh(_e * F.sin(phi)))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x = eta + sum(a * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, a in enumerate(FORWARD))
-    y = xi + sum(a * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, a in enumerate(FORWARD))
-    return F.struct((EAST + SCALE * _A * x).alias("x"), ((SOUTH if south else 0.0) + SCALE * _A * y).alias("y"))
+    lam = F.radians(lon - (6 * zone - 183))
+    tangent = F.sinh(F.atanh(F.sin(F.radians(lat))) - _e * F.atanh(_e * F.sin(F.radians(lat))))
+
+    def angles(a: Column) -> Column:
+        return F.struct(F.atan2(a["t"], F.cos(a["lam"])).alias("xi"), F.atanh(F.sin(a["lam"]) / F.sqrt(1 + a["t"] * a["t"])).alias("eta"))
+
+    def metres(a: Column) -> Column:
+        xi, eta = a["xi"], a["eta"]
+        x = eta + sum(c * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, c in enumerate(FORWARD))
+        y = xi + sum(c * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, c in enumerate(FORWARD))
+        return F.struct((EAST + SCALE * _A * x).alias("x"), ((SOUTH if south else 0.0) + SCALE * _A * y).alias("y"))
+
+    return let(let(F.struct(tangent.alias("t"), lam.alias("lam")), angles), metres)
 
 
 def from_utm(x: Column, y: Column, zone: int, south: bool = True) -> Column:
     """struct<x,y> as longitude and latitude."""
-    xi, eta = (y - (SOUTH if south else 0.0)) / (SCALE * _A), (x - EAST) / (SCALE * _A)
-    u = xi - sum(b * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, b in enumerate(BACKWARD))
-    v = eta - sum(b * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, b in enumerate(BACKWARD))
-    goal = F.sin(u) / F.sqrt(F.sinh(v) * F.sinh(v) + F.cos(u) * F.cos(u))  # tangent of the conformal latitude
-    # geographic latitude from the conformal one: a fixed point that gains five digits a step
-    sine = goal / F.sqrt(1 + goal * goal)
-    for _ in range(4):
-        t = F.sinh(F.asinh(goal) + _e * F.atanh(_e * sine))
-        sine = t / F.sqrt(1 + t * t)
-    return F.struct((F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (6 * zone - 183)).alias("x"), F.degrees(F.asin(sine)).alias("y"))
+    scaled = F.struct(((y - (SOUTH if south else 0.0)) / (SCALE * _A)).alias("xi"), ((x - EAST) / (SCALE * _A)).alias("eta"))
+
+    def sphere(a: Column) -> Column:
+        xi, eta = a["xi"], a["eta"]
+        u = xi - sum(b * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, b in enumerate(BACKWARD))
+        v = eta - sum(b * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, b in enumerate(BACKWARD))
+        return F.struct(u.alias("u"), v.alias("v"))
+
+    def degrees(a: Column) -> Column:
+        u, v = a["u"], a["v"]
+        goal = F.sin(u) / F.sqrt(F.sinh(v) * F.sinh(v) + F.cos(u) * F.cos(u))  # tangent of the conformal latitude
+        # geographic latitude from the conformal one: a fixed point that gains five digits a step
+        step = lambda g, s: let(F.sinh(F.asinh(g) + _e * F.atanh(_e * s)), lambda t: t / F.sqrt(1 + t * t))
+        lat = let(goal, lambda g: F.aggregate(F.array_repeat(F.lit(0), 4), g / F.sqrt(1 + g * g), lambda s, _: step(g, s)))
+        return F.struct((F.degrees(F.atan2(F.sinh(v), F.cos(u))) + (6 * zone - 183)).alias("x"), F.degrees(F.asin(lat)).alias("y"))
+
+    return let(let(scaled, sphere), degrees)
 
 
 def tile_x(lon: Column, zoom: int) -> Column:

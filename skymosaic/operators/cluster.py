@@ -173,4 +173,4 @@ def embed_2d(df: DataFrame, id_col: str, vector: str, perplexity: float = 30.0,
         return pd.DataFrame({id_col: frame[id_col].to_numpy(), "tsne_1": y[:, 0], "tsne_2": y[:, 1]})
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, vector).groupBy(F.lit(1)).applyInPandas(layout, f"`{id_col}` {kind}, tsne_1 double, tsne_2 double")
+    return df.select(id_col, vector, F.lit(1).alias("__one")).groupBy("__one").applyInPandas(layout, f"`{id_col}` {kind}, tsne_1 double, tsne_2 double")

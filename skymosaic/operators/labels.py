@@ -36,7 +36,7 @@ def to_label_rows(pairs: DataFrame, size: float = 768.0) -> DataFrame:
 
 
 def label_line(class_id: Column, corners: Column) -> Column:
-    number = lambda v: F.format_number(v, "0.000000")
+    number = lambda v: F.format_string("%.6f", v)
     return F.concat_ws(" ", class_id.cast("string"), F.flatten(F.transform(corners, lambda p: F.array(number(p["x"]), number(p["y"])))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, bounds, clip_to_box, clip_to_convex
+from ..functions.geometry import area, bounds, clip_to_box, clip_to_convex, let
 
 
 def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
@@ -52,9 +52,9 @@ def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible
 def convex_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0) -> DataFrame:
     """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points (convex quadrilaterals)."""
     pairs = box_join(truth.withColumn("lbox", bounds(F.col("truth_points"))), predictions.withColumn("rbox", bounds(F.col("pred_points"))), key, size)
-    pairs = pairs.withColumn("common", area(clip_to_convex(F.col("truth_points"), F.col("pred_points"), 4)))
-    union = area(F.col("truth_points")) + area(F.col("pred_points")) - F.col("common")
-    return pairs.withColumn("iou", F.when(union > 0, F.least(F.lit(1.0), F.col("common") / union)).otherwise(F.lit(0.0))).drop("lbox", "rbox", "common")
+    measured = F.struct(area(clip_to_convex(F.col("truth_points"), F.col("pred_points"), 4)).alias("i"), (area(F.col("truth_points")) + area(F.col("pred_points"))).alias("s"))
+    iou = let(measured, lambda m: F.when(m["s"] - m["i"] > 0, F.least(F.lit(1.0), m["i"] / (m["s"] - m["i"]))).otherwise(F.lit(0.0)))
+    return pairs.withColumn("iou", iou).drop("lbox", "rbox")
 
 
 def land_ratio(tiles: DataFrame, pieces: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-_POLYGON = "[" + ", ".join(f"{{'x': x{k}, 'y': y{k}}}" for k in range(4)) + "]"
-
 DEFINITIONS = {
     "sources": """
         SELECT CAST(s_suppkey AS BIGINT) source_id, concat('src_', CAST(s_suppkey AS STRING), '.tif') source_tif,
@@ -58,22 +56,22 @@ def _needs(text: str) -> list[str]:
 
 
 def with_needed(query: str, spark: bool = False) -> str:
-    """`query` behind the definitions that it reads; its own WITH, if any, must be merged by the caller."""
+    """`query` behind the definitions that it reads; `query` itself has no WITH."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for n in _needs(text):
-            visit(DEFINITIONS[n])
-            if n not in order:
+            if n not in seen:
+                seen.add(n)
+                visit(DEFINITIONS[n])
                 order.append(n)
 
     visit(query)
     if not order:
-        return query
-    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", query)
-    body = query[own.end() :] if own else query
-    head = "WITH RECURSIVE " if own and own[1] else "WITH "
-    text = head + ",\n".join(f"{n} AS ({DEFINITIONS[n]})" for n in order) + (",\n" if own else "\n") + body
+        return query if spark else query.replace("STRING", "VARCHAR")
+    recursive = "RECURSIVE " if any(f"FROM {n} " in DEFINITIONS[n] for n in order) else ""
+    text = f"WITH {recursive}" + ",\n".join(f"{n} AS ({DEFINITIONS[n]})" for n in order) + "\n" + query
     return text if spark else text.replace("STRING", "VARCHAR")
 
 
