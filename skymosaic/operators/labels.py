@@ -42,7 +42,7 @@ def label_line(class_id: Column, corners: Column) -> Column:
 
 def parse_lines(text: Column) -> Column:
     """array<struct<class_id,corners>> of a label file's text; blank and malformed lines go."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda s: F.trim(s)), lambda s: s != "")
     parts = F.transform(lines, lambda s: F.split(s, r"\s+"))
     whole = F.filter(parts, lambda p: (F.size(p) == 9) & F.forall(p, lambda v: v.try_cast("double").isNotNull()))
     corner = lambda p, k: F.struct(F.element_at(p, 2 * k + 2).cast("double").alias("x"), F.element_at(p, 2 * k + 3).cast("double").alias("y"))

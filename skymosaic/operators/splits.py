@@ -97,9 +97,10 @@ def hill_climb(tiles: Sequence[int], counts: Sequence[dict[int, int]], spark, re
             rows = []
             for k in frame["id"]:
                 rng = random.Random(seed * 1_000_003 + int(k))
-                a = [rng.randrange(3) for _ in range(n)]
-                while n >= 3 and len(set(a)) < 3:
-                    a = [rng.randrange(3) for _ in range(n)]
+                a, room = [0] * n, [TARGETS[name] * total for name in SPLITS]
+                for i in rng.sample(range(n), n):  # a random order fills the emptiest split: starts lie near the targets
+                    a[i] = room.index(max(room))
+                    room[a[i]] -= tiles[i]
                 now, better = cost(a), True
                 while better:
                     better = False

@@ -103,7 +103,7 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label, k, round(conf_min, 6) conf_min, total_pred, CAST(tp AS BIGINT) tp, round(p, 6) AS \"precision\", round(r, 6) recall, round(2*p*r/(p+r+1e-9), 6) f1 FROM swept")
 def threshold_sweep_f1(spark, sf_dir):
-    return _sweep(spark, sf_dir).select("label", "k", F.round("conf_min", 6).alias("conf_min"), "total_pred", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    return _sweep(spark, sf_dir).select("label", F.col("k").cast("long").alias("k"), F.round("conf_min", 6).alias("conf_min"), "total_pred", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query("""
