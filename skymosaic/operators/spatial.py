@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, bounds, clip_to_box, clip_to_convex, let
+from ..functions.geometry import area, bounds, clip_to_box, let
 
 
 def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
@@ -38,23 +40,71 @@ def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible
     tiles: source_id, x_off, y_off, tw, th; annotations: source_id, points. `keep_all` also keeps what shows less.
     """
     t = tiles.withColumn("lbox", F.struct(F.col("x_off").cast("double").alias("x0"), F.col("y_off").cast("double").alias("y0"), (F.col("x_off") + F.col("tw")).cast("double").alias("x1"), (F.col("y_off") + F.col("th")).cast("double").alias("y1")))
-    a = annotations.withColumn("rbox", bounds(F.col("points")))
+    a = annotations.withColumns({"rbox": bounds(F.col("points")), "full": area(F.col("points"))})
     pairs = box_join(t, a, "source_id", size, salts)
-    clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"))
     inside = (F.col("rbox.x0") >= F.col("lbox.x0")) & (F.col("rbox.x1") <= F.col("lbox.x1")) & (F.col("rbox.y0") >= F.col("lbox.y0")) & (F.col("rbox.y1") <= F.col("lbox.y1"))
-    clipped = pairs.withColumn("whole", inside).withColumn("clip", F.when(F.col("whole"), F.col("points")).otherwise(clip))
-    whole = area(F.col("points"))
-    share = F.when(whole > 0, F.when(F.col("whole"), F.lit(1.0)).otherwise(area(F.col("clip")) / whole)).otherwise(F.lit(0.0))
-    out = clipped.withColumn("visible", share).drop("whole", "lbox", "rbox")
-    return out if keep_all else out.filter(F.col("visible") >= least_visible)
+    shown = lambda c, share: F.struct(c.alias("clip"), F.when(F.col("full") > 0, share).otherwise(F.lit(0.0)).alias("visible"))
+    clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"))
+    both = F.when(inside, shown(F.col("points"), F.lit(1.0))).otherwise(let(clip, lambda c: shown(c, area(c) / F.col("full"))))
+    # filtered inside an array: a filter above the projection would be pushed below it and clip every pair twice
+    rows = F.array(both) if keep_all else F.filter(F.array(both), lambda s: s["visible"] >= least_visible)
+    return pairs.select("*", F.inline(rows)).drop("lbox", "rbox", "full")
+
+
+def quad_common_area(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Area that quadrilaterals (rows of x, y) share with convex ones (rows of u, v), in the arithmetic of `clip_to_convex`.
+
+    All rows are cut at once; a row's points lie in its first `n` columns.
+    """
+    rows = np.arange(len(x))[:, None]
+    n = np.full(len(x), 4)
+    turn = np.where(_shoelace(u, v, n) < 0, -1.0, 1.0)[:, None]
+    for k in range(4):
+        ax, ay, bx, by = (c[:, None] for c in (u[:, k], v[:, k], u[:, (k + 1) % 4], v[:, (k + 1) % 4]))
+        side = ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) * turn
+        after = (np.arange(x.shape[1])[None, :] + 1) % np.maximum(n, 1)[:, None]
+        qx, qy, qs = x[rows, after], y[rows, after], side[rows, after]
+        live = np.arange(x.shape[1])[None, :] < n[:, None]
+        p_in, q_in = side >= 0, qs >= 0
+        with np.errstate(all="ignore"):
+            t = (0.0 - side) / (qs - side)
+            cx, cy = x + (qx - x) * t, y + (qy - y) * t
+        # at each point: the crossing, then the next point
+        made = np.stack([live & (p_in != q_in), live & q_in], 2).reshape(len(x), -1)
+        order = np.argsort(~made, axis=1, kind="stable")[:, : x.shape[1] + 1]
+        n = made.sum(1)
+        used = np.arange(order.shape[1])[None, :] < n[:, None]
+        x = np.where(used, np.stack([cx, qx], 2).reshape(len(x), -1)[rows, order], 0.0)
+        y = np.where(used, np.stack([cy, qy], 2).reshape(len(y), -1)[rows, order], 0.0)
+    return np.abs(_shoelace(x, y, n))
+
+
+def _shoelace(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(x))
+    at = np.arange(len(x))
+    for i in range(x.shape[1]):
+        j = np.where(i + 1 < n, i + 1, 0) if i + 1 < x.shape[1] else np.zeros(len(x), int)
+        out = np.where(i < n, out + (x[:, i] * y[at, j] - x[at, j] * y[:, i]), out)
+    return np.where(n < 3, 0.0, out / 2)
 
 
 def convex_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0) -> DataFrame:
-    """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points (convex quadrilaterals)."""
+    """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points (convex quadrilaterals).
+
+    Cutting one by one in higher-order functions is interpreted; Arrow batches of pairs cut together are some times faster.
+    """
     pairs = box_join(truth.withColumn("lbox", bounds(F.col("truth_points"))), predictions.withColumn("rbox", bounds(F.col("pred_points"))), key, size)
-    measured = F.struct(area(clip_to_convex(F.col("truth_points"), F.col("pred_points"), 4)).alias("i"), (area(F.col("truth_points")) + area(F.col("pred_points"))).alias("s"))
-    iou = let(measured, lambda m: F.when(m["s"] - m["i"] > 0, F.least(F.lit(1.0), m["i"] / (m["s"] - m["i"]))).otherwise(F.lit(0.0)))
-    return pairs.withColumn("iou", iou).drop("lbox", "rbox")
+
+    @F.pandas_udf("double")
+    def common(parts: pd.DataFrame) -> pd.Series:
+        m = parts.to_numpy(float)
+        return pd.Series(quad_common_area(m[:, 0:4], m[:, 4:8], m[:, 8:12], m[:, 12:16]))
+
+    flat = [F.col(c)[k][f].alias(f"{c}{k}{f}") for c in ("truth_points", "pred_points") for f in "xy" for k in range(4)]
+    pairs = pairs.withColumn("common", common(F.struct(*flat)))
+    union = area(F.col("truth_points")) + area(F.col("pred_points")) - F.col("common")
+    iou = let(union, lambda s: F.when(s > 0, F.least(F.lit(1.0), F.col("common") / s)).otherwise(F.lit(0.0)))
+    return pairs.withColumn("iou", iou).drop("lbox", "rbox", "common")
 
 
 def land_ratio(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
