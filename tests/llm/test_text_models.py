@@ -59,6 +59,22 @@ def test_disguises_are_decoded():
     assert any("idiot" in toxicity.restored(w, model) for w in toxicity.words_of("you i d i o t !"))
 
 
+def test_spaced_runs_are_parted_and_long_words_decoded():
+    words = "a you what stupid idiot loser moron the house water summer bottle garden pathetic today".split()
+    three = Counter(x for w in words for w in [f"^^{w}$"] for i in range(len(w) - 2) for x in [w[i : i + 3]])
+    model = toxicity.Characters(three)
+    found = lambda text: {x for w in toxicity.words_of(text) for x in toxicity.restored(w, model)}
+    assert {"what", "a", "moron", "today"} <= found("what a m o r o n today")
+    assert {"you", "idiot"} <= found("y o u i d i o t")
+    assert {"idiot", "moron"} <= found("i d i o t m o r o n")
+    assert {"stupid", "idiot"} <= found("s t u p ! d  1 d 1 0 t")
+    assert {"moron", "idiot"} <= found("m.o.r.o.n i-d-i-o-t")
+    assert {"garden", "loser"} <= found(" ".join("garden" * 60 + "loser"))
+    assert "idiot" in found("idi" + "o" * 70 + "t") and "moron" in found("m" + "." * 90 + "oron")
+    # all of a word longer than a window is decoded
+    assert toxicity.restored("l0ser" * 200, model)[0] == "loser" * 200
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = np.random.default_rng(6)
     plain = ["garden", "water", "bottle", "summer", "the", "of", "house"]
