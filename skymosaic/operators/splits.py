@@ -78,19 +78,19 @@ def best_assignment(scored: DataFrame) -> DataFrame:
 def hill_climb(tiles: Sequence[int], counts: Sequence[dict[int, int]], spark, restarts: int = 200, seed: int = 42) -> tuple[list[int], float] | None:
     """Best assignment of many sources found by flips from random starts; restarts run as rows of a DataFrame.
 
-    `tiles` and `counts` have an entry a source and go to every task.
+    `tiles` and `counts` have an entry a source and go to every task. A flip changes the totals of the classes of its source
+    only, so what it costs does not grow with the number of sources.
     """
     n, classes, total = len(tiles), sorted({c for d in counts for c in d}), sum(tiles)
 
-    def cost(a: list[int]) -> float:
-        if any(abs(sum(t for t, s in zip(tiles, a) if s == k) / total - TARGETS[name]) > TOLERANCE for k, name in enumerate(SPLITS)):
-            return float("inf")
-        out = 0.0
-        for c in classes:
-            by = [sum(d.get(c, 0) for d, s in zip(counts, a) if s == k) for k in range(3)]
-            if whole := sum(by):
-                out += sum((by[k] / whole - TARGETS[name]) ** 2 * whole for k, name in enumerate(SPLITS)) + PENALTY * ((by[1] == 0) + (by[2] == 0))
-        return out
+    of_source = [[(j, d[c]) for j, c in enumerate(classes) if d.get(c)] for d in counts]
+
+    def near(held: list[int]) -> bool:
+        return all(abs(held[k] / total - TARGETS[name]) <= TOLERANCE for k, name in enumerate(SPLITS))
+
+    def term(by: list[int]) -> float:
+        whole = sum(by)
+        return sum((by[k] / whole - TARGETS[name]) ** 2 * whole for k, name in enumerate(SPLITS)) + PENALTY * ((by[1] == 0) + (by[2] == 0)) if whole else 0.0
 
     def climb(frames):
         for frame in frames:
@@ -101,13 +101,40 @@ def hill_climb(tiles: Sequence[int], counts: Sequence[dict[int, int]], spark, re
                 for i in rng.sample(range(n), n):  # a random order fills the emptiest split: starts lie near the targets
                     a[i] = room.index(max(room))
                     room[a[i]] -= tiles[i]
-                now, better = cost(a), True
+                held, by = [0] * 3, [[0] * 3 for _ in classes]
+                for i, v in enumerate(a):
+                    held[v] += tiles[i]
+                    for j, c in of_source[i]:
+                        by[j][v] += c
+                terms = [term(x) for x in by]
+                now, better = sum(terms) if near(held) else float("inf"), True
+
+                def move(i: int, v: int) -> list[tuple[int, float]]:
+                    """Puts a source into another split; the terms as they were."""
+                    u, a[i] = a[i], v
+                    held[u] -= tiles[i]
+                    held[v] += tiles[i]
+                    before = []
+                    for j, c in of_source[i]:
+                        by[j][u] -= c
+                        by[j][v] += c
+                        before.append((j, terms[j]))
+                        terms[j] = term(by[j])
+                    return before
+
                 while better:
                     better = False
                     for i in range(n):
                         for v in range(3):
-                            if v != a[i] and (c := cost([*a[:i], v, *a[i + 1 :]])) < now:
-                                a[i], now, better = v, c, True
+                            if v == (u := a[i]):
+                                continue
+                            before = move(i, v)
+                            if near(held) and (c := sum(terms)) < now:
+                                now, better = c, True
+                            else:
+                                move(i, u)
+                                for j, x in before:
+                                    terms[j] = x
                 rows.append((int(k), now, a))
             yield pd.DataFrame(rows, columns=["id", "score", "digits"])
 

@@ -65,10 +65,10 @@ def split_exhaustive(spark, sf_dir):
 
 @query()
 def split_hill_climb(spark, sf_dir):
-    """Sources in splits by the climb from random starts; the search runs on one row a source."""
-    tiles = frame(spark, sf_dir, "tiles").filter("source_id < 24").select("source_id", "tile_id", "y_off", "th")
+    """All sources in splits by the climb from random starts; the search runs on one row a source."""
+    tiles = frame(spark, sf_dir, "tiles").select("source_id", "tile_id", "y_off", "th")
     per = splits.source_counts(tiles, pairs(spark, sf_dir).select("tile_id", "class_id")).orderBy("source_id").collect()
-    found = splits.hill_climb([r.n_tiles for r in per], [r.counts for r in per], spark, restarts=32)
+    found = splits.hill_climb([r.n_tiles for r in per], [r.counts for r in per], spark)
     rows = [(r.source_id, splits.SPLITS[d], found[1]) for r, d in zip(per, found[0])] if found else []
     return spark.createDataFrame(rows, "source_id long, split string, score double")
 

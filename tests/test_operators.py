@@ -127,6 +127,33 @@ def test_exhaustive_is_that_of_all_products(spark):
     assert climbed[1] >= best[0] - 1e-9
 
 
+def test_hill_climb_of_all_sources(spark, tmp_path, monkeypatch):
+    from skymosaic.plans import split_queries
+
+    n = 30
+    spark.range(1, n + 1).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = "id + 1 as l_orderkey, id % 7 + 1 as l_linenumber, id * 13 as l_partkey, id % 30 + 1 as l_suppkey, 10.0D as l_quantity, 0.05D as l_discount"
+    spark.range(300).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    climb, seen = splits.hill_climb, []
+
+    def watched(tiles, counts, spark, restarts=200, seed=42):
+        seen.append((tiles, counts, restarts))
+        return climb(tiles, counts, spark, restarts, seed)
+
+    monkeypatch.setattr(splits, "hill_climb", watched)
+    rows = split_queries.split_hill_climb(spark, str(tmp_path)).collect()
+    assert sorted(r.source_id for r in rows) == list(range(1, n + 1)) and seen[0][2] == 200
+    # the score that flips added up is the score of the whole assignment
+    tiles, counts, _ = seen[0]
+    a = [r.split for r in sorted(rows, key=lambda r: r.source_id)]
+    assert all(abs(sum(t for t, s in zip(tiles, a) if s == k) / sum(tiles) - splits.TARGETS[k]) <= splits.TOLERANCE for k in splits.SPLITS)
+    cost = 0.0
+    for c in {c for d in counts for c in d}:
+        by = {k: sum(d.get(c, 0) for d, s in zip(counts, a) if s == k) for k in splits.SPLITS}
+        cost += sum((by[k] / sum(by.values()) - splits.TARGETS[k]) ** 2 * sum(by.values()) for k in by) + splits.PENALTY * ((by["val"] == 0) + (by["test"] == 0))
+    assert rows[0].score == pytest.approx(cost)
+
+
 def test_downsampling_keeps_the_share(spark):
     tiles = spark.createDataFrame([(k, "train" if k < 800 else "val", int(k % 5 == 0 and k < 800)) for k in range(900)], "tile_id long, split string, n_labels int")
     rows = splits.downsample_background(tiles).collect()
