@@ -51,8 +51,8 @@ def gmm_silhouette_select(spark, sf_dir):
 
 @query()
 def tsne_layout(spark, sf_dir):
-    """A picture of 200 vectors."""
-    return cluster.embed_2d(_embeddings(spark, sf_dir).orderBy("vec_id").limit(200), "vec_id", "embedding", steps=100)
+    """A picture of all vectors."""
+    return cluster.embed_2d(_embeddings(spark, sf_dir), "vec_id", "embedding")
 
 
 _LIMITS = "SELECT l_suppkey, quantile_cont(l_extendedprice, 0.01) lo, quantile_cont(l_extendedprice, 0.99) hi FROM lineitem GROUP BY 1"

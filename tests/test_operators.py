@@ -154,6 +154,23 @@ def test_hill_climb_of_all_sources(spark, tmp_path, monkeypatch):
     assert rows[0].score == pytest.approx(cost)
 
 
+def test_layout_places_every_row(spark, tmp_path):
+    import numpy as np
+    from skymosaic.plans import cluster_queries
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(0, 20, (3, 8))
+    x = [(i, [float(v) for v in centres[i % 3] + rng.normal(0, 0.5, 8)]) for i in range(450)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    got = {r.vec_id: np.array([r.tsne_1, r.tsne_2]) for r in cluster.embed_2d(df, "vec_id", "embedding", most=120).collect()}
+    assert sorted(got) == list(range(450)) and np.isfinite(list(got.values())).all()
+    # each row lies nearest to the middle of its own group
+    middles = [np.mean([got[i] for i in range(g, 450, 3)], 0) for g in range(3)]
+    assert all(np.argmin([np.linalg.norm(got[i] - m) for m in middles]) == i % 3 for i in got)
+    df.filter("vec_id < 220").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert cluster_queries.tsne_layout(spark, str(tmp_path)).count() == 220
+
+
 def test_downsampling_keeps_the_share(spark):
     tiles = spark.createDataFrame([(k, "train" if k < 800 else "val", int(k % 5 == 0 and k < 800)) for k in range(900)], "tile_id long, split string, n_labels int")
     rows = splits.downsample_background(tiles).collect()
