@@ -41,12 +41,12 @@ def pca_gmm_clusters(spark, sf_dir):
 
 @query()
 def gmm_bic_select(spark, sf_dir):
-    return cluster.select_by_bic(_reduced(spark, sf_dir, 4), range(2, 5))
+    return cluster.select_by_bic(_reduced(spark, sf_dir, 50))
 
 
 @query()
 def gmm_silhouette_select(spark, sf_dir):
-    return cluster.select_by_silhouette(_reduced(spark, sf_dir, 4).select("vec_id", "pca"), "vec_id", range(4, 6))
+    return cluster.select_by_silhouette(_reduced(spark, sf_dir, 30).select("vec_id", "pca"), "vec_id")
 
 
 @query()

@@ -160,17 +160,39 @@ def test_layout_places_every_row(spark, tmp_path):
 
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 20, (3, 8))
-    x = [(i, [float(v) for v in centres[i % 3] + rng.normal(0, 0.5, 8)]) for i in range(450)]
+    x = [(i, [float(v) for v in centres[i % 3] + rng.normal(0, 0.5, 8)]) for i in range(900)]
     df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
-    got = {r.vec_id: np.array([r.tsne_1, r.tsne_2]) for r in cluster.embed_2d(df, "vec_id", "embedding", most=120).collect()}
-    assert sorted(got) == list(range(450)) and np.isfinite(list(got.values())).all()
-    # each row lies nearest to the middle of its own group
-    middles = [np.mean([got[i] for i in range(g, 450, 3)], 0) for g in range(3)]
-    assert all(np.argmin([np.linalg.norm(got[i] - m) for m in middles]) == i % 3 for i in got)
+    got = {r.vec_id: np.array([r.tsne_1, r.tsne_2]) for r in cluster.embed_2d(df, "vec_id", "embedding", most=450).collect()}
+    assert sorted(got) == list(range(900)) and np.isfinite(list(got.values())).all()
+    # rows lie nearest to the middle of their own group
+    middles = [np.mean([got[i] for i in range(g, 900, 3)], 0) for g in range(3)]
+    assert np.mean([np.argmin([np.linalg.norm(got[i] - m) for m in middles]) == i % 3 for i in got]) > 0.95
     df.filter("vec_id < 220").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert cluster_queries.tsne_layout(spark, str(tmp_path)).count() == 220
 
 
+def test_selection_searches_all_counts_and_components(spark, tmp_path, monkeypatch):
+    import numpy as np
+    from skymosaic.plans import cluster_queries
+
+    rng = np.random.default_rng(3)
+    x = [(i, [float(v) for v in rng.normal(0, 1, 64)]) for i in range(80)]
+    spark.createDataFrame(x, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen = []
+
+    def cheap(df, k, vector="pca", seed=42):
+        seen.append((k, len(df.first()[vector])))
+        return df.withColumn("cluster", F.monotonically_increasing_id() % k), None
+
+    monkeypatch.setattr(cluster, "mixture", cheap)
+    monkeypatch.setattr(cluster, "bic", lambda df, model, k, vector: abs(k - 11.0))
+    assert [r.k for r in cluster_queries.gmm_bic_select(spark, str(tmp_path)).collect() if r.best] == [11]
+    assert seen == [(k, 50) for k in range(2, 16)]
+    seen.clear()
+    assert sorted(r.k for r in cluster_queries.gmm_silhouette_select(spark, str(tmp_path)).collect()) == [4, 5, 6, 7, 8]
+    assert seen == [(k, 30) for k in range(4, 9)]
+
+
 def test_downsampling_keeps_the_share(spark):
     tiles = spark.createDataFrame([(k, "train" if k < 800 else "val", int(k % 5 == 0 and k < 800)) for k in range(900)], "tile_id long, split string, n_labels int")
     rows = splits.downsample_background(tiles).collect()
