@@ -71,6 +71,16 @@ def contrast_stretch(spark, sf_dir):
 @query("""
     SELECT l_suppkey image, CAST(min(l_quantity) AS DOUBLE) low, CAST(max(l_quantity) AS DOUBLE) high, min(l_quantity) = max(l_quantity) skipped FROM lineitem WHERE l_linenumber = 1 AND l_suppkey%2 = 0 GROUP BY 1""")
 def empty_tile_skip(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1 and l_suppkey % 2 = 0")
+    """First lines and even suppliers only, as its SQL has them."""
+    return _skipped(spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber = 1 and l_suppkey % 2 = 0"))
+
+
+@query("SELECT l_suppkey image, CAST(min(l_quantity) AS DOUBLE) low, CAST(max(l_quantity) AS DOUBLE) high, min(l_quantity) = max(l_quantity) skipped FROM lineitem GROUP BY 1")
+def empty_tile_skip_whole(spark, sf_dir):
+    """All lines of all suppliers."""
+    return _skipped(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def _skipped(rows):
     tiles = rows.groupBy(F.col("l_suppkey").alias("image")).agg(F.array(F.array(F.collect_list(F.col("l_quantity").cast("double")))).alias("pixels"), F.min("l_quantity").cast("double").alias("low"), F.max("l_quantity").cast("double").alias("high"))
     return tiles.select("image", "low", "high", tiling.is_constant(F.col("pixels")).alias("skipped"))

@@ -98,8 +98,18 @@ def obb_enforce_min_side(spark, sf_dir):
 
 @query(f"SELECT ann_id, round({area(quad())}, 4) area FROM annotations WHERE class_raw < 3")
 def min_rotated_rectangle(spark, sf_dir):
+    """Classes below 3 only, as its SQL has them."""
+    return _rectangles(frame(spark, sf_dir, "annotations").filter("class_raw < 3"))
+
+
+@query(f"SELECT ann_id, round({area(quad())}, 4) area FROM annotations")
+def min_rotated_rectangle_whole(spark, sf_dir):
+    """Annotations of all classes."""
+    return _rectangles(frame(spark, sf_dir, "annotations"))
+
+
+def _rectangles(a):
     """The smallest rectangle around the corners and middles of a rectangle's sides has the rectangle's area."""
-    a = frame(spark, sf_dir, "annotations").filter("class_raw < 3")
     mid = F.transform(G.indexes(F.col("points")), lambda i: G.point((G.at(F.col("points"), i)["x"] + G.following(F.col("points"), i)["x"]) / 2, (G.at(F.col("points"), i)["y"] + G.following(F.col("points"), i)["y"]) / 2))
     return a.select("ann_id", F.round(G.area(G.min_rotated_rectangle(F.concat("points", mid))), 4).alias("area"))
 

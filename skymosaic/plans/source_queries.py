@@ -12,16 +12,27 @@ from .fixtures import frame
 from .registry import query
 
 
-@query("SELECT ann_id, source_id, CAST(class_raw AS INT) class_id, CAST(5 AS INT) ring_points, round(x0, 6) px0, round(y2, 6) py2 FROM annotations WHERE class_raw < 3")
-def geojson_features(spark, sf_dir):
+def _features(annotations):
     """Annotations written as feature collections, one for each source and bucket of them, and read again."""
-    a = frame(spark, sf_dir, "annotations").filter("class_raw < 3").select(F.col("source_id"), F.pmod(F.xxhash64("ann_id"), F.lit(16)).alias("part"), F.struct(F.col("ann_id"), F.col("class_raw").alias("class_id")).alias("properties"), "points")
+    a = annotations.select(F.col("source_id"), F.pmod(F.xxhash64("ann_id"), F.lit(16)).alias("part"), F.struct(F.col("ann_id"), F.col("class_raw").alias("class_id")).alias("properties"), "points")
     texts = geojson.collections(a, ["source_id", "part"], "points", "properties")
     parsed = geojson.parse_collections(texts, "content", "ann_id string, class_id int")
     ring = G.closed(F.col("points"))
     return parsed.select("properties.ann_id", "source_id", "properties.class_id", F.size(ring).alias("ring_points"), F.round(F.col("points")[0]["x"], 6).alias("px0"), F.round(F.col("points")[2]["y"], 6).alias("py2"))
 
 
+@query("SELECT ann_id, source_id, CAST(class_raw AS INT) class_id, CAST(5 AS INT) ring_points, round(x0, 6) px0, round(y2, 6) py2 FROM annotations WHERE class_raw < 3")
+def geojson_features(spark, sf_dir):
+    """Classes below 3 only, as its SQL has them."""
+    return _features(frame(spark, sf_dir, "annotations").filter("class_raw < 3"))
+
+
+@query("SELECT ann_id, source_id, CAST(class_raw AS INT) class_id, CAST(5 AS INT) ring_points, round(x0, 6) px0, round(y2, 6) py2 FROM annotations")
+def geojson_features_whole(spark, sf_dir):
+    """Annotations of all classes."""
+    return _features(frame(spark, sf_dir, "annotations"))
+
+
 _CONTENT = "concat('\n', CAST(l_partkey%7 AS STRING), ' 0.125 0.25 0.5 0.25 0.5 0.', CAST(l_linenumber AS STRING), '5 0.125 0.75\r\n   \n', CASE WHEN l_orderkey%3 = 0 THEN 'broken line\n' ELSE '1 0 0 1 0 1 1 0 1\n' END)"
 
 

@@ -193,6 +193,18 @@ def test_selection_searches_all_counts_and_components(spark, tmp_path, monkeypat
     assert seen == [(k, 30) for k in range(4, 9)]
 
 
+def test_whole_queries_read_all_rows(spark, tmp_path):
+    from skymosaic.plans import catalogue
+
+    spark.range(1, 5).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    lines = "id + 1 as l_orderkey, id div 4 + 1 as l_linenumber, id as l_partkey, id % 4 + 1 as l_suppkey, double(CASE WHEN id % 4 < 2 THEN id div 4 ELSE 7 END) as l_quantity, 0.05D as l_discount"
+    spark.range(16).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    # images 1 and 2 vary in other lines than the first
+    assert {r.image: r.skipped for r in run("empty_tile_skip_whole")} == {1: False, 2: False, 3: True, 4: True}
+    assert len(run("geojson_features_whole")) == len(run("min_rotated_rectangle_whole")) == 16
+
+
 def test_downsampling_keeps_the_share(spark):
     tiles = spark.createDataFrame([(k, "train" if k < 800 else "val", int(k % 5 == 0 and k < 800)) for k in range(900)], "tile_id long, split string, n_labels int")
     rows = splits.downsample_background(tiles).collect()
