@@ -7,12 +7,14 @@ right and, where two neighbours are not compatible, falls back to the next short
 position twice, which keeps it linear in the text.
 
 Cases: a null text is the empty text; an empty text has no ids and decodes to no bytes; repeated rows are encoded one by
-one; an empty table gives an empty table; columns other than the id and the text are not read. Texts are encoded whole.
+one; a null id is returned as it is; an empty table gives an empty table; columns other than the id and the text are not
+read, and may have any name. Texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,34 +157,36 @@ class Encoder:
         return b"".join([get(s) or miss(s) for s in split(text)])
 
 
-_ready: dict[int, tuple] = {}
+#: Encoders of this worker, by the hash of vocabulary and pattern; a worker outlives a query, so the newest replaces others.
+_ready: dict[str, tuple] = {}
 
 
-def _encoder(shared, pattern: str):
-    found = _ready.get(shared.id if hasattr(shared, "id") else 0)
-    if found is None:
+def _encoder(shared, key: str, pattern: str):
+    if key not in _ready:
         import regex
 
         found = (Encoder(shared.value), regex.compile(pattern).findall)
         _ready.clear()
-        _ready[shared.id if hasattr(shared, "id") else 0] = found
-    return found
+        _ready[key] = found
+    return _ready[key]
 
 
-def _tables(spark, vocabulary_path: str):
-    """Broadcast: as large as the vocabulary file, about 1 MB, whatever the corpus is."""
+def _tables(spark, vocabulary_path: str, pattern: str = ""):
+    """Broadcast tables (as large as the vocabulary file, about 1 MB, whatever the corpus is), and the hash of vocabulary and pattern."""
     ship(spark)
-    return spark.sparkContext.broadcast(vocabulary_tables(load_ranks(vocabulary_path)))
+    with open(vocabulary_path, "rb") as f:
+        key = hashlib.sha256(f.read() + b"\0" + pattern.encode()).hexdigest()
+    return spark.sparkContext.broadcast(vocabulary_tables(load_ranks(vocabulary_path))), key
 
 
 def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False) -> DataFrame:
     """`id_col`, `ids` (little-endian unsigned 32-bit ids as binary), `n_tokens`, and with `with_decoded` the bytes that the ids decode to."""
-    shared = _tables(docs.sparkSession, vocabulary_path)
+    shared, key = _tables(docs.sparkSession, vocabulary_path, pattern)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([rows.schema[0], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())] + [T.StructField("decoded", T.BinaryType())] * with_decoded)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, split = _encoder(shared, pattern)
+        encoder, split = _encoder(shared, key, pattern)
         token = np.array(encoder.token, object)
         for batch in batches:
             begin, size, ids = 0, 0, []
@@ -203,7 +207,7 @@ def encode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "d
 
 def decode(encoded: DataFrame, vocabulary_path: str, ids_col: str = "ids") -> DataFrame:
     """All columns of `encoded` and `decoded`, the bytes of its ids; null ids decode to no bytes."""
-    shared = _tables(encoded.sparkSession, vocabulary_path)
+    shared, _ = _tables(encoded.sparkSession, vocabulary_path)
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     place = encoded.columns.index(ids_col)
 

@@ -2,10 +2,10 @@
 
 Reference shards hold the passages that share an anchor (see `repeats`). A shard's suffix automaton is built over its
 passages in the order of their documents; a state remembers the first document that reaches it, which is the smallest. The
-passages of every document are then streamed through the automaton for their matching statistics, and where a match of
-`width` words was first reached by a smaller document, the span is removed; touching spans join into maximal ones.
-Shards are routed to the passages they can match instead of being broadcast to all, because all shards together grow with
-the corpus.
+passages are then streamed through the automaton for their matching statistics, and where a match of `width` words was
+first reached by a smaller document than an owner of the passage, the span is removed from that owner; touching spans join
+into maximal ones. Shards are routed to the passages they can match instead of being broadcast to all, because all shards
+together grow with the corpus.
 
 Cases: null and empty texts have no words; texts shorter than the window keep everything; a document never removes its own
 words; rows with one id keep each other's words; a null id counts as the largest; an empty table gives an empty table; other
@@ -82,24 +82,27 @@ class SuffixAutomaton:
                 yield i + 1, self.first[state]
 
 
-def covered(passages: list[bytes], docs: np.ndarray, starts: np.ndarray, width: int):
-    """(passage, first window, last window) of what a smaller document holds."""
-    automaton = SuffixAutomaton()
+def covered(passages: list[bytes], which: np.ndarray, docs: np.ndarray, starts: np.ndarray, width: int):
+    """(owner, first window, last window) of what a smaller document holds; owner r holds passage which[r]."""
+    first = np.full(len(passages), docs.max(initial=0))
+    np.minimum.at(first, which, docs)
     sequences = [p.split(b" ") for p in passages]
-    for i in np.argsort(docs, kind="stable").tolist():
-        automaton.add(sequences[i], int(docs[i]))
-    which, at = [], []
+    automaton = SuffixAutomaton()
+    for i in np.argsort(first, kind="stable").tolist():
+        automaton.add(sequences[i], int(first[i]))
+    owners = np.argsort(which, kind="stable")
+    bounds = np.searchsorted(which[owners], np.arange(len(passages) + 1))
+    found = [np.zeros((0, 2), np.int64)]
     for i, sequence in enumerate(sequences):
-        own = int(docs[i])
-        for end, first in automaton.matches(sequence, width):
-            if first < own:
-                which.append(i)
-                at.append(end - width)
-    at = np.array(at, np.int64)
-    return np.array(which, np.int64), at, at
+        mine = owners[bounds[i] : bounds[i + 1]]
+        seen = np.array([(end - width, doc) for end, doc in automaton.matches(sequence, width)], np.int64).reshape(-1, 2)
+        r, w = np.nonzero(docs[mine][:, None] > seen[None, :, 1])
+        found.append(np.stack([mine[r], seen[w, 0]], 1))
+    found = np.concatenate(found)
+    return found[:, 0], found[:, 1], found[:, 1]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 20_000) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 1_000) -> DataFrame:
     """See `repeats.remove`; units are words."""
     return remove(docs, Plan(width, gram, True, False, covered, hot), id_col, text_col)
 

@@ -4,9 +4,11 @@ Shards of runs that share an anchor (see `repeats`) are suffix-sorted together,
 more symbol in front of every string of the shard. The collection's Burrows-Wheeler transform gives the places of the new
 suffixes (a symbol's rank among equal symbols), and the common prefix of each new suffix and its neighbours is one more
 than the least of those between the neighbours of the round before. Transform, common prefixes and suffix names are
-sequential arrays that every round reads and writes in order; a shard is small, so they stay in memory, and what does not
-fit a task goes through Spark's shuffle files. Suffixes whose common prefixes reach `width` hold one string; all but the
-earliest are removed.
+sequential arrays that every round reads once, in order, and writes anew. They are kept in memory instead of files: a shard
+is bounded (256 KB of text), local folders of a machine are no place for a cluster's data, and a file a round in the shared
+folder would cost far more than the round. What does not fit a task goes through Spark's shuffle files. Suffixes whose
+common prefixes reach `width` hold one string; all but the earliest are removed. A passage that several documents hold
+enters a shard once, and each of its suffixes counts for every owner.
 
 Cases: null and empty texts have no bytes; texts shorter than the window keep everything; matches never cross documents;
 equal rows are at the same place and keep each other's bytes; a null id counts as the largest; an empty table gives an
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .repeats import Plan, later, remove
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM = 100, 48
 
 
 def sort_columns(strings: list[bytes], most: int = 30_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,17 +41,18 @@ def sort_columns(strings: list[bytes], most: int = 30_000) -> tuple[np.ndarray,
     some = size > 0
     bwt[some] = data[(start + size - 1)[some]]
     common = np.zeros(m, np.int16)
-    name = np.arange(m, dtype=np.int32)
-    offset = size.astype(np.int32)
+    serial = np.arange(m, dtype=np.int32)  # of suffixes, in the order of their insertion
+    names, offsets = [np.arange(m)], [size]
+    inserted = m
     place = np.arange(m)  # of each string's longest suffix so far
     for j in range(1, int(size.max(initial=0)) + 1):
         active = np.flatnonzero(size >= j)
         active = active[np.argsort(place[active])]
         p = place[active]
-        order = np.argsort(bwt, kind="stable")
-        rank = np.empty(len(bwt), np.int64)
-        rank[order] = np.arange(len(bwt))
-        ended = int(np.count_nonzero(bwt == 0))
+        order = np.argsort(bwt, kind="stable").astype(np.int32)
+        rank = np.empty(len(bwt), np.int32)
+        rank[order] = np.arange(len(bwt), dtype=np.int32)
+        ended = len(bwt) - np.count_nonzero(bwt)
         r = rank[p]
         new = m + r - ended
         padded = np.append(common, np.int16(0))
@@ -70,40 +73,53 @@ def sort_columns(strings: list[bytes], most: int = 30_000) -> tuple[np.ndarray,
         n = len(bwt) + len(active)
         old = np.ones(n, bool)
         old[new] = False
-        grown = [np.empty(n, x.dtype) for x in (bwt, common, name, offset)]
-        for g, x in zip(grown, (bwt, common, name, offset)):
-            g[old] = x
+        kept = np.flatnonzero(old)
+        grown = [np.empty(n, x.dtype) for x in (bwt, common, serial)]
+        for g, x in zip(grown, (bwt, common, serial)):
+            g[kept] = x
         at = size[active] - j
         grown[0][new] = np.where(at > 0, data[np.maximum(start[active] + at - 1, 0)], 0)
         follows = new + 1 < n
         grown[1][new[follows] + 1] = with_after[follows]
         grown[1][new] = with_before
-        grown[2][new], grown[3][new] = active, at
-        bwt, common, name, offset = grown
+        grown[2][new] = inserted + np.arange(len(active))
+        inserted += len(active)
+        names.append(active), offsets.append(at)
+        bwt, common, serial = grown
         place[active] = new
-    return name, offset, common
+    return np.concatenate(names)[serial], np.concatenate(offsets)[serial], common
 
 
-def covered(passages: list[bytes], docs: np.ndarray, starts: np.ndarray, width: int):
-    """(passage, first window, last window) of strings of `width` bytes that start earlier."""
+def covered(passages: list[bytes], which: np.ndarray, docs: np.ndarray, starts: np.ndarray, width: int):
+    """(owner, first window, last window) of strings of `width` bytes that start earlier; owner r holds passage which[r]."""
     name, offset, common = sort_columns(passages, width)
     group = np.cumsum(common < width)
-    inside = np.flatnonzero((np.append(common[1:], 0) >= width) | (common >= width))
+    size = np.array([len(p) for p in passages], np.int64)
+    owners = np.argsort(which, kind="stable")
+    bounds = np.searchsorted(which[owners], np.arange(len(passages) + 1))
+    held = np.diff(bounds)
+    long = offset + width <= size[name]
+    inside = np.flatnonzero(long & ((np.append(common[1:], 0) >= width) | (common >= width) | (held[name] > 1)))
     name, offset, group = name[inside], offset[inside].astype(np.int64), group[inside]
-    doc, place = docs[name], starts[name] + offset
+    # a suffix is each owner's
+    n = held[name]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    row = owners[np.repeat(bounds[name], n) + step]
+    offset, group = np.repeat(offset, n), np.repeat(group, n)
+    doc, place = docs[row], starts[row] + offset
     order = np.lexsort((place, doc, group))
     gone = order[later(doc[order], place[order], group[order], True)]
     # consecutive windows of a passage become one span
-    gone = gone[np.lexsort((offset[gone], name[gone]))]
+    gone = gone[np.lexsort((offset[gone], row[gone]))]
+    r, o = row[gone], offset[gone]
     if not len(gone):
-        return name[gone], offset[gone], offset[gone]
-    n, o = name[gone], offset[gone]
-    fresh = np.append(True, (n[1:] != n[:-1]) | (o[1:] != o[:-1] + 1))
+        return r, o, o
+    fresh = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1))
     at = np.flatnonzero(fresh)
-    return n[at].astype(np.int64), o[at], o[np.append(at[1:], len(o)) - 1]
+    return r[at], o[at], o[np.append(at[1:], len(o)) - 1]
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 20_000, carry: Sequence[str] = ()) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, carry: Sequence[str] = ()) -> DataFrame:
     """See `repeats.remove`; units are bytes."""
     return remove(docs, Plan(width, gram, False, True, covered, hot), id_col, text_col, carry)
 

@@ -77,6 +77,39 @@ def test_bytes_equal_brute_force(spark, seed, hot, monkeypatch):
     assert got == brute_bytes(rows, 30)
 
 
+def test_null_ids_come_last_and_equal_hashes_decide_nothing(spark, monkeypatch):
+    """With all hashes of runs equal, texts alone tell runs apart; a null id counts as the largest."""
+    rows = corpus(5, 60)
+    rows[10] = (None, rows[3][1])
+    known = [(10**6 if d is None else d, t) for d, t in rows]
+    real = repeats.runs
+    monkeypatch.setattr(repeats, "runs", lambda *a: (*real(*a)[:5], real(*a)[5] * np.uint64(0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((10**6 if r[0] is None else r[0], *r[1:]) for r in map(tuple, suffix_dedup.digest(suffix_dedup.dedup(df, width=30, gram=8)).collect()))
+    assert got == brute_bytes(known, 30)
+    got = sorted((10**6 if r[0] is None else r[0], *r[1:]) for r in map(tuple, substring_dedup.digest(substring_dedup.dedup(df, width=10, gram=3)).collect()))
+    assert got == brute_words(known, 10)
+
+
+def test_spans_of_very_many_documents():
+    n = 9_000_000
+    key, begin, end = repeats.merged(np.arange(n), np.full(n, 5), np.full(n, 70_000))
+    assert len(key) == n and (begin == 5).all() and (end == 70_000).all()
+
+
+def test_an_anchor_of_many_runs_stays_small():
+    """20,000 different passages of one anchor: dealt by windows, `hot` of them at most meet in one automaton."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"w{x}" for x in rng.integers(0, 5_000, 92)).encode() for _ in range(1_000)]
+    tracemalloc.start()
+    substring_dedup.covered(passages, np.arange(1_000), np.arange(1_000), np.zeros(1_000, np.int64), 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.dedup(df).count() == 0 and suffix_dedup.dedup(df).count() == 0
