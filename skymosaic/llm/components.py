@@ -14,13 +14,13 @@ ROUNDS = 60
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node of `edges`; nodes without edges are not listed.
 
-    Each round points every node to the least label among itself and its neighbours, then to that label's own label
-    (halving paths), until nothing changes. Least labels are aggregated before the shuffle, so a node with very many
-    edges costs no task more than its share; edges and labels live in written tables.
+    Nodes may be of any type that has an order. Each round points every node to the least label among itself and its
+    neighbours, then to that label's own label (halving paths), until nothing changes. Least labels are aggregated before
+    the shuffle, so a node with very many edges costs no task more than its share; edges and labels live in written tables.
     """
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u <> v")
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     e = stored(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
+    labels = stored(e.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("least", "u").alias("label")), "labels")
     for _ in range(ROUNDS):
         near = e.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         hooked = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))

@@ -1,4 +1,6 @@
+import os
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -46,7 +48,7 @@ def test_equals_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(N, "COLUMNS", 512)
     rows = corpus(1)
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, n int, rep string").repartition(3)
-    assert sorted(map(tuple, N.join(df).collect())) == brute(rows)
+    assert sorted(map(tuple, N.join(df).drop("text_key").collect())) == brute(rows)
 
 
 def test_rows_with_one_id_and_empty_table(spark):
@@ -60,8 +62,62 @@ def test_rows_with_one_id_and_empty_table(spark):
     assert N.join(df.limit(0)).count() == 0
 
 
+def test_null_ids(spark):
+    same = " ".join(f"a{x}" for x in range(40))
+    rows = [(None, same), (None, "g h i j k l"), (3, same + " more"), (None, "p q r s t u"), (None, "p q r s t u"), (None, None), (4, "")]
+    got = sorted(((r.doc_id or 99, r.n_links, r.component_id or 99, r.kept) for r in N.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(3, 1, 3, True), (4, 0, 4, True), (99, 0, 99, True), (99, 0, 99, True), (99, 1, 3, False), (99, 1, 99, True), (99, 1, 99, True)]
+
+
 def test_prefixes_shorten_until_recall():
     assert N.prefix_length(0.8, 0.5) == 8 and N.prefix_length(0.8, 0.9999) in (4, 5)
     for p in (0.99, 0.999, 0.9999):
         k = N.prefix_length(0.8, p)
         assert 1 - (1 - 0.8**k) ** N.TREES >= p
+
+
+@pytest.mark.parametrize("changed,expected", [(1, [8]), (4, [8, 5])])
+def test_matching_shortens_only_while_pairs_need_it(spark, monkeypatch, changed, expected):
+    """Pairs of one change in 200 words are found at whole keys; pairs near the threshold ask for shorter prefixes."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(30):
+        words = rng.integers(0, 10**6, 200).astype(str).tolist()
+        rows.append((2 * i, " ".join(words)))
+        for x in range(changed):
+            words[20 * x + 5] = "new"
+        rows.append((2 * i + 1, " ".join(words)))
+    tried = []
+    real = N.connected_components
+    monkeypatch.setattr(N, "connected_components", lambda e, a, b: (tried.append(b), real(e, a, b))[1])
+    got = N.join(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect()
+    assert sorted(map(tuple, got)) == brute(rows) and tried.count("least") == len(expected)
+
+
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_wanted_documents_by_map_or_join(spark, monkeypatch, most):
+    monkeypatch.setattr(N, "MOST_BITS", most)
+    rows = corpus(3)
+    assert sorted(map(tuple, N.join(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_key").collect())) == brute(rows)
+
+
+def test_recall_against_brute_force(spark):
+    """Documents of sf0.1 whose id is divisible by 50 against all others, by an inverted index of shingles."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    docs = spark.read.parquet(path)
+    got = {r.doc_id: r.n_links for r in N.join(docs).collect()}
+    sets, holders = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        w = WORD.findall(r.text or "")
+        sets[r.doc_id] = s = {hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)} if len(w) >= 5 else {hash(("short", *w))} if w else set()
+        for x in s:
+            holders.setdefault(x, []).append(r.doc_id)
+    true = found = 0
+    for d in (d for d in sets if d % 50 == 0):
+        common = Counter(o for x in sets[d] for o in holders[x] if o != d)
+        n = sum(5 * c >= 4 * (len(sets[d]) + len(sets[o]) - c) for o, c in common.items())
+        true, found = true + n, found + got[d]
+        assert got[d] <= n
+    assert true and found / true >= 0.99
