@@ -1,17 +1,21 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one representative a group.
 
 Vectors are compared only where their labels are equal. Equal vectors of a label are folded into one with a count first,
-so copies cost nothing. Cells come from spherical k-means on at most SAMPLE vectors; every vector has a home, the cell of
-its most similar centre. If two unit vectors have cosine >= t and homes A and B, they differ by at most
-w = sqrt(2 - 2 t), so one of them lies within w / 2 of the plane between A and B: it visits the other's cell. Each
-vector visits every cell whose plane is that near, hence no pair is missed, and the search is exact.
+so copies cost nothing. Cells come from spherical k-means on at most SAMPLE vectors, as many for a label as it needs to have
+about `per_cell` vectors in each (a power of two, MOST_CELLS at most); every vector has a home, the cell of its most similar
+centre. If two unit vectors have cosine >= t and homes A and B, they differ by at most w = sqrt(2 - 2 t), so one of them
+lies within w / 2 of the plane between A and B: it visits the other's cell. Each vector visits every cell whose plane is
+that near, hence no pair is missed, and the search is exact. In a cell its residents meet residents and visitors; visitors
+never meet each other there. How many cells a vector visits depends on the vectors: few where they lie in groups, about the
+root of the number of cells where they lie at random, so the work grows like n^1.5 at worst until a label has MOST_CELLS cells.
 
-A cell's vectors are dealt to blocks of BLOCK at most; a task multiplies two blocks at a time, counts links and keeps only
-the edges of a spanning forest, so what is emitted grows with the vectors, not with their pairs.
+A cell's residents are dealt to blocks of BLOCK, residents and visitors to blocks of WIDE; a task multiplies one of each,
+counts links and keeps only the edges of a spanning forest, so what is emitted grows with the vectors, not with their pairs.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do null labels;
-vectors of different lengths link with nothing; ties go to the smallest id; an id that repeats makes rows of its own
-(its count is of other rows); an empty table gives an empty table; other columns are not read.
+components of any finite size count; vectors of different lengths link with nothing; ties go to the smallest id; null ids
+come last: a group of null ids only has component null, and each of its rows is kept; an id that repeats makes rows of its
+own (its count is of other rows); an empty table gives an empty table; other columns are not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import partitions, ship, stored
 from .components import connected_components
 
-#: Vectors that the cells are fitted on, at most; cells; vectors a cell should hold; vectors of a block.
-SAMPLE, MOST_CELLS, PER_CELL, BLOCK = 8_192, 1_024, 2_048, 1_024
+#: Vectors that the cells are fitted on, cells of a label, vectors that a cell should hold; vectors of a block on either side.
+SAMPLE, MOST_CELLS, PER_CELL, BLOCK, WIDE = 16_384, 4_096, 2_048, 1_024, 4_096
+LAST = (1 << 63) - 1
 
 
 def fit_cells(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -52,9 +57,11 @@ def homes_and_visits(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[
     return home, visits
 
 
-def _normalised(batch_column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    flat = batch_column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch_column), -1)
-    return flat / np.linalg.norm(flat, axis=1, keepdims=True), flat
+def _normalised(vectors: pa.Array) -> np.ndarray:
+    """Unit vectors; divided by their largest components first, so that no square leaves the range of doubles."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+    flat = flat / np.abs(flat).max(1, keepdims=True)
+    return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
 class Forest:
@@ -77,100 +84,110 @@ class Forest:
             self.up.setdefault(min(i, j), min(i, j))
 
 
+_NODE = "struct<rep:bigint,tag:bigint>"
+
+
 def dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, per_cell: int = PER_CELL) -> DataFrame:
     """One row a vector: id, n_links, component_id (smallest id reachable), kept (it is that id)."""
     spark = vectors.sparkSession
     ship(spark)
-    all_rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    sound = F.coalesce(F.size("v") > 0, F.lit(False)) & F.forall("v", lambda x: x.isNotNull() & (F.abs(F.coalesce(x, F.lit(0.0))) < F.lit(1e150))) & F.exists("v", lambda x: F.abs(F.coalesce(x, F.lit(0.0))) > F.lit(1e-150))
-    good = all_rows.filter(F.col("label").isNotNull() & sound)
-    folded = stored(good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "label", "v", "n"), "vectors")
-    sizes = folded.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n")).collect()  # a row a length
+    all_rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    value = lambda x: F.coalesce(x, F.lit(float("nan")))
+    finite = lambda x: ~F.isnan(value(x)) & (F.abs(value(x)) < F.lit(float("inf")))
+    sound = F.col("label").isNotNull() & F.coalesce(F.size("v") > 0, F.lit(False)) & F.coalesce(F.forall("v", finite), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
+    good = all_rows.filter(sound)
+    folded = good.groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    folded = stored(folded.select(F.struct("rep", F.xxhash64("label", "v").alias("tag")).alias("node"), "label", "v", "n", F.size("v").alias("d")), "vectors")
+    # cells of each label and length: a power of two
+    cells = F.least(F.lit(MOST_CELLS), F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.round(F.log2(F.count("*") / F.lit(float(per_cell)))))))
+    wanted = stored(folded.groupBy("label", "d").agg(cells.cast("int").alias("k")), "cells")
     counts, edges = [], []
-    for found in sizes:
-        one_size = folded.filter(F.size("v") == found.d)
-        links = stored(_links(one_size, found.n, threshold, per_cell), f"links-{found.d}")
+    for d, ks in wanted.groupBy("d").agg(F.sort_array(F.collect_set("k"))).orderBy("d").collect():  # a row a length
+        links = stored(_links(folded.filter(F.col("d") == d), wanted.filter(F.col("d") == d).drop("d"), ks, threshold), f"links-{d}")
         counts.append(links.filter("other is null"))
         edges.append(links.filter("other is not null"))
-    if not counts:
-        return vectors.select(F.col(id_col).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    all_counts, all_edges = counts[0], edges[0]
-    for c, e in zip(counts[1:], edges[1:]):
-        all_counts, all_edges = all_counts.unionByName(c), all_edges.unionByName(e)
-    total = all_counts.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = connected_components(all_edges, "rep", "other")
-    members = folded.join(total, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    members = members.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    joined = good.join(members, ["label", "v"]).select("id", "n_links", "component_id")
-    rest = all_rows.filter(~(F.col("label").isNotNull() & sound)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    out = joined.unionByName(rest)
-    return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-
-
-def _links(folded: DataFrame, n: int, threshold: float, per_cell: int) -> DataFrame:
-    """(rep, other, links): link counts (other null) and forest edges (links null) among vectors of one length."""
+    rest = all_rows.filter(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
+    if counts:
+        all_counts, all_edges = counts[0], edges[0]
+        for c, e in zip(counts[1:], edges[1:]):
+            all_counts, all_edges = all_counts.unionByName(c), all_edges.unionByName(e)
+        total = all_counts.groupBy("node").agg(F.sum("links").alias("links"))
+        groups = connected_components(all_edges, "node", "other").withColumnRenamed("component", "least")
+        members = folded.join(total, "node", "left").join(groups, "node", "left")
+        members = members.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("least.rep", "node.rep").alias("component"))
+        rest = good.join(members, ["label", "v"]).select("id", "n_links", "component").unionByName(rest)
+    return rest.select(F.nullif("id", F.lit(LAST)).alias(id_col), F.col("n_links").cast("long").alias("n_links"), F.nullif("component", F.lit(LAST)).alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def _links(folded: DataFrame, wanted: DataFrame, ks: list[int], threshold: float) -> DataFrame:
+    """(node, other, links): link counts (other null) and forest edges (links null) among vectors of one length; `wanted`: cells of each label."""
     spark = folded.sparkSession
-    k = int(min(MOST_CELLS, max(1, n // per_cell)))
-    sample = folded.select("v").orderBy(F.xxhash64("rep")).limit(SAMPLE).toArrow().column("v").combine_chunks()
-    centres = fit_cells(_normalised(sample)[0], k)
+    sample = _normalised(folded.select("v").orderBy(F.xxhash64("node")).limit(SAMPLE).toArrow().column("v").combine_chunks())
     reach = float(np.sqrt(max(2 - 2 * threshold, 0))) / 2
-    shared = spark.sparkContext.broadcast(centres)
-    blocks_of = max(1, partitions(spark))
+    shared = spark.sparkContext.broadcast({k: fit_cells(sample, k) for k in ks})
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = shared.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 2_000):
-                part = batch.slice(i, 2_000)
-                home, visits = homes_and_visits(_normalised(part.column(1))[0], centres, reach)
-                row, cell = np.nonzero(visits)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(visits.sum(1))), pa.int32()), pa.array(cell, pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(home, pa.int32()), lists], ["label", "v", "rep", "n", "home", "cells"])
-
-    placed = folded.select("label", "v", "rep", "n").mapInArrow(assign, "label string, v array<double>, rep long, n long, home int, cells array<int>")
+            kinds = batch.column("k").to_numpy()
+            for k in np.unique(kinds).tolist():
+                some = batch.filter(pa.array(kinds == k))
+                for i in range(0, some.num_rows, 2_000):
+                    part = some.slice(i, 2_000)
+                    home, visits = homes_and_visits(_normalised(part.column("v")), shared.value[k], reach)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(visits.sum(1))), pa.int32()), pa.array(np.nonzero(visits)[1], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("label", "v", "node", "n")), pa.array(home, pa.int32()), lists], ["label", "v", "node", "n", "home", "cells"])
+
+    placed = folded.join(wanted, "label").select("label", "v", "node", "n", "k").mapInArrow(assign, f"label string, v array<double>, node {_NODE}, n long, home int, cells array<int>")
     placed = stored(placed, "placed")
-    in_cell = placed.select("label", F.explode("cells").alias("cell")).groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    seen = placed.select("label", "home", F.explode("cells").alias("cell"))
+    resident = (F.col("home") == F.col("cell")).cast("int")
+    in_cell = seen.groupBy("label", "cell").agg(F.ceil(F.sum(resident) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / WIDE).cast("int").alias("wide")).filter("blocks > 0")
     rows = placed.select("*", F.explode("cells").alias("cell")).join(in_cell, ["label", "cell"])
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # block i meets block j >= i in the task (i, j): a block goes to one task for each block of its cell
-    tasks = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", "cell", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "rep", "n", "home", "cells", "v"
-    )
+    of = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    keys = ["label", "cell", "i", "j"]
+    none = F.lit(None).cast("array<int>")
+    left = rows.filter("home = cell").withColumn("i", of(1, "blocks")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).select(*keys, F.lit(True).alias("left"), "node", "n", "home", "cells", "v")
+    right = rows.withColumn("j", of(2, "wide")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*keys, F.lit(False).alias("left"), "node", "n", "home", none.alias("cells"), "v")
 
     def products(key, data):
-        _, cell, i, j = (x.as_py() for x in key)
-        block = data.column("block").to_numpy()
-        rep, copies, home = (data.column(c).to_numpy() for c in ("rep", "n", "home"))
-        x = _normalised(data.column("v").combine_chunks())[0]
-        visits = np.zeros((len(rep), len(shared.value)), bool)
+        cell = key[1].as_py()
+        is_left = data.column("left").to_numpy(zero_copy_only=False)
+        node = data.column("node").combine_chunks()
+        rep, tag = (node.field(c).to_numpy() for c in (0, 1))
+        copies, home = data.column("n").to_numpy(), data.column("home").to_numpy()
+        x = _normalised(data.column("v").combine_chunks())
         lists = data.column("cells").combine_chunks()
-        visits[np.repeat(np.arange(len(rep)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        order = np.argsort(rep)
-        place = np.empty(len(rep), int)
-        place[order] = np.arange(len(rep))
-        links = np.zeros(len(rep), np.int64)
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        visits = np.zeros((len(left), MOST_CELLS), bool)
+        visits[np.repeat(np.arange(len(left)), np.diff(lists.offsets.to_numpy())[left]), lists.flatten().to_numpy()] = True
+        # a node may stand on both sides: it is numbered by its order
+        order = np.lexsort((tag, rep))
+        fresh = np.append(True, (rep[order][1:] != rep[order][:-1]) | (tag[order][1:] != tag[order][:-1]))
+        place = np.empty(len(rep), np.int64)
+        place[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        links = np.zeros(len(first), np.int64)
         forest = Forest()
         for a in range(0, len(left), 512):
             rows = left[a : a + 512]
             p, q = np.nonzero(x[rows] @ x[right].T >= threshold)
-            p, q = rows[p], right[q]
-            if i == j:
-                p, q = p[place[p] < place[q]], q[place[p] < place[q]]
-            # a pair of two homes may meet in both; it counts in the smaller cell of those where it can be found
-            first, second = home[p], home[q]
-            meets = lambda c: visits[p, c] & visits[q, c]
-            ok_first, ok_second = meets(first), meets(second)
-            chosen = np.where(ok_first & ok_second, np.minimum(first, second), np.where(ok_first, first, second))
-            p, q = p[chosen == cell], q[chosen == cell]
-            links += np.bincount(p, copies[q], len(rep)).astype(np.int64) + np.bincount(q, copies[p], len(rep)).astype(np.int64)
-            for s, t in zip(place[p].tolist(), place[q].tolist()):
+            p += a
+            l, r = left[p], right[q]  # noqa: E741
+            # residents meet in both orders; a visitor meets a resident also at home, if that one visits there
+            ok = np.where(home[r] == cell, place[l] < place[r], ~visits[p, home[r]] | (cell < home[r]))
+            l, r = l[ok], r[ok]  # noqa: E741
+            np.add.at(links, place[l], copies[r])
+            np.add.at(links, place[r], copies[l])
+            for s, t in zip(place[l].tolist(), place[r].tolist()):
                 forest.join(s, t)
         tied = [(s, forest.root(s)) for s in list(forest.up)]
         tied = [(s, r) for s, r in tied if s != r]
         some = np.flatnonzero(links)
-        reps = np.concatenate([rep[some], rep[order[[s for s, _ in tied]]]]) if tied else rep[some]
-        others = pa.array([None] * len(some) + [int(rep[order[r]]) for _, r in tied], pa.int64())
-        return pa.table({"rep": pa.array(reps, pa.int64()), "other": others, "links": pa.array([*links[some].tolist(), *[None] * len(tied)], pa.int64())})
-
-    return tasks.repartition(blocks_of, "label", "cell", "i", "j").groupBy("label", "cell", "i", "j").applyInArrow(products, "rep long, other long, links long")
+        name = lambda k: {"rep": int(rep[first[k]]), "tag": int(tag[first[k]])}
+        kind = pa.struct([("rep", pa.int64()), ("tag", pa.int64())])
+        return pa.table({
+            "node": pa.array([name(k) for k in some] + [name(s) for s, _ in tied], kind), "other": pa.array([None] * len(some) + [name(r) for _, r in tied], kind),
+            "links": pa.array([*links[some].tolist(), *[None] * len(tied)], pa.int64()),
+        })
+
+    return left.unionByName(right).repartition(max(1, partitions(spark)), *keys).groupBy(*keys).applyInArrow(products, f"node {_NODE}, other {_NODE}, links long")

@@ -22,6 +22,7 @@ def brute(rows, t=0.93):
 @pytest.mark.parametrize("per_cell,block", [(2048, 1024), (40, 16)])
 def test_equals_brute_force(spark, per_cell, block, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", block)
+    monkeypatch.setattr(E, "WIDE", 4 * block)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 16))
     rows = []
@@ -34,6 +35,14 @@ def test_equals_brute_force(spark, per_cell, block, monkeypatch):
     assert got == brute(rows)
 
 
+def test_null_ids_and_large_components(spark):
+    v, w = [1.0, 2.0, 3.0, 4.0], [-4.0, 3.0, 2.0, 1.0]
+    rows = [(None, v, 0), (5, v, 0), (None, w, 0), (None, w, 1), (6, [c * 1e200 for c in v], 0), (7, [c * 1e-300 for c in v], 0), (8, [1e308] * 4, 2), (9, [-1e308] * 4, 2), (10, [float("inf")] * 4, 2), (None, None, 2), (11, [c * 4e307 for c in w], 0), (3, [1.0, 0.0, 0.0, 0.0], 0), (3, [0.0, 1.0, 0.0, 0.0], 0), (4, [0.0, 1.0, 0.0, 0.01], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id or 99, r.n_links, r.component_id or 99, r.kept) for r in E.dedup(df).collect())
+    assert got == [(3, 0, 3, True), (3, 1, 3, True), (4, 1, 3, False), (5, 3, 5, True), (6, 3, 5, False), (7, 3, 5, False), (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True), (11, 1, 11, True), (99, 0, 99, True), (99, 0, 99, True), (99, 1, 11, False), (99, 3, 5, False)]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert E.dedup(df).count() == 0
