@@ -36,7 +36,7 @@ SHARD_BYTES = 1 << 18
 FOLD_WINDOWS, STEP_BYTES = 50_000, 1 << 22
 LAST = (1 << 63) - 1
 _BASE = 0xC2B2AE3D27D4EB4F
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def units(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarra
     if words:
         w = Words(data, offsets)
         return w.hash, w.bounds, w
-    return _BYTE[data[offsets[0] : offsets[-1]]], offsets - offsets[0], None
+    return BYTE_HASH[data[offsets[0] : offsets[-1]]], offsets - offsets[0], None
 
 
 def runs(h: np.ndarray, bounds: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:

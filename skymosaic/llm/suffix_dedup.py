@@ -8,7 +8,8 @@ sequential arrays that every round reads once, in order, and writes anew. They a
 is bounded (256 KB of text), local folders of a machine are no place for a cluster's data, and a file a round in the shared
 folder would cost far more than the round. What does not fit a task goes through Spark's shuffle files. Suffixes whose
 common prefixes reach `width` hold one string; all but the earliest are removed. A passage that several documents hold
-enters a shard once, and each of its suffixes counts for every owner.
+enters a shard once: its later owners lose it whole, as the same bytes stand at an earlier place. Window hashes only choose
+which parts of passages are sorted; they never remove anything.
 
 Cases: null and empty texts have no bytes; texts shorter than the window keep everything; matches never cross documents;
 equal rows are at the same place and keep each other's bytes; a null id counts as the largest; an empty table gives an
@@ -23,7 +24,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import Plan, later, remove
+from .common import gram, mix
+from .repeats import BYTE_HASH, Plan, later, remove
 
 WIDTH, GRAM = 100, 48
 
@@ -90,33 +92,60 @@ def sort_columns(strings: list[bytes], most: int = 30_000) -> tuple[np.ndarray,
     return np.concatenate(names)[serial], np.concatenate(offsets)[serial], common
 
 
+def shared_parts(passages: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, begin, end) of the parts, from the first to the last window whose hash occurs twice; different hashes mean different strings."""
+    data = np.frombuffer(b"".join(passages), np.uint8)
+    ends = np.cumsum([len(p) for p in passages])
+    owner = np.repeat(np.arange(len(passages)), np.diff(ends, prepend=0))
+    at = np.flatnonzero(np.arange(len(data)) + width <= ends[owner])
+    window = mix(gram(BYTE_HASH[data], width))[at]
+    order = np.argsort(window)
+    same = window[order][1:] == window[order][:-1]
+    twice = np.zeros(len(window), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    at = at[twice]
+    name = owner[at]
+    fresh = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+    last = np.append(fresh[1:], len(name)) - 1
+    begin = ends[name[fresh]] - np.array([len(passages[i]) for i in name[fresh]], np.int64)
+    return name[fresh], at[fresh] - begin, at[last[: len(fresh)]] - begin + width
+
+
 def covered(passages: list[bytes], which: np.ndarray, docs: np.ndarray, starts: np.ndarray, width: int):
-    """(owner, first window, last window) of strings of `width` bytes that start earlier; owner r holds passage which[r]."""
-    name, offset, common = sort_columns(passages, width)
-    group = np.cumsum(common < width)
+    """(owner, first window, last window) of strings of `width` bytes that start earlier; owner r holds passage which[r].
+
+    A passage's later owners hold it at a later place than its first ones, so all of its windows go there. What first owners
+    hold is told by the suffix order of the parts of different passages that may be equal.
+    """
+    order = np.lexsort((starts, docs, which))
+    after = np.empty(len(which), bool)
+    after[order] = later(docs[order], starts[order], which[order], True)
+    fresh = np.append(True, which[order][1:] != which[order][:-1])
+    first = order[fresh]  # of each passage
     size = np.array([len(p) for p in passages], np.int64)
-    owners = np.argsort(which, kind="stable")
-    bounds = np.searchsorted(which[owners], np.arange(len(passages) + 1))
-    held = np.diff(bounds)
-    long = offset + width <= size[name]
-    inside = np.flatnonzero(long & ((np.append(common[1:], 0) >= width) | (common >= width) | (held[name] > 1)))
-    name, offset, group = name[inside], offset[inside].astype(np.int64), group[inside]
-    # a suffix is each owner's
-    n = held[name]
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    row = owners[np.repeat(bounds[name], n) + step]
-    offset, group = np.repeat(offset, n), np.repeat(group, n)
-    doc, place = docs[row], starts[row] + offset
-    order = np.lexsort((place, doc, group))
-    gone = order[later(doc[order], place[order], group[order], True)]
-    # consecutive windows of a passage become one span
-    gone = gone[np.lexsort((offset[gone], row[gone]))]
-    r, o = row[gone], offset[gone]
-    if not len(gone):
-        return r, o, o
-    fresh = np.append(True, (r[1:] != r[:-1]) | (o[1:] != o[:-1] + 1))
-    at = np.flatnonzero(fresh)
-    return r[at], o[at], o[np.append(at[1:], len(o)) - 1]
+    whole = np.flatnonzero(after)
+    found = [(whole, np.zeros(len(whole), np.int64), size[which[whole]] - width)]
+    part, begin, end = shared_parts(passages, width)
+    if len(part):
+        name, offset, common = sort_columns([passages[i][a:b] for i, a, b in zip(part.tolist(), begin.tolist(), end.tolist())], width)
+        group = np.cumsum(common < width)
+        inside = np.flatnonzero((np.append(common[1:], 0) >= width) | (common >= width))
+        group, offset, name = group[inside], offset[inside] + begin[name[inside]], part[name[inside]]
+        doc, place = docs[first[name]], starts[first[name]] + offset
+        order = np.lexsort((place, doc, group))
+        gone = order[later(doc[order], place[order], group[order], True)]
+        # consecutive windows of a passage become one span, for each of its first owners
+        gone = gone[np.lexsort((offset[gone], name[gone]))]
+        n, o = name[gone], offset[gone]
+        at = np.flatnonzero(np.append(True, (n[1:] != n[:-1]) | (o[1:] != o[:-1] + 1))[: len(n)])
+        n, a, b = n[at], o[at], o[np.append(at[1:], len(o))[: len(at)] - 1]
+        owners = np.flatnonzero(~after)
+        owners = owners[np.argsort(which[owners], kind="stable")]
+        low, high = np.searchsorted(which[owners], n), np.searchsorted(which[owners], n, "right")
+        each = np.repeat(np.arange(len(n)), high - low)
+        step = np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
+        found.append((owners[low[each] + step], a[each], b[each]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, hot: int = 1_000, carry: Sequence[str] = ()) -> DataFrame:
