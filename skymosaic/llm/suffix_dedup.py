@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import gram, mix
 from .repeats import BYTE_HASH, Plan, later, remove
 
-WIDTH, GRAM = 100, 48
+WIDTH, GRAM = 100, 32
 
 
 def sort_columns(strings: list[bytes], most: int = 30_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
