@@ -1,15 +1,17 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence, its path's and its host's.
 
 A document classifier (an additive logistic model over binned text measures, fitted on at most SAMPLE labelled rows) gives
-each document a probability. Grouped sums of these per host and per path (host and section) give posteriors: a path's
-mean is shrunk toward its host's and a host's toward the global mean, by strengths estimated from the variance between
-groups, so sparse sites fall back on the prior. A document's final log odds are its own, moved by its path's log odds
-against the global ones.
+each document a probability. Grouped sums of these per host and per path (host and section), without the document's own,
+give its posteriors: a path's mean is shrunk toward its host's and a host's toward the global mean, by strengths estimated
+from the variance between groups, so sparse sites fall back on the prior. A document's final log odds are its own, moved by
+its path's log odds against the global ones; it counts once.
 
 Cases: null and empty texts have no words and are scored by the measures of an empty text; null hosts and sections form
-groups of their own; a host with one document moves toward the global mean; ties at the threshold are kept; repeated rows
-are scored one by one; without labelled rows every document has probability 0.5 and is kept; an empty table gives an empty
-table. Texts are measured whole. Groups are summed before the shuffle, so a host with a third of all rows costs no task more.
+groups of their own; the only document of a host gets the global mean; ties at the threshold are kept; repeated rows are
+scored one by one; a null id hashes as the text 'null' and has no label; without labelled rows every document has
+probability 0.5 and is kept; an empty table gives an empty table; other columns are not read, and may have any name. Texts
+are measured whole. Groups are summed before the shuffle. Their sums come back to the documents in a join that is a
+broadcast while they are few; beyond, it is a sort-merge join whose hot keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .common import Words, chunks, fold, ship, stored, text_view
 #: Labelled rows that the document classifier is fitted on, at most.
 SAMPLE = 20_000
 BINS = 12
-MEASURES = ("words", "word_bytes", "distinct", "letters", "capitals", "digits", "punctuation", "shouts", "symbols", "lines", "same_next", "top_letter")
+MEASURES = ("words", "word_bytes", "distinct", "letters", "capitals", "digits", "punctuation", "shouts", "symbols", "lines", "same_next", "letter_e")
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -63,11 +65,11 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     distinct = np.bincount(o[fresh], minlength=docs) / n
     same = np.zeros(len(w.hash), bool)
     same[1:] = (w.hash[1:] == w.hash[:-1]) & (owner[1:] == owner[:-1])
-    last_e = np.bincount(owner, w.end - w.start, docs) / n
+    word_bytes = np.bincount(owner, w.end - w.start, docs) / n
     e = np.zeros(256, bool)
     e[[101, 69]] = True
     return np.column_stack([
-        np.log1p(w.counts), last_e, distinct * np.log1p(n), share(_LETTER, size), share(_CAPITAL, size), share(_DIGIT, size), share(_POINT, n), share(_SHOUT, n), share(_SYMBOL, n), share(_LINE, n),
+        np.log1p(w.counts), word_bytes, distinct * np.log1p(n), share(_LETTER, size), share(_CAPITAL, size), share(_DIGIT, size), share(_POINT, n), share(_SHOUT, n), share(_SYMBOL, n), share(_LINE, n),
         np.bincount(owner[same], minlength=docs) / n, share(e, size),
     ])
 
@@ -169,10 +171,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         spread = lambda between, groups: max((between - (groups - 1) * within) / total.n, within * 1e-4)
         host_strength = within / spread(max(total.b - total.s**2 / total.n, 0.0), total.k)
         path_strength = within / spread(max(squares.b - total.b, 0.0), squares.k - total.k + 1)
-    hosts = hosts.withColumn("host_mean", (F.col("host_s") + host_strength * mean) / (F.col("host_n") + host_strength))
-    sites = paths.join(hosts, "host").withColumn("path_mean", (F.col("s") + path_strength * F.col("host_mean")) / (F.col("n") + path_strength))
+    sites = paths.join(hosts, "host").select("host", "section", "n", "s", "host_n", "host_s")
     bounded = lambda c: F.least(F.greatest(F.col(c), F.lit(1e-4)), F.lit(1 - 1e-4))
-    joined = own.join(sites.select("host", "section", "host_mean", "path_mean"), ["host", "section"], "left")
+    joined = own.join(sites, ["host", "section"], "left")
+    joined = joined.withColumn("host_mean", (F.col("host_s") - F.col("own") + host_strength * mean) / (F.col("host_n") - 1 + host_strength))
+    joined = joined.withColumn("path_mean", (F.col("s") - F.col("own") + path_strength * F.col("host_mean")) / (F.col("n") - 1 + path_strength))
     logit = _logit(bounded("own")) + _logit(bounded("path_mean")) - F.lit(float(np.log(mean / (1 - mean))))
     scored = joined.withColumn("score", 1 / (1 + F.exp(-logit)))
     return scored.select(id_col, (fold(id_col, modulus) == held).alias("held_out"), "own", "host_mean", "path_mean", "score", (F.col("score") >= threshold).alias("kept"))
