@@ -33,18 +33,31 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local one serves, but only for a local master."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "skymosaic-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read back: lineage ends here and lost executors cost nothing."""
+    """`df` written to the shared folder and read back: lineage ends here and lost executors cost nothing.
+
+    Results are lazy, so the files live as long as the application: its folder is removed when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skymosaic/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    folder = f"{shared_dir(spark)}/skymosaic/{context.applicationId}"
+    if getattr(context, "_skymosaic_folder", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._skymosaic_folder = folder
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

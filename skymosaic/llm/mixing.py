@@ -7,21 +7,26 @@ among its source's slots, modulo the source's blocks, is the block it takes; a d
 blocks cover, as often as they come up.
 
 Running sums over a source (a third of all rows may be one source) go in two levels: sums of SPANS x buckets first, then
-the order inside a bucket, so that no task holds a source. Everything here is DataFrame expressions.
+the order inside a bucket, so that no task holds a source. `mix` is DataFrame expressions; `mixed_texts` cuts the texts in
+Arrow batches.
 
 Cases: a null text has size 0; documents of size 0 take nothing; a null source is a source, ordered last; sources of size
-0 have target 0; equal order keys are settled by the id; rows repeated with one id are laid down and returned one by one;
-an empty table gives an empty table; other columns are not read.
+0 have target 0; a null id is an id; equal order keys are settled by the id; rows repeated with one id are laid down and
+returned one by one; an empty table gives an empty table; other columns are not read, and may have any name. The limit
+`most` is a whole number, as it limits how often a block comes up.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import stored
+from .common import Words, ship, stored, text_view
 
 #: The golden ratio's fraction as 31-bit fixed point: points are exact for any slot number.
 ONE, GOLDEN = 1 << 31, 1327217885
@@ -53,7 +58,7 @@ def targets(sources: list[tuple[object, int]], weights: Sequence[float] = (3, 1,
             out |= {s: left * weight[s] / total for s in free}
             break
         for s in over:
-            out[s] = most * size[s]
+            out[s] = float(most * size[s])
         left -= sum(out[s] for s in over)
         free = [s for s in free if s not in out]
     return out
@@ -107,14 +112,22 @@ def schedule(spark, sources: list[dict]) -> DataFrame:
     return ranked.select("source_key", F.pmod(F.col("start") + F.col("in_bucket"), F.col("blocks")).alias("block")).groupBy("source_key", "block").agg(F.count("*").alias("times"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK) -> DataFrame:
-    """One row a document: id, size, source_size, target (its source's), taken (words that the mix takes of it)."""
-    spark = docs.sparkSession
+def identified(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """`docs` with source_key, size, and text_key, a hash of the text: equal in all three and the id means equal here."""
+    text = F.col(text_col).cast("string")
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("null"))
-    rows = docs.select(F.col(id_col), key.alias("source_key"), size_of(F.col(text_col).cast("string")).alias("size"))
+    return docs.withColumns({"__source_key": key, "__size": size_of(text), "__text_key": F.xxhash64(text)})
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], share: float, most: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows on their sources' lines, facts of sources, and (row_id, from_word, words, times): what the schedule takes of each."""
+    if most != int(most) or most < 1:
+        raise ValueError("most must be a whole number, 1 at least")
+    spark = docs.sparkSession
+    rows = identified(docs, id_col, text_col, source_col).select(F.col(id_col), F.col("__source_key").alias("source_key"), F.col("__size").alias("size"), F.col("__text_key").alias("text_key"))
     # equal rows are told apart by their number among equals, which any run gives alike
-    twin = Window.partitionBy(id_col, "source_key", "size").orderBy(F.lit(0))
-    rows = rows.withColumn("row_id", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "source_key", "size", F.row_number().over(twin))).withColumn("order_key", F.xxhash64("row_id"))
+    twin = Window.partitionBy(id_col, "source_key", "size", "text_key").orderBy(F.lit(0))
+    rows = rows.withColumn("row_id", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "source_key", "size", "text_key", F.row_number().over(twin))).withColumn("order_key", F.xxhash64("row_id"))
     rows = stored(rows, "mix-sizes")
     found = rows.groupBy("source_key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row a source
     ordered = sorted(found, key=lambda r: (r.source_key == "null", r.source_key))
@@ -134,7 +147,74 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     first = F.greatest(at(F.col("first_word")) - 1, F.lit(0))
     last = F.least(at(F.col("first_word") + F.col("size") - 1) + 1, F.col("blocks") - 1)
     cut = line.filter("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
-    cut = cut.withColumn("covered", F.least(F.col("first_word") + F.col("size"), edge(F.col("block") + 1)) - F.greatest(F.col("first_word"), edge(F.col("block")))).filter("covered > 0")
-    taken = cut.join(taken_blocks, ["source_key", "block"]).groupBy("row_id").agg(F.sum(F.col("covered") * F.least("times", F.lit(int(most)))).alias("taken"))
+    begin = F.greatest(F.col("first_word"), edge(F.col("block")))
+    cut = cut.withColumn("words", F.least(F.col("first_word") + F.col("size"), edge(F.col("block") + 1)) - begin).filter("words > 0").withColumn("from_word", begin - F.col("first_word"))
+    taken = cut.join(taken_blocks, ["source_key", "block"]).select(id_col, "source_key", "size", "text_key", "row_id", "from_word", "words", F.least("times", F.lit(int(most))).alias("times"))
+    return rows, facts, taken
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = BLOCK) -> DataFrame:
+    """One row a document: id, size, source_size, target (its source's), taken (words that the mix takes of it)."""
+    rows, facts, taken = _taken(docs, id_col, text_col, source_col, weights, share, most, block)
+    taken = taken.groupBy("row_id").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     everything = rows.join(facts, "source_key", "left").join(taken, "row_id", "left")
     return everything.select(id_col, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def runs_taken(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Longest spans of words, layer by layer (taken once at least, twice at least, ...), from (from_word, words, times)."""
+    out: list[tuple[int, int]] = []
+    pieces = sorted(pieces)
+    for layer in range(1, max((t for _, _, t in pieces), default=0) + 1):
+        fresh = True
+        for begin, n, times in pieces:
+            if times < layer:
+                continue
+            if not fresh and out[-1][1] == begin:
+                out[-1] = (out[-1][0], begin + n)
+            else:
+                out.append((begin, begin + n))
+            fresh = False
+    return out
+
+
+def mixed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, block: int = BLOCK) -> DataFrame:
+    """The columns of `docs`, a row for each span of words that the mix takes: text is the part of the text that holds them.
+
+    Neighbouring blocks make one span, so a document that is taken once as a whole stays one row with its whole text; the
+    first span keeps what stands before the first word, the last one what stands behind the last. Equal rows (id, source and
+    text) share their spans.
+    """
+    ship(docs.sparkSession)
+    _, _, taken = _taken(docs, id_col, text_col, source_col, weights, share, most, block)
+    keys = ["__id", "__source_key", "__size", "__text_key"]
+    renamed = taken.select(F.struct(F.col(id_col).alias("id")).alias("__id"), *[F.col(c).alias(f"__{c}") for c in ("source_key", "size", "text_key")], F.struct("row_id", "from_word", "words", "times").alias("piece"))
+    spans = renamed.groupBy(*keys).agg(F.collect_list("piece").alias("__pieces"))
+    held = identified(docs, id_col, text_col, source_col).withColumn("__id", F.struct(F.col(id_col).alias("id"))).dropDuplicates(keys)
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_view(batch.column(place))
+            rows, texts, size = [], [], 0
+            pieces = batch.column(len(names)).to_pylist()
+            for r in range(batch.num_rows):
+                raw = data[offsets[r] : offsets[r + 1]]
+                start = np.append(Words(raw, np.array([0, len(raw)]), hashes=False).start, len(raw))
+                start[0] = 0
+                by_row: dict[str, list] = {}
+                for p in pieces[r]:
+                    by_row.setdefault(p["row_id"], []).append((p["from_word"], p["words"], p["times"]))
+                for k in sorted(by_row):
+                    for a, b in runs_taken(by_row[k]):
+                        rows.append(r)
+                        texts.append(raw[start[a] : start[b]].tobytes())
+                        size += len(texts[-1])
+                if size > 4_000_000 or r + 1 == batch.num_rows:
+                    made = batch.select(names).take(pa.array(rows, pa.int64()))
+                    columns = made.columns
+                    columns[place] = pa.array(texts, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    rows, texts, size = [], [], 0
+
+    return held.join(spans, keys).select(*names, "__pieces").mapInArrow(cut, T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]))

@@ -16,7 +16,7 @@ broadcast while they are few; beyond, it is a sort-merge join whose hot keys ada
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -134,28 +134,28 @@ def _logit(p):
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", section_col: str = "lang", label_col: str = "quality", modulus: int = 3, held: int = 1, threshold: float = 0.5) -> DataFrame:
-    """One row a document: id, held_out, own (classifier), host_mean, path_mean, score and kept (score >= threshold).
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", section_col: str = "lang", label_col: str = "quality", modulus: int = 3, held: int = 1, threshold: float = 0.5, carry: Sequence[str] = ()) -> DataFrame:
+    """One row a document: id, held_out, own (classifier), host_mean, path_mean, score and kept (score >= threshold), and the columns in `carry`.
 
     Labels teach only from rows whose crc32 of the id, modulo `modulus`, is not `held`; hosts and paths are summed over all rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = docs.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), F.col(section_col).cast("string").alias("section"), F.col(text_col).cast("string").alias("__t"))
-    x = stored(measured(rows, "__t", [id_col, "host", "section"]), "quality-measures")
+    rows = docs.select(F.col(id_col), F.col(host_col).cast("string").alias("host"), F.col(section_col).cast("string").alias("section"), F.struct(F.lit(0).alias("nothing"), *[F.col(c) for c in carry]).alias("__carry"), F.col(text_col).cast("string").alias("__t"))
+    x = stored(measured(rows, "__t", [id_col, "host", "section", "__carry"]), "quality-measures")
     model = fit(x, labels, id_col, label_col, modulus, held)
     shared = spark.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            flat = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             logit = model.logit(flat) if model else np.zeros(batch.num_rows)
             own = 1 / (1 + np.exp(-np.clip(logit, -12, 12)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(own)], [id_col, "host", "section", "own"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(own)], [id_col, "host", "section", "__carry", "own"])
 
     id_type = rows.schema[0].dataType.simpleString()
-    own = x.mapInArrow(work, f"`{id_col}` {id_type}, host string, section string, own double")
+    own = x.mapInArrow(work, f"`{id_col}` {id_type}, host string, section string, __carry {rows.schema['__carry'].dataType.simpleString()}, own double")
     # null groups need a key that joins; names begin with a mark so that no name can be taken for it
     own = own.withColumns({k: F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("null")) for k in ("host", "section")})
     paths = own.groupBy("host", "section").agg(F.count("*").alias("n"), F.sum("own").alias("s"), F.sum(F.col("own") * F.col("own")).alias("q"))
@@ -178,4 +178,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     joined = joined.withColumn("path_mean", (F.col("s") - F.col("own") + path_strength * F.col("host_mean")) / (F.col("n") - 1 + path_strength))
     logit = _logit(bounded("own")) + _logit(bounded("path_mean")) - F.lit(float(np.log(mean / (1 - mean))))
     scored = joined.withColumn("score", 1 / (1 + F.exp(-logit)))
-    return scored.select(id_col, (fold(id_col, modulus) == held).alias("held_out"), "own", "host_mean", "path_mean", "score", (F.col("score") >= threshold).alias("kept"))
+    return scored.select(id_col, (fold(id_col, modulus) == held).alias("held_out"), "own", "host_mean", "path_mean", "score", (F.col("score") >= threshold).alias("kept"), *[F.col("__carry")[c].alias(c) for c in carry])
