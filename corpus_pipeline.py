@@ -16,26 +16,37 @@ from skymosaic.llm.common import stored, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of `docs` whose id, null or not, is in `kept`."""
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, docs.doc_id.eqNullSafe(ids["__kept"]), "left_semi").select(*COLUMNS)
+def with_keys(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of `docs` whose id, null or not, and text hash are in `kept` (doc_id, text_key)."""
+    keys = kept.select(F.col("doc_id").alias("__kept"), F.col("text_key").alias("__text")).distinct()
+    same = docs.doc_id.eqNullSafe(keys["__kept"]) & (F.xxhash64(docs.text) == keys["__text"])
+    return docs.join(keys, same, "left_semi").select(*COLUMNS)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return with_ids(docs, quality.classify(docs, table(spark, sf_dir, "labels")).filter("kept"))
+    """Documents that the quality classifier keeps: rows whose id it keeps; of rows with one id and different texts, those it keeps.
+
+    An empty table gives an empty table; ties at the threshold stay; repeated rows stay repeated; other columns go.
+    """
+    found = quality.classify(docs.withColumn("text_key", F.xxhash64("text")), table(spark, sf_dir, "labels"), carry=("text_key",))
+    return with_keys(docs, found.filter("kept"))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates; a repeated row stays once."""
-    return with_ids(docs, ngram_join.join(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
+    """One document, that of the smallest id, of each group of near-duplicates; a repeated row stays once.
+
+    Texts without words have no group and stay; of a group of null ids only, each different text stays. An empty table
+    gives an empty table; other columns go.
+    """
+    return with_keys(docs, ngram_join.join(docs).filter("kept")).dropDuplicates(["doc_id", "text"])
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that start earlier in the collection; n_chars counts what is left.
 
-    Bytes of a character that a cut leaves incomplete go with the cut. Texts of which nothing is left go.
+    Bytes of a character that a cut leaves incomplete go with the cut. Texts of which nothing is left go; texts that were
+    empty or null stay, as empty ones. Equal rows keep each other's bytes. An empty table gives an empty table; other
+    columns go.
     """
     removed = suffix_dedup.dedup(docs, carry=("lang", "source"))
     whole, mended = F.try_validate_utf8(F.col("kept").cast("string")), F.make_valid_utf8(F.col("kept").cast("string"))
@@ -45,16 +56,16 @@ def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, rounded to whole documents; those that it hardly takes go."""
-    key = F.struct(F.col("doc_id"), "size")
-    mixed = mixing.mix(docs).withColumn("times", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int"))
-    mixed = mixed.filter("times > 0").groupBy(key.alias("key")).agg(F.max("times").alias("times"))
-    sized = docs.withColumn("key", F.struct(F.col("doc_id"), mixing.size_of(F.col("text")).alias("size")))
-    return sized.join(mixed, sized.key.eqNullSafe(mixed.key)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    """The spans of words that the mix takes, each as a document with the id it comes from; n_chars counts its characters.
+
+    A document that is taken once as a whole stays as it is; one taken twice comes twice. Texts without words take nothing
+    and go. An empty table gives an empty table; other columns go.
+    """
+    return mixing.mixed_texts(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text, and proof that they decode to it."""
+    """Ids of every text (null: empty), and proof that they decode to it; one row for each of `docs`, none for an empty table."""
     encoded = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_decoded=True)
     return byte_bpe.digest(encoded)
 
