@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quads as Q
 from ..functions.geometry import area, scaled
 
 # Raw class to trained class; other classes are not trained on.
@@ -29,8 +30,11 @@ def class_name(df: DataFrame, names: DataFrame, class_id: str = "class_id") -> D
     return joined.withColumn("name", F.coalesce("name", F.concat(F.lit("class_"), F.col(class_id).cast("string"))))
 
 
-def to_label_rows(pairs: DataFrame, size: float = 768.0) -> DataFrame:
-    """Corners relative to the tile, divided by the padded tile size and not clipped; slivers go."""
+def to_label_rows(pairs: DataFrame, size: float = 768.0, quads: bool = False) -> DataFrame:
+    """Corners relative to the tile, divided by the padded tile size and not clipped; slivers go. `quads`: all have four corners."""
+    if quads:
+        corner = lambda k: F.struct(((F.col("points")[k]["x"] - F.col("x_off")) / size).alias("x"), ((F.col("points")[k]["y"] - F.col("y_off")) / size).alias("y"))
+        return pairs.withColumn("corners", F.array(*[corner(k) for k in range(4)])).filter(Q.area(F.col("corners")) >= LEAST_AREA)
     local = F.transform(F.col("points"), lambda p: F.struct((p["x"] - F.col("x_off")).alias("x"), (p["y"] - F.col("y_off")).alias("y")))
     return pairs.withColumn("corners", scaled(local, size)).filter(area(F.col("corners")) >= LEAST_AREA)
 

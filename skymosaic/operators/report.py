@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, long_side, short_side
+from ..functions.quads import area, long_side, short_side
+from .quantiles import quantiles
 
 
 def class_pivot(counts: DataFrame, splits: Sequence[str] = ("train", "val", "test")) -> DataFrame:
@@ -16,6 +17,18 @@ def class_pivot(counts: DataFrame, splits: Sequence[str] = ("train", "val", "tes
     return out.withColumn("total", sum(F.col(s) for s in splits))
 
 
+def with_total_row(pivot: DataFrame, key: str = "class_id") -> DataFrame:
+    """`pivot` and a row of its columns' sums, whose key is null."""
+    sums = pivot.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast(pivot.schema[c].dataType).alias(c) for c in pivot.columns if c != key])
+    return pivot.unionByName(sums.withColumn(key, F.lit(None).cast(pivot.schema[key].dataType)).select(*pivot.columns))
+
+
+def support(labels: DataFrame, n_classes: int, cls: str = "class_id") -> DataFrame:
+    """(class_id, support) of the classes 0 .. n_classes - 1, 0 where none has a label."""
+    dense = labels.sparkSession.range(n_classes).select(F.col("id").cast(labels.schema[cls].dataType).alias(cls))
+    return dense.join(labels.groupBy(cls).agg(F.count("*").alias("support")), cls, "left").na.fill(0, ["support"])
+
+
 def class_totals(labels: DataFrame, keys: Sequence[str] = ("split", "class_id")) -> DataFrame:
     """Counts with all subtotals; nulls mark what is summed over."""
     return labels.rollup(*keys).agg(F.count("*").alias("n"))
@@ -26,14 +39,17 @@ def tiles_per_split(tiles: DataFrame) -> DataFrame:
 
 
 def size_stats(boxes: DataFrame, keys: Sequence[str] = ("class_id",), points: str = "points") -> DataFrame:
-    """Count, mean and population deviation of sides, mean area, mean of ratios, medians."""
+    """Count, mean and population deviation of sides, mean area, mean of ratios, exact medians; points: four corners."""
     p = F.col(points)
     sized = boxes.select(*keys, long_side(p).alias("long"), short_side(p).alias("short"), area(p).alias("area"))
     ratio = F.when(F.col("short") > 0, F.col("long") / F.when(F.col("short") > 0, F.col("short")))
-    return sized.groupBy(*keys).agg(
+    means = sized.groupBy(*keys).agg(
         F.count("*").alias("n"), F.avg("long").alias("mean_long"), F.stddev_pop("long").alias("std_long"), F.avg("short").alias("mean_short"), F.stddev_pop("short").alias("std_short"),
-        F.avg("area").alias("mean_area"), F.avg(ratio).alias("mean_ratio"), F.percentile("long", F.lit(0.5)).alias("median_long"), F.percentile("area", F.lit(0.5)).alias("median_area"),
+        F.avg("area").alias("mean_area"), F.avg(ratio).alias("mean_ratio"),
     )
+    medians = quantiles(sized, keys, ("long", "area"), (0.5,)).groupBy(*keys).agg(*[F.max(F.when(F.col("name") == c, F.col("q1"))).alias(f"median_{c}") for c in ("long", "area")])
+    same = [means[k].eqNullSafe(medians[k]) for k in keys]
+    return means.join(medians, same, "left").select(*[means[k] for k in keys], *means.columns[len(keys) :], "median_long", "median_area")
 
 
 def training_stats(log: DataFrame, epoch: str = "epoch", time: str = "time", up: str = "up", up_wide: str = "up_wide", loss: str = "loss") -> DataFrame:

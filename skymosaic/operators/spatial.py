@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quads as Q
 from ..functions.geometry import area, bounds, clip_to_box, let
 
 
@@ -34,23 +35,74 @@ def box_join(left: DataFrame, right: DataFrame, key: str, size: float = 384.0, s
     return a.join(b, on & meet & first).drop("cell", "__cell", "__key", "salt", "__salt")
 
 
-def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible: float = 0.25, size: float = 384.0, keep_all: bool = False, salts: int = 1) -> DataFrame:
+def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible: float = 0.25, size: float = 384.0, keep_all: bool = False, salts: int = 1, quads: bool = False) -> DataFrame:
     """Tiles with the annotations of which at least a share is visible; `clip` is the visible polygon.
 
-    tiles: source_id, x_off, y_off, tw, th; annotations: source_id, points. `keep_all` also keeps what shows less.
+    tiles: source_id, x_off, y_off, tw, th; annotations: source_id, points. `keep_all` also keeps what shows less. With
+    `quads` every annotation has four corners: areas are compiled, shares come from Arrow batches of pairs cut together, and
+    a polygon is cut only where `clip` is read. Either way a share has the same bits.
     """
     t = tiles.withColumn("lbox", F.struct(F.col("x_off").cast("double").alias("x0"), F.col("y_off").cast("double").alias("y0"), (F.col("x_off") + F.col("tw")).cast("double").alias("x1"), (F.col("y_off") + F.col("th")).cast("double").alias("y1")))
-    a = annotations.withColumns({"rbox": bounds(F.col("points")), "full": area(F.col("points"))})
+    kind = Q if quads else None
+    a = annotations.withColumns({"rbox": (kind or _any).bounds(F.col("points")), "full": (kind or _any).area(F.col("points"))})
     pairs = box_join(t, a, "source_id", size, salts)
     inside = (F.col("rbox.x0") >= F.col("lbox.x0")) & (F.col("rbox.x1") <= F.col("lbox.x1")) & (F.col("rbox.y0") >= F.col("lbox.y0")) & (F.col("rbox.y1") <= F.col("lbox.y1"))
-    shown = lambda c, share: F.struct(c.alias("clip"), F.when(F.col("full") > 0, share).otherwise(F.lit(0.0)).alias("visible"))
     clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"))
-    both = F.when(inside, shown(F.col("points"), F.lit(1.0))).otherwise(let(clip, lambda c: shown(c, area(c) / F.col("full"))))
+    if quads:
+        box = [F.col(f"lbox.{c}").alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")]
+        flat = [F.col("points")[k][f].alias(f"{f}{k}") for f in "xy" for k in range(4)]
+        shown = pairs.withColumn("shown", F.pandas_udf(_box_area, "double")(F.struct(*flat, *box, inside.alias("inside"), F.col("full").alias("full"))))
+        shown = shown.withColumn("visible", F.when(F.col("full") > 0, F.when(inside, F.lit(1.0)).otherwise(F.col("shown") / F.col("full"))).otherwise(F.lit(0.0))).withColumn("clip", F.when(inside, F.col("points")).otherwise(clip))
+        return (shown if keep_all else shown.filter(F.col("visible") >= least_visible)).drop("lbox", "rbox", "full", "shown")
+    told = lambda c, share: F.struct(c.alias("clip"), F.when(F.col("full") > 0, share).otherwise(F.lit(0.0)).alias("visible"))
+    both = F.when(inside, told(F.col("points"), F.lit(1.0))).otherwise(let(clip, lambda c: told(c, area(c) / F.col("full"))))
     # filtered inside an array: a filter above the projection would be pushed below it and clip every pair twice
     rows = F.array(both) if keep_all else F.filter(F.array(both), lambda s: s["visible"] >= least_visible)
     return pairs.select("*", F.inline(rows)).drop("lbox", "rbox", "full")
 
 
+class _any:
+    """Measures of polygons of any number of points."""
+
+    bounds, area = staticmethod(bounds), staticmethod(area)
+
+
+def _box_area(parts: pd.DataFrame) -> pd.Series:
+    """Area of each quadrilateral inside its box: all of it where `inside` says so."""
+    out = parts["full"].to_numpy(float).copy()
+    cut = ~parts["inside"].to_numpy(bool)
+    m = parts.iloc[:, :12].to_numpy(float)[cut]
+    out[cut] = quad_box_area(m[:, 0:4], m[:, 4:8], *(m[:, k] for k in range(8, 12)))
+    return pd.Series(out)
+
+
+def quad_box_area(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    """Area of quadrilaterals (rows of x, y) inside boxes, in the arithmetic of `clip_to_box`."""
+    n = np.full(len(x), 4)
+    for axis, edge, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0)):
+        v = (x, y)[axis]
+        x, y, n = _cut(x, y, n, (v - edge[:, None]) * sign >= 0, lambda p, q, edge=edge, axis=axis: (edge[:, None] - p[axis]) / (q[axis] - p[axis]))
+    return np.abs(_shoelace(x, y, n))
+
+
+def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, keep: np.ndarray, share) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polygons without the points that are not kept, crossings added at `share` of the way; a row's points lie in its first `n` columns."""
+    rows = np.arange(len(x))[:, None]
+    after = (np.arange(x.shape[1])[None, :] + 1) % np.maximum(n, 1)[:, None]
+    qx, qy, q_in = x[rows, after], y[rows, after], keep[rows, after]
+    live = np.arange(x.shape[1])[None, :] < n[:, None]
+    with np.errstate(all="ignore"):
+        t = share((x, y), (qx, qy))
+        cx, cy = x + (qx - x) * t, y + (qy - y) * t
+    # at each point: the crossing, then the next point
+    made = np.stack([live & (keep != q_in), live & q_in], 2).reshape(len(x), -1)
+    order = np.argsort(~made, axis=1, kind="stable")[:, : x.shape[1] + 1]
+    n = made.sum(1)
+    used = np.arange(order.shape[1])[None, :] < n[:, None]
+    x, y = (np.where(used, np.stack([c, q], 2).reshape(len(x), -1)[rows, order], 0.0) for c, q in ((cx, qx), (cy, qy)))
+    return x, y, n
+
+
 def quad_common_area(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Area that quadrilaterals (rows of x, y) share with convex ones (rows of u, v), in the arithmetic of `clip_to_convex`.
 
@@ -63,19 +115,7 @@ def quad_common_area(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray)
         ax, ay, bx, by = (c[:, None] for c in (u[:, k], v[:, k], u[:, (k + 1) % 4], v[:, (k + 1) % 4]))
         side = ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) * turn
         after = (np.arange(x.shape[1])[None, :] + 1) % np.maximum(n, 1)[:, None]
-        qx, qy, qs = x[rows, after], y[rows, after], side[rows, after]
-        live = np.arange(x.shape[1])[None, :] < n[:, None]
-        p_in, q_in = side >= 0, qs >= 0
-        with np.errstate(all="ignore"):
-            t = (0.0 - side) / (qs - side)
-            cx, cy = x + (qx - x) * t, y + (qy - y) * t
-        # at each point: the crossing, then the next point
-        made = np.stack([live & (p_in != q_in), live & q_in], 2).reshape(len(x), -1)
-        order = np.argsort(~made, axis=1, kind="stable")[:, : x.shape[1] + 1]
-        n = made.sum(1)
-        used = np.arange(order.shape[1])[None, :] < n[:, None]
-        x = np.where(used, np.stack([cx, qx], 2).reshape(len(x), -1)[rows, order], 0.0)
-        y = np.where(used, np.stack([cy, qy], 2).reshape(len(y), -1)[rows, order], 0.0)
+        x, y, n = _cut(x, y, n, side >= 0, lambda p, q, s=side, a=after: (0.0 - s) / (s[rows, a] - s))
     return np.abs(_shoelace(x, y, n))
 
 
@@ -93,7 +133,7 @@ def convex_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float
 
     Cutting one by one in higher-order functions is interpreted; Arrow batches of pairs cut together are some times faster.
     """
-    pairs = box_join(truth.withColumn("lbox", bounds(F.col("truth_points"))), predictions.withColumn("rbox", bounds(F.col("pred_points"))), key, size)
+    pairs = box_join(truth.withColumn("lbox", Q.bounds(F.col("truth_points"))), predictions.withColumn("rbox", Q.bounds(F.col("pred_points"))), key, size)
 
     @F.pandas_udf("double")
     def common(parts: pd.DataFrame) -> pd.Series:
@@ -102,19 +142,20 @@ def convex_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float
 
     flat = [F.col(c)[k][f].alias(f"{c}{k}{f}") for c in ("truth_points", "pred_points") for f in "xy" for k in range(4)]
     pairs = pairs.withColumn("common", common(F.struct(*flat)))
-    union = area(F.col("truth_points")) + area(F.col("pred_points")) - F.col("common")
+    union = Q.area(F.col("truth_points")) + Q.area(F.col("pred_points")) - F.col("common")
     iou = let(union, lambda s: F.when(s > 0, F.least(F.lit(1.0), F.col("common") / s)).otherwise(F.lit(0.0)))
     return pairs.withColumn("iou", iou).drop("lbox", "rbox", "common")
 
 
-def land_ratio(tiles: DataFrame, pieces: DataFrame) -> DataFrame:
+def land_ratio(tiles: DataFrame, pieces: DataFrame, size: float) -> DataFrame:
     """Share of each tile (box struct x0,y0,x1,y1) that polygons cover; `pieces` (points) do not overlap one another.
 
-    Pieces are few and broadcast by the planner where they are small; a box condition keeps the others out.
+    Tiles and pieces meet by grid cells of `size`, about that of a tile, so neither side is broadcast or looped over.
     """
-    b = pieces.withColumn("rbox", bounds(F.col("points")))
-    meet = (F.col("box.x0") <= F.col("rbox.x1")) & (F.col("rbox.x0") <= F.col("box.x1")) & (F.col("box.y0") <= F.col("rbox.y1")) & (F.col("rbox.y0") <= F.col("box.y1"))
-    joined = tiles.join(b, meet, "left")
-    land = F.when(F.col("points").isNull(), F.lit(0.0)).otherwise(area(clip_to_box(F.col("points"), F.col("box.x0"), F.col("box.y0"), F.col("box.x1"), F.col("box.y1"))))
+    left = tiles.withColumns({"lbox": F.col("box"), "__one": F.lit(1)})
+    right = pieces.select("points", bounds(F.col("points")).alias("rbox"), F.lit(1).alias("__one"))
+    land = area(clip_to_box(F.col("points"), F.col("box.x0"), F.col("box.y0"), F.col("box.x1"), F.col("box.y1")))
+    covered = box_join(left, right, "__one", size).groupBy(*tiles.columns).agg(F.sum(land).alias("land"))
     box = (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0"))
-    return joined.withColumn("land", land).groupBy(*tiles.columns).agg(F.sum("land").alias("land")).withColumn("ratio", F.col("land") / box)
+    joined = tiles.join(covered, tiles.columns, "left").withColumn("land", F.coalesce("land", F.lit(0.0)))
+    return joined.withColumn("ratio", F.col("land") / box)

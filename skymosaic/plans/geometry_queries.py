@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import projections as P
+from ..functions import quads as Q
 from ..operators import labels, spatial, tiling
 from .fixtures import frame
 from .registry import area, quad, query
@@ -23,7 +24,7 @@ def pairs(spark: SparkSession, sf_dir: str, keep_all: bool = False) -> DataFrame
     """Tile labels: tile_id, source_id, ann_id, class_id, visible."""
     annotations = labels.keep_trained(frame(spark, sf_dir, "annotations")).select("ann_id", "source_id", "class_id", "points")
     tiles = frame(spark, sf_dir, "tiles").select("source_id", "tile_id", "x_off", "y_off", "tw", "th")
-    return spatial.tile_annotation_join(tiles, annotations, keep_all=keep_all)
+    return spatial.tile_annotation_join(tiles, annotations, keep_all=keep_all, quads=True)
 
 
 @query("SELECT tile_id, ann_id, class_id, round(visible, 6) visible FROM tile_labels")
@@ -78,9 +79,9 @@ _sides = ", ".join(_side(k, (k + 1) % 4) for k in range(4))
     SELECT ann_id, round({area(quad())}, 6) area, round(greatest({_sides}), 6) long_side, round(least({_sides}), 6) short_side,
            round(least(x0,x1,x2,x3), 6) min_x, round(greatest(y0,y1,y2,y3), 6) max_y, round(cx, 4) centre_x, round(cy, 4) centre_y FROM annotations""")
 def obb_geometry(spark, sf_dir):
-    p, b, c = F.col("points"), G.bounds(F.col("points")), G.centroid(F.col("points"))
+    p, b, c = F.col("points"), Q.bounds(F.col("points")), Q.centroid(F.col("points"))
     r = lambda v, n, d=6: F.round(v, d).alias(n)
-    return frame(spark, sf_dir, "annotations").select("ann_id", r(G.area(p), "area"), r(G.long_side(p), "long_side"), r(G.short_side(p), "short_side"), r(b["x0"], "min_x"), r(b["y1"], "max_y"), r(c["x"], "centre_x", 4), r(c["y"], "centre_y", 4))
+    return frame(spark, sf_dir, "annotations").select("ann_id", r(Q.area(p), "area"), r(Q.long_side(p), "long_side"), r(Q.short_side(p), "short_side"), r(b["x0"], "min_x"), r(b["y1"], "max_y"), r(c["x"], "centre_x", 4), r(c["y"], "centre_y", 4))
 
 
 def _min_side(least: str) -> str:
@@ -132,16 +133,17 @@ _local = lambda k: f"{{'x': (a.x{k}-t.x_off)/768e0, 'y': (a.y{k}-t.y_off)/768e0}
     SELECT l.tile_id, l.ann_id, l.class_id, (a.x0-t.x_off)/768e0 px0, (a.y0-t.y_off)/768e0 py0, (a.x2-t.x_off)/768e0 px2, (a.y2-t.y_off)/768e0 py2
     FROM tile_labels l JOIN tiles t ON l.tile_id = t.tile_id JOIN annotations a ON l.ann_id = a.ann_id WHERE {area('[' + ', '.join(_local(k) for k in range(4)) + ']')} >= 1e-9""")
 def label_rows(spark, sf_dir):
-    rows = labels.to_label_rows(pairs(spark, sf_dir))
+    rows = labels.to_label_rows(pairs(spark, sf_dir), quads=True)
     corner = lambda k, f: F.col("corners")[k][f].alias(f"p{f}{k}")
     return rows.select("tile_id", "ann_id", "class_id", *[corner(k, f) for k in (0, 2) for f in "xy"])
 
 
 @query("SELECT t.tile_id, count(l.ann_id) n_labels, count(l.ann_id) = 0 background FROM tiles t LEFT JOIN tile_labels l ON t.tile_id = l.tile_id GROUP BY t.tile_id")
 def tile_labels_with_background(spark, sf_dir):
-    rows = labels.to_label_rows(pairs(spark, sf_dir)).select("tile_id", labels.label_line(F.col("class_id"), F.col("corners")).alias("line"))
+    """Labels are counted; their text, which `with_background` also makes, is not read here and so not built."""
+    rows = labels.to_label_rows(pairs(spark, sf_dir), quads=True).select("tile_id", labels.label_line(F.col("class_id"), F.col("corners")).alias("line"))
     tiles = labels.with_background(frame(spark, sf_dir, "tiles").select("tile_id"), rows)
-    return tiles.select("tile_id", "n_labels", labels.is_background(F.col("content")).alias("background"))
+    return tiles.select("tile_id", "n_labels", (F.col("n_labels") == 0).alias("background"))
 
 
 @query(f"""
@@ -179,7 +181,7 @@ def slippy_tiles(spark, sf_dir):
 def land_ratio_filter(spark, sf_dir):
     islands = spark.createDataFrame([([(a, b), (c, b), (c, d), (a, d)],) for a, b, c, d in ISLANDS], "points array<struct<x:double,y:double>>")
     tiles = _slippy(spark).select("x", "y", F.struct(F.col("west").alias("x0"), F.col("south").alias("y0"), F.col("east").alias("x1"), F.col("north").alias("y1")).alias("box"))
-    return spatial.land_ratio(tiles, islands).filter(F.col("ratio").between(0.30, 0.65)).select("x", "y", F.round("ratio", 6).alias("ratio"))
+    return spatial.land_ratio(tiles, islands, 0.1).filter(F.col("ratio").between(0.30, 0.65)).select("x", "y", F.round("ratio", 6).alias("ratio"))
 
 
 _PHI, _LAM = "radians(lat)", "radians(lon-51e0)"
