@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import area, is_simple
+from ..sources.geojson import collections
+
 EPSILON = 1e-9
 
 
@@ -43,27 +46,62 @@ def greedy_match(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> D
         left = checkpointed(rest.join(chosen.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti"))
 
 
-def scores(tp: Column, total_truth: Column, total_pred: Column) -> dict[str, Column]:
+def matchable(truth: DataFrame, points: str = "points") -> DataFrame:
+    """Truths whose polygons are valid: simple rings that hold an area. Others take part in no match."""
+    return truth.filter(is_simple(F.col(points)) & (area(F.col(points)) > 0))
+
+
+def scores(tp: Column, total_truth: Column, total_pred: Column, fn: Column | None = None) -> dict[str, Column]:
     """Every score is 0 where its denominator is."""
-    fn = total_truth - tp
+    fn = total_truth - tp if fn is None else fn
     ratio = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(a / b)
     p, r = ratio(tp, total_pred), ratio(tp, total_truth)
     return {"precision": p, "recall": r, "f1": F.when(p + r == 0, F.lit(0.0)).otherwise(2 * p * r / (p + r)), "fnr": ratio(fn, fn + tp)}
 
 
-def outcome_counts(truth: DataFrame, predictions: DataFrame, matches: DataFrame, label: str | None = None) -> DataFrame:
+def outcome_counts(truth: DataFrame, predictions: DataFrame, matches: DataFrame, label: str | None = None, valid: DataFrame | None = None) -> DataFrame:
     """tp, fn, fp, totals and scores: one row, or one a predicted label, each label against all of the truth.
 
-    false positives are the predictions that are not matched.
+    False positives are the predictions that are not matched. `valid`: the truths that `matchable` leaves; others are neither
+    found nor missed, but in the total. Without any prediction all truths are missed.
     """
     group = [label] if label else []
     preds = predictions.groupBy(*group).agg(F.count("*").alias("total_pred"))
     hits = matches.groupBy(*group).agg(F.count("*").alias("tp"))
     total = truth.agg(F.count("*").alias("total_truth"))
+    total = total.crossJoin(valid.agg(F.count("*").alias("n_valid"))) if valid is not None else total.withColumn("n_valid", F.col("total_truth"))  # a row each
     joined = preds.join(hits, group, "left") if group else preds.join(hits, F.lit(True), "left")
     joined = joined.join(F.broadcast(total), F.lit(True)).withColumn("tp", F.coalesce("tp", F.lit(0)))
-    out = joined.withColumns({"fn": F.col("total_truth") - F.col("tp"), "fp": F.col("total_pred") - F.col("tp")})
-    return out.withColumns(scores(F.col("tp"), F.col("total_truth"), F.col("total_pred")))
+    missed = F.when(F.col("total_pred") == 0, F.col("total_truth")).otherwise(F.col("n_valid") - F.col("tp"))
+    out = joined.withColumns({"fn": missed, "fp": F.col("total_pred") - F.col("tp")}).drop("n_valid")
+    return out.withColumns(scores(F.col("tp"), F.col("total_truth"), F.col("total_pred"), F.col("fn")))
+
+
+def outcomes(truth: DataFrame, predictions: DataFrame, matches: DataFrame, keys: list[str], label: str | None = None) -> DataFrame:
+    """(label, outcome, properties, points): truths found (TP) and missed (FN), predictions that match nothing (FP).
+
+    truth: keys, truth_id, points, of valid polygons; predictions: keys, pred_id, points; with `label`, predictions and
+    matches carry it, and every predicted label is held against all of the truth.
+    """
+    none = F.lit(None).cast("string")
+    labels = [label] if label else []
+    truth, predictions = truth.select(*keys, "truth_id", "points"), predictions.select(*keys, *labels, "pred_id", "points")
+    if label:  # a few names, once for each truth
+        truth = truth.crossJoin(F.broadcast(predictions.select(label).distinct()))
+    on = [*keys, *labels, "truth_id"]
+    tp = truth.join(matches.select(*on, "pred_id"), on).withColumn("outcome", F.lit("true_positives"))
+    fn = truth.join(matches.select(*on), on, "left_anti").withColumns({"pred_id": none, "outcome": F.lit("false_negatives")})
+    fp = predictions.join(matches.select(*keys, *labels, "pred_id"), [*keys, *labels, "pred_id"], "left_anti").withColumns({"truth_id": none, "outcome": F.lit("false_positives")})
+    every = tp.unionByName(fn).unionByName(fp)
+    name = F.col(label) if label else F.lit("all")
+    return every.select(name.alias("label"), "outcome", F.struct(*keys, "truth_id", "pred_id").alias("properties"), "points")
+
+
+def write_outcomes(found: DataFrame, path: str, parts: int = 1, epsg: int | None = None) -> None:
+    """A folder label=<label>/outcome=<outcome> of GeoJSON collections for each outcome that has rows; `parts` bounds a collection's size."""
+    part = F.pmod(F.xxhash64("properties"), F.lit(parts)).cast("int")
+    texts = collections(found.withColumn("part", part), ["label", "outcome", "part"], epsg=epsg)
+    texts.select("label", "outcome", F.col("content").alias("value")).write.mode("overwrite").partitionBy("label", "outcome").text(path)
 
 
 def false_positives(predictions: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -108,6 +146,30 @@ def threshold_sweep(scored: DataFrame, support: DataFrame, grid: DataFrame, cls:
     return summed.withColumns({"precision": p, "recall": r}).withColumn("f1", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + EPSILON))
 
 
+def average_precision(scored: DataFrame, support: DataFrame, cls: str = "label", buckets: int = 1_024) -> DataFrame:
+    """(cls, average_precision, total_truth): precision summed over the steps of recall, confidences falling; equal ones are one step.
+
+    scored: cls, conf (0 to 1), hit (0/1); support: cls, total_truth. Rows are counted by confidence first; sums run over
+    buckets of confidence and then inside a bucket, so no task orders a class.
+    """
+    counts = scored.groupBy(cls, "conf").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    counts = counts.withColumn("bucket", F.least(F.floor(F.col("conf") * buckets), F.lit(buckets - 1)))
+    above = Window.partitionBy(cls).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(cls, "bucket").agg(F.sum("n").alias("bn"), F.sum("h").alias("bh"))
+    sums = sums.select(cls, "bucket", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("bh").over(above), F.lit(0)).alias("h_above"))
+    inside = Window.partitionBy(cls, "bucket").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumns({"n_upto": F.sum("n").over(inside), "h_upto": F.sum("h").over(inside)}).join(sums, [cls, "bucket"])
+    gained = F.sum(F.col("h") * (F.col("h_upto") + F.col("h_above")) / (F.col("n_upto") + F.col("n_above")))
+    found = support.select(cls, "total_truth").join(steps.groupBy(cls).agg(gained.alias("gained")), cls, "left")
+    return found.select(cls, F.when(F.col("total_truth") == 0, F.lit(0.0)).otherwise(F.coalesce("gained", F.lit(0.0)) / F.col("total_truth")).alias("average_precision"), "total_truth")
+
+
+def of_all_classes(metrics: DataFrame, classes: DataFrame, cls: str = "label") -> DataFrame:
+    """Metrics of every class in `classes`; 0 where a class was not evaluated."""
+    kept = [c for c in metrics.columns if c != cls]
+    return classes.select(cls).join(metrics, cls, "left").na.fill(0, kept)
+
+
 def best_per_class(sweep: DataFrame, metric: str, cls: str = "label", conf: str = "conf_min") -> DataFrame:
     """The row of the greatest metric for each class; the lowest threshold on ties."""
     rank = F.row_number().over(Window.partitionBy(cls).orderBy(F.desc(metric), conf))

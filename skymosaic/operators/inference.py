@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import quads
 from ..functions.geometry import apply_affine
 
 #: Bytes that a fetched tile must exceed: smaller ones are blank.
@@ -41,6 +42,36 @@ def detect(tiles: DataFrame, prompts: Sequence[str], make: Callable[[], Callable
     return tiles.select(key, content).mapInPandas(work, f"`{key}` {tiles.schema[key].dataType.simpleString()}, label string, conf double, points array<struct<x:double,y:double>>")
 
 
+def merge_sliced(detections: DataFrame, key: str = "source_id", label: str = "label", least: float = 0.5, size: float = 384.0) -> DataFrame:
+    """Detections of overlapping slices without those that another one covers: `least` of the smaller area in common, same label.
+
+    detections: key, det_id, label, conf, points (convex quadrilaterals in the coordinates of the whole picture). The more
+    confident one stays, by det_id on ties, unless a better one already removed it.
+    """
+    from .evaluate import checkpointed
+    from .spatial import convex_pairs
+
+    d = checkpointed(detections)
+    a = d.select(key, F.col("det_id").alias("a"), F.col(label).alias("__label"), F.col("conf").alias("conf_a"), F.col("points").alias("truth_points"))
+    b = d.select(key, F.col("det_id").alias("b"), F.col(label).alias("__other"), F.col("conf").alias("conf_b"), F.col("points").alias("pred_points"))
+    pairs = convex_pairs(a, b, key, size)
+    better = (F.col("conf_a") > F.col("conf_b")) | ((F.col("conf_a") == F.col("conf_b")) & (F.col("a") < F.col("b")))
+    size_a, size_b = quads.area(F.col("truth_points")), quads.area(F.col("pred_points"))
+    common = F.col("iou") * (size_a + size_b) / (1 + F.col("iou"))
+    left = pairs.filter((F.col("__label") == F.col("__other")) & better & (common >= least * F.least(size_a, size_b))).select(key, "a", "b")
+    left, gone = checkpointed(left), None
+    while True:  # those whose betters all stand or fall are settled; each round settles the best of every chain
+        undecided = left.join(left.select(key, F.col("b").alias("a")).distinct(), [key, "a"], "left_semi").select(key, F.col("a")).distinct()
+        lost = checkpointed(left.join(undecided, [key, "a"], "left_anti").select(key, F.col("b").alias("det_id")).distinct())
+        if not lost.limit(1).count():
+            break
+        gone = lost if gone is None else gone.unionByName(lost)
+        names = lost.select(key, "det_id")
+        left = left.join(names.withColumnRenamed("det_id", "a"), [key, "a"], "left_anti").join(names.withColumnRenamed("det_id", "b"), [key, "b"], "left_anti").select(key, "a", "b")
+        left = checkpointed(left)
+    return d if gone is None else d.join(gone.distinct(), [key, "det_id"], "left_anti").select(*detections.columns)
+
+
 def georeference(detections: DataFrame, tiles: DataFrame, key: str = "tile_id", transform: str = "transform", offset: float = 0.0) -> DataFrame:
     """Points by their tile's affine transform (struct a..f); `offset` 0.5 for pixel centres."""
     joined = detections.join(tiles.select(key, F.col(transform).alias("__t")), key)

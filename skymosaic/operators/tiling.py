@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import bounds, let
+from ..functions.geometry import bounds, invert_affine, let
 
 
 def tile_grid(sources: DataFrame, size: int = 768, overlap: int = 384, width: str = "w", height: str = "h") -> DataFrame:
@@ -76,3 +76,26 @@ def square_chips(annotations: DataFrame, points: str = "points", chip: int = 224
 def batches(df: DataFrame, order: Sequence[str], size: int, key: str) -> DataFrame:
     """Numbers batches of `size` rows inside each `key`."""
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
+
+
+def tile_centre(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """struct<lon,lat> of the middle of a tile's bounds."""
+    return F.struct(((east + west) / 2).alias("lon"), ((north + south) / 2).alias("lat"))
+
+
+def context_window(x: Column, y: Column, size: int = 2000, box: int = 100) -> Column:
+    """struct of the window of `size` pixels around a pixel, which may reach beyond the picture, and the box drawn in its middle."""
+    left, top, inner = x - size // 2, y - size // 2, (size - box) // 2
+    fields = {"x_off": left, "y_off": top, "width": F.lit(size), "height": F.lit(size), "box_x": F.lit(inner), "box_y": F.lit(inner), "box_size": F.lit(box)}
+    return F.struct(*[c.cast("long").alias(k) for k, c in fields.items()])
+
+
+def chip_context(chips: DataFrame, sources: DataFrame, row: Column, size: int = 2000, key: str = "source_id") -> DataFrame:
+    """The picked chips (`row`: condition) with the pixel of their place in the source and the window around it.
+
+    chips: key, lon and lat in the source's system as x and y; sources: key, transform (struct a..f, pixels to places).
+    """
+    picked = chips.filter(row).join(sources.select(key, "transform"), key)
+    at = invert_affine(F.col("transform"), F.array(F.struct(F.col("x").alias("x"), F.col("y").alias("y"))))
+    pixel = picked.withColumn("__p", F.element_at(at, 1)).withColumns({"px": F.floor("__p.x"), "py": F.floor("__p.y")}).drop("__p", "transform")
+    return pixel.withColumn("window", context_window(F.col("px"), F.col("py"), size))

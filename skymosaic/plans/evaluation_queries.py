@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import evaluate, report, spatial
+from ..operators import evaluate, inference, report, spatial
+from ..sources import geojson
 from .fixtures import DEFINITIONS, frame
 from .geometry_queries import pairs
 from .registry import area, quad, query
@@ -69,6 +70,34 @@ def match_outcomes(spark, sf_dir):
     )
 
 
+@query(f"""
+    SELECT tp, n_valid-tp fn, total_pred-tp fp, total_truth, total_pred, {_SCORES.replace('total_truth-tp', 'n_valid-tp').replace('(n_valid-tp)/CAST(total_truth', '(n_valid-tp)/CAST(n_valid')} FROM
+    (SELECT (SELECT count(*) FROM matched_valid) tp, (SELECT count(*) FROM truth) total_truth, (SELECT count(*) FROM truth WHERE l_partkey%10 <> 3) n_valid, (SELECT count(*) FROM predictions) total_pred) a""")
+def match_invalid_truth(spark, sf_dir):
+    """A tenth of the truths have their corners written crosswise: they match nothing and are not missed, but count in the total."""
+    truth, predictions = frame(spark, sf_dir, "truth"), frame(spark, sf_dir, "predictions")
+    crossed = F.array(*[F.col("points")[k] for k in (0, 2, 1, 3)])
+    truth = truth.select("source_id", F.col("ann_id").alias("truth_id"), F.when(F.col("l_partkey") % 10 == 3, crossed).otherwise(F.col("points")).alias("points"))
+    valid = evaluate.matchable(truth)
+    found = spatial.convex_pairs(valid.withColumnRenamed("points", "truth_points"), predictions.select("source_id", "pred_id", F.col("points").alias("pred_points")), "source_id")
+    return _scored(evaluate.outcome_counts(truth, predictions, evaluate.greedy_match(found, ["source_id"]), valid=valid))
+
+
+@query("""
+    WITH hits AS (SELECT label, count(*) n FROM matched_by_label GROUP BY 1), made AS (SELECT label, count(*) n FROM predictions GROUP BY 1)
+    SELECT label, 'true_positives' outcome, n features FROM hits
+    UNION ALL SELECT m.label, 'false_positives', m.n-coalesce(h.n, 0) FROM made m LEFT JOIN hits h ON m.label = h.label WHERE m.n > coalesce(h.n, 0)
+    UNION ALL SELECT m.label, 'false_negatives', (SELECT count(*) FROM truth)-coalesce(h.n, 0) FROM made m LEFT JOIN hits h ON m.label = h.label WHERE (SELECT count(*) FROM truth) > coalesce(h.n, 0)""".replace("WITH hits AS", "SELECT * FROM (WITH hits AS") + ") o")
+def outcome_features(spark, sf_dir):
+    """Features of the collections that are written for each label and outcome, counted from their text."""
+    truth = frame(spark, sf_dir, "truth").select("source_id", F.col("ann_id").alias("truth_id"), "points")
+    predictions = frame(spark, sf_dir, "predictions").select("source_id", "pred_id", "label", "points")
+    matches = evaluate.greedy_match(candidates(spark, sf_dir), ["source_id", "label"])
+    found = evaluate.outcomes(truth, predictions, matches, ["source_id"], "label").withColumn("part", F.pmod(F.xxhash64("properties"), F.lit(64)))
+    texts = geojson.collections(found, ["label", "outcome", "part"])
+    return geojson.parse_collections(texts, "content", "source_id long").groupBy("label", "outcome").agg(F.count("*").alias("features"))
+
+
 _COUNTS = "SELECT quality AS pred, toxic AS true_class, count(*) n FROM labels GROUP BY quality, toxic"
 
 
@@ -93,12 +122,17 @@ DEFINITIONS["swept"] = """
     (SELECT l.label, k, conf_min, count(*) FILTER (WHERE conf >= conf_min) total_pred, coalesce(sum(hit) FILTER (WHERE conf >= conf_min), 0) tp, (SELECT count(*) FROM truth) total_truth FROM scored l CROSS JOIN grid GROUP BY l.label, k, conf_min) s"""
 
 
-def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(label, conf, hit) of all predictions, and (label, total_truth)."""
     matches = evaluate.greedy_match(candidates(spark, sf_dir), ["source_id", "label"]).select("source_id", "label", "pred_id", F.lit(1).alias("hit"))
     predictions = frame(spark, sf_dir, "predictions").select("source_id", "label", "pred_id", "conf")
     scored = predictions.join(matches, ["source_id", "label", "pred_id"], "left").select("label", "conf", F.coalesce("hit", F.lit(0)).alias("hit"))
     total = frame(spark, sf_dir, "truth").agg(F.count("*").alias("total_truth"))
-    return evaluate.threshold_sweep(scored, predictions.select("label").distinct().join(F.broadcast(total)), evaluate.thresholds(spark))
+    return scored, predictions.select("label").distinct().join(F.broadcast(total))
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.threshold_sweep(*_scored_predictions(spark, sf_dir), evaluate.thresholds(spark))
 
 
 @query("SELECT label, k, round(conf_min, 6) conf_min, total_pred, CAST(tp AS BIGINT) tp, round(p, 6) AS \"precision\", round(r, 6) recall, round(2*p*r/(p+r+1e-9), 6) f1 FROM swept")
@@ -113,6 +147,14 @@ def best_threshold_per_label(spark, sf_dir):
     return evaluate.best_per_class(_sweep(spark, sf_dir), "f1").select("label", F.round("conf_min", 6).alias("conf_min"), F.round("f1", 6).alias("f1"))
 
 
+@query("""
+    SELECT label, (SELECT count(*) FROM truth) total_truth, round(coalesce(sum(h*h_upto/CAST(n_upto AS DOUBLE)), 0e0)/(SELECT count(*) FROM truth), 6) average_precision FROM
+    (SELECT label, h, sum(n) OVER w n_upto, sum(h) OVER w h_upto FROM (SELECT label, conf, count(*) n, sum(hit) h FROM scored GROUP BY 1, 2) a WINDOW w AS (PARTITION BY label ORDER BY conf DESC)) b GROUP BY label""")
+def average_precision_by_label(spark, sf_dir):
+    scored, support = _scored_predictions(spark, sf_dir)
+    return evaluate.average_precision(scored, support).select("label", "total_truth", F.round("average_precision", 6).alias("average_precision"))
+
+
 _PER_CLASS = "SELECT concat('class_', CAST(quality AS STRING)) class_name, count(*) support, avg(toxic) p, avg(1-toxic) r FROM labels GROUP BY quality"
 
 
@@ -164,6 +206,19 @@ def class_counts_pivot(spark, sf_dir):
     return report.class_pivot(split_counts(spark, sf_dir))
 
 
+@query(f"""
+    SELECT class_id, {_SUM.format('train')}, {_SUM.format('val')}, {_SUM.format('test')}, CAST(sum(n) AS BIGINT) total FROM split_counts GROUP BY GROUPING SETS ((class_id), ())""")
+def class_counts_total_row(spark, sf_dir):
+    """The pivot with a row of totals, whose class is null."""
+    return report.with_total_row(report.class_pivot(split_counts(spark, sf_dir)))
+
+
+@query("SELECT CAST(k AS INT) class_id, count(l.class_id) support FROM (SELECT unnest(range(10)) k) a LEFT JOIN tile_labels l ON l.class_id = k GROUP BY k")
+def support_dense(spark, sf_dir):
+    """Labels of each of ten classes, 0 where there are none."""
+    return report.support(pairs(spark, sf_dir).select("class_id"), 10)
+
+
 @query(f"SELECT split, class_id, count(*) n FROM (SELECT {SPLIT} split, class_id FROM tile_labels) a GROUP BY ROLLUP (split, class_id)")
 def class_count_totals_rollup(spark, sf_dir):
     return report.class_totals(split_labels(spark, sf_dir))
@@ -196,3 +251,10 @@ def polygon_mask_iou(spark, sf_dir):
     mid = G.point((F.col("points")[0]["x"] + F.col("points")[2]["x"]) / 2, (F.col("points")[0]["y"] + F.col("points")[2]["y"]) / 2)
     mask = F.array(F.col("points")[0], F.col("points")[1], mid, F.col("points")[3])
     return truth.select("ann_id", F.round(G.polygon_iou(F.col("points"), mask), 4).alias("iou"), G.is_simple(mask).alias("simple"))
+
+
+@query()
+def merge_sliced_detections(spark, sf_dir):
+    """Predictions without those that a more confident one of the same label covers by half."""
+    found = frame(spark, sf_dir, "predictions").select("source_id", F.col("pred_id").alias("det_id"), "label", "conf", "points")
+    return inference.merge_sliced(found).select("source_id", "det_id", "label", F.round("conf", 6).alias("conf"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import projections as P
 from ..functions import quads as Q
-from ..operators import labels, spatial, tiling
+from ..operators import align, labels, spatial, tiling
 from .fixtures import frame
 from .registry import area, quad, query
 
@@ -97,15 +97,8 @@ def obb_enforce_min_side(spark, sf_dir):
     return grown.select("ann_id", *[c for k in range(4) for c in xy(F.col("g"), k)])
 
 
-@query(f"SELECT ann_id, round({area(quad())}, 4) area FROM annotations WHERE class_raw < 3")
-def min_rotated_rectangle(spark, sf_dir):
-    """Classes below 3 only, as its SQL has them."""
-    return _rectangles(frame(spark, sf_dir, "annotations").filter("class_raw < 3"))
-
-
 @query(f"SELECT ann_id, round({area(quad())}, 4) area FROM annotations")
-def min_rotated_rectangle_whole(spark, sf_dir):
-    """Annotations of all classes."""
+def min_rotated_rectangle(spark, sf_dir):
     return _rectangles(frame(spark, sf_dir, "annotations"))
 
 
@@ -200,3 +193,34 @@ def wgs84_to_utm(spark, sf_dir):
     places = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey id", "48e0+(s_suppkey%13)*0.5e0 lon", "-25e0+(s_suppkey%29)*0.45e0 lat")
     u = places.withColumn("u", P.to_utm(F.col("lon"), F.col("lat"), 39)).withColumn("back", P.from_utm(F.col("u.x"), F.col("u.y"), 39))
     return u.select("id", F.round("u.x", 3).alias("x"), F.round("u.y", 3).alias("y"), F.round("back.x", 6).alias("back_lon"), F.round("back.y", 6).alias("back_lat"))
+
+
+_CORNERS = "(SELECT s_suppkey*4+k s_suppkey, k FROM supplier CROSS JOIN (VALUES (0),(1),(2),(3)) c(k)) sq"
+_PLACED = _UTM.replace("s_suppkey id, 48e0+(s_suppkey%13)*0.5e0 lon, -25e0+(s_suppkey%29)*0.45e0 lat FROM supplier", f"s_suppkey id, 48e0+((s_suppkey-k)/4%13)*0.5e0+CASE WHEN k IN (1, 2) THEN 0.001e0 ELSE 0e0 END lon, -25e0+((s_suppkey-k)/4%29)*0.45e0+CASE WHEN k > 1 THEN 0.001e0 ELSE 0e0 END lat FROM {_CORNERS}".replace("(s_suppkey-k)/4", "CAST((s_suppkey-k)/4 AS BIGINT)"))
+
+
+@query(f"SELECT CAST((id-id%4)/4 AS BIGINT) ann_id, CAST(id%4 AS INT) corner, round(x, 3) x, round(y, 3) y FROM ({_PLACED}) u")
+def align_truth(spark, sf_dir):
+    """Truth without a system, small first coordinates: degrees, brought into the predictions' zone."""
+    lon, lat = F.lit(48.0) + (F.col("s_suppkey") % 13) * 0.5, F.lit(-25.0) + (F.col("s_suppkey") % 29) * 0.45
+    square = F.array(*[G.point(lon + dx, lat + dy) for dx, dy in ((0.0, 0.0), (0.001, 0.0), (0.001, 0.001), (0.0, 0.001))])
+    truth = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("ann_id"), square.alias("points"))
+    truth, _, _ = align.align_projections(truth, truth, None, 32739)
+    out = truth.select("ann_id", F.posexplode("points").alias("corner", "p"))
+    return out.select("ann_id", "corner", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+
+
+@query(f"SELECT x, y, round((east+west)/2, 6) lon, round((north+south)/2, 6) lat FROM ({_SLIPPY}) s")
+def tile_centres(spark, sf_dir):
+    centre = tiling.tile_centre(*[F.col(c) for c in ("west", "south", "east", "north")])
+    return _slippy(spark).withColumn("c", centre).select("x", "y", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
+
+
+@query("""
+    SELECT ann_id, CAST(cx AS BIGINT) px, CAST(cy AS BIGINT) py, CAST(cx AS BIGINT)-1000 x_off, CAST(cy AS BIGINT)-1000 y_off, CAST(2000 AS BIGINT) width, CAST(950 AS BIGINT) box_x FROM annotations""")
+def chip_context(spark, sf_dir):
+    """The pixel of every annotation's place and the window around it."""
+    t = G.affine(0.5, 0.0, F.lit(500000.0) + F.col("source_id") * 1000.0, 0.0, -0.5, 8000000.0)
+    sources = frame(spark, sf_dir, "sources").select("source_id", t.alias("transform"))
+    chips = frame(spark, sf_dir, "annotations").withColumn("t", t).withColumn("g", F.element_at(G.apply_affine(F.col("t"), F.array(G.point(F.col("cx"), F.col("cy"))), 0.5), 1)).select("ann_id", "source_id", "g.x", "g.y")
+    return tiling.chip_context(chips, sources, F.lit(True)).select("ann_id", "px", "py", "window.x_off", "window.y_off", "window.width", "window.box_x")

@@ -79,13 +79,13 @@ _common = f"SELECT source_id, truth_id, pred_id, label, conf, {area('p4')} i, {a
 DEFINITIONS["candidates"] = f"SELECT source_id, truth_id, pred_id, label, conf, CASE WHEN s - i > 0 THEN least(1e0, i / (s - i)) ELSE 0e0 END iou FROM ({_common}) d"
 
 
-def greedy(keys: str, name: str) -> None:
+def greedy(keys: str, name: str, source: str = "candidates") -> None:
     """Defines the matches of each group of `keys` by recursion over its truths in order."""
     on = " AND ".join(f"o.{k} = r.{k}" for k in keys.split(", "))
     of = ", ".join(f"o.{k}" for k in keys.split(", "))
     DEFINITIONS[f"{name}_turns"] = f"""
         SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY truth_id) k FROM
-        (SELECT {keys}, truth_id, list({{'iou': iou, 'pid': pred_id}} ORDER BY iou DESC, pred_id) cands FROM candidates WHERE iou >= 0.5e0 GROUP BY {keys}, truth_id) g"""
+        (SELECT {keys}, truth_id, list({{'iou': iou, 'pid': pred_id}} ORDER BY iou DESC, pred_id) cands FROM {source} WHERE iou >= 0.5e0 GROUP BY {keys}, truth_id) g"""
     DEFINITIONS[f"{name}_steps"] = f"""
         SELECT {keys}, CAST(0 AS BIGINT) k, CAST(NULL AS STRING) truth_id, CAST(NULL AS STRUCT(iou DOUBLE, pid STRING)) pick, CAST([] AS STRING[]) used FROM {name}_turns WHERE k = 1
         UNION ALL
@@ -97,3 +97,6 @@ def greedy(keys: str, name: str) -> None:
 
 greedy("source_id", "matched")
 greedy("source_id, label", "matched_by_label")
+#: Truths whose corners are written crosswise, for the matching of invalid polygons.
+DEFINITIONS["candidates_valid"] = "SELECT c.source_id, c.truth_id, c.pred_id, c.iou FROM candidates c JOIN (SELECT ann_id FROM truth WHERE l_partkey%10 <> 3) v ON c.truth_id = v.ann_id"
+greedy("source_id", "matched_valid", "candidates_valid")

@@ -87,8 +87,8 @@ def split_running_shares(spark, sf_dir):
     return splits.running_shares(split_counts(spark, sf_dir)).select("class_id", "split", "n", F.round("share", 6).alias("share"), F.round("upto", 6).alias("upto"))
 
 
-# Background: tiles that no label of class 0 falls on, so that both kinds are many.
-DEFINITIONS["tile_state"] = f"SELECT t.tile_id, {SPLIT.replace('source_id', 't.source_id')} split, count(l.ann_id) n_labels FROM tiles t LEFT JOIN (SELECT * FROM tile_labels WHERE class_id = 0 AND tile_id%2 = 0) l ON t.tile_id = l.tile_id GROUP BY 1, 2"
+# Background: tiles that no label of class 0 falls on.
+DEFINITIONS["tile_state"] = f"SELECT t.tile_id, {SPLIT.replace('source_id', 't.source_id')} split, count(l.ann_id) n_labels FROM tiles t LEFT JOIN (SELECT * FROM tile_labels WHERE class_id = 0) l ON t.tile_id = l.tile_id GROUP BY 1, 2"
 DEFINITIONS["downsampled"] = """
     SELECT tile_id, s.split, n_labels, n_labels = 0 AND rn > CASE WHEN annotated = 0 THEN background ELSE least(floor(annotated*(0.1e0/(1e0-0.1e0))), background) END archived FROM
     (SELECT *, row_number() OVER (PARTITION BY split, n_labels = 0 ORDER BY md5(concat('42-', CAST(tile_id AS STRING)))) rn FROM tile_state) s JOIN
@@ -96,7 +96,7 @@ DEFINITIONS["downsampled"] = """
 
 
 def _downsampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = pairs(spark, sf_dir).filter("class_id = 0 and tile_id%2 = 0").groupBy("tile_id").agg(F.count("*").alias("n_labels"))
+    n = pairs(spark, sf_dir).filter("class_id = 0").groupBy("tile_id").agg(F.count("*").alias("n_labels"))
     tiles = frame(spark, sf_dir, "tiles").select("tile_id", F.expr(SPLIT).alias("split")).join(n, "tile_id", "left").na.fill(0)
     return splits.downsample_background(tiles)
 

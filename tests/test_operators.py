@@ -201,8 +201,8 @@ def test_whole_queries_read_all_rows(spark, tmp_path):
     spark.range(16).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     # images 1 and 2 vary in other lines than the first
-    assert {r.image: r.skipped for r in run("empty_tile_skip_whole")} == {1: False, 2: False, 3: True, 4: True}
-    assert len(run("geojson_features_whole")) == len(run("min_rotated_rectangle_whole")) == 16
+    assert {r.image: r.skipped for r in run("empty_tile_skip")} == {1: False, 2: False, 3: True, 4: True}
+    assert len(run("geojson_features")) == len(run("min_rotated_rectangle")) == 16
 
 
 def test_downsampling_keeps_the_share(spark):

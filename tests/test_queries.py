@@ -27,7 +27,7 @@ def rows(names, found):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalogue.ORACLE_SQL) - {"eval_overall", "match_outcomes", "best_threshold_per_label", "tile_annotation_join"}))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query_equals_sql(spark, oracle, name):
     df = catalogue.QUERIES[name](spark, SF)
     cursor = oracle.execute(catalogue.ORACLE_SQL[name])
