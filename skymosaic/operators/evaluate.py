@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import area, is_simple
+from ..session import shared_folder
 from ..sources.geojson import collections
 
 EPSILON = 1e-9
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder; a local one is set only where the session names none."""
+    """Written to the shared checkpoint folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 

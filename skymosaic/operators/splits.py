@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluate import checkpointed
+
 SPLITS = ("train", "val", "test")
 TARGETS = {"train": 0.70, "val": 0.15, "test": 0.15}
 TOLERANCE, PENALTY = 0.10, 1e6
@@ -157,23 +159,49 @@ def assign_by_boundaries(off: Column, size: Column, b1: Column, b2: Column) -> C
     return F.when(off + size <= b1, "train").when((off >= b1) & (off + size <= b2), "val").when(off >= b2, "test").otherwise("buffer")
 
 
+def _of_cuts(pairs: DataFrame, cuts: DataFrame, rows: DataFrame, key: str, group: Sequence[str] = ()) -> DataFrame:
+    """(key, group, b1, b2, train, val, test): how many of `rows` (key, group, off, end, n) each pair of cuts puts where.
+
+    train ends by b1, test starts from b2: running sums over offsets tell both for each cut. val is what ends by b2 less what
+    starts before b1, and what does both before b1 and after b2 was taken off twice; such rows hold both cuts, so they meet
+    only the cuts inside them.
+    """
+    keys = [key, *group]
+    groups = rows.groupBy(*keys).agg(F.sum("n").alias("all"))
+    at = cuts.join(groups, key)  # each cut for each group of its source
+    running = Window.partitionBy(*keys)
+
+    def upto(place: str, cut_first: bool, name: str) -> DataFrame:
+        """Sum of n of rows whose `place` lies before a cut, or at it where rows come first."""
+        events = rows.select(*keys, F.col(place).alias("at"), F.lit(0 if not cut_first else 1).alias("turn"), "n", F.lit(None).cast("long").alias("b"))
+        marks = at.select(*keys, F.col("b").alias("at"), F.lit(1 if not cut_first else 0).alias("turn"), F.lit(0).cast("long").alias("n"), "b")
+        summed = events.unionByName(marks).withColumn(name, F.sum("n").over(running.orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0)))
+        return summed.filter("b is not null").select(*keys, "b", name)
+
+    sums = upto("end", False, "ended").join(upto("off", True, "begun"), [*keys, "b"]).join(groups, keys)
+    one = sums.select(*keys, F.col("b").alias("b1"), F.col("ended").alias("train"), F.col("begun").alias("begun1"))
+    two = sums.select(*keys, F.col("b").alias("b2"), F.col("ended").alias("ended2"), (F.col("all") - F.col("begun")).alias("test"))
+    held = rows.join(cuts, key).filter("off < b and b < end").groupBy(*keys, "off", "end", "n").agg(F.collect_list("b").alias("bs"))
+    held = held.withColumn("b1", F.explode("bs")).withColumn("b2", F.explode("bs")).filter("b2 > b1").groupBy(*keys, "b1", "b2").agg(F.sum("n").alias("twice"))
+    met = pairs.join(one, [key, "b1"]).join(two, [*keys, "b2"]).join(held, [*keys, "b1", "b2"], "left")
+    return met.select(*keys, "b1", "b2", "train", (F.col("ended2") - F.col("begun1") + F.coalesce("twice", F.lit(0))).alias("val"), "test")
+
+
 def boundary_search(tiles: DataFrame, labels: DataFrame, key: str = "source_id", off: str = "y_off", size: str = "th") -> DataFrame:
     """Scores of all pairs of row cuts of every source: (key, b1, b2, train, val, test, feasible, score).
 
-    tiles: key, tile_id, off, size; labels: tile_id, class_id. Counts are first summed by row offset, so a pair of cuts
-    meets rows of offsets, not tiles.
+    tiles: key, tile_id, off, size; labels: tile_id, class_id. Counts are summed by row offset and then along the offsets,
+    so a pair of cuts costs the same whatever the number of rows.
     """
-    cuts = thinned(tiles, off, [key])
-    pairs = cuts.withColumnRenamed(off, "b1").join(cuts.withColumnRenamed(off, "b2"), key).filter("b2 > b1")
-    rows = tiles.groupBy(key, off, size).agg(F.count("*").alias("n_tiles"))
-    split = assign_by_boundaries(F.col(off), F.col(size), F.col("b1"), F.col("b2"))
-    used = pairs.join(rows, key).withColumn("split", split)
-    ratio = used.groupBy(key, "b1", "b2").agg(*[F.sum(F.when(F.col("split") == s, F.col("n_tiles")).otherwise(0)).alias(s) for s in SPLITS])
-    ratio = ratio.withColumn("feasible", feasible({s: F.col(s) for s in SPLITS}))
-    per_row = tiles.join(labels, "tile_id").groupBy(key, off, size, "class_id").agg(F.count("*").alias("n"))
-    counted = pairs.join(per_row, key).withColumn("split", split)
+    cuts = thinned(tiles, off, [key]).select(key, F.col(off).cast("long").alias("b"))
+    pairs = cuts.withColumnRenamed("b", "b1").join(cuts.withColumnRenamed("b", "b2"), key).filter("b2 > b1")
+    placed = tiles.select(key, "tile_id", F.col(off).cast("long").alias("off"), (F.col(off) + F.col(size)).cast("long").alias("end"))
+    rows = checkpointed(placed.groupBy(key, "off", "end").agg(F.count("*").alias("n")))
+    ratio = _of_cuts(pairs, cuts, rows, key).withColumn("feasible", feasible({s: F.col(s) for s in SPLITS}))
+    per_row = checkpointed(placed.join(labels, "tile_id").groupBy(key, "class_id", "off", "end").agg(F.count("*").alias("n")))  # a row an offset and class
     # a class that the used tiles of a pair do not hold has total 0 and costs nothing
-    scored = imbalance(counted.filter("split <> 'buffer'"), [key, "b1", "b2"])
+    scored = _of_cuts(pairs, cuts, per_row, key, ["class_id"]).withColumn("score", class_penalty({s: F.col(s) for s in SPLITS}))
+    scored = scored.groupBy(key, "b1", "b2").agg(F.sum("score").alias("score"))
     return ratio.join(scored, [key, "b1", "b2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 

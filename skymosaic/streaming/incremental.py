@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_folder
+
 
 def not_yet(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(done.select(*keys), list(keys), "left_anti")
@@ -33,7 +34,7 @@ def run_to_end(stream: DataFrame, name: str, folder: str | None = None) -> DataF
     The sink and the stream's own checkpoint lie in `folder`, else in the session's checkpoint folder.
     """
     spark = stream.sparkSession
-    folder = folder or f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.gettempdir()}/streams/{name}-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     running = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
