@@ -31,7 +31,7 @@ from .common import partitions, ship, stored
 from .components import connected_components
 
 #: Vectors that the cells are fitted on, cells of a label, vectors that a cell should hold; vectors of a block on either side.
-SAMPLE, MOST_CELLS, PER_CELL, BLOCK, WIDE = 16_384, 4_096, 2_048, 1_024, 4_096
+SAMPLE, MOST_CELLS, PER_CELL, BLOCK, WIDE = 16_384, 4_096, 4_096, 2_048, 8_192
 LAST = (1 << 63) - 1
 
 

@@ -19,7 +19,7 @@ def brute(rows, t=0.93):
     return {rows[i][0]: (len(links[i]), rows[comp[i]][0]) for i in range(n)}
 
 
-@pytest.mark.parametrize("per_cell,block", [(2048, 1024), (40, 16)])
+@pytest.mark.parametrize("per_cell,block", [(4096, 2048), (40, 16)])
 def test_equals_brute_force(spark, per_cell, block, monkeypatch):
     monkeypatch.setattr(E, "BLOCK", block)
     monkeypatch.setattr(E, "WIDE", 4 * block)
