@@ -244,9 +244,12 @@ def size_stats_by_class(spark, sf_dir):
     return out.select("class_raw", "n", *[F.round(c, 5 if c == "mean_area" else 6).alias(c) for c in out.columns[2:]])
 
 
-@query()
+_MASK = "[{'x': x0, 'y': y0}, {'x': x1, 'y': y1}, {'x': (x0+x2)/2, 'y': (y0+y2)/2}, {'x': x3, 'y': y3}]"
+
+
+@query(f"SELECT ann_id, round({area(_MASK)}/{area(quad())}, 4) iou, true AS simple FROM truth")
 def polygon_mask_iou(spark, sf_dir):
-    """IoU of predicted masks that are not convex (a corner pulled to the middle) with the truth they were made from."""
+    """IoU of predicted masks that are not convex (a corner pulled to the middle) with the truth they were made from, which holds them."""
     truth = frame(spark, sf_dir, "truth")
     mid = G.point((F.col("points")[0]["x"] + F.col("points")[2]["x"]) / 2, (F.col("points")[0]["y"] + F.col("points")[2]["y"]) / 2)
     mask = F.array(F.col("points")[0], F.col("points")[1], mid, F.col("points")[3])
