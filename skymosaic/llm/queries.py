@@ -52,4 +52,57 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe, op8_substring_dedup, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+
+# SQL of those operators that it can express; ids are taken to be unique, as they are in the tables.
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+def _reached(links: str) -> str:
+    """CTEs after `links` (a, b; both ways): `least`, the smallest id reachable from each a."""
+    return f"""reach AS (SELECT a, a b FROM ({links}) l UNION SELECT r.a, l.b FROM reach r JOIN ({links}) l ON r.b = l.a), least AS (SELECT a, min(b) least FROM reach GROUP BY a)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": f"""
+        WITH RECURSIVE sound AS (
+          SELECT vec_id, label, CAST(embedding AS DOUBLE[]) v FROM embeddings
+          WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS MATERIALIZED (SELECT x.vec_id a, y.vec_id b FROM sound x JOIN sound y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+        {_reached("SELECT a, b FROM links")}
+        SELECT vec_id, coalesce(n, 0) n_links, coalesce(least, vec_id) component_id, coalesce(least, vec_id) = vec_id kept
+        FROM embeddings e LEFT JOIN (SELECT a, count(*) n FROM links GROUP BY a) c ON e.vec_id = c.a LEFT JOIN least l ON e.vec_id = l.a""",
+    "op8_substring_dedup": f"""
+        WITH texts AS (SELECT doc_id, {_WORDS} w FROM documents),
+        windows AS (SELECT doc_id, i, array_to_string(w[i:i+49], ' ') k FROM (SELECT doc_id, w, unnest(range(1, len(w)-48)) i FROM texts) a),
+        first AS (SELECT k, min(doc_id) d FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i+50)) p FROM windows JOIN first USING (k) WHERE doc_id > d),
+        lists AS (SELECT doc_id, list(p) ps FROM gone GROUP BY doc_id),
+        words AS (SELECT t.doc_id, p, w[p] x FROM (SELECT doc_id, w, unnest(range(1, len(w)+1)) p FROM texts) t),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) s FROM words LEFT JOIN (SELECT doc_id d, p q FROM gone) g ON doc_id = d AND p = q WHERE q IS NULL GROUP BY doc_id)
+        SELECT t.doc_id, len(w) n_words, coalesce(len(ps), 0) n_removed, sha256(coalesce(s, '')) kept_sha256 FROM texts t LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_ngram_jaccard_join": f"""
+        WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS} w FROM documents),
+        sets AS MATERIALIZED (
+          SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, len(w)-3)) i FROM texts) a
+          UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM texts WHERE len(w) BETWEEN 1 AND 4),
+        sizes AS MATERIALIZED (SELECT doc_id, count(*) n FROM sets GROUP BY doc_id),
+        common AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        half AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 5*c >= 4*(x.n+y.n-c)),
+        links AS MATERIALIZED (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+        {_reached("SELECT a, b FROM links")}
+        SELECT d.doc_id, coalesce(n, 0) n_links, coalesce(least, d.doc_id) component_id, coalesce(least, d.doc_id) = d.doc_id kept
+        FROM documents d LEFT JOIN (SELECT a, count(*) n FROM links GROUP BY a) c ON d.doc_id = c.a LEFT JOIN least l ON d.doc_id = l.a""",
+    "op10_suffix_array_dedup": """
+        WITH texts AS (SELECT doc_id, encode(coalesce(text, '')) t FROM documents),
+        windows AS (SELECT doc_id, i, t[i:i+99] k FROM (SELECT doc_id, t, unnest(range(1, octet_length(t)-98)) i FROM texts) a),
+        first AS (SELECT k, min({'d': doc_id, 'i': i}) f FROM windows GROUP BY k HAVING count(*) > 1),
+        late AS (SELECT doc_id, i, i+100 e FROM windows JOIN first USING (k) WHERE {'d': doc_id, 'i': i} > f),
+        runs AS (SELECT doc_id, i, e, CASE WHEN i <= max(e) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END fresh FROM late),
+        spans AS (SELECT doc_id, r, min(i) b, max(e) e FROM (SELECT doc_id, i, e, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) r FROM runs) a GROUP BY 1, 2),
+        gaps AS (SELECT doc_id, coalesce(lag(e) OVER w, 1) b, b e FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY b) UNION ALL SELECT s.doc_id, max(s.e), any_value(octet_length(t))+1 FROM spans s JOIN texts x ON s.doc_id = x.doc_id GROUP BY s.doc_id),
+        kept AS (SELECT g.doc_id, unhex(string_agg(hex(t[b:e-1]), '' ORDER BY b)) s FROM gaps g JOIN texts x ON g.doc_id = x.doc_id WHERE e > b GROUP BY g.doc_id),
+        counts AS (SELECT doc_id, sum(e-b) n, count(*) k FROM spans GROUP BY doc_id)
+        SELECT x.doc_id, octet_length(t) n_bytes, CAST(coalesce(n, 0) AS BIGINT) n_removed, coalesce(c.k, 0) n_spans, sha256(CASE WHEN c.k IS NULL THEN t ELSE coalesce(s, unhex('')) END) kept_sha256
+        FROM texts x LEFT JOIN counts c ON x.doc_id = c.doc_id LEFT JOIN kept q ON x.doc_id = q.doc_id""",
+}
