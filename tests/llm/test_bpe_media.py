@@ -45,6 +45,28 @@ def test_encode_decode_round_trip(spark, rows):
     assert byte_bpe.encode(rows.limit(0), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    """Workers outlive queries: each query is answered by its own vocabulary and pattern."""
+    small = tmp_path / "bytes.tiktoken"
+    small.write_bytes(b"\n".join(base64.b64encode(bytes([k])) + b" %d" % k for k in range(256)))
+    one = spark.createDataFrame([(1, "hello world")], "doc_id long, text string").coalesce(1)
+    counts = [byte_bpe.encode(one, path, pattern).first().n_tokens for path, pattern in ((P.path("byte_bpe_50k.tiktoken"), P.PATTERN), (str(small), P.PATTERN), (P.path("byte_bpe_50k.tiktoken"), P.PATTERN), (P.path("byte_bpe_50k.tiktoken"), "."))]
+    assert counts == [2, 11, 2, 11]
+
+
+def test_frequency_hash_is_that_of_the_plain_transform():
+    rng = np.random.default_rng(3)
+    for shape in ((40, 64), (1, 64), (32, 32), (500, 64)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        edge = lambda n: [int(k * n / 32) for k in range(33)]
+        ys, xs = edge(shape[0]), edge(shape[1])
+        small = np.array([[image[ys[i] : max(ys[i + 1], ys[i] + 1), xs[j] : max(xs[j + 1], xs[j] + 1)].mean() for j in range(32)] for i in range(32)])
+        low = [[sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+        low = np.round(np.array(low), 6).ravel().tolist()
+        middle = sorted(low[1:])[31]  # of 63 values
+        assert media.frequency_hash(image) == f"{int(''.join('1' if v > middle else '0' for v in low), 2):016x}"
+
+
 def test_png_filters_and_checksums():
     rng = np.random.default_rng(2)
     image = rng.integers(0, 256, (40, 64), dtype=np.uint8)
