@@ -210,3 +210,8 @@ def embed_2d(df: DataFrame, id_col: str, vector: str, perplexity: float = 30.0,
                 yield pd.DataFrame({id_col: part[id_col].to_numpy(), "tsne_1": y[:, 0], "tsne_2": y[:, 1]})
 
     return rows.mapInPandas(place, fields)
+
+
+def of_clusters(rows: DataFrame, wanted, cluster: str = "cluster") -> DataFrame:
+    """Rows of the wanted clusters; null clusters are none."""
+    return rows.filter(F.col(cluster).isin(*wanted))

@@ -72,6 +72,11 @@ def merge_sliced(detections: DataFrame, key: str = "source_id", label: str = "la
     return d if gone is None else d.join(gone.distinct(), [key, "det_id"], "left_anti").select(*detections.columns)
 
 
+def refine(detections: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Detections after a condition on shape, size or score; all of them without one."""
+    return detections if keep is None else detections.filter(keep)
+
+
 def georeference(detections: DataFrame, tiles: DataFrame, key: str = "tile_id", transform: str = "transform", offset: float = 0.0) -> DataFrame:
     """Points by their tile's affine transform (struct a..f); `offset` 0.5 for pixel centres."""
     joined = detections.join(tiles.select(key, F.col(transform).alias("__t")), key)

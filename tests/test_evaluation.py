@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skymosaic.config import Config
 from skymosaic.functions import geometry as G
 from skymosaic.functions import quads as Q
-from skymosaic.operators import align, evaluate, inference, labels, quantiles, report, tiling
+from skymosaic.operators import align, cluster, evaluate, inference, labels, quantiles, report, tiling
 from skymosaic.sources import geojson
 
 POINTS = "points array<struct<x:double,y:double>>"
@@ -155,6 +155,12 @@ def test_names_batches_places_and_bytes(spark):
     assert wide.min() == 0 and wide.max() == 255 and wide.dtype == np.uint8
 
 
+def test_refined_detections_and_wanted_clusters(spark):
+    df = spark.createDataFrame([(0, 0.5), (4, 0.9), (5, 0.7), (None, 0.8)], "cluster int, conf double")
+    assert inference.refine(df) is df and inference.refine(df, F.col("conf") > 0.6).count() == 3
+    assert sorted(r.cluster for r in cluster.of_clusters(df, range(5)).collect()) == [0, 4]
+
+
 def test_settings(tmp_path):
     c = Config.of({"tiling": {"size": 512}, "model": {"prompts": ["boat"]}})
     assert c.tiling.size == 512 and c.tiling.overlap == 384 and c.model.prompts == ("boat",)
