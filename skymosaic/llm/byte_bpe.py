@@ -27,6 +27,8 @@ from .common import ship
 
 #: Pieces whose ids a worker remembers; beyond it the memory starts afresh.
 CACHE_PIECES = 200_000
+#: Pairs of tokens whose compatibility a worker remembers, likewise.
+MEMO_PAIRS = 300_000
 #: Characters of text encoded before a batch of results is sent.
 BATCH_CHARS = 4_000_000
 
@@ -90,7 +92,7 @@ class Encoder:
     def compatible(self, a: int, b: int) -> bool:
         found = self.memo.get((a, b))
         if found is None:
-            if len(self.memo) > 1_000_000:
+            if len(self.memo) > MEMO_PAIRS:
                 self.memo.clear()
             found = self.memo[a, b] = self._stay_apart(a, b)
         return found

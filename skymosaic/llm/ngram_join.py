@@ -149,20 +149,19 @@ def slot_of(column: str, bits: int):
     return F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
 
 
-def of_wanted(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows whose doc is a `first` of `wanted`, and few others: by a map of hashed ids where it fits MOST_BITS, else by a join."""
+def of_wanted(rows: DataFrame, wanted: DataFrame, work, schema: str) -> DataFrame:
+    """`work` on the batches of those rows whose doc is a `first` of `wanted`, and few others: by a map of hashed ids where it fits MOST_BITS, else by a join."""
     names = rows.columns
     bits = 1 << max(6, (BITS_EACH * wanted.count()).bit_length())
     if bits > MOST_BITS:
-        return rows.join(wanted.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select(names)
+        return rows.join(wanted.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi").select(names).mapInArrow(work, schema)
     shared = rows.sparkSession.sparkContext.broadcast(id_map(wanted, "first", bits))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.unpackbits(shared.value, bitorder="little")
-        for batch in batches:
-            yield batch.filter(pa.array(marked[batch.column(len(names)).to_numpy()] > 0)).select(names)
+        return work(batch.filter(pa.array(marked[batch.column(len(names)).to_numpy()] > 0)).select(names) for batch in batches)
 
-    return rows.select("*", slot_of("doc", bits).alias("__slot")).mapInArrow(pick, rows.schema)
+    return rows.select("*", slot_of("doc", bits).alias("__slot")).mapInArrow(picked, schema)
 
 
 _NODE = "struct<first:bigint,rep:bigint>"
@@ -221,7 +220,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         for _, sets, bounds, same in sets_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(same[:, 0]), pa.array(same[:, 1]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(sets.view(np.int64)))], ["same_a", "same_b", "shingles"])
 
-    sets = of_wanted(rows, wanted).mapInArrow(set_rows, "same_a long, same_b long, shingles array<long>").dropDuplicates(["same_a", "same_b"])
+    sets = of_wanted(rows, wanted, set_rows, "same_a long, same_b long, shingles array<long>").dropDuplicates(["same_a", "same_b"])
     sets = stored(wanted.join(sets, ["same_a", "same_b"]).select("node", "copies", "shingles"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, gram, mix, partitions, powers, ship, sliding_min, stored, text_view
 
 #: Runs, and bytes of text, that a task folds at a time.
-FOLD_RUNS, FOLD_BYTES = 1_000_000, 48_000_000
+FOLD_RUNS, FOLD_BYTES = 500_000, 24_000_000
 #: Bytes of texts that one index holds; an anchor's rows stay together, `hot` of them at most.
 SHARD_BYTES = 1 << 18
 #: Windows of hot anchors that a task folds at a time, and bytes that are compared in one step.
