@@ -24,10 +24,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for _ in range(ROUNDS):
         near = e.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
         hooked = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # a label's own label: also what the round has found for the old label reaches its whole group
-        roots = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("group_label"))
-        hooked = hooked.join(roots, hooked.old == roots.root).select("u", "old", F.least("label", "group_label").alias("label"))
-        jump = hooked.select(F.col("u").alias("label"), F.col("label").alias("further"))
+        # a label's own label: also what the round has found for the old label reaches its whole group; only labels
+        # that change are rows of the right sides, which so are small and broadcast once groups have found their least nodes
+        roots = hooked.groupBy(F.col("old").alias("root")).agg(F.min("label").alias("group_label")).filter("group_label < root")
+        hooked = hooked.join(roots, hooked.old == roots.root, "left").select("u", "old", F.least("label", "group_label").alias("label"))
+        jump = hooked.select(F.col("u").alias("label"), F.col("label").alias("further")).filter("further < label")
         after = stored(hooked.join(jump, "label", "left").select("u", F.coalesce("further", "label").alias("label"), "old"), "labels")
         labels = after.select("u", "label")
         if not after.filter("label <> old").limit(1).count():
