@@ -39,21 +39,13 @@ def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible
     """Tiles with the annotations of which at least a share is visible; `clip` is the visible polygon.
 
     tiles: source_id, x_off, y_off, tw, th; annotations: source_id, points. `keep_all` also keeps what shows less. With
-    `quads` every annotation has four corners: areas are compiled, shares come from Arrow batches of pairs cut together, and
-    a polygon is cut only where `clip` is read. Either way a share has the same bits.
+    `quads` every annotation has four corners, so bounds and whole areas are compiled. Only pairs that cross an edge are cut.
     """
     t = tiles.withColumn("lbox", F.struct(F.col("x_off").cast("double").alias("x0"), F.col("y_off").cast("double").alias("y0"), (F.col("x_off") + F.col("tw")).cast("double").alias("x1"), (F.col("y_off") + F.col("th")).cast("double").alias("y1")))
-    kind = Q if quads else None
-    a = annotations.withColumns({"rbox": (kind or _any).bounds(F.col("points")), "full": (kind or _any).area(F.col("points"))})
+    a = annotations.withColumns({"rbox": (Q.bounds if quads else bounds)(F.col("points")), "full": (Q.area if quads else area)(F.col("points"))})
     pairs = box_join(t, a, "source_id", size, salts)
     inside = (F.col("rbox.x0") >= F.col("lbox.x0")) & (F.col("rbox.x1") <= F.col("lbox.x1")) & (F.col("rbox.y0") >= F.col("lbox.y0")) & (F.col("rbox.y1") <= F.col("lbox.y1"))
     clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"))
-    if quads:
-        box = [F.col(f"lbox.{c}").alias(f"b{c}") for c in ("x0", "y0", "x1", "y1")]
-        flat = [F.col("points")[k][f].alias(f"{f}{k}") for f in "xy" for k in range(4)]
-        shown = pairs.withColumn("shown", F.pandas_udf(_box_area, "double")(F.struct(*flat, *box, inside.alias("inside"), F.col("full").alias("full"))))
-        shown = shown.withColumn("visible", F.when(F.col("full") > 0, F.when(inside, F.lit(1.0)).otherwise(F.col("shown") / F.col("full"))).otherwise(F.lit(0.0))).withColumn("clip", F.when(inside, F.col("points")).otherwise(clip))
-        return (shown if keep_all else shown.filter(F.col("visible") >= least_visible)).drop("lbox", "rbox", "full", "shown")
     told = lambda c, share: F.struct(c.alias("clip"), F.when(F.col("full") > 0, share).otherwise(F.lit(0.0)).alias("visible"))
     both = F.when(inside, told(F.col("points"), F.lit(1.0))).otherwise(let(clip, lambda c: told(c, area(c) / F.col("full"))))
     # filtered inside an array: a filter above the projection would be pushed below it and clip every pair twice
@@ -61,30 +53,6 @@ def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible
     return pairs.select("*", F.inline(rows)).drop("lbox", "rbox", "full")
 
 
-class _any:
-    """Measures of polygons of any number of points."""
-
-    bounds, area = staticmethod(bounds), staticmethod(area)
-
-
-def _box_area(parts: pd.DataFrame) -> pd.Series:
-    """Area of each quadrilateral inside its box: all of it where `inside` says so."""
-    out = parts["full"].to_numpy(float).copy()
-    cut = ~parts["inside"].to_numpy(bool)
-    m = parts.iloc[:, :12].to_numpy(float)[cut]
-    out[cut] = quad_box_area(m[:, 0:4], m[:, 4:8], *(m[:, k] for k in range(8, 12)))
-    return pd.Series(out)
-
-
-def quad_box_area(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    """Area of quadrilaterals (rows of x, y) inside boxes, in the arithmetic of `clip_to_box`."""
-    n = np.full(len(x), 4)
-    for axis, edge, sign in ((0, x0, 1.0), (0, x1, -1.0), (1, y0, 1.0), (1, y1, -1.0)):
-        v = (x, y)[axis]
-        x, y, n = _cut(x, y, n, (v - edge[:, None]) * sign >= 0, lambda p, q, edge=edge, axis=axis: (edge[:, None] - p[axis]) / (q[axis] - p[axis]))
-    return np.abs(_shoelace(x, y, n))
-
-
 def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, keep: np.ndarray, share) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Polygons without the points that are not kept, crossings added at `share` of the way; a row's points lie in its first `n` columns."""
     rows = np.arange(len(x))[:, None]
