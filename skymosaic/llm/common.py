@@ -11,7 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Units (bytes or words) handled by one vectorised step; a document longer than this is a step of its own.
@@ -75,6 +75,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str, within: str | None = None, rows: int = 200_000) -> DataFrame:
+    """Stored rows of `df`, with `part` (of about `rows` rows, in order), `place` (0, 1, ... in `order`) and `total`, both within equal `within`.
+
+    `df` is a stored table, so that sampling its order is cheap. Rows that tie keep the order in which they are stored, so
+    any number of equal rows is spread. Only a row for each part and value of `within` is counted and summed; no window
+    goes over the rows themselves.
+    """
+    keyed = df.withColumn("__row", F.monotonically_increasing_id())
+    count = df.count()
+    n = max(min(partitions(df.sparkSession), count // 1000 + 1), -(-count // rows))
+    order = [*([F.col(within)] if within else []), *order, F.col("__row")]
+    sorted_ = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__row").withColumn("__at", F.monotonically_increasing_id())
+    ranged = stored(sorted_.withColumn("part", F.shiftright("__at", 33).cast("int")), name)
+    keys = [within, "part"] if within else ["part"]
+    counts = ranged.groupBy(*keys).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys[:-1])
+    counts = counts.withColumns({"total": F.sum("__n").over(whole), "__before": F.sum("__n").over(whole.orderBy("part")) - F.col("__n")}).drop("__n")
+    return ranged.join(counts, keys).withColumn("place", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__first", "__before")
+
+
 def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without a copy; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -126,12 +146,13 @@ def powers(base: int, n: int) -> np.ndarray:
 class Words:
     """Words ([^\\x20\\x09-\\x0D]+) of a run of documents: places, owners and 64-bit hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, hashes: bool = True, space: np.ndarray = _SPACE):
+        """`space` tells of each byte (lower-cased first, if asked for) whether it parts words."""
         base = offsets[0]
         data = data[base : offsets[-1]]
         self.data = data = _LOWER[data] if lower else data
         self.doc_offsets = offsets - base
-        space = _SPACE[data]
+        space = space[data]
         opens = ~space
         after = opens.copy()
         after[1:] &= space[:-1]

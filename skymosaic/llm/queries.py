@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, lm_scoring, media, mixing, ngram_join, quality, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, embedding_dedup, lm_scoring, media, merkle, mixing, ngram_join, quality, resampling, secret_scan, substring_dedup, suffix_dedup, toxicity
 from .common import table
 
 
@@ -51,7 +51,19 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe, op8_substring_dedup, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_embedding_dedup, op3_toxicity, op4_media_columns, op5_quality_classifier, op6_source_mixing, op7_byte_bpe, op8_substring_dedup, op9_ngram_jaccard_join, op10_suffix_array_dedup, op11_importance_resampling, op12_secret_scan, op13_merkle_manifest)}
 
 # SQL of those operators that it can express; ids are taken to be unique, as they are in the tables.
 
@@ -63,6 +75,22 @@ def _reached(links: str) -> str:
     return f"""reach AS (SELECT a, a b FROM ({links}) l UNION SELECT r.a, l.b FROM reach r JOIN ({links}) l ON r.b = l.a), least AS (SELECT a, min(b) least FROM reach GROUP BY a)"""
 
 
+#: The 256 values of CRC-32's table, as list `crcs` of one row.
+_CRC_TABLE = """steps AS (SELECT b, 0 k, CAST(b AS UBIGINT) c FROM range(256) t(b) UNION ALL SELECT b, k+1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END FROM steps WHERE k < 8),
+        crc_table AS MATERIALIZED (SELECT list(c ORDER BY b) crcs FROM steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text, a byte at a time; needs `crc_table` in FROM."""
+    values = f"list_transform(range(1, octet_length(encode({text}))+1), lambda i: CAST('0x' || hex(encode({text})[i:i]) AS UBIGINT))"
+    start = f"list_prepend(CAST(4294967295 AS UBIGINT), {values})"
+    return f"xor(list_reduce({start}, lambda c, x: xor(c >> 8, crcs[CAST(xor(c & 255, x) AS BIGINT)+1])), CAST(4294967295 AS UBIGINT))"
+
+
+def _told(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || ({value}) END"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": f"""
         WITH RECURSIVE sound AS (
@@ -105,4 +133,49 @@ ORACLE_SQL: dict[str, str] = {
         counts AS (SELECT doc_id, sum(e-b) n, count(*) k FROM spans GROUP BY doc_id)
         SELECT x.doc_id, octet_length(t) n_bytes, CAST(coalesce(n, 0) AS BIGINT) n_removed, coalesce(c.k, 0) n_spans, sha256(CASE WHEN c.k IS NULL THEN t ELSE coalesce(s, unhex('')) END) kept_sha256
         FROM texts x LEFT JOIN counts c ON x.doc_id = c.doc_id LEFT JOIN kept q ON x.doc_id = q.doc_id""",
+    "op11_importance_resampling": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        texts AS (
+          SELECT doc_id, 0 side, text FROM documents UNION ALL SELECT item_id, 1, text FROM benchmark),
+        words AS (SELECT doc_id, side, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM texts),
+        features AS MATERIALIZED (
+          SELECT doc_id, side, w[i] f FROM (SELECT *, unnest(range(1, len(w)+1)) i FROM words) a
+          UNION ALL SELECT doc_id, side, w[i] || ' ' || w[i+1] FROM (SELECT *, unnest(range(1, len(w))) i FROM words) a),
+        hashed AS MATERIALIZED (SELECT f, {_crc("f")} % 10000 b FROM (SELECT DISTINCT f FROM features) a, crc_table),
+        counts AS (SELECT b, count(*) FILTER (side = 0) s, count(*) FILTER (side = 1) t FROM features JOIN hashed USING (f) GROUP BY b),
+        gains AS (SELECT b, CAST(floor(1000*ln(CAST(t+1 AS DOUBLE)*(sum(s) OVER ()+10000)/(CAST(s+1 AS DOUBLE)*(sum(t) OVER ()+10000)))) AS BIGINT) g FROM counts),
+        sums AS (SELECT doc_id, count(*) n, sum(g) g FROM features JOIN hashed USING (f) JOIN gains USING (b) WHERE side = 0 GROUP BY doc_id),
+        weighed AS (SELECT doc_id, len(w) n_words, CAST(coalesce(n, 0) AS BIGINT) n_features, CAST(coalesce(floor(CAST(g AS DOUBLE)/n), 0) AS BIGINT) weight FROM words LEFT JOIN sums USING (doc_id) WHERE side = 0),
+        scored AS (SELECT *, weight + CAST(floor(-1000*ln(-ln((CAST('0x' || substr(sha256('7:' || doc_id), 1, 8) AS UBIGINT)+0.5e0)/4294967296e0))) AS BIGINT) score FROM weighed),
+        ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) r, count(*) OVER () n FROM scored WHERE n_words >= 20)
+        SELECT doc_id, n_features, weight, score, CASE WHEN r <= 25*n//100 THEN r END rank FROM scored LEFT JOIN ranked USING (doc_id)""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        told AS MATERIALIZED (SELECT doc_id, lang, text, {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 forged, concat({", ".join(_told(c) for c in ("doc_id", "source", "lang", "n_chars"))}) head FROM documents, crc_table),
+        leaves AS MATERIALIZED (
+          SELECT doc_id, lang, sha256(head || {_told("text")}) leaf, sha256(head || {_told("CASE WHEN forged THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) sent,
+            row_number() OVER (PARTITION BY lang ORDER BY doc_id)-1 i, count(*) OVER (PARTITION BY lang) n FROM told),
+        trees AS (
+          SELECT lang, 0 level, i, n, leaf h FROM leaves
+          UNION ALL SELECT lang, level+1, i//8, (n+7)//8, sha256(string_agg(h, '' ORDER BY i)) FROM trees WHERE n > 1 GROUP BY lang, level, i//8, n),
+        nodes AS MATERIALIZED (SELECT * FROM trees),
+        subroots AS MATERIALIZED (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST)-1 i, count(*) OVER () n FROM nodes WHERE n = 1),
+        tops AS (
+          SELECT 0 level, i, n, h FROM subroots
+          UNION ALL SELECT level+1, i//8, (n+7)//8, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i//8, n),
+        top_nodes AS MATERIALIZED (SELECT * FROM tops),
+        runs AS MATERIALIZED (
+          SELECT false top, coalesce('=' || lang, '') tree, level, i//8 run, n, list(h ORDER BY i) hs FROM nodes WHERE n > 1 GROUP BY ALL
+          UNION ALL SELECT true, '', level, i//8, n, list(h ORDER BY i) FROM top_nodes WHERE n > 1 GROUP BY level, i//8, n),
+        walk AS (
+          SELECT doc_id, false top, coalesce('=' || l.lang, '') tree, 0 level, l.i, l.n, s.i top_i, s.n top_n, sent h, '' proof FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+          UNION ALL
+          SELECT doc_id, CASE WHEN w.n = 1 THEN true ELSE w.top END, CASE WHEN w.n = 1 THEN '' ELSE w.tree END, CASE WHEN w.n = 1 THEN 0 ELSE w.level+1 END,
+            CASE WHEN w.n = 1 THEN top_i ELSE w.i//8 END, CASE WHEN w.n = 1 THEN top_n ELSE (w.n+7)//8 END, top_i, top_n,
+            CASE WHEN w.n = 1 THEN h ELSE sha256(array_to_string(hs[:w.i%8], '') || h || array_to_string(hs[w.i%8+2:], '')) END,
+            CASE WHEN w.n = 1 THEN proof ELSE proof || array_to_string(hs[:w.i%8], '') || array_to_string(hs[w.i%8+2:], '') END
+          FROM walk w LEFT JOIN runs r ON w.top = r.top AND w.tree = r.tree AND w.level = r.level AND w.i//8 = r.run WHERE NOT (w.top AND w.n = 1)),
+        ends AS (SELECT doc_id, h, proof FROM walk WHERE top AND n = 1)
+        SELECT l.doc_id, leaf, s.h subroot, t.h root, sha256(proof) proof_sha256, e.h folded_root, e.h = t.h verified
+        FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN ends e ON l.doc_id = e.doc_id CROSS JOIN (SELECT h FROM top_nodes WHERE n = 1) t""",
 }
