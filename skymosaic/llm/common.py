@@ -136,6 +136,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Random numbers of the bytes at a word's first 64 places.
+_PLACED = mix(np.arange(64 * 256, dtype=np.uint64) * _STEP + _STEP)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     if n:
@@ -169,13 +174,16 @@ class Words:
         self.hash = self._hash(space) if hashes else None
 
     def _hash(self, space: np.ndarray) -> np.ndarray:
+        """Each byte at each place has a random number of its own; a word's hash is their sum, scrambled."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         length = np.diff(np.append(self.start, len(self.data)))
         place = np.arange(self.start[0], len(self.data)) - np.repeat(self.start, length)
-        values = (self.data[self.start[0] :].astype(np.uint64) + np.uint64(1)) * powers(0x9E3779B97F4A7C15, int(length.max()))[place]
+        at = place * 256 + self.data[self.start[0] :]
+        near = int(length.max()) * 256 <= len(_PLACED)
+        values = _PLACED[at] if near else np.where(at < len(_PLACED), _PLACED[np.minimum(at, len(_PLACED) - 1)], mix(at.astype(np.uint64) * _STEP + _STEP))
         values[space[self.start[0] :]] = 0
-        return mix(np.add.reduceat(values, self.start - self.start[0]))
+        return mix(np.add.reduceat(values, self.start - self.start[0]) + (self.end - self.start).astype(np.uint64))
 
     @property
     def counts(self) -> np.ndarray:

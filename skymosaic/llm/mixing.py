@@ -1,10 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
 Each source's documents are put in a shuffled order (by a hash of the text's id) and laid end to end on a line of words,
-which is cut into equal blocks of BLOCK words at most. Slot i of the schedule is the point frac(1/2 + i * golden ratio)
-on the cumulative weights of the sources, so every prefix of the schedule keeps each source near its share. A slot's rank
-among its source's slots, modulo the source's blocks, is the block it takes; a document is taken by the words that its
-blocks cover, as often as they come up.
+which is cut into equal blocks of BLOCK words at most, LEAST_BLOCKS at least where there are as many words. Slot i of the
+schedule is the point frac(1/2 + i * golden ratio) on the cumulative weights of the sources, so every prefix of the schedule
+keeps each source near its share. A source has as many slots as its target holds blocks: points beyond that number are
+left out, and where the points gave it fewer, its next ones follow at the end. A slot's rank among its source's slots, modulo
+the source's blocks, is the block it takes; a document is taken by the words that its blocks cover, as often as they come up.
 
 Running sums over a source (a third of all rows may be one source) go in two levels: sums of SPANS x buckets first, then
 the order inside a bucket, so that no task holds a source. `mix` is DataFrame expressions; `mixed_texts` cuts the texts in
@@ -32,6 +33,10 @@ from .common import Words, ship, stored, text_view
 ONE, GOLDEN = 1 << 31, 1327217885
 #: Words of a block at most. Slots, and rows that carry them, are the mix's words divided by this.
 BLOCK = 256
+#: Blocks of a source at least, as far as it has words: rounding to whole blocks costs a small source 1 / 80 of its size at most.
+LEAST_BLOCKS = 40
+#: Equal rows that one array numbers.
+EQUAL = 4_096
 #: Rows of a source, and slots of the schedule, that one bucket of a running sum holds on average.
 PER_BUCKET = 2_000
 SLOTS_PER_BUCKET = 20_000
@@ -64,6 +69,10 @@ def targets(sources: list[tuple[object, int]], weights: Sequence[float] = (3, 1,
     return out
 
 
+def blocks_of(size: int, block: int) -> int:
+    return max(1, -(-size // block), min(size, LEAST_BLOCKS))
+
+
 def laid_out(docs: DataFrame, n_rows: int) -> DataFrame:
     """`first_word` of every row on its source's line, by two levels of sums over columns source_key, order_key, size."""
     buckets = max(1, n_rows // PER_BUCKET)
@@ -83,12 +92,11 @@ def laid_out(docs: DataFrame, n_rows: int) -> DataFrame:
 
 
 def schedule(spark, sources: list[dict]) -> DataFrame:
-    """(source_key, block, times): the slots that take each block. `sources`: key, blocks, slots wanted (a float)."""
-    total = sum(s["slots"] for s in sources)
-    n = round(total)
+    """(source_key, block, times): the slots that take each block. `sources`: key, blocks, slots."""
+    n = total = sum(s["slots"] for s in sources)
     if not n:
         return spark.createDataFrame([], "source_key string, block long, times long")
-    edges, at = [], 0.0
+    edges, at = [], 0
     for s in sources:
         at += s["slots"]
         edges.append((at / total, s["key"], s["blocks"]))
@@ -109,7 +117,14 @@ def schedule(spark, sources: list[dict]) -> DataFrame:
     before = Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("source_key", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     ranked = slots.withColumn("in_bucket", F.row_number().over(Window.partitionBy("source_key", "bucket").orderBy("id")) - 1).join(starts, ["source_key", "bucket"])
-    return ranked.select("source_key", F.pmod(F.col("start") + F.col("in_bucket"), F.col("blocks")).alias("block")).groupBy("source_key", "block").agg(F.count("*").alias("times"))
+    held = spark.createDataFrame([(s["key"], s["slots"], s["blocks"]) for s in sources], "source_key string, slots long, held long")
+    ranked = ranked.select("source_key", (F.col("start") + F.col("in_bucket")).alias("rank")).join(held, "source_key").filter("rank < slots")
+    dealt = counts.groupBy("source_key").agg(F.sum("n").alias("dealt"))
+    # a source lacks a few slots at most: the points' discrepancy, which grows like the logarithm of their number
+    short = held.join(dealt, "source_key", "left").filter("slots > coalesce(dealt, 0)")
+    short = short.select("source_key", "held", F.explode(F.sequence(F.coalesce("dealt", F.lit(0)), F.col("slots") - 1)).alias("rank"))
+    slots = ranked.select("source_key", "held", "rank").unionByName(short)
+    return slots.select("source_key", F.pmod("rank", "held").alias("block")).groupBy("source_key", "block").agg(F.count("*").alias("times"))
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -125,9 +140,11 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
         raise ValueError("most must be a whole number, 1 at least")
     spark = docs.sparkSession
     rows = identified(docs, id_col, text_col, source_col).select(F.col(id_col), F.col("__source_key").alias("source_key"), F.col("__size").alias("size"), F.col("__text_key").alias("text_key"))
-    # equal rows are told apart by their number among equals, which any run gives alike
-    twin = Window.partitionBy(id_col, "source_key", "size", "text_key").orderBy(F.lit(0))
-    rows = rows.withColumn("row_id", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "source_key", "size", "text_key", F.row_number().over(twin))).withColumn("order_key", F.xxhash64("row_id"))
+    # equal rows are counted where they are read and told apart by their number among equals, which any run gives alike
+    equal = rows.groupBy(id_col, "source_key", "size", "text_key").agg(F.count("*").alias("__n"))
+    equal = equal.withColumn("__first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1, F.lit(EQUAL).cast("long"))))
+    equal = equal.withColumn("__number", F.explode(F.sequence(F.col("__first") + 1, F.least(F.col("__n"), F.col("__first") + EQUAL))))
+    rows = equal.withColumn("row_id", F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "source_key", "size", "text_key", "__number")).withColumn("order_key", F.xxhash64("row_id")).drop("__n", "__first", "__number")
     rows = stored(rows, "mix-sizes")
     found = rows.groupBy("source_key").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # a row a source
     ordered = sorted(found, key=lambda r: (r.source_key == "null", r.source_key))
@@ -136,9 +153,9 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     sources = []
     for k, n in size.items():
         if n:
-            blocks = -(-n // block)
-            sources.append({"key": k, "blocks": blocks, "slots": wanted[k] * blocks / n})
-    facts = spark.createDataFrame([(k, n, wanted[k], max(1, -(-n // block))) for k, n in size.items()], "source_key string, source_size long, target double, blocks long")
+            blocks = blocks_of(n, block)
+            sources.append({"key": k, "blocks": blocks, "slots": round(wanted[k] * blocks / n)})
+    facts = spark.createDataFrame([(k, n, wanted[k], blocks_of(n, block)) for k, n in size.items()], "source_key string, source_size long, target double, blocks long")
     taken_blocks = schedule(spark, sources)
     line = laid_out(rows, sum(r.n for r in ordered)).join(facts, "source_key")
     # block b covers the words from floor(b * size / blocks) to floor((b + 1) * size / blocks)

@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, gram, mix, partitions, powers, ship, sliding_min, stored, text_view
@@ -156,8 +156,8 @@ def edges(k: np.ndarray) -> np.ndarray:
 
 
 _NAMES = ["anchor", "doc", "twin", "a", "b"]
-_ROWS = "anchor long, doc long, twin int, a int, b int"
-_TEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int32()), ("start", pa.int32()), ("units", pa.binary())])
+_ROWS = "anchor long, doc long, twin long, a int, b int"
+_TEXTS = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("twin", pa.int64()), ("start", pa.int32()), ("units", pa.binary())])
 
 
 def _spans(doc, twin, begin, end) -> pa.RecordBatch:
@@ -171,7 +171,7 @@ def _spans(doc, twin, begin, end) -> pa.RecordBatch:
     key[order] = np.cumsum(fresh) - 1
     key, begin, end = merged(key, np.asarray(begin, np.int64), np.asarray(end, np.int64))
     doc, twin = doc[names][key], twin[names][key]
-    return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), *(pa.array(x) for x in (doc, twin.astype(np.int32), begin.astype(np.int32), end.astype(np.int32)))], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), *(pa.array(x) for x in (doc, twin, begin.astype(np.int32), end.astype(np.int32)))], _NAMES)
 
 
 def covered_spans(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -190,7 +190,7 @@ def covered_spans(docs: DataFrame, plan: Plan) -> DataFrame:
         gone[ask] = same_text(np.concatenate(texts), begin, end, ask, head[ask], words)
         yield _spans(doc[gone], twin[gone], a[gone], a[gone] + n[gone] - 1 + width)
         keep = ~gone
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, twin.astype(np.int32), a.astype(np.int32), n.astype(np.int32))], _NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, doc, twin, a.astype(np.int32), n.astype(np.int32))], _NAMES)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, texts, size, read = [], [], 0, 0
@@ -393,14 +393,19 @@ def covered_spans(docs: DataFrame, plan: Plan) -> DataFrame:
         yield from finish()
 
     texts = docs.join(asked, ["doc", "twin"])
-    shuffled = texts.mapInArrow(fetch, "key long, doc long, twin int, start int, units binary").repartition(parts, "key").sortWithinPartitions("key")
-    return spans.unionByName(shuffled.mapInArrow(compare, "doc long, twin int, begin int, end int"))
+    shuffled = texts.mapInArrow(fetch, "key long, doc long, twin long, start int, units binary").repartition(parts, "key").sortWithinPartitions("key")
+    return spans.unionByName(shuffled.mapInArrow(compare, "doc long, twin long, begin int, end int"))
+
+
+def twin(text: Column) -> Column:
+    """60 bits of the SHA-256 of a text: what tells rows of one id apart."""
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
     """doc (null ids come last), twin (hash of the text), id, text, and a struct of the columns in `carry`."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("twin"), F.col(id_col).alias("__id"), text.alias("text"), F.struct(F.lit(0).alias("nothing"), *[F.col(c) for c in carry]).alias("__carry"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), twin(text).alias("twin"), F.col(id_col).alias("__id"), text.alias("text"), F.struct(F.lit(0).alias("nothing"), *[F.col(c) for c in carry]).alias("__carry"))
 
 
 def remove(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
