@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, gram, mix, partitions, powers, ship, sliding_min, stored, text_view
@@ -397,15 +397,25 @@ def covered_spans(docs: DataFrame, plan: Plan) -> DataFrame:
     return spans.unionByName(shuffled.mapInArrow(compare, "doc long, twin long, begin int, end int"))
 
 
-def twin(text: Column) -> Column:
-    """60 bits of the SHA-256 of a text: what tells rows of one id apart."""
-    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 15), 16, 10).cast("long")
+#: Repeated ids up to which their table (8 bytes each) is broadcast.
+FEW_IDS = 100_000
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str] = ()) -> DataFrame:
-    """doc (null ids come last), twin (hash of the text), id, text, and a struct of the columns in `carry`."""
+    """doc (null ids come last), twin, id, text, and a struct of the columns in `carry`.
+
+    `twin` tells the rows of one id apart: 60 bits of the SHA-256 of their text, and 0 where no other row has the id.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), twin(text).alias("twin"), F.col(id_col).alias("__id"), text.alias("text"), F.struct(F.lit(0).alias("nothing"), *[F.col(c) for c in carry]).alias("__carry"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.col(id_col).alias("__id"), text.alias("text"), F.struct(F.lit(0).alias("nothing"), *[F.col(c) for c in carry]).alias("__carry"))
+    again = stored(rows.groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("__again")), "repeated-ids")
+    n = again.count()
+    if not n:
+        return rows.select("doc", F.lit(0).cast("long").alias("twin"), "__id", "text", "__carry")
+    told = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    twin = F.when(F.col("__again").isNotNull(), told).otherwise(F.lit(0).cast("long"))
+    joined = rows.join(F.broadcast(again) if n <= FEW_IDS else again, F.col("doc") == F.col("__again"), "left")
+    return joined.select("doc", twin.alias("twin"), "__id", "text", "__carry")
 
 
 def remove(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
