@@ -131,13 +131,30 @@ def _clip(points: Column, value, bound: Column, keep_less: bool) -> Column:
     return let(points, step)
 
 
-def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """The polygon cut to an upright box; right in area for any simple polygon."""
+def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column, around: Column | None = None) -> Column:
+    """The polygon cut to an upright box; right in area for any simple polygon.
+
+    With `around`, the polygon's bounds, sides of the box that they do not cross are not cut at: a cut that cuts nothing
+    makes the second corner the first, and no more.
+    """
     x, y = (lambda p: p["x"]), (lambda p: p["y"])
-    out = _clip(points, x, x0, False)
-    out = _clip(out, x, x1, True)
-    out = _clip(out, y, y0, False)
-    return _clip(out, y, y1, True)
+    out = points
+    sides = ((x, x0, False, "x0"), (x, x1, True, "x1"), (y, y0, False, "y0"), (y, y1, True, "y1"))
+    for value, limit, keep_less, edge in sides:
+        if around is None:
+            out = _clip(out, value, limit, keep_less)
+        else:
+            clear = around[edge] <= limit if keep_less else around[edge] >= limit
+            out = _cut_unless(clear, out, value, limit, keep_less)
+    return out
+
+
+def _cut_unless(clear: Column, points: Column, value, limit: Column, keep_less: bool) -> Column:
+    def step(o: Column) -> Column:
+        turned = F.concat(F.slice(o, F.lit(2), F.greatest(F.size(o), F.lit(1))), F.slice(o, 1, 1))
+        return F.when(clear, turned).otherwise(_clip(o, value, limit, keep_less))
+
+    return let(points, step)
 
 
 def clip_to_convex(points: Column, window: Column, corners: int) -> Column:
@@ -192,18 +209,57 @@ def _polygon_iou(a: Column, b: Column) -> Column:
 
 
 @bound
+def is_convex_quad(points: Column) -> Column:
+    """Four corners that all turn the same way: convex, without repeated corners, and so valid."""
+    p = [(F.get(points, F.lit(k))["x"], F.get(points, F.lit(k))["y"]) for k in range(4)]
+    turns = []
+    for k in range(4):
+        (ax, ay), (bx, by), (cx, cy) = p[k], p[(k + 1) % 4], p[(k + 2) % 4]
+        turns.append((bx - ax) * (cy - by) - (by - ay) * (cx - bx))
+    left = (turns[0] > 0) & (turns[1] > 0) & (turns[2] > 0) & (turns[3] > 0)
+    right = (turns[0] < 0) & (turns[1] < 0) & (turns[2] < 0) & (turns[3] < 0)
+    return (F.size(points) == 4) & F.coalesce(left | right, F.lit(False))
+
+
+@bound
+def distinct_corners(ring: Column) -> Column:
+    """The ring without its closing point and without corners that repeat the one before."""
+    return F.filter(opened(ring), lambda p, i: (i == 0) | (p != F.get(ring, F.greatest(i - 1, F.lit(0)))))
+
+
 def is_simple(points: Column) -> Column:
-    """Three points at least, some area, and no two sides that cross."""
+    """Whether a ring bounds a valid polygon: three corners and an area, and no two sides that meet but neighbours in their common corner.
+
+    Sides that touch or overlap others make a ring invalid, too, and so does one that goes straight back on itself. Closing
+    points and repeated corners are passed over.
+    """
+    return F.when(is_convex_quad(points), F.lit(True)).otherwise(_is_simple(distinct_corners(points)))
+
+
+@bound
+def _is_simple(points: Column) -> Column:
+    n = F.size(points)
 
     def turn(p: Column, q: Column, r: Column) -> Column:
         return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
 
-    def cross(i: Column, j: Column) -> Column:
+    def over(a: Column, b: Column, c: Column, d: Column) -> Column:
+        """Whether the stretches from a to b and from c to d meet."""
+        return (F.least(a, b) <= F.greatest(c, d)) & (F.least(c, d) <= F.greatest(a, b))
+
+    def meet(i: Column, j: Column) -> Column:
         p, q, r, s = at(points, i), following(points, i), at(points, j), following(points, j)
-        return (turn(p, q, r) * turn(p, q, s) < 0) & (turn(r, s, p) * turn(r, s, q) < 0)
+        sides = F.struct(turn(p, q, r).alias("r"), turn(p, q, s).alias("s"), turn(r, s, p).alias("p"), turn(r, s, q).alias("q"))
+        near = over(p["x"], q["x"], r["x"], s["x"]) & over(p["y"], q["y"], r["y"], s["y"])
+        return near & let(sides, lambda t: (t["r"] * t["s"] <= 0) & (t["p"] * t["q"] <= 0))
+
+    def goes_back(i: Column) -> Column:
+        p, q, r = at(points, i), following(points, i), at(points, F.pmod(i + 2, n))
+        return (turn(p, q, r) == 0) & ((q["x"] - p["x"]) * (r["x"] - q["x"]) + (q["y"] - p["y"]) * (r["y"] - q["y"]) < 0)
 
-    crossed = F.exists(indexes(points), lambda i: F.exists(indexes(points), lambda j: (j > i) & cross(i, j)))
-    return (F.size(points) >= 3) & (area(points) > 0) & ~crossed
+    # sides i and j are neighbours where j = i + 1, or where they are the first and the last
+    crossed = F.exists(indexes(points), lambda i: F.exists(indexes(points), lambda j: (j > i + 1) & ((i > 0) | (j < n - 1)) & meet(i, j)))
+    return F.when((n < 3) | (area(points) == 0), F.lit(False)).otherwise(~F.exists(indexes(points), goes_back) & ~crossed)
 
 
 def intersects_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -250,7 +306,7 @@ def min_rotated_rectangle(points: Column) -> Column:
 
 @bound
 def enforce_min_side(corners: Column, least: float) -> Column:
-    """A parallelogram about the mean of four corners whose two side directions are `least` long at least."""
+    """A parallelogram about the mean of four corners, along the two sides that meet in the first corner, each `least` long at least."""
     p = [F.element_at(corners, k) for k in (1, 2, 3, 4)]
     cx, cy = (p[0]["x"] + p[1]["x"] + p[2]["x"] + p[3]["x"]) / 4, (p[0]["y"] + p[1]["y"] + p[2]["y"] + p[3]["y"]) / 4
 
@@ -262,7 +318,7 @@ def enforce_min_side(corners: Column, least: float) -> Column:
         return F.when(n == 0, F.lit(x)).otherwise(dx / n) * half, F.when(n == 0, F.lit(y)).otherwise(dy / n) * half
 
     ux, uy = axis(p[0], p[1], 1.0, 0.0)
-    vx, vy = axis(p[1], p[2], 0.0, 1.0)
+    vx, vy = axis(p[0], p[3], 0.0, 1.0)
     return F.array(point(cx - ux - vx, cy - uy - vy), point(cx + ux - vx, cy + uy - vy), point(cx + ux + vx, cy + uy + vy), point(cx - ux + vx, cy - uy + vy))
 
 

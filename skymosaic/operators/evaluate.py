@@ -2,47 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import area, is_simple
-from ..session import shared_folder
+from ..session import checkpointed
 from ..sources.geojson import collections
 
 EPSILON = 1e-9
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def greedy_match(pairs: DataFrame, keys: list[str], threshold: float = 0.5, most: int = 1_000_000) -> DataFrame:
+    """(keys, truth_id, pred_id, iou): truths in the order of their ids take the best prediction that is free; of equal ones the least id."""
+    found = match_in_turn(pairs.withColumn("turn", F.struct("truth_id")), keys, "truth_id", "pred_id", [threshold], most)
+    return found.select(*keys, "truth_id", "pred_id", "iou")
 
 
-def greedy_match(pairs: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """(keys, truth_id, pred_id, iou): truths in the order of their ids take the best prediction that is free.
+def match_by_confidence(pairs: DataFrame, keys: list[str], thresholds: list[float], most: int = 1_000_000) -> DataFrame:
+    """(keys, threshold, truth_id, pred_id, iou): at each threshold, predictions in falling confidence take the best truth that is free.
 
-    Worked in rounds: a truth whose turn comes before that of every other truth that wants one of its predictions can choose
-    now, whatever else happens, so all such truths choose at once and their predictions leave. Rounds are as many as the
-    longest chain of truths that wait for one another, not as many as truths, and no source has to fit a task.
+    pairs: keys, truth_id, pred_id, conf, iou. Predictions of equal confidence go by id; a null confidence comes last.
     """
-    if threshold <= 0:
-        raise ValueError("threshold must be above 0")
-    left = checkpointed(pairs.select(*keys, "truth_id", "pred_id", "iou").filter(F.col("iou") >= threshold))
+    turn = F.struct((-F.coalesce("conf", F.lit(float("-inf")))).alias("c"), F.col("pred_id").alias("i"))
+    found = match_in_turn(pairs.withColumn("turn", turn), keys, "pred_id", "truth_id", thresholds, most)
+    return found.select(*keys, "threshold", "truth_id", "pred_id", "iou")
+
+
+def match_in_turn(pairs: DataFrame, keys: list[str], chooser: str, chosen: str, thresholds: list[float], most: int = 1_000_000) -> DataFrame:
+    """(keys, threshold, chooser, chosen, iou): in the order of `turn`, each chooser takes the best of what is free and reaches the threshold.
+
+    Groups of equal keys with `most` pairs at most are sorted by Spark and streamed, all thresholds in one pass; what is
+    held is what a group's choosers have taken. Larger groups are worked in rounds, so no group has to fit a task.
+    Pairs may repeat; null ids match nothing.
+    """
+    if min(thresholds) <= 0:
+        raise ValueError("thresholds must be above 0")
+    useful = pairs.select(*keys, chooser, chosen, "turn", "iou").filter(F.col("iou") >= min(thresholds)).dropna(subset=[chooser, chosen])
+    useful = checkpointed(useful)
+    sizes = useful.groupBy(*keys).count().filter(F.col("count") > most)
+    large = checkpointed(sizes.select(*keys))
+    if not large.limit(1).count():
+        return _streamed(useful, keys, chooser, chosen, thresholds)
+    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
+    small, rest = useful.join(large, same(useful, large), "left_anti"), useful.join(large, same(useful, large), "left_semi")
+    grid = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("iou") >= t))
+    return _streamed(small, keys, chooser, chosen, thresholds).unionByName(_in_rounds(rest.withColumn("threshold", grid), [*keys, "threshold"], chooser, chosen))
+
+
+def _streamed(pairs: DataFrame, keys: list[str], chooser: str, chosen: str, thresholds: list[float]) -> DataFrame:
+    n = len(keys)
+    steps = sorted(float(t) for t in thresholds)
+    columns = [*keys, chooser, chosen, "iou"]
+    dealt = pairs.repartition(*keys).sortWithinPartitions(*keys, "turn", F.desc("iou"), chosen).select(*columns)
+    schema = T.StructType([*dealt.schema.fields[: n + 2], T.StructField("iou", T.DoubleType()), T.StructField("threshold", T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, turn = None, None
+        taken: list[set] = []
+        free: list[bool] = []
+        for batch in batches:
+            rows, at = [], []
+            names = list(zip(*[c.to_pylist() for c in batch.columns[:n]])) if n else [()] * batch.num_rows
+            for r, (name, one, other, iou) in enumerate(zip(names, *[c.to_pylist() for c in batch.columns[n:]])):
+                if name != group:
+                    group, turn, taken = name, None, [set() for _ in steps]
+                if one != turn:
+                    turn, free = one, [True] * len(steps)
+                for k, least in enumerate(steps):
+                    if iou < least:
+                        break
+                    if free[k] and other not in taken[k]:
+                        taken[k].add(other)
+                        free[k] = False
+                        rows.append(r)
+                        at.append(least)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(at, pa.float64())], schema.names)
+
+    return dealt.mapInArrow(work, schema).select(*keys, "threshold", chooser, chosen, "iou")
+
+
+def _in_rounds(pairs: DataFrame, keys: list[str], chooser: str, chosen: str) -> DataFrame:
+    """A chooser whose turn comes before that of every other one that wants any of what it wants can choose now, whatever else
+    happens, so all such choose at once and what they take leaves. Rounds are as many as the longest chain of choosers that wait
+    for one another, not as many as choosers."""
+    left = checkpointed(pairs)
     done = None
     while True:
-        first = F.min("truth_id").over(Window.partitionBy(*keys, "pred_id"))
-        ready = F.min((F.col("first") == F.col("truth_id")).cast("int")).over(Window.partitionBy(*keys, "truth_id"))
+        first = F.min("turn").over(Window.partitionBy(*keys, chosen))
+        ready = F.min((F.col("first") == F.col("turn")).cast("int")).over(Window.partitionBy(*keys, chooser))
         marked = left.withColumn("first", first).withColumn("ready", ready)
-        best = F.row_number().over(Window.partitionBy(*keys, "truth_id").orderBy(F.desc("iou"), "pred_id"))
+        best = F.row_number().over(Window.partitionBy(*keys, chooser).orderBy(F.desc("iou"), chosen))
         marked = checkpointed(marked.withColumn("best", F.when(F.col("ready") == 1, best)))
-        chosen = marked.filter("ready = 1 and best = 1").select(*keys, "truth_id", "pred_id", "iou")
-        done = chosen if done is None else done.unionByName(chosen)
-        rest = marked.filter("ready = 0").select(*keys, "truth_id", "pred_id", "iou")
+        took = marked.filter("ready = 1 and best = 1").select(*keys, chooser, chosen, "iou")
+        done = took if done is None else done.unionByName(took)
+        rest = marked.filter("ready = 0").select(*keys, chooser, chosen, "turn", "iou")
         if not rest.limit(1).count():
             return done
-        left = checkpointed(rest.join(chosen.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti"))
+        gone = took.select(*[F.col(c).alias(f"__{c}") for c in (*keys, chosen)])
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*keys, chosen)]
+        left = checkpointed(rest.join(gone, same, "left_anti"))
 
 
 def matchable(truth: DataFrame, points: str = "points") -> DataFrame:
@@ -163,6 +226,52 @@ def average_precision(scored: DataFrame, support: DataFrame, cls: str = "label",
     return found.select(cls, F.when(F.col("total_truth") == 0, F.lit(0.0)).otherwise(F.coalesce("gained", F.lit(0.0)) / F.col("total_truth")).alias("average_precision"), "total_truth")
 
 
+#: Thresholds of IoU that mean average precision is taken over.
+IOUS = [round(0.5 + 0.05 * k, 2) for k in range(10)]
+
+
+def interpolated_precision(scored: DataFrame, support: DataFrame, cls: str = "label", levels: int = 100, buckets: int = 1_024) -> DataFrame:
+    """(cls, threshold, ap): the mean over the recalls 0, 1/levels, ..., 1 of the best precision at that recall or more.
+
+    scored: cls, conf (0 to 1), and hits, a map from thresholds to the number (0 or 1) of truths that the prediction finds;
+    support: cls, total_truth. Rows are counted by confidence first, equal ones are one step; sums run over buckets of
+    confidence and then inside a bucket; a class and threshold then has a row a level of recall.
+    """
+    single = scored.select(cls, "conf", F.explode("hits").alias("threshold", "hit"))
+    counts = single.groupBy(cls, "conf", "threshold").agg(F.count("*").alias("n"), F.sum("hit").alias("h"))
+    counts = counts.withColumn("bucket", F.least(F.floor(F.col("conf") * buckets), F.lit(buckets - 1)))
+    keys = [cls, "threshold"]
+    above = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("bn"), F.sum("h").alias("bh"))
+    sums = sums.select(*keys, "bucket", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n_above"), F.coalesce(F.sum("bh").over(above), F.lit(0)).alias("h_above"))
+    inside = Window.partitionBy(*keys, "bucket").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumns({"n_upto": F.sum("n").over(inside), "h_upto": F.sum("h").over(inside)}).join(sums, [*keys, "bucket"])
+    steps = steps.select(*keys, (F.col("h_upto") + F.col("h_above")).alias("h"), (F.col("n_upto") + F.col("n_above")).alias("n")).join(support, cls)
+    reached = steps.filter("total_truth > 0").withColumn("level", F.floor(F.lit(levels) * F.col("h") / F.col("total_truth")))
+    best = reached.groupBy(*keys, "level").agg(F.max(F.col("h") / F.col("n")).alias("p"))
+    # a row stands for the levels from its own down to the next lower row's
+    up = Window.partitionBy(*keys).orderBy(F.desc("level"))
+    best = best.withColumns({"p": F.max("p").over(up.rowsBetween(Window.unboundedPreceding, 0)), "below": F.lead("level", 1, -1).over(up)})
+    return best.groupBy(*keys).agg((F.sum(F.col("p") * (F.col("level") - F.col("below"))) / (levels + 1)).alias("ap"))
+
+
+def mean_average_precision(pairs: DataFrame, predictions: DataFrame, truth: DataFrame, keys: list[str], cls: str = "label", thresholds: list[float] = IOUS) -> DataFrame:
+    """(cls, threshold, ap): average precision of every class of the truth at each threshold of IoU, and with null thresholds its mean over them.
+
+    pairs: keys, cls, truth_id, pred_id, conf, iou of truths and predictions of one class; predictions: keys, cls, pred_id,
+    conf; truth: cls. Classes without predictions have 0; predictions of classes without truths count for nothing.
+    """
+    matched = match_by_confidence(pairs, [*keys, cls], thresholds)
+    hits = matched.groupBy(*keys, cls, "pred_id").agg(F.collect_set("threshold").alias("found"))
+    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    scored = predictions.select(*keys, cls, "pred_id", "conf").join(hits, [*keys, cls, "pred_id"], "left")
+    hit = F.map_from_arrays(grid, F.transform(grid, lambda t: F.coalesce(F.array_contains("found", t), F.lit(False)).cast("int")))
+    support = truth.groupBy(cls).agg(F.count("*").alias("total_truth"))
+    found = interpolated_precision(scored.select(cls, "conf", hit.alias("hits")), support, cls)
+    every = support.select(cls, F.explode(grid).alias("threshold")).join(found, [cls, "threshold"], "left").na.fill(0.0, ["ap"])
+    return every.unionByName(every.groupBy(cls).agg(F.lit(None).cast("double").alias("threshold"), F.avg("ap").alias("ap")))
+
+
 def of_all_classes(metrics: DataFrame, classes: DataFrame, cls: str = "label") -> DataFrame:
     """Metrics of every class in `classes`; 0 where a class was not evaluated."""
     kept = [c for c in metrics.columns if c != cls]

@@ -48,13 +48,13 @@ def merge_sliced(detections: DataFrame, key: str = "source_id", label: str = "la
     detections: key, det_id, label, conf, points (convex quadrilaterals in the coordinates of the whole picture). The more
     confident one stays, by det_id on ties, unless a better one already removed it.
     """
-    from .evaluate import checkpointed
-    from .spatial import convex_pairs
+    from ..session import checkpointed
+    from .spatial import polygon_pairs
 
     d = checkpointed(detections)
     a = d.select(key, F.col("det_id").alias("a"), F.col(label).alias("__label"), F.col("conf").alias("conf_a"), F.col("points").alias("truth_points"))
     b = d.select(key, F.col("det_id").alias("b"), F.col(label).alias("__other"), F.col("conf").alias("conf_b"), F.col("points").alias("pred_points"))
-    pairs = convex_pairs(a, b, key, size)
+    pairs = polygon_pairs(a, b, key, size)
     better = (F.col("conf_a") > F.col("conf_b")) | ((F.col("conf_a") == F.col("conf_b")) & (F.col("a") < F.col("b")))
     size_a, size_b = quads.area(F.col("truth_points")), quads.area(F.col("pred_points"))
     common = F.col("iou") * (size_a + size_b) / (1 + F.col("iou"))

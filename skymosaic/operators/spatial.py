@@ -4,48 +4,45 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quads as Q
-from ..functions.geometry import area, bounds, clip_to_box, let
+from ..functions.geometry import area, bounds, clip_to_box, is_convex_quad, let, polygon_iou
+from . import quadtree
 
 
-def cells(x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> Column:
-    """array<struct<cx,cy>> of the cells that a box meets, its edges included."""
-    low = lambda v: F.floor(v / size)
-    return F.flatten(F.transform(F.sequence(low(x0), low(x1)), lambda i: F.transform(F.sequence(low(y0), low(y1)), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
-
-
-def box_join(left: DataFrame, right: DataFrame, key: str, size: float = 384.0, salts: int = 1) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000, depth: int = 5) -> DataFrame:
     """Pairs of equal `key` whose boxes `lbox` and `rbox` (struct x0,y0,x1,y1) meet; no pair twice.
 
-    Both sides are dealt to grid cells; a pair is kept in the lowest cell that both boxes meet, so there is no distinct.
-    A crowded cell is split by `salts`: right rows take one salt, left rows are repeated for each.
+    Both sides are dealt to grid cells of `size`; a pair is kept in the cell that holds the lowest corner of what both boxes
+    share, so there is no distinct. Cells that more than `most` boxes meet are split in four, `depth` times at most, where
+    their load says that this helps, else salted (`quadtree.crowded`); None leaves the grid as it is.
     """
-    deal = lambda df, b: df.withColumn("cell", F.explode(cells(F.col(f"{b}.x0"), F.col(f"{b}.y0"), F.col(f"{b}.x1"), F.col(f"{b}.y1"), size)))
-    a, b = deal(left, "lbox"), deal(right, "rbox").withColumnRenamed(key, "__key").withColumnRenamed("cell", "__cell")
+    a, b = left, right.withColumnRenamed(key, "__key")
+    plan = quadtree.crowded(a.select(F.col(key).alias("key"), F.col("lbox").alias("box")), b.select(F.col("__key").alias("key"), F.col("rbox").alias("box")), size, most, depth) if most else []
+    a, b = quadtree.dealt(a, key, "lbox", size, plan, "left"), quadtree.dealt(b, "__key", "rbox", size, plan, "right", "__cell")
     on = (F.col(key) == F.col("__key")) & (F.col("cell.cx") == F.col("__cell.cx")) & (F.col("cell.cy") == F.col("__cell.cy"))
-    if salts > 1:
-        a = a.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        b = b.withColumn("__salt", F.pmod(F.xxhash64("rbox"), F.lit(salts)).cast("int"))
-        on = on & (F.col("salt") == F.col("__salt"))
+    if plan:
+        on = on & (F.col("cell.level") == F.col("__cell.level")) & (F.col("cell.l") == F.col("__cell.l")) & (F.col("cell.r") == F.col("__cell.r"))
     meet = (F.col("lbox.x0") <= F.col("rbox.x1")) & (F.col("rbox.x0") <= F.col("lbox.x1")) & (F.col("lbox.y0") <= F.col("rbox.y1")) & (F.col("rbox.y0") <= F.col("lbox.y1"))
-    first = (F.col("cell.cx") == F.floor(F.greatest("lbox.x0", "rbox.x0") / size)) & (F.col("cell.cy") == F.floor(F.greatest("lbox.y0", "rbox.y0") / size))
-    return a.join(b, on & meet & first).drop("cell", "__cell", "__key", "salt", "__salt")
+    level = F.col("cell.level") if plan else 0
+    first = (F.col("cell.cx") == quadtree.place(F.greatest("lbox.x0", "rbox.x0"), size, level)) & (F.col("cell.cy") == quadtree.place(F.greatest("lbox.y0", "rbox.y0"), size, level))
+    return a.join(b, on & meet & first).drop("cell", "__cell", "__key")
 
 
-def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible: float = 0.25, size: float = 384.0, keep_all: bool = False, salts: int = 1, quads: bool = False) -> DataFrame:
+def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible: float = 0.25, size: float = 384.0, keep_all: bool = False, quads: bool = False, most: int | None = 100_000) -> DataFrame:
     """Tiles with the annotations of which at least a share is visible; `clip` is the visible polygon.
 
     tiles: source_id, x_off, y_off, tw, th; annotations: source_id, points. `keep_all` also keeps what shows less. With
-    `quads` every annotation has four corners, so bounds and whole areas are compiled. Only pairs that cross an edge are cut.
+    `quads` every annotation has four corners, so bounds and whole areas are compiled. Only pairs that cross an edge are cut,
+    and only at the sides that they cross.
     """
     t = tiles.withColumn("lbox", F.struct(F.col("x_off").cast("double").alias("x0"), F.col("y_off").cast("double").alias("y0"), (F.col("x_off") + F.col("tw")).cast("double").alias("x1"), (F.col("y_off") + F.col("th")).cast("double").alias("y1")))
     a = annotations.withColumns({"rbox": (Q.bounds if quads else bounds)(F.col("points")), "full": (Q.area if quads else area)(F.col("points"))})
-    pairs = box_join(t, a, "source_id", size, salts)
+    pairs = box_join(t, a, "source_id", size, most)
     inside = (F.col("rbox.x0") >= F.col("lbox.x0")) & (F.col("rbox.x1") <= F.col("lbox.x1")) & (F.col("rbox.y0") >= F.col("lbox.y0")) & (F.col("rbox.y1") <= F.col("lbox.y1"))
-    clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"))
+    clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"), F.col("rbox"))
     told = lambda c, share: F.struct(c.alias("clip"), F.when(F.col("full") > 0, share).otherwise(F.lit(0.0)).alias("visible"))
     both = F.when(inside, told(F.col("points"), F.lit(1.0))).otherwise(let(clip, lambda c: told(c, area(c) / F.col("full"))))
     # filtered inside an array: a filter above the projection would be pushed below it and clip every pair twice
@@ -96,23 +93,29 @@ def _shoelace(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n < 3, 0.0, out / 2)
 
 
-def convex_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0) -> DataFrame:
-    """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points (convex quadrilaterals).
+def polygon_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000) -> DataFrame:
+    """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points, rings of any number of corners.
 
-    Cutting one by one in higher-order functions is interpreted; Arrow batches of pairs cut together are some times faster.
+    Pairs of convex quadrilaterals, the common case, are cut together in Arrow batches; all others go through `polygon_iou`.
+    A ring that bounds no valid polygon has IoU 0 with everything.
     """
-    pairs = box_join(truth.withColumn("lbox", Q.bounds(F.col("truth_points"))), predictions.withColumn("rbox", Q.bounds(F.col("pred_points"))), key, size)
+    told = lambda df, c, box: df.withColumns({box: bounds(F.col(c)), f"__{box}": is_convex_quad(F.col(c))})
+    pairs = box_join(told(truth.filter(F.size("truth_points") > 0), "truth_points", "lbox"), told(predictions.filter(F.size("pred_points") > 0), "pred_points", "rbox"), key, size, most)
 
     @F.pandas_udf("double")
     def common(parts: pd.DataFrame) -> pd.Series:
         m = parts.to_numpy(float)
-        return pd.Series(quad_common_area(m[:, 0:4], m[:, 4:8], m[:, 8:12], m[:, 12:16]))
+        out, plain = np.zeros(len(m)), ~np.isnan(m).any(1)
+        if plain.any():
+            out[plain] = quad_common_area(m[plain, 0:4], m[plain, 4:8], m[plain, 8:12], m[plain, 12:16])
+        return pd.Series(out)
 
-    flat = [F.col(c)[k][f].alias(f"{c}{k}{f}") for c in ("truth_points", "pred_points") for f in "xy" for k in range(4)]
+    plain = F.col("__lbox") & F.col("__rbox")
+    flat = [F.when(plain, F.get(c, F.lit(k))[f]).alias(f"{c}{k}{f}") for c in ("truth_points", "pred_points") for f in "xy" for k in range(4)]
     pairs = pairs.withColumn("common", common(F.struct(*flat)))
-    union = Q.area(F.col("truth_points")) + Q.area(F.col("pred_points")) - F.col("common")
-    iou = let(union, lambda s: F.when(s > 0, F.least(F.lit(1.0), F.col("common") / s)).otherwise(F.lit(0.0)))
-    return pairs.withColumn("iou", iou).drop("lbox", "rbox", "common")
+    union = lambda s: s["full"] - s["common"]
+    quad = let(F.struct((area(F.col("truth_points")) + area(F.col("pred_points"))).alias("full"), "common"), lambda s: F.when(union(s) > 0, F.least(F.lit(1.0), s["common"] / union(s))).otherwise(F.lit(0.0)))
+    return pairs.withColumn("iou", F.when(plain, quad).otherwise(polygon_iou(F.col("truth_points"), F.col("pred_points")))).drop("lbox", "rbox", "__lbox", "__rbox", "common")
 
 
 def land_ratio(tiles: DataFrame, pieces: DataFrame, size: float) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import checkpointed
+from ..session import checkpointed
 
 SPLITS = ("train", "val", "test")
 TARGETS = {"train": 0.70, "val": 0.15, "test": 0.15}

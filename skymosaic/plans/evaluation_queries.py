@@ -16,7 +16,7 @@ from .registry import area, quad, query
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = frame(spark, sf_dir, "truth").select("source_id", F.col("ann_id").alias("truth_id"), F.col("points").alias("truth_points"))
     predictions = frame(spark, sf_dir, "predictions").select(F.col("source_id"), "pred_id", "label", "conf", F.col("points").alias("pred_points"))
-    return spatial.convex_pairs(truth, predictions, "source_id")
+    return spatial.polygon_pairs(truth, predictions, "source_id")
 
 
 @query("SELECT truth_id, pred_id, round(iou, 6) iou FROM candidates WHERE iou > 0")
@@ -79,7 +79,7 @@ def match_invalid_truth(spark, sf_dir):
     crossed = F.array(*[F.col("points")[k] for k in (0, 2, 1, 3)])
     truth = truth.select("source_id", F.col("ann_id").alias("truth_id"), F.when(F.col("l_partkey") % 10 == 3, crossed).otherwise(F.col("points")).alias("points"))
     valid = evaluate.matchable(truth)
-    found = spatial.convex_pairs(valid.withColumnRenamed("points", "truth_points"), predictions.select("source_id", "pred_id", F.col("points").alias("pred_points")), "source_id")
+    found = spatial.polygon_pairs(valid.withColumnRenamed("points", "truth_points"), predictions.select("source_id", "pred_id", F.col("points").alias("pred_points")), "source_id")
     return _scored(evaluate.outcome_counts(truth, predictions, evaluate.greedy_match(found, ["source_id"]), valid=valid))
 
 
@@ -155,6 +155,17 @@ def average_precision_by_label(spark, sf_dir):
     return evaluate.average_precision(scored, support).select("label", "total_truth", F.round("average_precision", 6).alias("average_precision"))
 
 
+@query("SELECT label, t threshold, round(ap, 6) ap FROM ap UNION ALL SELECT label, NULL, round(avg(ap), 6) FROM ap GROUP BY label")
+def map_by_label(spark, sf_dir):
+    """Average precision of each class at IoU 0.5 to 0.95, and their mean; predictions are matched in falling confidence within their class."""
+    label = F.concat(F.lit("prompt_"), (F.col("l_linenumber") % 3).cast("string")).alias("label")
+    truth = frame(spark, sf_dir, "truth").select("source_id", F.col("ann_id").alias("truth_id"), label, F.col("points").alias("truth_points"))
+    predictions = frame(spark, sf_dir, "predictions").select("source_id", "pred_id", "label", "conf", F.col("points").alias("pred_points"))
+    pairs = spatial.polygon_pairs(truth.withColumnRenamed("label", "truth_label"), predictions, "source_id").filter("label = truth_label")
+    found = evaluate.mean_average_precision(pairs, predictions, truth, ["source_id"])
+    return found.select("label", "threshold", F.round("ap", 6).alias("ap"))
+
+
 _PER_CLASS = "SELECT concat('class_', CAST(quality AS STRING)) class_name, count(*) support, avg(toxic) p, avg(1-toxic) r FROM labels GROUP BY quality"
 
 

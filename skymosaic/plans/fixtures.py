@@ -70,7 +70,7 @@ def with_needed(query: str, spark: bool = False) -> str:
     visit(query)
     if not order:
         return query if spark else query.replace("STRING", "VARCHAR")
-    recursive = "RECURSIVE " if any(f"FROM {n} " in DEFINITIONS[n] for n in order) else ""
+    recursive = "RECURSIVE " if any(re.search(rf"FROM {n} ", DEFINITIONS[n]) for n in order) else ""
     text = f"WITH {recursive}" + ",\n".join(f"{n} AS ({DEFINITIONS[n]})" for n in order) + "\n" + query
     return text if spark else text.replace("STRING", "VARCHAR")
 

@@ -100,3 +100,25 @@ greedy("source_id, label", "matched_by_label")
 #: Truths whose corners are written crosswise, for the matching of invalid polygons.
 DEFINITIONS["candidates_valid"] = "SELECT c.source_id, c.truth_id, c.pred_id, c.iou FROM candidates c JOIN (SELECT ann_id FROM truth WHERE l_partkey%10 <> 3) v ON c.truth_id = v.ann_id"
 greedy("source_id", "matched_valid", "candidates_valid")
+
+#: Candidates of one class, and predictions in falling confidence choosing truths at ten thresholds.
+DEFINITIONS["ious"] = "SELECT (50+5*k)/100e0 t FROM (SELECT unnest(range(10)) k) g"
+DEFINITIONS["same_class"] = "SELECT c.source_id, c.label, c.conf, c.truth_id, c.pred_id, c.iou FROM candidates c JOIN truth t ON c.truth_id = t.ann_id AND c.source_id = t.source_id WHERE c.label = concat('prompt_', CAST(t.l_linenumber%3 AS STRING)) AND c.iou >= 0.5e0"
+DEFINITIONS["confident_turns"] = """
+        SELECT *, row_number() OVER (PARTITION BY source_id, label, t ORDER BY conf DESC, pred_id) k FROM
+        (SELECT source_id, label, t, conf, pred_id, list({'iou': iou, 'tid': truth_id} ORDER BY iou DESC, truth_id) cands FROM same_class JOIN ious ON iou >= t GROUP BY ALL) g"""
+DEFINITIONS["confident_steps"] = """
+        SELECT source_id, label, t, CAST(0 AS BIGINT) k, CAST(NULL AS STRING) pred_id, CAST(NULL AS STRUCT(iou DOUBLE, tid STRING)) pick, CAST([] AS STRING[]) used FROM confident_turns WHERE k = 1
+        UNION ALL
+        SELECT o.source_id, o.label, o.t, o.k, o.pred_id, list_filter(o.cands, lambda v: NOT list_contains(r.used, v.tid))[1],
+               list_append(r.used, list_filter(o.cands, lambda v: NOT list_contains(r.used, v.tid))[1].tid)
+        FROM confident_steps r JOIN confident_turns o ON o.source_id = r.source_id AND o.label = r.label AND o.t = r.t AND o.k = r.k + 1"""
+DEFINITIONS["confident"] = "SELECT source_id, label, t, pred_id FROM confident_steps WHERE pick IS NOT NULL"
+DEFINITIONS["ap_steps"] = """
+        SELECT label, t, sum(n) OVER w n, sum(h) OVER w h FROM (
+          SELECT p.label, g.t, p.conf, count(*) n, count(m.pred_id) h FROM predictions p CROSS JOIN ious g
+          LEFT JOIN confident m ON m.source_id = p.source_id AND m.label = p.label AND m.t = g.t AND m.pred_id = p.pred_id GROUP BY 1, 2, 3) a WINDOW w AS (PARTITION BY label, t ORDER BY conf DESC)"""
+DEFINITIONS["ap"] = """
+        SELECT label, t, sum(coalesce(best, 0e0))/101 ap FROM (
+          SELECT s.label, g.t, r.k, (SELECT max(h/CAST(n AS DOUBLE)) FROM ap_steps a WHERE a.label = s.label AND a.t = g.t AND 100*a.h >= r.k*s.total) best
+          FROM (SELECT concat('prompt_', CAST(l_linenumber%3 AS STRING)) label, count(*) total FROM truth GROUP BY 1) s CROSS JOIN ious g CROSS JOIN (SELECT unnest(range(101)) k) r) b GROUP BY 1, 2"""

@@ -1,114 +1,40 @@
-"""Pictures with places: headers and windows of TIFF files, and tiles written as PNG or TIFF.
+"""Pictures with places: headers, windows and tile grids of TIFF files, and tiles written as PNG or TIFF.
 
-A file is one row of Spark's `binaryFile`; only the strips that a window meets are unpacked. Strips may be plain or deflated,
-samples are 8 or 16 bits, unsigned, interleaved by pixel. What a file lacks or hides is told in its row's `error`.
+Files are read by byte ranges where the windows are wanted: a task opens a file, reads its header and fetches the strips or
+tiles of the format that its windows meet, so what is read grows with what is asked for, not with the files. `register` makes
+two data sources known: `raster_tiles`, the grid of windows over all files of a folder, into which filters on the file's
+stem and the window's place are pushed, and `tile_files`, which writes tiles as files that appear together or not at all. What
+a file lacks or hides is told in its row's `error`. Kinds of files: see `tiff`.
 """
 
 from __future__ import annotations
 
-import os
+import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
 
+from .files import Ranges, located
 from .tables import stem
+from .tiff import Picture, header_of, tiff_bytes, window_of
 
-# Tags and types of the TIFF format, keys of its geographic extension.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
-SCALE, TIE, MATRIX, KEYS = 33550, 33922, 34264, 34735
-SIZES = {1: "B", 2: "c", 3: "H", 4: "I", 5: "Q", 12: "d", 16: "Q"}
-PLAIN, DEFLATE, OLD_DEFLATE = 1, 8, 32946
-PROJECTED, GEOGRAPHIC = 3072, 2048
+__all__ = ["encoded_tiles", "header_of", "png_bytes", "read_headers", "read_tiles", "read_windows", "register", "tiff_bytes", "tile_name", "window_of", "write_tiles"]
 
 HEADER = "width int, height int, bands int, epsg int, transform struct<a:double,b:double,c:double,d:double,e:double,f:double>"
-
-
-def tags_of(content: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and tags of the first picture of a file."""
-    order = {b"II*\0": "<", b"MM\0*": ">"}.get(content[:4])
-    if order is None:
-        raise ValueError("no TIFF file")
-    at = struct.unpack_from(order + "I", content, 4)[0]
-    found = {}
-    for k in range(struct.unpack_from(order + "H", content, at)[0]):
-        tag, kind, n = struct.unpack_from(order + "HHI", content, at + 2 + 12 * k)
-        if kind not in SIZES:
-            continue
-        form = f"{order}{n}{SIZES[kind]}"
-        place = at + 10 + 12 * k
-        if struct.calcsize(form) > 4:
-            place = struct.unpack_from(order + "I", content, place)[0]
-        found[tag] = struct.unpack_from(form, content, place)
-    return order, found
-
-
-def header_of(content: bytes) -> dict:
-    _, t = tags_of(content)
-    if MATRIX in t:
-        m = t[MATRIX]
-        transform = (m[0], m[1], m[3], m[4], m[5], m[7])
-    elif SCALE in t and TIE in t:
-        (sx, sy), (i, j, _, x, y) = t[SCALE][:2], t[TIE][:5]
-        transform = (sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy)
-    else:
-        transform = None
-    keys = t.get(KEYS, ())
-    known = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
-    epsg = known.get(PROJECTED, known.get(GEOGRAPHIC))
-    return {"width": t[WIDTH][0], "height": t[HEIGHT][0], "bands": t.get(SAMPLES, (1,))[0], "epsg": epsg, "transform": transform and dict(zip("abcdef", map(float, transform)))}
-
-
-def window_of(content: bytes, x: int, y: int, width: int, height: int) -> np.ndarray:
-    """height x width x bands of a window; what lies outside the picture is cut off."""
-    order, t = tags_of(content)
-    w, h, bands, bits = t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, (1,))[0], t[BITS][0]
-    if bits not in (8, 16) or t.get(PLANAR, (1,))[0] != 1 and bands > 1 or OFFSETS not in t or t.get(COMPRESSION, (PLAIN,))[0] not in (PLAIN, DEFLATE, OLD_DEFLATE):
-        raise ValueError("samples must be 8 or 16 bits, by pixel, in plain or deflated strips")
-    packed = t.get(COMPRESSION, (PLAIN,))[0] != PLAIN
-    rows = min(t.get(ROWS, (h,))[0], h)
-    x0, y0, x1, y1 = max(x, 0), max(y, 0), min(x + width, w), min(y + height, h)
-    kind = np.dtype(f"{order}u{bits // 8}")
-    if x1 <= x0 or y1 <= y0:
-        return np.zeros((0, 0, bands), kind)
-    parts = []
-    for s in range(y0 // rows, (y1 - 1) // rows + 1):
-        data = content[t[OFFSETS][s] : t[OFFSETS][s] + t[COUNTS][s]]
-        strip = np.frombuffer(zlib.decompress(data) if packed else data, kind)
-        n = min(rows, h - s * rows)
-        parts.append(strip[: n * w * bands].reshape(n, w, bands)[max(y0 - s * rows, 0) : y1 - s * rows, x0:x1])
-    return np.concatenate(parts)
-
-
-def tiff_bytes(x: np.ndarray, transform: Sequence[float] | None = None, epsg: int | None = None, packed: bool = True) -> bytes:
-    """A TIFF of rows x columns x bands (8 or 16 bits), with its place where one is given."""
-    h, w, bands = x.shape
-    rows = max(1, 65_536 // max(1, w * bands * x.itemsize))
-    strips = [np.ascontiguousarray(x[i : i + rows]).astype(x.dtype.newbyteorder("<")).tobytes() for i in range(0, h, rows)]
-    strips = [zlib.compress(s) for s in strips] if packed else strips
-    starts = np.cumsum([8, *map(len, strips)]).tolist()
-    entries = [(WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (8 * x.itemsize,) * bands), (COMPRESSION, 3, (DEFLATE if packed else PLAIN,)), (PHOTOMETRIC, 3, (2 if bands >= 3 else 1,)), (OFFSETS, 4, tuple(starts[:-1])), (SAMPLES, 3, (bands,)), (ROWS, 4, (rows,)), (COUNTS, 4, tuple(map(len, strips))), (PLANAR, 3, (1,))]
-    if transform is not None:
-        a, b, c, d, e, f = transform
-        entries.append((MATRIX, 12, (a, b, 0.0, c, d, e, 0.0, f, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0)))
-    if epsg is not None:
-        entries.append((KEYS, 3, (1, 1, 0, 2, 1024, 0, 1, 2 if epsg == 4326 else 1, GEOGRAPHIC if epsg == 4326 else PROJECTED, 0, 1, epsg)))
-    at = starts[-1] + starts[-1] % 2
-    extra, fields = b"", b""
-    after = at + 2 + 12 * len(entries) + 4
-    for tag, kind, values in entries:
-        data = struct.pack(f"<{len(values)}{SIZES[kind]}", *values)
-        if len(data) > 4:
-            fields += struct.pack("<HHII", tag, kind, len(values), after + len(extra))
-            extra += data + b"\0" * (len(data) % 2)
-        else:
-            fields += struct.pack("<HHI", tag, kind, len(values)) + data.ljust(4, b"\0")
-    body = b"".join(strips)
-    return struct.pack("<2sHI", b"II", 42, at) + body + b"\0" * (len(body) % 2) + struct.pack("<H", len(entries)) + fields + struct.pack("<I", 0) + extra
+WINDOW = "stem string, x_off long, y_off long, height int, width int, bands int, samples array<double>, fetched long, error string"
+FAULTS = (ValueError, KeyError, IndexError, struct.error, OSError)
+#: Windows of a file that one task reads, in rows of windows that lie together.
+GROUP = 64
 
 
 def png_bytes(x: np.ndarray) -> bytes:
@@ -119,47 +45,236 @@ def png_bytes(x: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, {1: 0, 3: 2}[bands], 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
 
 
-def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select(stem(F.col("path")).alias("stem"), "content")
+def _listed(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, stem) of files; their contents are not read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", stem(F.col("path")).alias("stem"))
 
 
 def read_headers(spark: SparkSession, path: str, glob: str = "*.[tT][iI][fF]*") -> DataFrame:
-    """(stem, width, height, bands, epsg, transform, error) of each file; no pixel is unpacked."""
+    """(stem, width, height, bands, epsg, transform, error) of each file; no pixel is read."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for name, content in zip(frame["stem"], frame["content"]):
+            for place, name in zip(frame["path"], frame["stem"]):
                 try:
-                    rows.append({"stem": name, **header_of(bytes(content)), "error": None})
-                except (ValueError, KeyError, struct.error) as e:  # the file's fault: told in its row
+                    source = Ranges(place)
+                    rows.append({"stem": name, **header_of(source), "error": None})
+                    source.close()
+                except FAULTS as e:  # the file's fault: told in its row
                     rows.append({"stem": name, "width": None, "height": None, "bands": None, "epsg": None, "transform": None, "error": str(e)})
             yield pd.DataFrame(rows).astype({c: "Int32" for c in ("width", "height", "bands", "epsg")})
 
-    return _files(spark, path, glob).mapInPandas(work, f"stem string, {HEADER}, error string")
-
-
-def read_windows(spark: SparkSession, path: str, windows: DataFrame, glob: str = "*.[tT][iI][fF]*") -> DataFrame:
-    """(stem, x_off, y_off, height, width, bands, samples, error) of the windows (stem, x_off, y_off, w, h) asked for.
-
-    The windows of a file meet it once, so its bytes travel once, whatever their number.
+    return _listed(spark, path, glob).mapInPandas(work, f"stem string, {HEADER}, error string")
+
+
+def _windows(path: str, name: str, wanted: list[tuple[int, int, int, int]]) -> Iterator[tuple]:
+    """Rows of WINDOW for windows (x, y, w, h) of one file, from the top down; blocks are kept for a row of windows."""
+    source = picture = None
+    fault = None
+    try:
+        source = Ranges(path)
+        picture = Picture(source)
+    except FAULTS as e:
+        fault = str(e)
+    blocks: dict = {}
+    row = None
+    for x, y, w, h in sorted(wanted, key=lambda v: (v[1], v[0])):
+        if picture is None:
+            yield (name, x, y, None, None, None, None, source.fetched if source else 0, fault)
+            continue
+        if y != row:
+            blocks = {k: v for k, v in blocks.items() if (k[1] + 1) * picture.block_h > y}
+            row = y
+        before = source.fetched
+        try:
+            found = picture.window(x, y, w, h, blocks)
+            yield (name, x, y, *found.shape, found.astype(float).ravel(), source.fetched - before, None)
+        except FAULTS as e:
+            yield (name, x, y, None, None, None, None, source.fetched - before, str(e))
+    if source:
+        source.close()
+
+
+def read_windows(spark: SparkSession, path: str, windows: DataFrame, glob: str = "*.[tT][iI][fF]*", group: int = GROUP) -> DataFrame:
+    """WINDOW rows of the windows (stem, x_off, y_off, w, h) asked for; `fetched` counts the bytes that a window made the task read.
+
+    Windows go to tasks by file and by bands of 4,096 rows of pixels, `group` at most for each opening of the file.
     """
-    asked = windows.groupBy("stem").agg(F.collect_list(F.struct("x_off", "y_off", "w", "h")).alias("windows"))
+    band = F.floor(F.col("y_off") / 4096)
+    asked = windows.join(_listed(spark, path, glob), "stem").withColumn("band", band)
+    asked = asked.select("path", "stem", "band", F.struct("y_off", "x_off", "w", "h").alias("v")).repartition("path", "band").sortWithinPartitions("path", "band", "v")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in WINDOW.split(", ")]
         for frame in frames:
-            for name, content, wanted in zip(frame["stem"], frame["content"], frame["windows"]):
-                rows = []
-                for v in wanted:
-                    place = (int(v["x_off"]), int(v["y_off"]))
-                    try:
-                        x = window_of(bytes(content), *place, int(v["w"]), int(v["h"]))
-                        rows.append((name, *place, *x.shape, x.astype(float).ravel(), None))
-                    except (ValueError, KeyError, struct.error, zlib.error) as e:
-                        rows.append((name, *place, None, None, None, None, str(e)))
-                yield pd.DataFrame(rows, columns=["stem", "x_off", "y_off", "height", "width", "bands", "samples", "error"]).astype({c: "Int32" for c in ("height", "width", "bands")})
+            for (place, name, _), mine in frame.groupby(["path", "stem", "band"], sort=False):
+                views = [(int(v["x_off"]), int(v["y_off"]), int(v["w"]), int(v["h"])) for v in mine["v"]]
+                for k in range(0, len(views), group):
+                    rows = list(_windows(place, name, views[k : k + group]))
+                    yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("height", "width", "bands")})
+
+    return asked.mapInPandas(work, WINDOW)
+
+
+@dataclass
+class Rows(D.InputPartition):
+    """Some rows of windows of one file: the k-th of n groups."""
+
+    path: str
+    name: str
+    k: int
+    n: int
+
+
+class TilesReader(D.DataSourceReader):
+    """Windows of `tile` pixels every `stride` pixels over each file of a folder; a partition holds some rows of windows of one file."""
+
+    def __init__(self, options: dict):
+        self.path, self.glob = options["path"], options.get("glob", r".*\.[tT][iI][fF]+")
+        self.tile = int(options.get("tile", 768))
+        self.stride, self.groups = int(options.get("stride", self.tile)), int(options.get("groups", 8))
+        if min(self.tile, self.stride, self.groups) < 1:
+            raise ValueError("tile, stride and groups must be 1 at least")
+        self.stems: set | None = None
+        self.low = {"x_off": None, "y_off": None}
+        self.high = {"x_off": None, "y_off": None}
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Takes equality and lists of stems, and comparisons of places; Spark applies all others itself."""
+        for f in filters:
+            name = ".".join(f.attribute) if getattr(f, "attribute", None) else None
+            if isinstance(f, (D.EqualTo, D.In)) and name == "stem":
+                chosen = {f.value} if isinstance(f, D.EqualTo) else set(f.value)
+                self.stems = chosen if self.stems is None else self.stems & chosen
+            elif name in self.low and isinstance(f, (D.EqualTo, D.GreaterThan, D.GreaterThanOrEqual, D.LessThan, D.LessThanOrEqual)):
+                strict = isinstance(f, (D.GreaterThan, D.LessThan))
+                if not isinstance(f, (D.LessThan, D.LessThanOrEqual)):
+                    self.low[name] = max(x for x in (self.low[name], f.value + strict) if x is not None)
+                if not isinstance(f, (D.GreaterThan, D.GreaterThanOrEqual)):
+                    self.high[name] = min(x for x in (self.high[name], f.value - strict) if x is not None)
+            else:
+                yield f
+
+    def partitions(self) -> list[Rows]:
+        filesystem, at = located(self.path)
+        found = filesystem.get_file_info(at)
+        files = [found] if found.type == fs.FileType.File else filesystem.get_file_info(fs.FileSelector(at, recursive=True))
+        parts = []
+        for info in sorted(files, key=lambda i: i.path):
+            name = re.sub(r"\.[^.]*$", "", info.base_name)
+            if info.type == fs.FileType.File and re.fullmatch(self.glob, info.base_name) and (self.stems is None or name in self.stems):
+                scheme = re.match(r"[a-z0-9]+://[^/]*", self.path)
+                full = info.path if not scheme or self.path.startswith("file:") else self._uri(scheme[0], info.path)
+                parts += [Rows(full, name, k, self.groups) for k in range(self.groups)]
+        return parts
+
+    @staticmethod
+    def _uri(scheme: str, path: str) -> str:
+        """Stores differ in whether a path holds the bucket that the URI names."""
+        host = scheme.split("://")[1]
+        return f"{scheme.split('://')[0]}://{path.lstrip('/')}" if host and path.lstrip("/").startswith(host) else f"{scheme}/{path.lstrip('/')}"
+
+    def read(self, part: Rows) -> Iterator[tuple]:
+        keep = lambda name, v: (self.low[name] is None or v >= self.low[name]) and (self.high[name] is None or v <= self.high[name])
+        try:
+            source = Ranges(part.path)
+            head = header_of(source)
+            source.close()
+        except FAULTS as e:
+            if part.k == 0:
+                yield (part.name, None, None, None, None, None, None, 0, str(e))
+            return
+        rows = range(0, head["height"], self.stride)
+        mine = [y for i, y in enumerate(rows) if i * part.n // len(rows) == part.k and keep("y_off", y)]
+        wanted = [(x, y, self.tile, self.tile) for y in mine for x in range(0, head["width"], self.stride) if keep("x_off", x)]
+        if wanted:
+            for row in _windows(part.path, part.name, wanted):
+                yield (*row[:6], None if row[6] is None else row[6].tolist(), *row[7:])
+
+
+class Tiles(D.DataSource):
+    """Option `path` (a folder or a file), `tile`, `stride`, `groups` (partitions a file), `glob` (a regular expression of file names)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "raster_tiles"
+
+    def schema(self) -> str:
+        return WINDOW
+
+    def reader(self, schema) -> TilesReader:
+        return TilesReader(dict(self.options))
+
+
+@dataclass
+class Written(D.WriterCommitMessage):
+    """Names that one task has written, and where."""
+
+    folder: str
+    names: list
+
+
+class FilesWriter(D.DataSourceWriter):
+    """Rows (name, content) as files of a folder. Tasks write beside the folder's files, the driver moves what finished tasks
+    report once all have finished, and takes the rest away: a job that fails leaves nothing, a task that runs twice leaves one file."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+
+    def write(self, rows: Iterator) -> Written:
+        filesystem, at = located(self.path)
+        folder = f"{at}/_{self.job}/{uuid.uuid4().hex}"
+        filesystem.create_dir(folder, recursive=True)
+        names = []
+        for r in rows:
+            with filesystem.open_output_stream(f"{folder}/{r.name}") as f:
+                f.write(bytes(r.content))
+            names.append(r.name)
+        return Written(folder, names)
+
+    def commit(self, messages: list) -> None:
+        filesystem, at = located(self.path)
+        done = [m for m in messages if m is not None]
+        if self.overwrite:
+            for info in filesystem.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+                if info.type == fs.FileType.File:
+                    filesystem.delete_file(info.path)
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda x: filesystem.move(*x), [(f"{m.folder}/{n}", f"{at}/{n}") for m in done for n in m.names]))
+        self._clear(filesystem, at)
+
+    def abort(self, messages: list) -> None:
+        self._clear(*located(self.path))
 
-    return _files(spark, path, glob).join(asked, "stem").mapInPandas(work, "stem string, x_off long, y_off long, height int, width int, bands int, samples array<double>, error string")
+    def _clear(self, filesystem, at: str) -> None:
+        if filesystem.get_file_info(f"{at}/_{self.job}").type == fs.FileType.Directory:
+            filesystem.delete_dir(f"{at}/_{self.job}")
+
+
+class TileFiles(D.DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "tile_files"
+
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def writer(self, schema, overwrite: bool) -> FilesWriter:
+        return FilesWriter(dict(self.options), overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes `raster_tiles` and `tile_files` known to a session, and lets filters reach Python data sources."""
+    spark.dataSource.register(Tiles)
+    spark.dataSource.register(TileFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def read_tiles(spark: SparkSession, path: str, tile: int = 768, stride: int | None = None, groups: int = 8) -> DataFrame:
+    """WINDOW rows of the grid over every file of a folder; filters on stem, x_off and y_off decide what is read."""
+    register(spark)
+    return spark.read.format("raster_tiles").options(path=path, tile=tile, stride=stride or tile, groups=groups).load()
 
 
 def tile_name(stem_: str, x: int, y: int, kind: str) -> str:
@@ -182,15 +297,7 @@ def encoded_tiles(tiles: DataFrame, kind: str = "png", epsg: int | None = None)
     return tiles.mapInPandas(work, "name string, content binary")
 
 
-def write_tiles(encoded: DataFrame, folder: str) -> None:
-    """A file for each row of (name, content) in a folder that all executors share; a task that runs again writes the same bytes."""
-
-    def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            part = os.path.join(folder, f".{r.name}.{os.getpid()}")
-            with open(part, "wb") as f:
-                f.write(r.content)
-            os.replace(part, os.path.join(folder, r.name))
-
-    encoded.select("name", "content").foreachPartition(write)
+def write_tiles(encoded: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """A file for each row of (name, content) in a folder of any store; all appear, or none. Files of the same names are replaced."""
+    register(encoded.sparkSession)
+    encoded.select("name", "content").write.format("tile_files").mode("overwrite" if overwrite else "append").save(folder)

@@ -37,17 +37,6 @@ def test_scores_without_predictions(spark):
     assert (r.tp, r.fn, r.fp, r.precision, r.recall, r.fnr) == (0, 3, 0, 0.0, 0.0, 1.0)
 
 
-def test_box_join_is_that_of_all_pairs(spark):
-    rng = random.Random(2)
-    box = lambda: (lambda x, y: (x, y, x + rng.uniform(0, 900), y + rng.uniform(0, 900)))(rng.uniform(-500, 3000), rng.uniform(-500, 3000))
-    a, b = [(i % 2, i, box()) for i in range(60)], [(i % 2, i, box()) for i in range(60)]
-    kind = "struct<x0:double,y0:double,x1:double,y1:double>"
-    left, right = spark.createDataFrame(a, f"k int, i int, lbox {kind}"), spark.createDataFrame(b, f"k int, j int, rbox {kind}")
-    expected = sorted((i, j) for k, i, p in a for l, j, q in b if k == l and p[0] <= q[2] and q[0] <= p[2] and p[1] <= q[3] and q[1] <= p[3])
-    for salts in (1, 3):
-        assert sorted((r.i, r.j) for r in spatial.box_join(left, right, "k", salts=salts).collect()) == expected
-
-
 def test_tile_join_is_an_equi_join(spark):
     tiles = spark.createDataFrame([(1, 0, 0, 768, 768)], "source_id long, x_off long, y_off long, tw long, th long")
     boxes = spark.createDataFrame([(1, [(1.0, 1.0), (5.0, 1.0), (5.0, 5.0), (1.0, 5.0)])], "source_id long, points array<struct<x:double,y:double>>")
