@@ -82,7 +82,10 @@ def bic(df: DataFrame, model, k: int, vector: str = "pca") -> float:
 def select_by_bic(df: DataFrame, ks: Sequence[int] = range(2, 16), vector: str = "pca", seed: int = 42) -> DataFrame:
     """(k, bic, best): the lowest value, the lowest k on ties."""
     df = df.select(vector).cache()
-    rows = [(k, bic(df, mixture(df, k, vector, seed)[1], k, vector)) for k in ks]
+    try:
+        rows = [(k, bic(df, mixture(df, k, vector, seed)[1], k, vector)) for k in ks]
+    finally:
+        df.unpersist()
     best = min(rows, key=lambda r: (r[1], r[0]))[0]
     return df.sparkSession.createDataFrame([(k, float(b), k == best) for k, b in rows], "k int, bic double, best boolean")
 
@@ -125,10 +128,13 @@ def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int =
 
 def select_by_silhouette(df: DataFrame, id_col: str, ks: Sequence[int] = range(4, 9), vector: str = "pca", seed: int = 42) -> DataFrame:
     """(k, silhouette, best): the highest mean, the lowest k on ties."""
-    rows = []
-    for k in ks:
-        labelled, _ = mixture(df, k, vector, seed)
-        rows.append((k, float(silhouette(labelled.withColumn("__v", vector_to_array(vector)), id_col, "__v", "cluster").agg(F.avg("silhouette")).first()[0])))
+    rows, df = [], df.select(id_col, vector).cache()
+    try:
+        for k in ks:
+            labelled, _ = mixture(df, k, vector, seed)
+            rows.append((k, float(silhouette(labelled.withColumn("__v", vector_to_array(vector)), id_col, "__v", "cluster").agg(F.avg("silhouette")).first()[0])))
+    finally:
+        df.unpersist()
     best = min(rows, key=lambda r: (-r[1], r[0]))[0]
     return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
 

@@ -6,10 +6,12 @@ used. No model, decoder or network is part of this package.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,20 +155,67 @@ def resize(pictures: DataFrame, key: str, height: int, width: int, kind: str = "
     return pictures.select(key, "height", "width", "bands", "samples").mapInPandas(work, schema)
 
 
-def fetch(tiles: DataFrame, make: Callable[[], Callable[[int, int, int], tuple[int, bytes]]], least: int = LEAST_BODY) -> DataFrame:
-    """(zoom, x, y, content) of the tiles that answer 200 with more than `least` bytes; failures are left out."""
+class Pace:
+    """Lets a task ask at most `rate` times a second, `total` tasks sharing the budget: the k-th one starts a k-th of a turn late.
+
+    `clock` gives the time and `sleep` waits; no two of a task's requests are closer than total / rate seconds.
+    """
+
+    def __init__(self, rate: float, k: int, total: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.gap, self.clock, self.sleep = total / rate, clock, sleep
+        self.next = clock() + (k % total) / rate
+
+    def wait(self) -> None:
+        now = self.clock()
+        if now < self.next:
+            self.sleep(self.next - now)
+            now = max(self.clock(), self.next)
+        self.next = max(now, self.next) + self.gap
+
+
+def asked(get: Callable, z: int, x: int, y: int, least: int, retries: int, pace: Pace | None, backoff: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> tuple[bytes | None, str | None, int]:
+    """(body, reason of failure, attempts) of one tile. What may pass (no answer, 429, 5xx) is asked again, `retries` times at most; each attempt counts in the budget."""
+    reason = None
+    for attempt in range(retries + 1):
+        if attempt:
+            sleep(backoff * 2 ** (attempt - 1))
+        if pace:
+            pace.wait()
+        try:
+            status, body = get(z, x, y)
+        except OSError as e:  # time-outs are of this kind, too
+            reason = f"{type(e).__name__}: {e}"
+            continue
+        if status == 200:
+            return (body, None, attempt + 1) if len(body) > least else (None, "blank", attempt + 1)
+        reason = f"status {status}"
+        if status != 429 and status < 500:
+            return None, reason, attempt + 1
+    return None, reason, retries + 1
+
+
+def fetch(tiles: DataFrame, make: Callable[[], Callable[[int, int, int], tuple[int, bytes]]], least: int = LEAST_BODY, rate: float | None = None, parts: int = 8, retries: int = 0, failures: bool = False) -> DataFrame:
+    """(zoom, x, y, content) of the tiles that answer 200 with more than `least` bytes; failures are left out, or with `failures` kept with `error` and `attempts`.
+
+    With `rate` all tasks together ask at most so many times a second: tiles are dealt to `parts` tasks, each with an equal
+    share of the budget, whether or not all run at once. The time-out is the callable's own: it raises OSError. `make` is
+    called once a task.
+    """
+    wanted = tiles.selectExpr("cast(zoom as int) zoom", "cast(x as long) x", "cast(y as long) y")
+    wanted = wanted.repartition(parts) if rate else wanted
+    if rate is not None and rate <= 0:
+        raise ValueError("rate must be above 0")
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = make()
+        context = TaskContext.get()
+        pace = Pace(rate, context.partitionId() if context else 0, parts) if rate else None
         for frame in frames:
             rows = []
             for z, x, y in zip(frame["zoom"], frame["x"], frame["y"]):
-                try:
-                    status, body = get(int(z), int(x), int(y))
-                except OSError:
-                    continue
-                if status == 200 and len(body) > least:
-                    rows.append((z, x, y, body))
-            yield pd.DataFrame(rows, columns=["zoom", "x", "y", "content"])
-
-    return tiles.selectExpr("cast(zoom as int) zoom", "cast(x as long) x", "cast(y as long) y").mapInPandas(work, "zoom int, x long, y long, content binary")
+                body, reason, attempts = asked(get, int(z), int(x), int(y), least, retries, pace)
+                if failures or reason is None:
+                    rows.append((z, x, y, body, reason, attempts)[: 6 if failures else 4])
+            yield pd.DataFrame(rows, columns=["zoom", "x", "y", "content", "error", "attempts"][: 6 if failures else 4])
+
+    return wanted.mapInPandas(work, "zoom int, x long, y long, content binary" + (", error string, attempts int" if failures else ""))

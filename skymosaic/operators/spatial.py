@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import quads as Q
-from ..functions.geometry import area, bounds, clip_to_box, is_convex_quad, let, polygon_iou
+from ..functions.geometry import area, bounds, clip_to_box, common_area, is_convex_quad, is_simple, let, signed_area
+from ..functions.repair import repair
 from . import quadtree
+from .labels import remap
 
 
 def box_join(left: DataFrame, right: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000, depth: int = 5) -> DataFrame:
@@ -50,6 +54,24 @@ def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible
     return pairs.select("*", F.inline(rows)).drop("lbox", "rbox", "full")
 
 
+def counted_join(tiles: DataFrame, annotations: DataFrame, least_visible: float = 0.25, quads: bool = False, size: float = 384.0, class_col: str = "class_raw") -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """Labels of raw annotations (`class_raw`, points), and what was dropped on the way, counted in the same pass.
+
+    The second result is called once a job has used all labels, and gives the numbers of annotations read, dropped for their
+    class and for a ring without area, and of pairs met, kept, dropped as hardly visible, and of those that only touch.
+    Counters are those of the first job that finishes.
+    """
+    before, after = Observation(), Observation()
+    known = annotations.withColumns({"class_id": remap(F.col(class_col)), "__area": (Q.area if quads else area)(F.col("points"))})
+    wanted, sound = F.col("class_id").isNotNull(), F.col("__area") > 0
+    n = lambda c, name: F.count_if(c).alias(name)
+    known = known.observe(before, F.count("*").alias("read"), n(~wanted, "dropped_class"), n(wanted & ~F.coalesce(sound, F.lit(False)), "dropped_geometry")).filter(wanted & sound).drop("__area")
+    pairs = tile_annotation_join(tiles, known, least_visible, size, keep_all=True, quads=quads, most=None)
+    shown = F.col("visible") >= least_visible
+    pairs = pairs.observe(after, F.count("*").alias("pairs"), n(shown, "kept"), n(~shown, "dropped_visible"), n(F.col("visible") == 0, "touching"))
+    return pairs.filter(shown), lambda: {**before.get, **after.get}
+
+
 def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, keep: np.ndarray, share) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Polygons without the points that are not kept, crossings added at `share` of the way; a row's points lie in its first `n` columns."""
     rows = np.arange(len(x))[:, None]
@@ -96,37 +118,49 @@ def _shoelace(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
 def polygon_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000) -> DataFrame:
     """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points, rings of any number of corners.
 
-    Pairs of convex quadrilaterals, the common case, are cut together in Arrow batches; all others go through `polygon_iou`.
     A ring that bounds no valid polygon has IoU 0 with everything.
     """
+    return shared_pairs(truth, predictions, key, size, most).drop("common", "truth_area", "pred_area")
+
+
+def repaired_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0, rule: str = "odd", most: int | None = 100_000) -> DataFrame:
+    """(key, truth_id, pred_id, iou) of truths of which invalid rings are repaired first; see `functions.repair`.
+
+    truth: key, truth_id, truth_points; predictions: key, pred_id, pred_points. A repaired truth is a set of rings, of which
+    holes count against the others; only invalid rings go through the repair. Truths that keep no area are in no pair.
+    """
+    truth = truth.select(key, "truth_id", "truth_points", is_simple(F.col("truth_points")).alias("__valid"))
+    whole = truth.filter("__valid").select(key, "truth_id", "truth_points", F.lit(1.0).alias("__sign"))
+    pieces = truth.filter("not __valid").select(key, "truth_id", F.explode(repair(F.col("truth_points"), rule)).alias("truth_points"))
+    pieces = pieces.withColumn("__sign", F.signum(signed_area(F.col("truth_points"))))
+    rings = whole.unionByName(pieces)
+    shared = shared_pairs(rings, predictions.select(key, "pred_id", "pred_points"), key, size, most)
+    found = shared.groupBy(key, "truth_id", "pred_id").agg(F.sum(F.col("__sign") * F.col("common")).alias("common"), F.max("pred_area").alias("pred_area"))
+    full = rings.groupBy(key, "truth_id").agg(F.sum(F.col("__sign") * area(F.col("truth_points"))).alias("full"))
+    union = F.col("full") + F.col("pred_area") - F.col("common")
+    iou = F.when(union > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("common") / union))).otherwise(F.lit(0.0))
+    return found.join(full, [key, "truth_id"]).select(key, "truth_id", "pred_id", iou.alias("iou"))
+
+
+def shared_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000) -> DataFrame:
+    """Pairs whose bounds meet, their areas, what they have in `common` and their `iou`.
+
+    Pairs of convex quadrilaterals, the usual case, are cut together in Arrow batches; all others go through `common_area`.
+    """
     told = lambda df, c, box: df.withColumns({box: bounds(F.col(c)), f"__{box}": is_convex_quad(F.col(c))})
     pairs = box_join(told(truth.filter(F.size("truth_points") > 0), "truth_points", "lbox"), told(predictions.filter(F.size("pred_points") > 0), "pred_points", "rbox"), key, size, most)
 
     @F.pandas_udf("double")
-    def common(parts: pd.DataFrame) -> pd.Series:
+    def cut(parts: pd.DataFrame) -> pd.Series:
         m = parts.to_numpy(float)
         out, plain = np.zeros(len(m)), ~np.isnan(m).any(1)
         if plain.any():
             out[plain] = quad_common_area(m[plain, 0:4], m[plain, 4:8], m[plain, 8:12], m[plain, 12:16])
         return pd.Series(out)
 
-    plain = F.col("__lbox") & F.col("__rbox")
+    plain, t, p = F.col("__lbox") & F.col("__rbox"), F.col("truth_points"), F.col("pred_points")
     flat = [F.when(plain, F.get(c, F.lit(k))[f]).alias(f"{c}{k}{f}") for c in ("truth_points", "pred_points") for f in "xy" for k in range(4)]
-    pairs = pairs.withColumn("common", common(F.struct(*flat)))
-    union = lambda s: s["full"] - s["common"]
-    quad = let(F.struct((area(F.col("truth_points")) + area(F.col("pred_points"))).alias("full"), "common"), lambda s: F.when(union(s) > 0, F.least(F.lit(1.0), s["common"] / union(s))).otherwise(F.lit(0.0)))
-    return pairs.withColumn("iou", F.when(plain, quad).otherwise(polygon_iou(F.col("truth_points"), F.col("pred_points")))).drop("lbox", "rbox", "__lbox", "__rbox", "common")
-
-
-def land_ratio(tiles: DataFrame, pieces: DataFrame, size: float) -> DataFrame:
-    """Share of each tile (box struct x0,y0,x1,y1) that polygons cover; `pieces` (points) do not overlap one another.
-
-    Tiles and pieces meet by grid cells of `size`, about that of a tile, so neither side is broadcast or looped over.
-    """
-    left = tiles.withColumns({"lbox": F.col("box"), "__one": F.lit(1)})
-    right = pieces.select("points", bounds(F.col("points")).alias("rbox"), F.lit(1).alias("__one"))
-    land = area(clip_to_box(F.col("points"), F.col("box.x0"), F.col("box.y0"), F.col("box.x1"), F.col("box.y1")))
-    covered = box_join(left, right, "__one", size).groupBy(*tiles.columns).agg(F.sum(land).alias("land"))
-    box = (F.col("box.x1") - F.col("box.x0")) * (F.col("box.y1") - F.col("box.y0"))
-    joined = tiles.join(covered, tiles.columns, "left").withColumn("land", F.coalesce("land", F.lit(0.0)))
-    return joined.withColumn("ratio", F.col("land") / box)
+    other = F.when(is_simple(t) & is_simple(p), common_area(t, p)).otherwise(F.lit(0.0))
+    pairs = pairs.withColumn("common", cut(F.struct(*flat))).withColumns({"common": F.when(plain, F.col("common")).otherwise(other), "truth_area": area(t), "pred_area": area(p)})
+    union = F.col("truth_area") + F.col("pred_area") - F.col("common")
+    return pairs.withColumn("iou", F.when(union > 0, F.least(F.lit(1.0), F.col("common") / union)).otherwise(F.lit(0.0))).drop("lbox", "rbox", "__lbox", "__rbox")

@@ -34,6 +34,11 @@ DEFINITIONS = {
                  CASE l_partkey%4 WHEN 0 THEN 1.0e0 WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.28e0 ELSE 0.96e0 END c,
                  CASE l_partkey%4 WHEN 0 THEN 0.0e0 WHEN 1 THEN 0.8e0 WHEN 2 THEN 0.96e0 ELSE 0.28e0 END s
           FROM lineitem JOIN sources ON l_suppkey = source_id) z""",
+    # islands on a raster of degrees, every third with a lake; no two meet
+    "islands": """
+        SELECT k, west, south, west+0.11e0+CAST(k%7 AS DOUBLE)*0.01e0 east, south+0.12e0+CAST(k%5 AS DOUBLE)*0.01e0 north, k%3 = 0 lake,
+               west+0.03e0 lw, south+0.04e0 ls, west+0.08e0 le, south+0.09e0 ln
+        FROM (SELECT k, 43.013e0+CAST(k%40 AS DOUBLE)*0.25e0 west, -25.517e0+CAST((k-k%40)/40 AS BIGINT)*0.3e0 south FROM (SELECT CAST(s_suppkey AS BIGINT) k FROM supplier) a) b""",
     "truth": "SELECT * FROM annotations WHERE class_raw <> 9",
     "predictions": """
         SELECT ann_id pred_id, source_id, concat('prompt_', CAST(l_linenumber%3 AS STRING)) label, 0.25e0+7e0*l_discount conf,

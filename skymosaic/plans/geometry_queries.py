@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import projections as P
 from ..functions import quads as Q
-from ..operators import align, labels, spatial, tiling
+from ..operators import align, coast, labels, spatial, tiling
+from ..session import checkpointed
 from .fixtures import frame
 from .registry import area, quad, query
 
@@ -38,6 +39,19 @@ def visibility_audit(spark, sf_dir):
     return pairs(spark, sf_dir, True).groupBy("class_id").agg(F.count("*").alias("pairs"), n(F.col("visible") >= 0.25).alias("kept"), n(F.col("visible") < 0.25).alias("dropped"), n(F.col("visible") == 0).alias("touching"))
 
 
+@query("""
+    SELECT (SELECT count(*) FROM annotations) read, (SELECT count(*) FROM annotations WHERE class_raw = 9) dropped_class, CAST(0 AS BIGINT) dropped_geometry,
+           count(*) pairs, count(*) FILTER (WHERE visible >= 0.25e0) kept, count(*) FILTER (WHERE visible < 0.25e0) dropped_visible, count(*) FILTER (WHERE visible = 0) touching FROM tile_pairs""")
+def label_counters(spark, sf_dir):
+    """What is counted on the way while labels are written: one pass over tiles and annotations."""
+    annotations = frame(spark, sf_dir, "annotations").select("ann_id", "source_id", "class_raw", "points")
+    tiles = frame(spark, sf_dir, "tiles").select("source_id", "tile_id", "x_off", "y_off", "tw", "th")
+    kept, counted = spatial.counted_join(tiles, annotations, quads=True)
+    checkpointed(kept.select("tile_id", "ann_id", "class_id"))
+    found = counted()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"`{k}` long" for k in found))
+
+
 @query("""
     SELECT source_id, i*384 col_off, j*384 row_off, least(768, w-i*384) tile_width, least(768, h-j*384) tile_height, 500000e0+0.5e0*(i*384) origin_x, 8000000e0-0.5e0*(j*384) origin_y
     FROM (SELECT *, unnest(range(CAST(ceil(h/384e0) AS BIGINT))) j FROM (SELECT *, unnest(range(CAST(ceil(w/384e0) AS BIGINT))) i FROM sources) a) b""")
@@ -148,33 +162,52 @@ def square_chip_windows(spark, sf_dir):
     return chips.select("ann_id", *[F.round(c, 6).alias(c) for c in ("side", "min_x", "min_y", "max_x", "max_y", "scale")])
 
 
-#: Upright islands (west, south, east, north) that stand for a coast.
-ISLANDS = ((46.0, -16.0, 46.37, -15.5), (46.5, -15.9, 46.731, -15.612), (46.05, -15.4, 46.3, -15.13))
-_VALUES = ", ".join(f"({a}e0, {b}e0, {c}e0, {d}e0)" for a, b, c, d in ISLANDS)
 _ZOOM = 12
-_SLIPPY = f"""SELECT x, y, x/4096e0*360e0-180e0 west, degrees(atan(sinh(pi()*(1e0-2e0*(y+1)/4096e0)))) south, (x+1)/4096e0*360e0-180e0 east, degrees(atan(sinh(pi()*(1e0-2e0*y/4096e0)))) north
-    FROM (SELECT unnest(range(CAST(floor((46e0+180e0)/360e0*4096) AS BIGINT), CAST(floor((46.8e0-1e-9+180e0)/360e0*4096) AS BIGINT)+1)) x) a,
-         (SELECT unnest(range(CAST(floor((1e0-asinh(tan(radians(-15.1e0)))/pi())/2e0*4096) AS BIGINT), CAST(floor((1e0-asinh(tan(radians(-16e0+1e-9)))/pi())/2e0*4096) AS BIGINT)+1)) y) b"""
+_X, _Y = (lambda v: f"CAST(floor(({v}+180e0)/360e0*4096) AS BIGINT)"), (lambda v: f"CAST(floor((1e0-asinh(tan(radians({v})))/pi())/2e0*4096) AS BIGINT)")
+_WINDOW = "x/4096e0*360e0-180e0 west, degrees(atan(sinh(pi()*(1e0-2e0*(y+1)/4096e0)))) south, (x+1)/4096e0*360e0-180e0 east, degrees(atan(sinh(pi()*(1e0-2e0*y/4096e0)))) north"
+_SLIPPY = f"""SELECT k, x, y, {_WINDOW} FROM
+    (SELECT *, unnest(range({_Y("north")}, {_Y("south+1e-9")}+1)) y FROM (SELECT *, unnest(range({_X("west")}, {_X("east-1e-9")}+1)) x FROM islands) a) b"""
+_OVER = "(greatest(0e0, least(t.east, {e})-greatest(t.west, {w}))*greatest(0e0, least(t.north, {n})-greatest(t.south, {s})))"
+_LAND, _LAKE = _OVER.format(w="i.west", s="i.south", e="i.east", n="i.north"), _OVER.format(w="i.lw", s="i.ls", e="i.le", n="i.ln")
+_ON_EDGE = "(t.west <= {e} AND {w} <= t.east AND t.south <= {n} AND {s} <= t.north AND NOT (t.west > {w} AND t.east < {e} AND t.south > {s} AND t.north < {n}))"
+_COAST = f"""SELECT DISTINCT t.x, t.y, t.west, t.south, t.east, t.north FROM ({_SLIPPY}) t JOIN islands i ON t.k = i.k
+    WHERE {_ON_EDGE.format(w="i.west", s="i.south", e="i.east", n="i.north")} OR (lake AND {_ON_EDGE.format(w="lw", s="ls", e="le", n="ln")})"""
 
 
-def _slippy(spark: SparkSession) -> DataFrame:
-    box = spark.range(1).select(F.explode(P.tiles_of(F.lit(46.0), F.lit(-16.0), F.lit(46.8), F.lit(-15.1), _ZOOM)).alias("t")).select("t.x", "t.y")
-    return box.withColumn("b", P.tile_bounds(F.col("x"), F.col("y"), _ZOOM)).select("x", "y", "b.*")
+def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, points, hole): the rings of all islands and lakes."""
+    ring = lambda w, s, e, n: F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in ((w, s), (e, s), (e, n), (w, n))])
+    islands = frame(spark, sf_dir, "islands")
+    lakes = islands.filter("lake").select("k", ring("lw", "ls", "le", "ln").alias("points"), F.lit(True).alias("hole"))
+    return islands.select("k", ring("west", "south", "east", "north").alias("points"), F.lit(False).alias("hole")).unionByName(lakes)
 
 
-@query(f"SELECT x, y, round(west, 6) west, round(south, 6) south, round(east, 6) east, round(north, 6) north FROM ({_SLIPPY}) s")
+def _slippy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of every island's bounds."""
+    tiles = frame(spark, sf_dir, "islands").select("k", F.explode(P.tiles_of(*[F.col(c) for c in ("west", "south", "east", "north")], _ZOOM)).alias("t")).select("k", "t.x", "t.y")
+    return tiles.withColumn("b", P.tile_bounds(F.col("x"), F.col("y"), _ZOOM)).select("k", "x", "y", "b.*")
+
+
+@query(f"SELECT k, x, y, round(west, 6) west, round(south, 6) south, round(east, 6) east, round(north, 6) north FROM ({_SLIPPY}) s")
 def slippy_tiles(spark, sf_dir):
-    return _slippy(spark).select("x", "y", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+    return _slippy(spark, sf_dir).select("k", "x", "y", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query(f"SELECT x, y, round(west, 6) west, round(north, 6) north FROM ({_COAST}) c")
+def coast_tiles(spark, sf_dir):
+    """Tiles that a shore crosses, that of a lake included."""
+    return coast.coast_tiles(_islands(spark, sf_dir), _ZOOM).select("x", "y", *[F.round(c, 6).alias(c) for c in ("west", "north")])
 
 
 @query(f"""
     SELECT x, y, round(ratio, 6) ratio FROM (
-      SELECT x, y, sum(greatest(0e0, least(east, e)-greatest(west, w))*greatest(0e0, least(north, n)-greatest(south, s)))/((max(east)-max(west))*(max(north)-max(south))) ratio
-      FROM ({_SLIPPY}) t CROSS JOIN (VALUES {_VALUES}) i(w, s, e, n) GROUP BY x, y) r WHERE ratio BETWEEN 0.30 AND 0.65""")
+      SELECT x, y, sum({_LAND}-CASE WHEN lake THEN {_LAKE} ELSE 0e0 END)/((max(t.east)-max(t.west))*(max(t.north)-max(t.south))) ratio
+      FROM ({_COAST}) t JOIN islands i ON t.west < i.east AND i.west < t.east AND t.south < i.north AND i.south < t.north GROUP BY x, y) r WHERE ratio BETWEEN 0.30 AND 0.65""")
 def land_ratio_filter(spark, sf_dir):
-    islands = spark.createDataFrame([([(a, b), (c, b), (c, d), (a, d)],) for a, b, c, d in ISLANDS], "points array<struct<x:double,y:double>>")
-    tiles = _slippy(spark).select("x", "y", F.struct(F.col("west").alias("x0"), F.col("south").alias("y0"), F.col("east").alias("x1"), F.col("north").alias("y1")).alias("box"))
-    return spatial.land_ratio(tiles, islands, 0.1).filter(F.col("ratio").between(0.30, 0.65)).select("x", "y", F.round("ratio", 6).alias("ratio"))
+    """Tiles on a shore that are 30 to 65 percent land; lakes are no land."""
+    land = _islands(spark, sf_dir)
+    tiles = coast.land_share(coast.coast_tiles(land, _ZOOM), land)
+    return tiles.filter(F.col("land_ratio").between(0.30, 0.65)).select("x", "y", F.round("land_ratio", 6).alias("ratio"))
 
 
 _PHI, _LAM = "radians(lat)", "radians(lon-51e0)"
@@ -210,10 +243,10 @@ def align_truth(spark, sf_dir):
     return out.select("ann_id", "corner", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
 
 
-@query(f"SELECT x, y, round((east+west)/2, 6) lon, round((north+south)/2, 6) lat FROM ({_SLIPPY}) s")
+@query(f"SELECT k, x, y, round((east+west)/2, 6) lon, round((north+south)/2, 6) lat FROM ({_SLIPPY}) s")
 def tile_centres(spark, sf_dir):
     centre = tiling.tile_centre(*[F.col(c) for c in ("west", "south", "east", "north")])
-    return _slippy(spark).withColumn("c", centre).select("x", "y", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
+    return _slippy(spark, sf_dir).withColumn("c", centre).select("k", "x", "y", F.round("c.lon", 6).alias("lon"), F.round("c.lat", 6).alias("lat"))
 
 
 @query("""

@@ -79,13 +79,13 @@ _common = f"SELECT source_id, truth_id, pred_id, label, conf, {area('p4')} i, {a
 DEFINITIONS["candidates"] = f"SELECT source_id, truth_id, pred_id, label, conf, CASE WHEN s - i > 0 THEN least(1e0, i / (s - i)) ELSE 0e0 END iou FROM ({_common}) d"
 
 
-def greedy(keys: str, name: str, source: str = "candidates") -> None:
+def greedy(keys: str, name: str, source: str = "candidates", least: str = "0.5e0") -> None:
     """Defines the matches of each group of `keys` by recursion over its truths in order."""
     on = " AND ".join(f"o.{k} = r.{k}" for k in keys.split(", "))
     of = ", ".join(f"o.{k}" for k in keys.split(", "))
     DEFINITIONS[f"{name}_turns"] = f"""
         SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY truth_id) k FROM
-        (SELECT {keys}, truth_id, list({{'iou': iou, 'pid': pred_id}} ORDER BY iou DESC, pred_id) cands FROM {source} WHERE iou >= 0.5e0 GROUP BY {keys}, truth_id) g"""
+        (SELECT {keys}, truth_id, list({{'iou': iou, 'pid': pred_id}} ORDER BY iou DESC, pred_id) cands FROM {source} WHERE iou >= {least} GROUP BY {keys}, truth_id) g"""
     DEFINITIONS[f"{name}_steps"] = f"""
         SELECT {keys}, CAST(0 AS BIGINT) k, CAST(NULL AS STRING) truth_id, CAST(NULL AS STRUCT(iou DOUBLE, pid STRING)) pick, CAST([] AS STRING[]) used FROM {name}_turns WHERE k = 1
         UNION ALL
@@ -101,6 +101,21 @@ greedy("source_id, label", "matched_by_label")
 DEFINITIONS["candidates_valid"] = "SELECT c.source_id, c.truth_id, c.pred_id, c.iou FROM candidates c JOIN (SELECT ann_id FROM truth WHERE l_partkey%10 <> 3) v ON c.truth_id = v.ann_id"
 greedy("source_id", "matched_valid", "candidates_valid")
 
+#: The same truths repaired: a rectangle written crosswise encloses two triangles, which meet in its middle.
+_mid = "{'x': (t.x0+t.x2)/2, 'y': (t.y0+t.y2)/2}"
+_corner = lambda k: f"{{'x': t.x{k}, 'y': t.y{k}}}"
+_triangles = " UNION ALL ".join(f"SELECT *, [{_corner(i)}, {_corner(j)}, {_mid}] tp FROM truth t WHERE l_partkey%10 = 3" for i, j in ((0, 3), (1, 2)))
+_meet_triangle = f"""
+    SELECT t.source_id, t.ann_id truth_id, pred_id, tp, w, full_area, CASE WHEN {signed_area('w')} < 0 THEN -1e0 ELSE 1e0 END turn
+    FROM (SELECT source_id, ann_id, tp, {area(quad())}/2 full_area, {BOX} FROM ({_triangles}) z) t
+    JOIN (SELECT source_id, pred_id, {quad()} w, {BOX} FROM predictions) p ON t.source_id = p.source_id
+     AND t.bx0 <= p.bx1 AND p.bx0 <= t.bx1 AND t.by0 <= p.by1 AND p.by0 <= t.by1"""
+_common_triangle = f"SELECT source_id, truth_id, pred_id, {area('p4')} i, full_area + {area('w')} s FROM ({clipped(_meet_triangle, 'tp', [(_side(k), '0e0', '>=') for k in range(4)])}) c"
+DEFINITIONS["candidates_repaired"] = f"""
+    SELECT source_id, truth_id, pred_id, iou FROM candidates_valid UNION ALL
+    SELECT source_id, truth_id, pred_id, CASE WHEN max(s) - sum(i) > 0 THEN least(1e0, sum(i) / (max(s) - sum(i))) ELSE 0e0 END FROM ({_common_triangle}) d GROUP BY 1, 2, 3"""
+greedy("source_id", "matched_repaired", "candidates_repaired", "0.3e0")
+
 #: Candidates of one class, and predictions in falling confidence choosing truths at ten thresholds.
 DEFINITIONS["ious"] = "SELECT (50+5*k)/100e0 t FROM (SELECT unnest(range(10)) k) g"
 DEFINITIONS["same_class"] = "SELECT c.source_id, c.label, c.conf, c.truth_id, c.pred_id, c.iou FROM candidates c JOIN truth t ON c.truth_id = t.ann_id AND c.source_id = t.source_id WHERE c.label = concat('prompt_', CAST(t.l_linenumber%3 AS STRING)) AND c.iou >= 0.5e0"
