@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+from ..sources.files import located
+
 
 def assemble(df: DataFrame, image: str, *extra: str) -> DataFrame:
     """`features`: the image vector and scalar columns behind it."""
@@ -90,35 +96,44 @@ def select_by_bic(df: DataFrame, ks: Sequence[int] = range(2, 16), vector: str =
     return df.sparkSession.createDataFrame([(k, float(b), k == best) for k, b in rows], "k int, bic double, best boolean")
 
 
-def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int = 512) -> DataFrame:
+def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int = 4_096) -> DataFrame:
     """(id, label, silhouette): exact Euclidean values.
 
-    Distances are summed block by block: a task holds two blocks of vectors, never a row for each pair.
+    Every row has to be held against all others, but no vector is shuffled more than once: the vectors are written to the
+    session's shared folder, dealt to tasks of about `block` rows, and each task streams the written table by. It holds its own
+    rows, a batch of the others, and a sum for each of its rows and labels. Rows with a null id or label, or without a vector,
+    are left out.
     """
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    rows = df.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    queries = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(0))
-    others = rows.withColumn("o", F.col("b")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("side", F.lit(1))
-
-    def sums(frame: pd.DataFrame) -> pd.DataFrame:
-        q, o = frame[frame.side == 0], frame[frame.side == 1]
-        if not len(q) or not len(o):
-            return pd.DataFrame({"id": [], "own": [], "label": [], "total": []})
-        x, y = np.stack(q.v.to_numpy()), np.stack(o.v.to_numpy())
-        out = []
-        for lab in np.unique(o.label):
-            part = y[(o.label == lab).to_numpy()]
-            total = np.zeros(len(x))
-            for i in range(0, len(x), 64):
-                total[i : i + 64] = np.sqrt(((x[i : i + 64, None, :] - part[None, :, :]) ** 2).sum(2)).sum(1)
-            out.append(pd.DataFrame({"id": q.id.to_numpy(), "own": q.label.to_numpy(), "label": int(lab), "total": total}))
-        return pd.concat(out)
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("v")).dropna()
+    folder = f"{shared_folder(spark)}/silhouettes/{uuid.uuid4().hex}"
+    rows.write.parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)
+    n = rows.count()
+    labels = [r.label for r in rows.select("label").distinct().orderBy("label").collect()]  # a row a cluster
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+
+    def sums(frames):
+        for frame in frames:
+            for begin in range(0, len(frame), block):
+                part = frame.iloc[begin : begin + block]
+                x, totals = np.stack(part.v.to_numpy()), np.zeros((len(part), len(labels)))
+                for batch in written(folder):
+                    own = batch.column("label").to_numpy()
+                    y = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                    order = np.argsort(own, kind="stable")
+                    own, y = own[order], y[order]
+                    edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    at = np.searchsorted(labels, own[edges])
+                    for i in range(0, len(x), 64):
+                        apart = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(2))
+                        totals[i : i + 64, at] += np.add.reduceat(apart, edges, axis=1)
+                told = {"id": np.repeat(part.id.to_numpy(), len(labels)), "own": np.repeat(part.label.to_numpy(), len(labels)), "label": np.tile(labels, len(part)), "total": totals.ravel()}
+                yield pd.DataFrame(told)
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, own int, label int, total double"
-    totals = queries.unionByName(others).groupBy("b", "o").applyInPandas(sums, schema).groupBy("id", "own", "label").agg(F.sum("total").alias("total"))
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
-    both = totals.join(sizes, "label")
+    spread = rows.repartition(max(1, -(-n // block), min(spark.sparkContext.defaultParallelism, -(-n // 64))))
+    both = spread.mapInPandas(sums, schema).join(F.broadcast(sizes), "label")
     own = F.max(F.when((F.col("label") == F.col("own")) & (F.col("n") > 1), F.col("total") / F.when(F.col("n") > 1, F.col("n") - 1).otherwise(1)))
     near = F.min(F.when(F.col("label") != F.col("own"), F.col("total") / F.col("n")))
     per = both.groupBy("id", "own").agg(own.alias("a"), near.alias("b"))
@@ -126,6 +141,15 @@ def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int =
     return per.select(F.col("id").alias(id_col), F.col("own").alias("label"), value.alias("silhouette"))
 
 
+def written(folder: str, rows: int = 1_024):
+    """Batches of a Parquet folder, read one after another."""
+    filesystem, at = located(folder)
+    for info in sorted(filesystem.get_file_info(fs.FileSelector(at)), key=lambda i: i.path):
+        if info.base_name.endswith(".parquet"):
+            with filesystem.open_input_file(info.path) as f:
+                yield from (b for b in pq.ParquetFile(f).iter_batches(rows) if b.num_rows)
+
+
 def select_by_silhouette(df: DataFrame, id_col: str, ks: Sequence[int] = range(4, 9), vector: str = "pca", seed: int = 42) -> DataFrame:
     """(k, silhouette, best): the highest mean, the lowest k on ties."""
     rows, df = [], df.select(id_col, vector).cache()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ def remap(raw: Column, classes: dict[int, int] = CLASS_MAP) -> Column:
     return F.when(raw.isin(*classes), F.element_at(known, raw))
 
 
+def of_classes(annotations: DataFrame, wanted: Sequence[int] = (0, 2), column: str = "class_raw") -> DataFrame:
+    """Annotations of the wanted classes; all of them where the table has no such column, as tables without classes are taken whole."""
+    return annotations.filter(F.col(column).isin(*wanted)) if column in annotations.columns else annotations
+
+
 def keep_trained(annotations: DataFrame, raw: str = "class_raw", classes: dict[int, int] = CLASS_MAP) -> DataFrame:
     """Filters first, so that geometry is worked out for what stays only."""
     return annotations.filter(F.col(raw).isin(*classes)).withColumn("class_id", remap(F.col(raw), classes))

@@ -38,9 +38,10 @@ def tiles_per_split(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("split").agg(F.count("*").alias("tiles"), F.count_if(F.col("n_labels") > 0).alias("annotated"))
 
 
-def size_stats(boxes: DataFrame, keys: Sequence[str] = ("class_id",), points: str = "points") -> DataFrame:
-    """Count, mean and population deviation of sides, mean area, mean of ratios, exact medians; points: four corners."""
+def size_stats(boxes: DataFrame, keys: Sequence[str] = ("class_id",), points: str = "points", classes: Sequence[int] | None = None, cls: str = "class_id") -> DataFrame:
+    """Count, mean and population deviation of sides, mean area, mean of ratios, exact medians; points: four corners. With `classes`, of those only."""
     p = F.col(points)
+    boxes = boxes if classes is None else boxes.filter(F.col(cls).isin(*classes))
     sized = boxes.select(*keys, long_side(p).alias("long"), short_side(p).alias("short"), area(p).alias("area"))
     ratio = F.when(F.col("short") > 0, F.col("long") / F.when(F.col("short") > 0, F.col("short")))
     means = sized.groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import bounds, invert_affine, let
+from .quantiles import quantiles
 
 
 def tile_grid(sources: DataFrame, size: int = 768, overlap: int = 384, width: str = "w", height: str = "h") -> DataFrame:
@@ -46,9 +47,9 @@ def is_constant(pixels: Column) -> Column:
 
 
 def limits(samples: DataFrame, keys: Sequence[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Linearly interpolated percentiles of each image and band."""
-    p = F.percentile(value, F.array(F.lit(low), F.lit(high)))
-    return samples.groupBy(*keys).agg(p.alias("p")).select(*keys, F.element_at("p", 1).alias("lo"), F.element_at("p", 2).alias("hi"))
+    """Linearly interpolated percentiles of each image and band, by bins counted before the shuffle; nulls and NaN do not count."""
+    found = quantiles(samples, keys, [value], (low, high))
+    return found.select(*keys, F.col("q1").alias("lo"), F.col("q2").alias("hi"))
 
 
 def stretch(value: Column, lo: Column, hi: Column) -> Column:

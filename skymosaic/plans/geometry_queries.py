@@ -158,7 +158,7 @@ def tile_labels_with_background(spark, sf_dir):
     FROM (SELECT *, greatest(bx1-bx0, by1-by0) side, (bx0+bx1)/2 mx, (by0+by1)/2 my FROM (SELECT *, least(x0,x1,x2,x3) bx0, least(y0,y1,y2,y3) by0, greatest(x0,x1,x2,x3) bx1, greatest(y0,y1,y2,y3) by1 FROM annotations) a) b
     WHERE class_raw IN (0, 2)""")
 def square_chip_windows(spark, sf_dir):
-    chips = tiling.square_chips(frame(spark, sf_dir, "annotations").filter(F.col("class_raw").isin(0, 2)), resolution=0.5)
+    chips = tiling.square_chips(labels.of_classes(frame(spark, sf_dir, "annotations")), resolution=0.5)
     return chips.select("ann_id", *[F.round(c, 6).alias(c) for c in ("side", "min_x", "min_y", "max_x", "max_y", "scale")])
 
 

@@ -56,6 +56,15 @@ def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path", stem(F.col("path")).alias("stem"), "length")
 
 
+def paired(pictures: DataFrame, annotations: DataFrame, pattern: str = r"\.[^./\\]*$", replacement: str = ".geojson", path: str = "path") -> DataFrame:
+    """(picture, annotation): pictures whose path, rewritten by a rule (another ending, another folder), is that of an annotation file.
+
+    Both tables have a column `path`, such as `list_files` gives; pictures without a file, and files without a picture, go.
+    """
+    wanted = pictures.select(F.col(path).alias("picture"), F.regexp_replace(path, pattern, replacement).alias("annotation"))
+    return wanted.join(annotations.select(F.col(path).alias("annotation")), "annotation").select("picture", "annotation")
+
+
 def png_size(content: Column) -> Column:
     """struct<width,height> from a picture's first bytes; null for others."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")

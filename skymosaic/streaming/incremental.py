@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,23 @@ def not_yet(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(done.select(*keys), list(keys), "left_anti")
 
 
+def with_files(rows: DataFrame, folder: str, path: str, there: bool = True) -> DataFrame:
+    """Rows whose file (`path`, relative to a folder) lies in the folder; with `there` false, those whose file does not.
+
+    The folder is listed by Spark's reader, without reading any file; a folder that is not there holds nothing.
+    """
+    spark = rows.sparkSession
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("__path"))
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)).toString()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return rows.limit(0) if there else rows
+    names = listed.select(F.expr(f"substring(__path, {len(root.rstrip('/')) + 2})").alias("__name"))
+    return rows.join(names, F.regexp_replace(F.col(path), r"^\./", "") == F.col("__name"), "left_semi" if there else "left_anti")
+
+
 def read_folder(spark: SparkSession, path: str, schema: T.StructType, glob: str = "*.parquet", files_a_batch: int = 64) -> DataFrame:
     """A stream of the Parquet files that arrive in a folder."""
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_a_batch).parquet(path)
