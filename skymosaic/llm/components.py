@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,28 @@ from .common import stored
 ROUNDS = 60
 
 
+def tie(label: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """`label` (each row's least known member, which is its own label) once the rows s[k] and t[k] are linked for every k.
+
+    All pairs are taken at once: groups that a pair joins take the lesser label, then every row its label's label; pairs
+    whose sides agree are done. Rounds are few, as groups at least halve in number.
+    """
+    while len(s):
+        a, b = label[s], label[t]
+        apart = a != b
+        if not apart.any():
+            break
+        s, t, a, b = s[apart], t[apart], a[apart], b[apart]
+        low = np.minimum(a, b)
+        np.minimum.at(label, np.maximum(a, b), low)
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    return label
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node of `edges`; nodes without edges are not listed.
 

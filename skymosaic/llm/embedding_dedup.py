@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, ship, stored
-from .components import connected_components
+from .components import connected_components, tie
 
 #: Vectors that the cells are fitted on, cells of a label, vectors that a cell should hold; vectors of a block on either side.
 SAMPLE, MOST_CELLS, PER_CELL, BLOCK, WIDE = 16_384, 4_096, 4_096, 2_048, 8_192
@@ -64,26 +64,6 @@ def _normalised(vectors: pa.Array) -> np.ndarray:
     return flat / np.linalg.norm(flat, axis=1, keepdims=True)
 
 
-class Forest:
-    """Union-find by smallest index, over the rows of one task."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def root(self, i: int) -> int:
-        up = self.up
-        while (j := up.get(i, i)) != i:
-            up[i] = up.get(j, j)
-            i = j
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-            self.up.setdefault(min(i, j), min(i, j))
-
-
 _NODE = "struct<rep:bigint,tag:bigint>"
 
 
@@ -167,7 +147,7 @@ def _links(folded: DataFrame, wanted: DataFrame, ks: list[int], threshold: float
         place[order] = np.cumsum(fresh) - 1
         first = order[fresh]
         links = np.zeros(len(first), np.int64)
-        forest = Forest()
+        label = np.arange(len(first))
         for a in range(0, len(left), 512):
             rows = left[a : a + 512]
             p, q = np.nonzero(x[rows] @ x[right].T >= threshold)
@@ -178,10 +158,8 @@ def _links(folded: DataFrame, wanted: DataFrame, ks: list[int], threshold: float
             l, r = l[ok], r[ok]  # noqa: E741
             np.add.at(links, place[l], copies[r])
             np.add.at(links, place[r], copies[l])
-            for s, t in zip(place[l].tolist(), place[r].tolist()):
-                forest.join(s, t)
-        tied = [(s, forest.root(s)) for s in list(forest.up)]
-        tied = [(s, r) for s, r in tied if s != r]
+            label = tie(label, place[l], place[r])
+        tied = [(s, int(label[s])) for s in np.flatnonzero(label != np.arange(len(label))).tolist()]
         some = np.flatnonzero(links)
         name = lambda k: {"rep": int(rep[first[k]]), "tag": int(tag[first[k]])}
         kind = pa.struct([("rep", pa.int64()), ("tag", pa.int64())])

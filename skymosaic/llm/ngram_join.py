@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, gram, mix, partitions, ship, stored, text_view
-from .components import connected_components
-from .embedding_dedup import Forest
+from .components import connected_components, tie
 from .repeats import LAST
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -248,15 +247,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
                 return
             p, q = left[p], right[q]
             links = np.bincount(p, copies[q], len(rep)) + np.bincount(q, copies[p], len(rep))
-            forest = Forest()
-            for s, r in zip(p.tolist(), q.tolist()):
-                forest.join(s, r)
+            label = tie(np.arange(len(rep)), p, q)
             name = lambda k: {"first": int(first[k]), "rep": int(rep[k])}
             for k in np.flatnonzero(links).tolist():
                 put(name(k), None, int(links[k]))
-            for s in list(forest.up):
-                if (r := forest.root(s)) != s:
-                    put(name(s), name(r), None)
+            for s in np.flatnonzero(label != np.arange(len(label))).tolist():
+                put(name(s), name(int(label[s])), None)
             put(None, None, int(np.floor(similar.min() * STEPS + 1e-9)))
 
         def put(*row) -> None:
