@@ -163,85 +163,6 @@ def select_by_silhouette(df: DataFrame, id_col: str, ks: Sequence[int] = range(4
     return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in rows], "k int, silhouette double, best boolean")
 
 
-def embed_2d(df: DataFrame, id_col: str, vector: str, perplexity: float = 30.0, steps: int = 250, seed: int = 42, most: int = 2_000, nearest: int = 10) -> DataFrame:
-    """(id, tsne_1, tsne_2) of every row, by stochastic neighbour embedding of landmarks.
-
-    Landmarks are all rows, or the `most` rows whose ids have the lowest hashes where there are more; they are laid out in one
-    task of bounded size. Every other row lies at the mean of its `nearest` landmarks' places, weighted by a kernel as wide as
-    the farthest of them is away; it has no part in the layout. Ids are unique.
-    """
-
-    def layout(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(id_col)
-        x = np.stack(frame[vector].to_numpy()).astype(float)
-        rng = np.random.default_rng(seed)
-        x = x + rng.normal(0, 1e-5, x.shape)
-        n = len(x)
-        d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(2) if n <= 500 else np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * x @ x.T, 0)
-        goal = math.log(min(perplexity, max(1.1, (n - 1) / 3)))
-        p = np.zeros((n, n))
-        for i in range(n):
-            low, high, beta = 0.0, np.inf, 1.0
-            row = np.delete(d[i], i)
-            for _ in range(50):
-                e = np.exp(-(row - row.min()) * beta)
-                q = e / e.sum()
-                entropy = -(q * np.log(np.maximum(q, 1e-300))).sum()
-                if abs(entropy - goal) < 1e-5:
-                    break
-                low, high = (beta, high) if entropy > goal else (low, beta)
-                beta = beta * 2 if high == np.inf else (low + high) / 2
-            p[i] = np.insert(q, i, 0.0)
-        p = np.maximum((p + p.T) / (2 * n), 1e-12)
-        y, speed = rng.normal(0, 1e-4, (n, 2)), np.zeros((n, 2))
-        for step in range(steps):
-            sq, whole, pull, push = (y**2).sum(1), 0.0, np.empty((n, 2)), np.empty((n, 2))
-            for i in range(0, n, 128):  # by blocks of rows that stay in the processor's cache
-                part = slice(i, min(i + 128, n))
-                w = y[part] @ y.T
-                w *= -2
-                w += sq
-                w += sq[part, None] + 1
-                np.reciprocal(np.maximum(w, 1.0, out=w), out=w)
-                w[np.arange(len(w)), np.arange(i, i + len(w))] = 0
-                whole += w.sum()
-                g = p[part] * w
-                pull[part] = g.sum(1)[:, None] * y[part] - g @ y
-                w *= w
-                push[part] = w.sum(1)[:, None] * y[part] - w @ y
-            speed = (0.5 if step < 100 else 0.8) * speed - 100.0 * 4 * ((12.0 if step < 100 else 1.0) * pull - push / whole)
-            y = y + np.clip(speed, -5, 5)
-        return pd.DataFrame({id_col: frame[id_col].to_numpy(), "tsne_1": y[:, 0], "tsne_2": y[:, 1]})
-
-    kind = df.schema[id_col].dataType.simpleString()
-    fields = f"`{id_col}` {kind}, tsne_1 double, tsne_2 double"
-    rows = df.select(id_col, vector)
-    if rows.count() <= most:
-        return rows.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(layout, fields)
-    chosen = rows.orderBy(F.xxhash64(id_col), id_col).limit(most).withColumn("__one", F.lit(1)).toPandas()
-    laid = df.sparkSession.createDataFrame(chosen, f"`{id_col}` {kind}, `{vector}` array<double>, __one int").groupBy("__one").applyInPandas(layout, fields).toPandas()
-    spot = dict(zip(laid[id_col], laid[["tsne_1", "tsne_2"]].to_numpy()))
-    shared = df.sparkSession.sparkContext.broadcast((np.stack(chosen[vector].to_numpy()).astype(float), np.stack([spot[k] for k in chosen[id_col]]), spot))
-
-    def place(frames):
-        marks, spots, spot = shared.value
-        size, k = (marks**2).sum(1), min(nearest, len(marks) - 1)
-        for frame in frames:
-            for i in range(0, len(frame), 1024):
-                part = frame.iloc[i : i + 1024]
-                x = np.stack(part[vector].to_numpy()).astype(float)
-                d = np.maximum((x**2).sum(1)[:, None] + size[None, :] - 2 * x @ marks.T, 0)
-                near = np.argpartition(d, k, axis=1)[:, : k + 1]
-                d = np.take_along_axis(d, near, 1)
-                w = np.exp(-(d - d.min(1, keepdims=True)) / np.maximum(d.max(1, keepdims=True) - d.min(1, keepdims=True), 1e-12) * 4)
-                w[np.arange(len(w)), d.argmax(1)] = 0.0 if k else 1.0  # the farthest only sets the width
-                y = (w[:, :, None] * spots[near]).sum(1) / w.sum(1, keepdims=True)
-                y = np.array([spot.get(key, z) for key, z in zip(part[id_col], y)])
-                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "tsne_1": y[:, 0], "tsne_2": y[:, 1]})
-
-    return rows.mapInPandas(place, fields)
-
-
 def of_clusters(rows: DataFrame, wanted, cluster: str = "cluster") -> DataFrame:
     """Rows of the wanted clusters; null clusters are none."""
     return rows.filter(F.col(cluster).isin(*wanted))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, tiling
+from ..operators import cluster, layout, tiling
 from .registry import query
 
 
@@ -52,7 +52,7 @@ def gmm_silhouette_select(spark, sf_dir):
 @query()
 def tsne_layout(spark, sf_dir):
     """A picture of all vectors."""
-    return cluster.embed_2d(_embeddings(spark, sf_dir), "vec_id", "embedding")
+    return layout.embed_2d(_embeddings(spark, sf_dir), "vec_id", "embedding")
 
 
 _LIMITS = "SELECT l_suppkey, quantile_cont(l_extendedprice, 0.01) lo, quantile_cont(l_extendedprice, 0.99) hi FROM lineitem GROUP BY 1"

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skymosaic.operators import cluster, evaluate, inference, labels, report, spatial, splits, tiling
+from skymosaic.operators import cluster, evaluate, inference, labels, layout, report, spatial, splits, tiling
 
 
 def test_greedy_match_is_that_of_one_loop(spark):
@@ -143,21 +143,22 @@ def test_hill_climb_of_all_sources(spark, tmp_path, monkeypatch):
     assert rows[0].score == pytest.approx(cost)
 
 
-def test_layout_places_every_row(spark, tmp_path):
+def test_layout_places_every_row(spark, monkeypatch):
     import numpy as np
-    from skymosaic.plans import cluster_queries
 
+    monkeypatch.setattr(layout, "PER_CELL", 150)  # several cells and blocks
+    monkeypatch.setattr(layout, "BLOCK", 120)
     rng = np.random.default_rng(4)
     centres = rng.normal(0, 20, (3, 8))
     x = [(i, [float(v) for v in centres[i % 3] + rng.normal(0, 0.5, 8)]) for i in range(900)]
     df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
-    got = {r.vec_id: np.array([r.tsne_1, r.tsne_2]) for r in cluster.embed_2d(df, "vec_id", "embedding", most=450).collect()}
+    got = {r.vec_id: np.array([r.tsne_1, r.tsne_2]) for r in layout.embed_2d(df, "vec_id", "embedding", steps=100, rounds=20).collect()}
     assert sorted(got) == list(range(900)) and np.isfinite(list(got.values())).all()
     # rows lie nearest to the middle of their own group
     middles = [np.mean([got[i] for i in range(g, 900, 3)], 0) for g in range(3)]
-    assert np.mean([np.argmin([np.linalg.norm(got[i] - m) for m in middles]) == i % 3 for i in got]) > 0.95
-    df.filter("vec_id < 220").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert cluster_queries.tsne_layout(spark, str(tmp_path)).count() == 220
+    assert np.mean([np.argmin([np.linalg.norm(got[i] - m) for m in middles]) == i % 3 for i in got]) > 0.9
+    odd = df.limit(0).unionByName(spark.createDataFrame([(1, [1.0, 2.0]), (2, None)], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in layout.embed_2d(odd, "vec_id", "embedding").collect()] == [(1, 0.0, 0.0)] and layout.embed_2d(odd.limit(0), "vec_id", "embedding").count() == 0
 
 
 def test_selection_searches_all_counts_and_components(spark, tmp_path, monkeypatch):
