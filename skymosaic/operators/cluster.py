@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch
 from ..sources.files import located
 
 
@@ -106,7 +105,7 @@ def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int =
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("v")).dropna()
-    folder = f"{shared_folder(spark)}/silhouettes/{uuid.uuid4().hex}"
+    folder = scratch(spark, "silhouette")
     rows.write.parquet(folder)
     rows = spark.read.schema(rows.schema).parquet(folder)
     n = rows.count()

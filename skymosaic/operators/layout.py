@@ -14,14 +14,12 @@ equal vectors lie together; one row lies in the middle; an empty table gives an
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch
 
 #: Vectors that cells are fitted on, rows of a cell that are aimed at, cells at most, and rows of a block.
 SAMPLE, PER_CELL, MOST_CELLS, BLOCK = 16_384, 1_024, 1_024, 2_048
@@ -35,7 +33,7 @@ EARLY, STRONGER = 0.2, 12.0
 
 def _written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/layouts/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, f"layout-{name}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that lives as long as the application: its folder goes when the driver's JVM ends."""
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/skymosaic-tables/{context.applicationId}"
+    if getattr(context, "_skymosaic_tables", None) != folder:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        context._skymosaic_tables = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the shared checkpoint folder."""
     spark = df.sparkSession
