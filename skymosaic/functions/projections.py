@@ -87,8 +87,13 @@ def tile_bounds(x: Column, y: Column, zoom: int) -> Column:
     return F.struct(lon(x).alias("west"), lat(y + 1).alias("south"), lon(x + 1).alias("east"), lat(y).alias("north"))
 
 
+def _upwards(first: Column, last: Column) -> Column:
+    """A sequence that is empty where it would run backwards."""
+    return F.filter(F.sequence(first, F.greatest(first, last)), lambda v: v <= last)
+
+
 def tiles_of(west: Column, south: Column, east: Column, north: Column, zoom: int) -> Column:
-    """array<struct<x,y>> of the tiles that meet a box."""
-    xs = F.sequence(tile_x(west, zoom), tile_x(east - 1e-9, zoom))
-    ys = F.sequence(tile_y(north, zoom), tile_y(south + 1e-9, zoom))
+    """array<struct<x,y>> of the tiles that meet a box; none where its north would lie in a row below its south, as with a pole between them."""
+    xs = _upwards(tile_x(west, zoom), tile_x(east - 1e-9, zoom))
+    ys = _upwards(tile_y(north, zoom), tile_y(south + 1e-9, zoom))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("x"), y.alias("y")))))
