@@ -110,15 +110,15 @@ def opened(ring: Column) -> Column:
     return F.when((n > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1)), F.slice(ring, F.lit(1), n - 1)).otherwise(ring)
 
 
-def _clip(points: Column, value, bound: Column, keep_less: bool) -> Column:
-    """One side of a box cut off: points whose `value` lies beyond `bound` go, crossings come in."""
+def _clip(points: Column, value, bound: Column, keep_less: bool, axis: str | None = None) -> Column:
+    """One side of a box cut off: points whose `value` lies beyond `bound` go, crossings come in; with `axis` they lie on the bound to the last bit."""
 
     def inside(p: Column) -> Column:
         return value(p) <= bound if keep_less else value(p) >= bound
 
     def crossing(p: Column, q: Column) -> Column:
         t = (bound - value(p)) / (value(q) - value(p))
-        return point(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
+        return point(*[bound if f == axis else p[f] + (q[f] - p[f]) * t for f in "xy"])
 
     def step(pp: Column) -> Column:
         def edge(i: Column) -> Column:
@@ -131,8 +131,8 @@ def _clip(points: Column, value, bound: Column, keep_less: bool) -> Column:
     return let(points, step)
 
 
-def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column, around: Column | None = None) -> Column:
-    """The polygon cut to an upright box; right in area for any simple polygon.
+def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column, around: Column | None = None, exact: bool = False) -> Column:
+    """The polygon cut to an upright box; right in area for any simple polygon. With `exact`, cuts lie on the box to the last bit.
 
     With `around`, the polygon's bounds, sides of the box that they do not cross are not cut at: a cut that cuts nothing
     makes the second corner the first, and no more.
@@ -141,18 +141,19 @@ def clip_to_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column,
     out = points
     sides = ((x, x0, False, "x0"), (x, x1, True, "x1"), (y, y0, False, "y0"), (y, y1, True, "y1"))
     for value, limit, keep_less, edge in sides:
+        axis = edge[0] if exact else None
         if around is None:
-            out = _clip(out, value, limit, keep_less)
+            out = _clip(out, value, limit, keep_less, axis)
         else:
             clear = around[edge] <= limit if keep_less else around[edge] >= limit
-            out = _cut_unless(clear, out, value, limit, keep_less)
+            out = _cut_unless(clear, out, value, limit, keep_less, axis)
     return out
 
 
-def _cut_unless(clear: Column, points: Column, value, limit: Column, keep_less: bool) -> Column:
+def _cut_unless(clear: Column, points: Column, value, limit: Column, keep_less: bool, axis: str | None = None) -> Column:
     def step(o: Column) -> Column:
         turned = F.concat(F.slice(o, F.lit(2), F.greatest(F.size(o), F.lit(1))), F.slice(o, 1, 1))
-        return F.when(clear, turned).otherwise(_clip(o, value, limit, keep_less))
+        return F.when(clear, turned).otherwise(_clip(o, value, limit, keep_less, axis))
 
     return let(points, step)
 
