@@ -7,6 +7,8 @@ from functools import wraps
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batches
+
 
 def point(x, y) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -184,48 +186,9 @@ def convex_iou(a: Column, b: Column, corners: int = 4) -> Column:
     return F.when(_bounds_overlap(a, b), ratio).otherwise(F.lit(0.0))
 
 
-def common_area(a: Column, b: Column) -> Column:
-    """Area of the intersection of two simple polygons: signed sum over both fans of triangles."""
-
-    def fan(points: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(points) - 2), lambda i: F.array(at(points, F.lit(0)), at(points, i), at(points, i + 1)))
-
-    def pair(s: Column, t: Column) -> Column:
-        sign = F.signum(signed_area(s)) * F.signum(signed_area(t))
-        return F.when(sign == 0, F.lit(0.0)).otherwise(sign * area(clip_to_convex(s, t, 3)))
-
-    sums = F.transform(fan(a), lambda s: total(F.transform(fan(b), lambda t: pair(s, t))))
-    return F.when((F.size(a) < 3) | (F.size(b) < 3), F.lit(0.0)).otherwise(F.abs(total(sums)))
-
-
 def polygon_iou(a: Column, b: Column) -> Column:
     """Intersection over union of two simple polygons; 0 if either is not valid or they are apart."""
-    return let(F.struct(a.alias("a"), b.alias("b")), lambda s: _polygon_iou(s["a"], s["b"]))
-
-
-def _polygon_iou(a: Column, b: Column) -> Column:
-    i = common_area(a, b)
-    ratio = let(F.struct(i.alias("i"), (area(a) + area(b)).alias("s")), lambda s: F.when(s["s"] - s["i"] > 0, F.least(F.lit(1.0), s["i"] / (s["s"] - s["i"]))).otherwise(F.lit(0.0)))
-    return F.when(is_simple(a) & is_simple(b) & _bounds_overlap(a, b), ratio).otherwise(F.lit(0.0))
-
-
-@bound
-def is_convex_quad(points: Column) -> Column:
-    """Four corners that all turn the same way: convex, without repeated corners, and so valid."""
-    p = [(F.get(points, F.lit(k))["x"], F.get(points, F.lit(k))["y"]) for k in range(4)]
-    turns = []
-    for k in range(4):
-        (ax, ay), (bx, by), (cx, cy) = p[k], p[(k + 1) % 4], p[(k + 2) % 4]
-        turns.append((bx - ax) * (cy - by) - (by - ay) * (cx - bx))
-    left = (turns[0] > 0) & (turns[1] > 0) & (turns[2] > 0) & (turns[3] > 0)
-    right = (turns[0] < 0) & (turns[1] < 0) & (turns[2] < 0) & (turns[3] < 0)
-    return (F.size(points) == 4) & F.coalesce(left | right, F.lit(False))
-
-
-@bound
-def distinct_corners(ring: Column) -> Column:
-    """The ring without its closing point and without corners that repeat the one before."""
-    return F.filter(opened(ring), lambda p, i: (i == 0) | (p != F.get(ring, F.greatest(i - 1, F.lit(0)))))
+    return batches.polygon_iou(a, b)
 
 
 def is_simple(points: Column) -> Column:
@@ -234,33 +197,7 @@ def is_simple(points: Column) -> Column:
     Sides that touch or overlap others make a ring invalid, too, and so does one that goes straight back on itself. Closing
     points and repeated corners are passed over.
     """
-    return F.when(is_convex_quad(points), F.lit(True)).otherwise(_is_simple(distinct_corners(points)))
-
-
-@bound
-def _is_simple(points: Column) -> Column:
-    n = F.size(points)
-
-    def turn(p: Column, q: Column, r: Column) -> Column:
-        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
-
-    def over(a: Column, b: Column, c: Column, d: Column) -> Column:
-        """Whether the stretches from a to b and from c to d meet."""
-        return (F.least(a, b) <= F.greatest(c, d)) & (F.least(c, d) <= F.greatest(a, b))
-
-    def meet(i: Column, j: Column) -> Column:
-        p, q, r, s = at(points, i), following(points, i), at(points, j), following(points, j)
-        sides = F.struct(turn(p, q, r).alias("r"), turn(p, q, s).alias("s"), turn(r, s, p).alias("p"), turn(r, s, q).alias("q"))
-        near = over(p["x"], q["x"], r["x"], s["x"]) & over(p["y"], q["y"], r["y"], s["y"])
-        return near & let(sides, lambda t: (t["r"] * t["s"] <= 0) & (t["p"] * t["q"] <= 0))
-
-    def goes_back(i: Column) -> Column:
-        p, q, r = at(points, i), following(points, i), at(points, F.pmod(i + 2, n))
-        return (turn(p, q, r) == 0) & ((q["x"] - p["x"]) * (r["x"] - q["x"]) + (q["y"] - p["y"]) * (r["y"] - q["y"]) < 0)
-
-    # sides i and j are neighbours where j = i + 1, or where they are the first and the last
-    crossed = F.exists(indexes(points), lambda i: F.exists(indexes(points), lambda j: (j > i + 1) & ((i > 0) | (j < n - 1)) & meet(i, j)))
-    return F.when((n < 3) | (area(points) == 0), F.lit(False)).otherwise(~F.exists(indexes(points), goes_back) & ~crossed)
+    return batches.is_simple(points)
 
 
 def intersects_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -281,28 +218,12 @@ def line_meets_box(points: Column, x0: Column, y0: Column, x1: Column, y1: Colum
     return F.when(F.size(points) < 2, F.lit(False)).otherwise(F.exists(F.sequence(F.lit(0), F.size(points) - 2), piece))
 
 
-@bound
 def min_rotated_rectangle(points: Column) -> Column:
     """Corners of the smallest rectangle around the points, among the directions of all pairs of points.
 
     These hold the hull's sides, so the minimum is that over the hull. Ties go to the first pair.
     """
-    pairs = F.flatten(F.transform(indexes(points), lambda i: F.transform(F.sequence(i, F.size(points) - 1), lambda j: F.struct(at(points, i).alias("p"), at(points, j).alias("q")))))
-
-    def box(d: Column) -> Column:
-        dx, dy = d["q"]["x"] - d["p"]["x"], d["q"]["y"] - d["p"]["y"]
-        n = F.sqrt(dx * dx + dy * dy)
-        return let(F.struct(F.when(n == 0, F.lit(1.0)).otherwise(dx / n).alias("c"), F.when(n == 0, F.lit(0.0)).otherwise(dy / n).alias("s")), along)
-
-    def along(u: Column) -> Column:
-        us = F.transform(points, lambda p: p["x"] * u["c"] + p["y"] * u["s"])
-        vs = F.transform(points, lambda p: p["y"] * u["c"] - p["x"] * u["s"])
-        s = F.struct(F.array_min(us).alias("u0"), F.array_max(us).alias("u1"), F.array_min(vs).alias("v0"), F.array_max(vs).alias("v1"), u["c"].alias("c"), u["s"].alias("s"))
-        return let(s, lambda b: F.struct(((b["u1"] - b["u0"]) * (b["v1"] - b["v0"])).alias("area"), b.alias("b")))
-
-    best = F.aggregate(F.transform(pairs, box), F.lit(None).cast("struct<area:double,b:struct<u0:double,u1:double,v0:double,v1:double,c:double,s:double>>"), lambda m, x: F.when(m.isNull() | (x["area"] < m["area"] - 1e-12), x).otherwise(m))
-    corner = lambda b, u, v: point(b[u] * b["c"] - b[v] * b["s"], b[u] * b["s"] + b[v] * b["c"])
-    return let(best, lambda m: F.array(corner(m["b"], "u0", "v0"), corner(m["b"], "u1", "v0"), corner(m["b"], "u1", "v1"), corner(m["b"], "u0", "v1")))
+    return batches.min_rotated_rectangle(points)
 
 
 @bound

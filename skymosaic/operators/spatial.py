@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import quads as Q
-from ..functions.geometry import area, bounds, clip_to_box, common_area, is_convex_quad, is_simple, let, signed_area
+from ..functions.batches import area_in_box, shared_area
+from ..functions.geometry import area, bounds, clip_to_box, is_simple, signed_area
 from ..functions.repair import repair
 from . import quadtree
 from .labels import remap
@@ -46,12 +45,11 @@ def tile_annotation_join(tiles: DataFrame, annotations: DataFrame, least_visible
     a = annotations.withColumns({"rbox": (Q.bounds if quads else bounds)(F.col("points")), "full": (Q.area if quads else area)(F.col("points"))})
     pairs = box_join(t, a, "source_id", size, most)
     inside = (F.col("rbox.x0") >= F.col("lbox.x0")) & (F.col("rbox.x1") <= F.col("lbox.x1")) & (F.col("rbox.y0") >= F.col("lbox.y0")) & (F.col("rbox.y1") <= F.col("lbox.y1"))
-    clip = clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"), F.col("rbox"))
-    told = lambda c, share: F.struct(c.alias("clip"), F.when(F.col("full") > 0, share).otherwise(F.lit(0.0)).alias("visible"))
-    both = F.when(inside, told(F.col("points"), F.lit(1.0))).otherwise(let(clip, lambda c: told(c, area(c) / F.col("full"))))
-    # filtered inside an array: a filter above the projection would be pushed below it and clip every pair twice
-    rows = F.array(both) if keep_all else F.filter(F.array(both), lambda s: s["visible"] >= least_visible)
-    return pairs.select("*", F.inline(rows)).drop("lbox", "rbox", "full")
+    clip = F.when(inside, F.col("points")).otherwise(clip_to_box(F.col("points"), F.col("lbox.x0"), F.col("lbox.y0"), F.col("lbox.x1"), F.col("lbox.y1"), F.col("rbox")))
+    shown = area_in_box(F.when(~inside, F.col("points")), *[F.col("lbox")[f] for f in ("x0", "y0", "x1", "y1")])
+    visible = F.when(F.col("full") > 0, F.when(inside, F.lit(1.0)).otherwise(shown / F.col("full"))).otherwise(F.lit(0.0))
+    told = pairs.select("*", clip.alias("clip"), visible.alias("visible"))  # the clip is cut where it is read
+    return (told if keep_all else told.filter(F.col("visible") >= least_visible)).drop("lbox", "rbox", "full")
 
 
 def counted_join(tiles: DataFrame, annotations: DataFrame, least_visible: float = 0.25, quads: bool = False, size: float = 384.0, class_col: str = "class_raw") -> tuple[DataFrame, Callable[[], dict[str, int]]]:
@@ -72,49 +70,6 @@ def counted_join(tiles: DataFrame, annotations: DataFrame, least_visible: float
     return pairs.filter(shown), lambda: {**before.get, **after.get}
 
 
-def _cut(x: np.ndarray, y: np.ndarray, n: np.ndarray, keep: np.ndarray, share) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Polygons without the points that are not kept, crossings added at `share` of the way; a row's points lie in its first `n` columns."""
-    rows = np.arange(len(x))[:, None]
-    after = (np.arange(x.shape[1])[None, :] + 1) % np.maximum(n, 1)[:, None]
-    qx, qy, q_in = x[rows, after], y[rows, after], keep[rows, after]
-    live = np.arange(x.shape[1])[None, :] < n[:, None]
-    with np.errstate(all="ignore"):
-        t = share((x, y), (qx, qy))
-        cx, cy = x + (qx - x) * t, y + (qy - y) * t
-    # at each point: the crossing, then the next point
-    made = np.stack([live & (keep != q_in), live & q_in], 2).reshape(len(x), -1)
-    order = np.argsort(~made, axis=1, kind="stable")[:, : x.shape[1] + 1]
-    n = made.sum(1)
-    used = np.arange(order.shape[1])[None, :] < n[:, None]
-    x, y = (np.where(used, np.stack([c, q], 2).reshape(len(x), -1)[rows, order], 0.0) for c, q in ((cx, qx), (cy, qy)))
-    return x, y, n
-
-
-def quad_common_area(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Area that quadrilaterals (rows of x, y) share with convex ones (rows of u, v), in the arithmetic of `clip_to_convex`.
-
-    All rows are cut at once; a row's points lie in its first `n` columns.
-    """
-    rows = np.arange(len(x))[:, None]
-    n = np.full(len(x), 4)
-    turn = np.where(_shoelace(u, v, n) < 0, -1.0, 1.0)[:, None]
-    for k in range(4):
-        ax, ay, bx, by = (c[:, None] for c in (u[:, k], v[:, k], u[:, (k + 1) % 4], v[:, (k + 1) % 4]))
-        side = ((bx - ax) * (y - ay) - (by - ay) * (x - ax)) * turn
-        after = (np.arange(x.shape[1])[None, :] + 1) % np.maximum(n, 1)[:, None]
-        x, y, n = _cut(x, y, n, side >= 0, lambda p, q, s=side, a=after: (0.0 - s) / (s[rows, a] - s))
-    return np.abs(_shoelace(x, y, n))
-
-
-def _shoelace(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(x))
-    at = np.arange(len(x))
-    for i in range(x.shape[1]):
-        j = np.where(i + 1 < n, i + 1, 0) if i + 1 < x.shape[1] else np.zeros(len(x), int)
-        out = np.where(i < n, out + (x[:, i] * y[at, j] - x[at, j] * y[:, i]), out)
-    return np.where(n < 3, 0.0, out / 2)
-
-
 def polygon_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000) -> DataFrame:
     """Pairs whose bounds meet and their `iou`; truth: truth_points, predictions: pred_points, rings of any number of corners.
 
@@ -145,22 +100,20 @@ def repaired_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: flo
 def shared_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float = 384.0, most: int | None = 100_000) -> DataFrame:
     """Pairs whose bounds meet, their areas, what they have in `common` and their `iou`.
 
-    Pairs of convex quadrilaterals, the usual case, are cut together in Arrow batches; all others go through `common_area`.
+    Pairs are cut together in Arrow batches; rings that bound no valid polygon have nothing in common with others.
     """
-    told = lambda df, c, box: df.withColumns({box: bounds(F.col(c)), f"__{box}": is_convex_quad(F.col(c))})
-    pairs = box_join(told(truth.filter(F.size("truth_points") > 0), "truth_points", "lbox"), told(predictions.filter(F.size("pred_points") > 0), "pred_points", "rbox"), key, size, most)
-
-    @F.pandas_udf("double")
-    def cut(parts: pd.DataFrame) -> pd.Series:
-        m = parts.to_numpy(float)
-        out, plain = np.zeros(len(m)), ~np.isnan(m).any(1)
-        if plain.any():
-            out[plain] = quad_common_area(m[plain, 0:4], m[plain, 4:8], m[plain, 8:12], m[plain, 12:16])
-        return pd.Series(out)
-
-    plain, t, p = F.col("__lbox") & F.col("__rbox"), F.col("truth_points"), F.col("pred_points")
-    flat = [F.when(plain, F.get(c, F.lit(k))[f]).alias(f"{c}{k}{f}") for c in ("truth_points", "pred_points") for f in "xy" for k in range(4)]
-    other = F.when(is_simple(t) & is_simple(p), common_area(t, p)).otherwise(F.lit(0.0))
-    pairs = pairs.withColumn("common", cut(F.struct(*flat))).withColumns({"common": F.when(plain, F.col("common")).otherwise(other), "truth_area": area(t), "pred_area": area(p)})
+
+    def told(df: DataFrame, name: str, box: str) -> DataFrame:
+        """Bounds and area go with a row, so that they are worked out once, not for every pair."""
+        points = F.col(f"{name}_points")
+        return df.filter(F.size(points) > 0).withColumns({box: _either(points, Q.bounds, bounds), f"{name}_area": _either(points, Q.area, area)})
+
+    pairs = box_join(told(truth, "truth", "lbox"), told(predictions, "pred", "rbox"), key, size, most)
+    pairs = pairs.withColumn("common", shared_area(F.col("truth_points"), F.col("pred_points")))
     union = F.col("truth_area") + F.col("pred_area") - F.col("common")
-    return pairs.withColumn("iou", F.when(union > 0, F.least(F.lit(1.0), F.col("common") / union)).otherwise(F.lit(0.0))).drop("lbox", "rbox", "__lbox", "__rbox")
+    return pairs.withColumn("iou", F.when(union > 0, F.least(F.lit(1.0), F.col("common") / union)).otherwise(F.lit(0.0))).drop("lbox", "rbox")
+
+
+def _either(points: Column, of_four: Callable, of_any: Callable) -> Column:
+    """A measure by compiled arithmetic where there are four corners."""
+    return F.when(F.size(points) == 4, of_four(points)).otherwise(of_any(points))

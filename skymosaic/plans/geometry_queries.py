@@ -116,8 +116,9 @@ def min_rotated_rectangle(spark, sf_dir):
 
 def _rectangles(a):
     """The smallest rectangle around the corners and middles of a rectangle's sides has the rectangle's area."""
-    mid = F.transform(G.indexes(F.col("points")), lambda i: G.point((G.at(F.col("points"), i)["x"] + G.following(F.col("points"), i)["x"]) / 2, (G.at(F.col("points"), i)["y"] + G.following(F.col("points"), i)["y"]) / 2))
-    return a.select("ann_id", F.round(G.area(G.min_rotated_rectangle(F.concat("points", mid))), 4).alias("area"))
+    p = Q.corners(F.col("points"))
+    mid = F.array(*[G.point((p[k][0] + p[(k + 1) % 4][0]) / 2, (p[k][1] + p[(k + 1) % 4][1]) / 2) for k in range(4)])
+    return a.select("ann_id", F.round(Q.area(G.min_rotated_rectangle(F.concat("points", mid))), 4).alias("area"))
 
 
 @query("""
