@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -34,6 +34,14 @@ def tie(label: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray:
     return label
 
 
+def thinned(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Edges (a, b) with the same components, about one for each node of `a`: a node keeps its edge to the least node of `b`
+    that it names, and the others that it names are tied to that one, which is once for all nodes that name the same."""
+    named = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).withColumn("root", F.min("b").over(Window.partitionBy("a")))
+    tied = named.select(F.explode(F.array("a", "b")).alias("node"), "root").filter("node <> root").distinct()
+    return tied.select(F.col("node").alias(a), F.col("root").alias(b))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node of `edges`; nodes without edges are not listed.
 

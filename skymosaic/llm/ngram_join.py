@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, chunks, gram, mix, partitions, ship, stored, text_view
-from .components import connected_components, tie
+from .components import connected_components, thinned, tie
 from .repeats import LAST
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -286,8 +286,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         """Links (other null), edges of spanning forests (links null) and the least similarities (node null) among classes that share a prefix of p hashes."""
         # each class points at the smallest class of every subtree that it is in, so an edge is made for a member, not for a pair
         least = forest.groupBy("tree", prefix(p)).agg(F.min("node").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
-        star = forest.withColumn("prefix", prefix(p)).join(least, ["tree", "prefix"]).select("node", "least").filter("node <> least").distinct()
-        cells = connected_components(star, "node", "least").withColumnRenamed("component", "cell")
+        star = forest.withColumn("prefix", prefix(p)).join(least, ["tree", "prefix"]).select("node", "least").filter("node <> least")
+        # a member of a group is in a subtree of each tree, with as many least classes: one edge for each member is enough
+        cells = connected_components(thinned(star, "node", "least"), "node", "least").withColumnRenamed("component", "cell")
         sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         placed = cells.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(sets, "node")
         # block i meets block j >= i in the task (cell, i, j); small cells share tasks by their hash
@@ -307,7 +308,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         depth = enough
 
     counts = links.filter("node is not null and other is null").groupBy("node").agg(F.sum("links").alias("links"))
-    groups = connected_components(links.filter("other is not null"), "node", "other")
+    groups = connected_components(thinned(links.filter("other is not null"), "node", "other"), "node", "other")
     known = classes.select("node", "first", "same_a", "same_b", "copies").join(counts, "node", "left").join(groups, "node", "left")
     known = known.select("same_a", "same_b", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component.first", "first").alias("component_id"))
     found = light.select("doc", "__id", "text_key", "same_a", "same_b", "n").join(known, ["same_a", "same_b"], "left")
