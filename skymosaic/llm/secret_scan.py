@@ -2,7 +2,7 @@
 
 Three kinds come from patterns: `assign` (a value given to something called password, secret, token or key), `access` (access
 key ids) and `hex` (long runs of hexadecimal digits). The fourth, `novel`, comes from compression: a candidate is a run of 16
-to 256 letters, digits and `+/_-` that holds both letters and digits and stands shortly behind a sensitive word. It is measured
+or more letters, digits and `+/_-` that holds both letters and digits and stands shortly behind a sensitive word. It is measured
 by its marginal bytes: zstandard, primed with a dictionary of identifiers, compresses the text around the candidate without
 and with it. Names, paths and repeated strings cost a few bytes; what costs most of its length is reported, unless a pattern
 has found it already.
@@ -37,6 +37,7 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 SENSITIVE = re.compile(rb"pass|pwd|secret|token|key|auth|cred|bearer|private|signature|salt")
+#: LONGEST bounds the identifiers that the dictionary is made of, not what is reported.
 SHORTEST, LONGEST = 16, 256
 #: Bytes before a candidate that are searched for a sensitive word, and bytes around it that prime the compressor.
 NEAR, BEFORE, AFTER = 48, 256, 128
@@ -107,7 +108,7 @@ def patterns(data: np.ndarray, offsets: np.ndarray) -> dict[int, list[tuple[int,
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(document, begin, end) of runs of letters and digits, both, that stand behind a sensitive word."""
-    owner, begin, end = _runs(data, offsets, _NOT_NAME, SHORTEST, LONGEST)
+    owner, begin, end = _runs(data, offsets, _NOT_NAME, SHORTEST)
     counts = [np.concatenate([[0], np.cumsum(~parting[data])]) for parting in (_NOT_LETTER, _NOT_DIGIT)]
     mixed = np.logical_and(*(c[end] > c[begin] for c in counts))
     for d, b, e in zip(owner[mixed].tolist(), begin[mixed].tolist(), end[mixed].tolist()):
