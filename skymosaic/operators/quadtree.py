@@ -93,8 +93,12 @@ def crowded(left: DataFrame, right: DataFrame, size: float, most: int, depth: in
 
 
 def dealt(df: DataFrame, key: str, box: str, size: float, plan: list[tuple[DataFrame, int]], side: str, name: str = "cell") -> DataFrame:
-    """`df` once for each cell that its box meets, in the column `name`: struct cx, cy, and with a plan level and salts l and r."""
-    out = df.withColumn(name, F.explode(cells(F.col(box), size)))
+    """`df` once for each cell that its box meets, in the column `name`: struct cx, cy, and with a plan level and salts l and r.
+
+    The box is exploded from an array of one, too: a join's filters on it then stay above what works it out. Pushed below,
+    they would repeat its terms until the compiled method is too large for the JVM to compile further.
+    """
+    out = df.withColumn(box, F.explode(F.array(box))).select(*df.columns).withColumn(name, F.explode(cells(F.col(box), size)))
     if not plan:
         return out
     columns = df.columns

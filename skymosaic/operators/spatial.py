@@ -104,9 +104,9 @@ def shared_pairs(truth: DataFrame, predictions: DataFrame, key: str, size: float
     """
 
     def told(df: DataFrame, name: str, box: str) -> DataFrame:
-        """Bounds and area go with a row, so that they are worked out once, not for every pair."""
+        """Bounds and area go with a row, so that they are worked out once, not for every pair. Rings without points have null bounds, which meet no cell."""
         points = F.col(f"{name}_points")
-        return df.filter(F.size(points) > 0).withColumns({box: _either(points, Q.bounds, bounds), f"{name}_area": _either(points, Q.area, area)})
+        return df.withColumns({box: _either(points, Q.bounds, bounds), f"{name}_area": _either(points, Q.area, area)})
 
     pairs = box_join(told(truth, "truth", "lbox"), told(predictions, "pred", "rbox"), key, size, most)
     pairs = pairs.withColumn("common", shared_area(F.col("truth_points"), F.col("pred_points")))
