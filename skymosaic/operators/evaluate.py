@@ -143,18 +143,19 @@ def outcomes(truth: DataFrame, predictions: DataFrame, matches: DataFrame, keys:
     """(label, outcome, properties, points): truths found (TP) and missed (FN), predictions that match nothing (FP).
 
     truth: keys, truth_id, points, of valid polygons; predictions: keys, pred_id, points; with `label`, predictions and
-    matches carry it, and every predicted label is held against all of the truth.
+    matches carry it, and every predicted label is held against all of the truth. Each truth is shuffled once, whatever the
+    number of labels; the matches are written, as both sides read them.
     """
-    none = F.lit(None).cast("string")
     labels = [label] if label else []
     truth, predictions = truth.select(*keys, "truth_id", "points"), predictions.select(*keys, *labels, "pred_id", "points")
-    if label:  # a few names, once for each truth
-        truth = truth.crossJoin(F.broadcast(predictions.select(label).distinct()))
-    on = [*keys, *labels, "truth_id"]
-    tp = truth.join(matches.select(*on, "pred_id"), on).withColumn("outcome", F.lit("true_positives"))
-    fn = truth.join(matches.select(*on), on, "left_anti").withColumns({"pred_id": none, "outcome": F.lit("false_negatives")})
-    fp = predictions.join(matches.select(*keys, *labels, "pred_id"), [*keys, *labels, "pred_id"], "left_anti").withColumns({"truth_id": none, "outcome": F.lit("false_positives")})
-    every = tp.unionByName(fn).unionByName(fp)
+    matches = checkpointed(matches.select(*keys, *labels, "truth_id", "pred_id"))
+    hits = matches.groupBy(*keys, "truth_id").agg(F.collect_list(F.struct(*labels, "pred_id")).alias("hits"))
+    held = truth.join(hits, [*keys, "truth_id"], "left").withColumn("hits", F.coalesce("hits", F.array()))
+    if label:  # a few names, once for each truth; not shuffled any more
+        held = held.crossJoin(F.broadcast(predictions.select(label).distinct())).withColumn("hits", F.filter("hits", lambda h: h[label] == F.col(label)))
+    held = held.withColumn("pred_id", F.explode_outer(F.transform("hits", lambda h: h["pred_id"]))).withColumn("outcome", F.when(F.size("hits") > 0, "true_positives").otherwise("false_negatives")).drop("hits")
+    fp = predictions.join(matches.select(*keys, *labels, "pred_id"), [*keys, *labels, "pred_id"], "left_anti").withColumns({"truth_id": F.lit(None).cast("string"), "outcome": F.lit("false_positives")})
+    every = held.unionByName(fp)
     name = F.col(label) if label else F.lit("all")
     return every.select(name.alias("label"), "outcome", F.struct(*keys, "truth_id", "pred_id").alias("properties"), "points")
 

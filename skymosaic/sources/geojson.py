@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import opened
 
@@ -50,11 +52,39 @@ def read(spark: SparkSession, path: str, properties: str = "class_id int") -> tu
 
 def collections(rows: DataFrame, keys: Sequence[str], points: str = "points", properties: str = "properties", name: str | None = None, epsg: int | None = None) -> DataFrame:
     """(keys, content): one collection of each key. A collection is one text by its nature, so keys bound its size."""
+    feature, head = _feature(points, properties), _head(name, epsg)
+    return rows.groupBy(*keys).agg(F.collect_list(feature).alias("features")).select(*keys, F.to_json(F.struct(*head, "features")).alias("content"))
+
+
+def _feature(points: str, properties: str) -> Column:
     ring = F.transform(points, lambda p: F.array(p["x"], p["y"]))
-    feature = F.struct(F.lit("Feature").alias("type"), F.col(properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+    return F.struct(F.lit("Feature").alias("type"), F.col(properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")).alias("geometry"))
+
+
+def _head(name: str | None, epsg: int | None) -> list[Column]:
     head = [F.lit("FeatureCollection").alias("type")]
     if name:
         head.append(F.lit(name).alias("name"))
     if epsg:
         head.append(F.struct(F.lit("name").alias("type"), F.struct(F.lit(f"EPSG:{epsg}").alias("name")).alias("properties")).alias("crs"))
-    return rows.groupBy(*keys).agg(F.collect_list(feature).alias("features")).select(*keys, F.to_json(F.struct(*head, "features")).alias("content"))
+    return head
+
+
+def packed_collections(rows: DataFrame, keys: Sequence[str], points: str = "points", properties: str = "properties", name: str | None = None, epsg: int | None = None) -> DataFrame:
+    """(keys, content): collections of what lies together; a key has as many as there are Arrow batches that hold it.
+
+    Nothing is shuffled, and a collection has as many features as a batch at most (spark.sql.execution.arrow.maxRecordsPerBatch).
+    """
+    texts = rows.select(F.struct(*keys).alias("key"), F.to_json(_feature(points, properties)).alias("text"), F.to_json(F.struct(*_head(name, epsg))).alias("head"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, text, head = batch.columns
+            places: dict[tuple, list[int]] = {}
+            for r, k in enumerate(zip(*[c.to_pylist() for c in key.flatten()])):
+                places.setdefault(k, []).append(r)
+            content = [f"{head[0].as_py()[:-1]},\"features\":[{','.join(text.take(pa.array(at)).to_pylist())}]}}" for at in places.values()]
+            yield pa.RecordBatch.from_arrays([key.take(pa.array([at[0] for at in places.values()], pa.int64())), pa.array(content, pa.string())], ["key", "content"])
+
+    schema = T.StructType([texts.schema["key"], T.StructField("content", T.StringType())])
+    return texts.mapInArrow(work, schema).select("key.*", "content")
