@@ -7,10 +7,10 @@ letters each gap may also end a word, cheaper where it is wider than the run's n
 plain texts costs what its frequency says where that is less. Texts are then scored on the restored words. Words of any length are decoded: letters held in long ones are shortened first, and the path is settled
 window by window.
 
-Learning reads at most about SAMPLE labelled rows of the training fold: character trigrams of their plain words, and for each word and for
+Learning reads every labelled row of the training fold: character trigrams of their plain words, and for each word and for
 each opening of PREFIXES letters the number of toxic and of other documents that hold it. Only features whose smoothed
-share of toxic documents reaches `least` are kept; what the model holds is bounded by the sample, as every part of it must
-occur in SUPPORT documents of it.
+share of toxic documents reaches `least` are kept, and every part of the model must occur in SUPPORT documents; so it
+grows with the vocabulary, not with the rows.
 A text's score is a noisy-or of its features' shares.
 
 Cases: null and empty texts, and texts without features, get the score of the background; repeated words count once;
@@ -30,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .common import fold, ship
 
-#: Labelled rows that are learnt from, about; a fifth more at most.
-SAMPLE = 20_000
+#: Labelled rows (16 bytes each) up to which their ids are broadcast, so that no text is shuffled; beyond it they are joined.
+BROADCAST = 1_000_000
 #: Documents that must hold a feature, a word or a trigram, and distinct features that a task counts before it sends them on.
 SUPPORT = 4
 COUNT_FEATURES = 300_000
@@ -224,17 +225,25 @@ def words_of(text: str) -> set[str]:
     return found
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, held: int, sample: int = SAMPLE) -> DataFrame:
-    """Texts and labels of about `sample` labelled rows of the training fold, chosen by a hash of the id; all of them where there are fewer.
+def plain_counts(word: str) -> list[str]:
+    """What a plain word counts for: itself and its trigrams; nothing for others."""
+    if not word.isalpha() or _ODD.search(word):
+        return []
+    framed = f"^^{word}$"
+    return [f"w:{word}", *[framed[i : i + 3] for i in range(len(framed) - 2)]]
 
-    The chosen ids (a fifth more than `sample` at most) are broadcast, so no text is shuffled.
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, modulus: int, held: int, most: int = BROADCAST) -> DataFrame:
+    """Texts and labels of all labelled rows of the training fold.
+
+    Up to `most` ids are broadcast. Beyond that texts are shuffled, once: what is joined is written, as learning reads it twice.
     """
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter("__id is not null and __label is not null").filter(fold("__id", modulus) != held)
-    n = known.count()
-    if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("__id"), F.lit(n)) < sample)
-    known = known.distinct().orderBy(F.xxhash64("__id"), "__id", "__label").limit(sample + sample // 5)
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(known), "__id").select("__text", "__label")
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__label")).filter("__id is not null and __label is not null").filter(fold("__id", modulus) != held).distinct()
+    few = known.count() <= most
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    if few:
+        return texts.join(F.broadcast(known), "__id").select("__text", "__label")
+    return checkpointed(texts.filter(fold("__id", modulus) != held).join(known, "__id").select("__text", "__label"))
 
 
 def learn(rows: DataFrame, least: float = 0.6, support: int = SUPPORT) -> tuple[dict[str, float], tuple[dict[str, int], dict[str, int]], float]:
@@ -242,6 +251,7 @@ def learn(rows: DataFrame, least: float = 0.6, support: int = SUPPORT) -> tuple[
 
     def trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        memo: dict[str, list[str]] = {}
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["k", "n"])
@@ -249,11 +259,13 @@ def learn(rows: DataFrame, least: float = 0.6, support: int = SUPPORT) -> tuple[
         for batch in batches:
             for t in batch.column(0):
                 for w in set((t.as_py() or "").lower().split()):
-                    w = edged(w)
-                    if w.isalpha() and not _ODD.search(w):
-                        counts[f"w:{w}"] += 1
-                        w = f"^^{w}$"
-                        counts.update([w[i : i + 3] for i in range(len(w) - 2)])
+                    told = memo.get(w)
+                    if told is None:
+                        if len(memo) >= CACHE_WORDS:
+                            memo.clear()
+                        told = memo[w] = plain_counts(edged(w))
+                    for k in told:
+                        counts[k] += 1
                 if len(counts) > COUNT_FEATURES:
                     yield out()
                     counts.clear()
@@ -269,6 +281,15 @@ def learn(rows: DataFrame, least: float = 0.6, support: int = SUPPORT) -> tuple[
         model = Characters(*shared.value)
         toxic: Counter = Counter()
         clean: Counter = Counter()
+        memo: dict[str, list[str]] = {}
+
+        def told(w: str) -> list[str]:
+            found = memo.get(w)
+            if found is None:
+                if len(memo) >= CACHE_WORDS:
+                    memo.clear()
+                found = memo[w] = [f for x in restored(w, model) if x for f in features(x)]
+            return found
 
         def out():
             keys = list(toxic.keys() | clean.keys())
@@ -276,7 +297,7 @@ def learn(rows: DataFrame, least: float = 0.6, support: int = SUPPORT) -> tuple[
 
         for batch in batches:
             for t, label in zip(batch.column(0), batch.column(1)):
-                found = {f for w in words_of(t.as_py() or "") for x in restored(w, model) if x for f in features(x)}
+                found = {f for w in words_of(t.as_py() or "") for f in told(w)}
                 found.add("all")
                 (toxic if label.as_py() else clean).update(found)
                 if len(toxic) + len(clean) > COUNT_FEATURES:
