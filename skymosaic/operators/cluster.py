@@ -95,6 +95,22 @@ def select_by_bic(df: DataFrame, ks: Sequence[int] = range(2, 16), vector: str =
     return df.sparkSession.createDataFrame([(k, float(b), k == best) for k, b in rows], "k int, bic double, best boolean")
 
 
+#: Squared distances below this share of a row's squared length are worked out from differences, because products lose their digits.
+CLOSE = 1e-4
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of x and y by a product of matrices; where that is not exact (close or not finite), by differences."""
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    left, right = np.hstack([-2 * x, xx[:, None], np.ones((len(x), 1))]), np.hstack([y, np.ones((len(y), 1)), yy[:, None]])
+    apart = left @ right.T
+    least = xx * CLOSE
+    for i in np.flatnonzero(~(np.isfinite(least) & (apart.min(1, initial=np.inf) >= least))):
+        again = np.flatnonzero(~((apart[i] >= least[i]) & np.isfinite(apart[i])))
+        apart[i, again] = ((x[i] - y[again]) ** 2).sum(1)
+    return np.sqrt(apart, out=apart)
+
+
 def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int = 4_096) -> DataFrame:
     """(id, label, silhouette): exact Euclidean values.
 
@@ -106,36 +122,42 @@ def silhouette(df: DataFrame, id_col: str, vector: str, label: str, block: int =
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("v")).dropna()
     folder = scratch(spark, "silhouette")
-    rows.write.parquet(folder)
+    rows.sortWithinPartitions("label").write.parquet(folder)  # a batch has few labels
     rows = spark.read.schema(rows.schema).parquet(folder)
-    n = rows.count()
-    labels = [r.label for r in rows.select("label").distinct().orderBy("label").collect()]  # a row a cluster
-    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # a row a cluster
+    labels, counts = np.array([r.label for r in sizes], dtype=np.int64), np.array([r.n for r in sizes], dtype=np.float64)
+    n = int(counts.sum())
 
     def sums(frames):
         for frame in frames:
-            for begin in range(0, len(frame), block):
-                part = frame.iloc[begin : begin + block]
+            for places in np.array_split(np.arange(len(frame)), max(1, round(len(frame) / block))):
+                if not len(places):
+                    continue
+                part = frame.iloc[places]
                 x, totals = np.stack(part.v.to_numpy()), np.zeros((len(part), len(labels)))
+                centre = np.nan_to_num(x.mean(0), posinf=0.0, neginf=0.0)  # shorter vectors, more digits
+                x = x - centre
                 for batch in written(folder):
                     own = batch.column("label").to_numpy()
-                    y = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
+                    y = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, x.shape[1]) - centre
                     order = np.argsort(own, kind="stable")
                     own, y = own[order], y[order]
-                    edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    at = np.searchsorted(labels, own[edges])
-                    for i in range(0, len(x), 64):
-                        apart = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(2))
-                        totals[i : i + 64, at] += np.add.reduceat(apart, edges, axis=1)
-                told = {"id": np.repeat(part.id.to_numpy(), len(labels)), "own": np.repeat(part.label.to_numpy(), len(labels)), "label": np.tile(labels, len(part)), "total": totals.ravel()}
-                yield pd.DataFrame(told)
-
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, own int, label int, total double"
+                    edges = [*np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)]
+                    at = np.searchsorted(labels, own[edges[:-1]])
+                    for i in range(0, len(x), 128):
+                        apart = distances(x[i : i + 128], y)
+                        for k, begin, end in zip(at, edges, edges[1:]):
+                            totals[i : i + 128, k] += apart[:, begin:end].sum(1)
+                home = np.searchsorted(labels, part.label.to_numpy())
+                every = np.arange(len(part))
+                a = np.where(counts[home] > 1, totals[every, home] / np.maximum(counts[home] - 1, 1), np.nan)
+                means = totals / counts
+                means[every, home] = np.nan
+                yield pd.DataFrame({"id": part.id.to_numpy(), "own": part.label.to_numpy(), "a": a, "b": np.fmin.reduce(means, axis=1)})
+
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, own int, a double, b double"
     spread = rows.repartition(max(1, -(-n // block), min(spark.sparkContext.defaultParallelism, -(-n // 64))))
-    both = spread.mapInPandas(sums, schema).join(F.broadcast(sizes), "label")
-    own = F.max(F.when((F.col("label") == F.col("own")) & (F.col("n") > 1), F.col("total") / F.when(F.col("n") > 1, F.col("n") - 1).otherwise(1)))
-    near = F.min(F.when(F.col("label") != F.col("own"), F.col("total") / F.col("n")))
-    per = both.groupBy("id", "own").agg(own.alias("a"), near.alias("b"))
+    per = spread.mapInPandas(sums, schema)
     value = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.when(F.greatest("a", "b") == 0, F.lit(1.0)).otherwise(F.greatest("a", "b")))
     return per.select(F.col("id").alias(id_col), F.col("own").alias("label"), value.alias("silhouette"))
 

@@ -1,5 +1,7 @@
 """Silhouettes by streamed tables, filters on columns that may lack, pairs of files by their paths, listings, and percentiles."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -28,6 +30,45 @@ def test_silhouette_of_many_blocks(spark):
     assert "Generate" not in plan  # no vector is repeated
 
 
+def test_distances_by_products_keep_their_digits():
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (300, 64))
+    x[40:80] = x[:40]  # copies
+    x[80:120] = x[:40] + rng.normal(0, 1e-7, (40, 64))
+    x[120] = 0
+    x[121:130] *= 1e6
+    x[130, 3], x[131, 4], x[132, 5] = np.inf, -np.inf, np.nan
+    with np.errstate(all="ignore"):
+        exact = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        found = cluster.distances(x, x)
+        error = np.abs(found - exact)
+    assert np.array_equal(np.isfinite(exact), np.isfinite(found)) and np.array_equal(np.isnan(exact), np.isnan(found))
+    some = np.isfinite(exact)
+    assert (error[some] <= 1e-9 * exact[some]).all() and (found[range(40), range(40, 80)] == 0).all()
+    big, took = rng.normal(0, 1, (2_048, 64)), []
+    for _ in range(3):
+        began = time.perf_counter()
+        cluster.distances(big, big)
+        took.append(time.perf_counter() - began)
+    assert min(took) < 0.8  # by differences: about 1.6 s
+
+
+def test_silhouette_shuffles_no_sums(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (200, 5)) + 1e6  # far from the origin
+    x[50:60] = x[0]
+    df = spark.createDataFrame([(k, x[k].tolist(), k % 7) for k in range(200)], "id int, v array<double>, label int").repartition(3)
+    found = cluster.silhouette(df, "id", "v", "label", block=50)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan  # a task returns a row a vector, not one for each label
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    own, got = np.arange(200) % 7, {r.id: r.silhouette for r in found.collect()}
+    for k in range(200):
+        a = d[k, own == own[k]].sum() / ((own == own[k]).sum() - 1)
+        b = min(d[k, own == c].mean() for c in range(7) if c != own[k])
+        assert abs(got[k] - (b - a) / max(a, b)) < 1e-9
+
+
 def test_filters_on_columns_that_may_lack(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (None,)], "class_raw int")
     assert labels.of_classes(df).count() == 2 and labels.of_classes(df.withColumnRenamed("class_raw", "other")).count() == 4
