@@ -2,13 +2,14 @@
 
 1. Vectors go to the cells of a coarse k-means; each looks for its nearest neighbours in the few cells nearest to it, residents
    and visitors of a cell meeting block by block. Gaussian weights of the wanted perplexity make a sparse graph, both ways.
-2. Rows of one cell make a block, so most of a row's neighbours are in its own block. Rounds run on written coordinates: a task
-   has a block's rows with their edges, the places of neighbours in other blocks, and a grid of the whole layout's mass.
-   Edges attract; the grid repels, fine cells nearby and coarse ones beyond. Within a round a block makes several steps, during
-   which all other blocks and the grid stand still.
-
-What comes to the driver is a sample of SAMPLE vectors and, in each round, the bounds and the GRID x GRID masses of the layout.
-No task holds more than a block of about BLOCK rows with its edges. Rows with a null vector are left out; ids are unique;
+2. Rows of one cell make a block, so most of a row's neighbours are in its own block; a row's number tells its block and its place
+   in it. A block's edges are gathered once and written as one row. Rounds run on written coordinates and shuffle nothing but
+   masses: a task reads TOGETHER blocks with their edges, streams the written coordinates by, keeps those that its edges lead to,
+   and has a grid of the whole layout's mass. Edges attract; the grid repels, fine cells nearby and coarse ones beyond. Within a
+   round a block makes several steps, during which all other blocks and the grid stand still.
+
+What comes to the driver is a sample of SAMPLE vectors, the sizes of the cells and, in each round, the bounds and the GRID x GRID
+masses of the layout. No task works on more than TOGETHER blocks of about BLOCK rows with their edges. Rows with a null vector are left out; ids are unique;
 equal vectors lie together; one row lies in the middle; an empty table gives an empty table.
 """
 
@@ -16,13 +17,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch
+from .cluster import written
 
 #: Vectors that cells are fitted on, rows of a cell that are aimed at, cells at most, and rows of a block.
 SAMPLE, PER_CELL, MOST_CELLS, BLOCK = 16_384, 1_024, 1_024, 2_048
+#: Blocks that a task moves at once, and numbers that a block has for its rows.
+TOGETHER, ROOM = 8, 1 << 24
 #: Cells that a vector looks for its neighbours in.
 PROBES = 4
 #: Cells of the layout's grid along each side, and fine ones in a coarse one.
@@ -32,10 +37,15 @@ EARLY, STRONGER = 0.2, 12.0
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
+    return _kept(df, name)[0]
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The written table and its folder."""
     spark = df.sparkSession
     path = scratch(spark, f"layout-{name}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -70,19 +80,35 @@ def weights(d: np.ndarray, perplexity: float) -> np.ndarray:
     return e / total[:, None]
 
 
-def neighbours(nodes: DataFrame, centres: np.ndarray, k: int, perplexity: float) -> tuple[DataFrame, DataFrame]:
-    """(i, cell) and (i, j, p): the cell of every node (i, v), and weights of its k nearest, found in the PROBES cells nearest to it."""
+def settled(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(i, block, id, v, cells) of every node (i, id, v): the PROBES cells nearest to it, its own first, and a new number, which is
+    ROOM times its block plus its place in the block."""
     probes = min(PROBES, len(centres))
 
     def assign(frames):
         for frame in frames:
             x = np.stack(frame.v.to_numpy()) if len(frame) else np.zeros((0, centres.shape[1]))
             for b in range(0, len(frame), 4_096):
+                part = frame.iloc[b : b + 4_096]
                 near = np.argsort(_apart(x[b : b + 4_096], centres), axis=1, kind="stable")[:, :probes].astype(np.int32)
-                yield pd.DataFrame({"i": frame.i.to_numpy()[b : b + 4_096], "v": list(frame.v)[b : b + 4_096], "cells": list(near)})
+                yield pd.DataFrame({"i": part.i, "id": part.id, "v": part.v, "cells": list(near)})
+
+    placed = nodes.select("i", "id", "v").mapInPandas(assign, f"i long, id {nodes.schema['id'].dataType.simpleString()}, v array<double>, cells array<int>").withColumn("home", F.get("cells", F.lit(0)))
+    sizes = placed.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
+    sizes = nodes.sparkSession.createDataFrame(_firsts(sizes.orderBy("home").collect()), "home int, m long, first long")  # a row a cell
+    block = F.col("first") + F.pmod(F.xxhash64("i"), F.col("m"))
+    numbered = placed.join(F.broadcast(sizes), "home").withColumn("block", block).withColumn("k", F.row_number().over(Window.partitionBy("block").orderBy("i")))
+    return _written(numbered.select((F.col("block") * ROOM + F.col("k") - 1).alias("i"), "block", "id", "v", "cells"), "placed")
+
 
-    placed = _written(nodes.select("i", "v").mapInPandas(assign, "i long, v array<double>, cells array<int>"), "placed")
-    homes = placed.select("i", F.get("cells", F.lit(0)).alias("cell"))
+def _firsts(sizes: list) -> list[tuple[int, int, int]]:
+    """Blocks are numbered through all cells."""
+    ends = np.cumsum([r.m for r in sizes]).tolist()
+    return [(r.home, r.m, end - r.m) for r, end in zip(sizes, ends)]
+
+
+def neighbours(placed: DataFrame, k: int, perplexity: float) -> DataFrame:
+    """(i, j, p): weights of every settled row's k nearest, found in its cells."""
     seen = placed.select(F.get("cells", F.lit(0)).alias("home"), F.explode("cells").alias("cell"))
     sizes = seen.groupBy("cell").agg(F.ceil(F.count_if(F.col("home") == F.col("cell")) / BLOCK).alias("blocks"), F.ceil(F.count("*") / BLOCK).alias("wide")).filter("blocks > 0")
     rows = placed.select("i", "v", F.get("cells", F.lit(0)).alias("home"), F.explode("cells").alias("cell")).join(F.broadcast(sizes), "cell")
@@ -128,7 +154,32 @@ def neighbours(nodes: DataFrame, centres: np.ndarray, k: int, perplexity: float)
             p[some] = weights(d[some], perplexity)
             yield pd.DataFrame({"i": np.repeat(frame.i.to_numpy(), [len(j) for j, _ in best]), "j": np.concatenate([j for j, _ in best]), "p": np.concatenate([p[r, : len(j)] for r, (j, _) in enumerate(best)])})
 
-    return homes, gathered.mapInPandas(weigh, "i long, j long, p double")
+    return gathered.mapInPandas(weigh, "i long, j long, p double")
+
+
+def gathered_edges(placed: DataFrame, single: DataFrame) -> DataFrame:
+    """(block, degree, slot, p, needs), a row a block: the edges both ways of its rows in order, equal ones added up. A slot below the
+    block's size is a row of its own, one above is a row of `needs`, the ascending numbers of rows in other blocks."""
+    ways = F.explode(F.array(F.struct("i", "j", "p"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "p"))).alias("e")
+    every = placed.select("i", F.col("i").alias("j"), F.lit(0.0).alias("p"))  # rows without edges, too
+    both = single.select(ways).select("e.*").unionByName(every).withColumn("block", F.floor(F.col("i") / ROOM))
+
+    def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        block = int(frame.block.iloc[0])
+        i, j, p = frame.i.to_numpy() - block * ROOM, frame.j.to_numpy(), frame.p.to_numpy()
+        m = int(i.max()) + 1
+        real = j != frame.i.to_numpy()
+        i, j, p = i[real], j[real], p[real]
+        order = np.lexsort((p, j, i))
+        i, j, p = i[order], j[order], p[order]
+        new = np.flatnonzero(np.append(np.ones(min(1, len(i)), bool), (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+        i, j, p = i[new], j[new], np.add.reduceat(p, new) if len(new) else p
+        away = j // ROOM != block
+        needs = np.unique(j[away])
+        slot = np.where(away, m + np.searchsorted(needs, j), j - block * ROOM)
+        return pd.DataFrame({"block": [block], "degree": [np.bincount(i, minlength=m)], "slot": [slot], "p": [p], "needs": [needs]})
+
+    return both.groupBy("block").applyInPandas(gather, "block long, degree array<int>, slot array<int>, p array<double>, needs array<long>")
 
 
 class Mass:
@@ -179,21 +230,20 @@ class Mass:
         return total, push
 
 
-def mover(mass: Mass, pull: float, momentum: float, rate: float, whole: float, steps: int):
-    """What a block does in a round: `steps` steps among standing neighbours of other blocks and a standing grid."""
-
-    def move(own: pd.DataFrame, away: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("i", ignore_index=True)
-        ids, far = own.i.to_numpy(), away.sort_values("j", ignore_index=True)
-        known = np.concatenate([ids, far.j.to_numpy().astype(np.int64)])
-        order = np.argsort(known, kind="stable")
-        degree = [0 if j is None else len(j) for j in own.j]
-        i = np.repeat(np.arange(len(own)), degree)
-        j = np.concatenate([np.zeros(0, np.int64), *[x for x in own.j if x is not None]]).astype(np.int64)
-        p = np.concatenate([np.zeros(0), *[x for x in own.p if x is not None]]) * pull
-        j = order[np.searchsorted(known[order], j)]
-        y = np.concatenate([own[["x", "y"]].to_numpy(), far[["ax", "ay"]].to_numpy()])
-        speed, m = own[["u", "w"]].to_numpy(), len(own)
+#: Blocks and the places and speeds of their rows in order; z is the sum of the kernel over the block.
+STATE = "block long, x array<double>, y array<double>, u array<double>, w array<double>, z double"
+
+
+def mover(folder: str, mass: Mass, pull: float, momentum: float, rate: float, whole: float, steps: int):
+    """What tasks do in a round with blocks and their edges: `steps` steps among standing neighbours of other blocks, whose places are
+    in the folder, and a standing grid."""
+
+    def list_at(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+        return batch.column(name)[k].values.to_numpy(zero_copy_only=False)
+
+    def move(y: np.ndarray, speed: np.ndarray, degree: np.ndarray, j: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        m = len(degree)
+        i, p = np.repeat(np.arange(m), degree), p * pull
         for _ in range(steps):
             d = y[i] - y[j]
             f = (p / (1 + (d**2).sum(1)))[:, None] * d
@@ -205,9 +255,34 @@ def mover(mass: Mass, pull: float, momentum: float, rate: float, whole: float, s
             size = np.sqrt((speed**2).sum(1, keepdims=True))
             speed *= np.minimum(1.0, 5.0 / np.maximum(size, 1e-12))
             y[:m] += speed
-        return pd.DataFrame({"i": ids, "block": own.block, "x": y[:m, 0], "y": y[:m, 1], "u": speed[:, 0], "w": speed[:, 1], "z": total})
-
-    return move
+        return y[:m], speed, float(total.sum())
+
+    def moved(batches):
+        for batch in batches:
+            for begin in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(begin, TOGETHER)
+                blocks = part.column("block").to_pylist()
+                needs = [list_at(part, "needs", k) for k in range(len(blocks))]
+                sizes = [len(part.column("degree")[k]) for k in range(len(blocks))]
+                places = [np.empty((m + len(x), 2)) for m, x in zip(sizes, needs)]
+                speeds = [np.empty((m, 2)) for m in sizes]
+                for others in written(folder, TOGETHER):
+                    for o, other in enumerate(others.column("block").to_pylist()):
+                        ends = [np.searchsorted(x, (other * ROOM, (other + 1) * ROOM)) for x in needs]
+                        if other not in blocks and not any(b > a for a, b in ends):
+                            continue
+                        xy = np.stack([list_at(others, "x", o), list_at(others, "y", o)], 1)
+                        for k, (a, b) in enumerate(ends):
+                            places[k][sizes[k] + a : sizes[k] + b] = xy[needs[k][a:b] - other * ROOM]
+                            if blocks[k] == other:
+                                places[k][: sizes[k]] = xy
+                                speeds[k][:] = np.stack([list_at(others, "u", o), list_at(others, "w", o)], 1)
+                for k, block in enumerate(blocks):
+                    y, speed, z = move(places[k], speeds[k], *(list_at(part, c, k) for c in ("degree", "slot", "p")))
+                    told = {"block": [block], "x": [y[:, 0]], "y": [y[:, 1]], "u": [speed[:, 0]], "w": [speed[:, 1]], "z": [z]}
+                    yield pa.RecordBatch.from_pydict(told)
+
+    return moved
 
 
 def embed_2d(df: DataFrame, id_col: str, vector: str, perplexity: float = 30.0, steps: int = 300, rounds: int = 60, seed: int = 42) -> DataFrame:
@@ -221,15 +296,9 @@ def embed_2d(df: DataFrame, id_col: str, vector: str, perplexity: float = 30.0,
     sample = np.stack([r.v for r in nodes.select("v").orderBy(F.xxhash64("i"), "i").limit(SAMPLE).collect()])
     centres = _centres(sample, min(MOST_CELLS, max(1, round(n / PER_CELL)), len(sample)))
     k = min(n - 1, max(1, int(3 * perplexity)))
-    homes, single = neighbours(nodes, centres, k, perplexity)
-    single = _written(single, "edges").select("i", "j", (F.col("p") / (2 * n)).alias("p"))
-    both = single.unionAll(single.select(F.col("j").alias("i"), F.col("i").alias("j"), "p")).groupBy("i", "j").agg(F.sum("p").alias("p"))
-    sizes = homes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("m"))
-    blocks = _written(homes.join(F.broadcast(sizes), "cell").select("i", (F.col("cell") * 1_000_000 + F.pmod(F.xxhash64("i"), F.col("m"))).cast("long").alias("block")), "blocks")
-    edges = both.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list("p").alias("p"))
-    graph = _written(blocks.join(edges, "i", "left"), "graph")
-    needs = graph.select("block", F.explode("j").alias("j")).distinct().join(blocks.select(F.col("i").alias("j"), F.col("block").alias("other")), "j").filter("block <> other").select("block", "j")
-    needs = _written(needs, "needs")
+    placed = settled(nodes, centres)
+    single = neighbours(placed, k, perplexity).select("i", "j", (F.col("p") / (2 * n)).alias("p"))
+    graph = _written(gathered_edges(placed, single), "graph")
 
     # start: the two widest directions of the sample, small, with a little of a hash so that equal rows part
     middle = sample.mean(0)
@@ -241,22 +310,23 @@ def embed_2d(df: DataFrame, id_col: str, vector: str, perplexity: float = 30.0,
         for frame in frames:
             x = np.stack(frame.v.to_numpy()) if len(frame) else np.zeros((0, len(middle)))
             y = (x - middle) @ axes.T * scale
-            yield pd.DataFrame({"i": frame.i, "x": y[:, 0] + frame.a * 1e-4, "y": y[:, 1] + frame.b * 1e-4})
+            yield pd.DataFrame({"block": frame.block, "i": frame.i, "x": y[:, 0] + frame.a * 1e-4, "y": y[:, 1] + frame.b * 1e-4})
 
     noise = lambda s: ((F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(2_000_001)) - 1_000_000) / 1e6)
-    spots = nodes.select("i", "v", noise(0).alias("a"), noise(1).alias("b")).mapInPandas(start, "i long, x double, y double")
-    state = _written(spots.join(blocks, "i").select("i", "block", "x", "y", F.lit(0.0).alias("u"), F.lit(0.0).alias("w"), F.lit(float(n - 1)).alias("z")), "state")
+    spots = placed.select("block", "i", "v", noise(0).alias("a"), noise(1).alias("b")).mapInPandas(start, "block long, i long, x double, y double")
+    rows = spots.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("r"))
+    still = F.transform("r", lambda r: F.lit(0.0))
+    state, folder = _kept(rows.select("block", F.col("r.x").alias("x"), F.col("r.y").alias("y"), still.alias("u"), still.alias("w"), (F.size("r") * float(n - 1)).alias("z")), "state")
     inner = max(1, steps // rounds)
     for round_ in range(rounds):
-        b = state.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.sum("z")).first()
+        b = state.agg(F.min(F.array_min("x")), F.max(F.array_max("x")), F.min(F.array_min("y")), F.max(F.array_max("y")), F.sum("z")).first()
         low, high, whole = np.array([b[0], b[2]]), np.array([b[1], b[3]]), max(float(b[4]), 1e-12)
         width = np.maximum(high - low, 1e-12) / GRID
         cell = lambda c, a: F.least(F.floor((F.col(c) - F.lit(float(low[a]))) / F.lit(float(width[a]))), F.lit(GRID - 1))  # noqa: B023,E731
-        mass = Mass(low, high, [tuple(r) for r in state.groupBy(cell("x", 0).alias("cx"), cell("y", 1).alias("cy")).agg(F.count("*"), F.sum("x"), F.sum("y")).collect()])
+        spread = state.select(F.explode(F.arrays_zip("x", "y")).alias("r")).select("r.x", "r.y")
+        mass = Mass(low, high, [tuple(r) for r in spread.groupBy(cell("x", 0).alias("cx"), cell("y", 1).alias("cy")).agg(F.count("*"), F.sum("x"), F.sum("y")).collect()])
         early = round_ < EARLY * rounds
         pull, momentum, rate = STRONGER if early else 1.0, 0.5 if early else 0.8, max(n / STRONGER / 4, 200.0)
-
-        own = state.drop("z").join(graph.drop("block"), "i")
-        away = needs.join(state.select(F.col("i").alias("j"), F.col("x").alias("ax"), F.col("y").alias("ay")), "j").select("block", "j", "ax", "ay")
-        state = _written(own.groupBy("block").cogroup(away.groupBy("block")).applyInPandas(mover(mass, pull, momentum, rate, whole, inner), state.schema), f"round-{round_}")
-    return nodes.select("i", "id").join(state, "i").select(F.col("id").cast(kind).alias(id_col), F.col("x").alias("tsne_1"), F.col("y").alias("tsne_2"))
+        state, folder = _kept(graph.mapInArrow(mover(folder, mass, pull, momentum, rate, whole, inner), STATE), f"round-{round_}")
+    found = state.select("block", F.posexplode(F.arrays_zip("x", "y")).alias("k", "r")).select((F.col("block") * ROOM + F.col("k")).alias("i"), "r.x", "r.y")
+    return placed.select("i", "id").join(found, "i").select(F.col("id").cast(kind).alias(id_col), F.col("x").alias("tsne_1"), F.col("y").alias("tsne_2"))

@@ -161,6 +161,41 @@ def test_layout_places_every_row(spark, monkeypatch):
     assert [tuple(r) for r in layout.embed_2d(odd, "vec_id", "embedding").collect()] == [(1, 0.0, 0.0)] and layout.embed_2d(odd.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_layout_rounds_shuffle_no_rows(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(layout, "PER_CELL", 60)
+    monkeypatch.setattr(layout, "BLOCK", 40)
+    monkeypatch.setattr(layout, "TOGETHER", 3)
+    keep, plans, tables = layout._kept, {}, {}
+
+    def watched(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        tables[name] = keep(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(layout, "_kept", watched)
+    x = np.random.default_rng(5).normal(0, 1, (300, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(300)] + [(300, [0.0] * 6), (301, [0.0] * 6)], "vec_id int, embedding array<float>")
+    out = layout.embed_2d(df, "vec_id", "embedding", perplexity=5.0, steps=4, rounds=2)
+    assert sorted(r.vec_id for r in out.collect()) == list(range(302)) and out.schema["vec_id"].dataType.simpleString() == "int"
+    assert all("Exchange" not in plans[f"round-{k}"] for k in range(2))  # neither edges nor coordinates
+    # every edge is in both of its blocks once, with the sum of both ways
+    numbers = {r.i: r.block for r in tables["placed"][0].collect()}
+    graph = {r.block: r for r in tables["graph"][0].collect()}
+    assert sorted(numbers) == [b * layout.ROOM + k for b in sorted(graph) for k in range(len(graph[b].degree))] and len(graph) > 3
+    edges = {}
+    for b, r in graph.items():
+        m = len(r.degree)
+        assert sum(r.degree) == len(r.slot) == len(r.p) and r.needs == sorted(set(r.needs)) and all(numbers[j] != b for j in r.needs)
+        for i, s, weight in zip(np.repeat(np.arange(m), r.degree), r.slot, r.p):
+            edge = (b * layout.ROOM + int(i), b * layout.ROOM + s if s < m else r.needs[s - m])
+            assert edge not in edges
+            edges[edge] = weight
+    assert all(i != j and edges[j, i] == pytest.approx(weight) for (i, j), weight in edges.items())
+    assert sum(edges.values()) == pytest.approx(1.0)
+
+
 def test_selection_searches_all_counts_and_components(spark, tmp_path, monkeypatch):
     import numpy as np
     from skymosaic.plans import cluster_queries
