@@ -190,10 +190,11 @@ def _of_cuts(pairs: DataFrame, cuts: DataFrame, rows: DataFrame, key: str, group
 def boundary_search(tiles: DataFrame, labels: DataFrame, key: str = "source_id", off: str = "y_off", size: str = "th") -> DataFrame:
     """Scores of all pairs of row cuts of every source: (key, b1, b2, train, val, test, feasible, score).
 
-    tiles: key, tile_id, off, size; labels: tile_id, class_id. Counts are summed by row offset and then along the offsets,
-    so a pair of cuts costs the same whatever the number of rows.
+    tiles: key, tile_id, off, size; labels: tile_id, class_id. Every offset that a tile has is a cut, so pairs are as many as
+    half the square of a source's offsets. Counts are summed by row offset and then along the offsets, so a pair of cuts costs
+    the same whatever the number of rows. `thinned` is for callers that want fewer cuts; nothing is thinned here.
     """
-    cuts = thinned(tiles, off, [key]).select(key, F.col(off).cast("long").alias("b"))
+    cuts = tiles.select(key, F.col(off).cast("long").alias("b")).dropna(subset=["b"]).distinct()
     pairs = cuts.withColumnRenamed("b", "b1").join(cuts.withColumnRenamed("b", "b2"), key).filter("b2 > b1")
     placed = tiles.select(key, "tile_id", F.col(off).cast("long").alias("off"), (F.col(off) + F.col(size)).cast("long").alias("end"))
     rows = checkpointed(placed.groupBy(key, "off", "end").agg(F.count("*").alias("n")))
