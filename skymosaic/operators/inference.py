@@ -50,6 +50,15 @@ def merge_sliced(detections: DataFrame, key: str = "source_id", label: str = "la
     detections: key, det_id, label, conf, points (convex quadrilaterals in the coordinates of the whole picture). The more
     confident one stays, by det_id on ties, unless a better one already removed it.
     """
+    from .gathered import uncovered_by_source
+
+    found, large = uncovered_by_source(detections.withColumnRenamed(label, "label"), key, "label", least)
+    found = found if large is None else found.unionByName(_merge_large(large, key, "label", least, size))
+    return found.withColumnRenamed("label", label).select(*detections.columns)
+
+
+def _merge_large(detections: DataFrame, key: str, label: str, least: float, size: float) -> DataFrame:
+    """The same for sources that are too large for a task: by grid cells and rounds over written pairs."""
     from ..session import checkpointed
     from .spatial import polygon_pairs
 
