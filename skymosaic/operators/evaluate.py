@@ -160,6 +160,22 @@ def outcomes(truth: DataFrame, predictions: DataFrame, matches: DataFrame, keys:
     return every.select(name.alias("label"), "outcome", F.struct(*keys, "truth_id", "pred_id").alias("properties"), "points")
 
 
+def outcomes_by_source(found: DataFrame, names: DataFrame, key: str, label: str) -> DataFrame:
+    """The same from the rows of `gathered.match_by_source`: nothing is shuffled any more. `names`: the labels of all predictions, a few names."""
+    every = names.select(label).distinct().agg(F.collect_list(F.struct(label)).alias("names"))  # one row
+    none = F.array().cast(f"array<{found.schema['pred_id'].dataType.simpleString()}>")
+    entry = lambda name, ids, what: F.struct(name.alias("label"), ids.alias("ids"), what.alias("outcome"))
+
+    def of_truth(n: Column) -> Column:
+        ids = F.transform(F.filter("hits", lambda h: h[label] == n[label]), lambda h: h["pred_id"])
+        return entry(n[label], ids, F.when(F.size(ids) > 0, "true_positives").otherwise("false_negatives"))
+
+    told = F.when(F.col("is_truth"), F.transform("names", of_truth)).when(F.col("iou").isNull(), F.array(entry(F.col(label), none, F.lit("false_positives"))))
+    rows = found.crossJoin(F.broadcast(every)).select(key, "is_truth", "truth_id", "pred_id", "points", F.explode(told).alias("o"))
+    rows = rows.select(key, "truth_id", F.col("o.label").alias("label"), F.col("o.outcome").alias("outcome"), "points", F.explode_outer(F.when(F.col("is_truth"), F.col("o.ids")).otherwise(F.array("pred_id"))).alias("pred_id"))
+    return rows.select("label", "outcome", F.struct(key, "truth_id", "pred_id").alias("properties"), "points")
+
+
 def write_outcomes(found: DataFrame, path: str, parts: int = 1, epsg: int | None = None) -> None:
     """A folder label=<label>/outcome=<outcome> of GeoJSON collections for each outcome that has rows; `parts` bounds a collection's size."""
     part = F.pmod(F.xxhash64("properties"), F.lit(parts)).cast("int")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,35 +14,51 @@ from pyspark.sql import types as T
 from ..functions.geometry import opened
 
 POINT = "struct<x:double,y:double>"
+POLYGON = "array<array<array<double>>>"
 
 
-def _schema(properties: str) -> str:
-    """`coordinates` stays text: its depth tells polygons from multipolygons."""
+def _schema(properties: str, coordinates: str = "string") -> str:
+    """`coordinates` as text: its depth tells polygons from multipolygons."""
     fields = ",".join(f"{a.strip().split()[0]}:{a.strip().split()[1]}" for a in properties.split(","))
-    return f"struct<type:string,name:string,crs:struct<properties:struct<name:string>>,features:array<struct<type:string,properties:struct<{fields}>,geometry:struct<type:string,coordinates:string>>>>"
+    return f"struct<type:string,name:string,crs:struct<properties:struct<name:string>>,features:array<struct<type:string,properties:struct<{fields}>,geometry:struct<type:string,coordinates:{coordinates}>>>>"
+
+
+def _ring(ring: Column) -> Column:
+    return F.transform(F.filter(ring, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull()), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
 def rings(kind: Column, coordinates: Column) -> Column:
     """Outer rings, as arrays of points: one for a polygon, one a part for a multipolygon; none for other or malformed ones."""
-    pairs = lambda ring: F.transform(F.filter(ring, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull()), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    one = F.from_json(coordinates, "array<array<array<double>>>")
-    many = F.from_json(coordinates, "array<array<array<array<double>>>>")
+    one = F.array(F.from_json(coordinates, POLYGON))  # an array of one, so that a text is parsed once
+    many = F.from_json(coordinates, f"array<{POLYGON}>")
     none = F.array().cast(f"array<array<{POINT}>>")
-    polygon = F.when(F.size(one) > 0, F.array(pairs(one[0]))).otherwise(none)
-    parts = F.transform(F.filter(many, lambda p: F.size(p) > 0), lambda p: pairs(p[0]))
+    polygon = F.transform(one, lambda c: F.when(F.size(c) > 0, F.array(_ring(c[0]))).otherwise(none))[0]
+    parts = F.transform(F.filter(many, lambda p: F.size(p) > 0), lambda p: _ring(p[0]))
     return F.coalesce(F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", parts), none)
 
 
+def _plain(feature: Column) -> Column:
+    """Whether a feature is a polygon whose coordinates are all numbers."""
+    numbers = F.flatten(F.flatten(feature["geometry"]["coordinates"]))
+    return F.coalesce((feature["geometry"]["type"] == "Polygon") & (F.size(numbers) > 0) & ~F.exists(numbers, lambda v: v.isNull()), F.lit(False))
+
+
 def parse_collections(texts: DataFrame, content: str, properties: str = "class_id int") -> DataFrame:
     """A row a polygon: the columns of `texts` but its content, `crs`, `properties` and `points` (ring without a closing point).
 
-    Features without a geometry give a row with null points; text that is no collection gives none.
+    Features without a geometry give a row with null points; text that is no collection gives none. Collections of nothing but
+    sound polygons are parsed in one go, in others the coordinates of each feature are a text of their own.
     """
-    parsed = texts.withColumn("__c", F.from_json(content, _schema(properties), {"mode": "PERMISSIVE"})).drop(content)
-    kept = [c for c in parsed.columns if c != "__c"]
-    features = parsed.select(*kept, F.col("__c.crs.properties.name").alias("crs"), F.explode("__c.features").alias("f"))
-    found = features.select(*kept, "crs", F.col("f.properties").alias("properties"), rings(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("rings"))
-    return found.select(*kept, "crs", "properties", F.explode_outer("rings").alias("ring")).withColumn("points", opened(F.col("ring"))).drop("ring")
+    parsed = texts.withColumn("__p", F.from_json(content, _schema(properties, POLYGON), {"mode": "PERMISSIVE"}))
+    parsed = parsed.withColumn("__plain", F.coalesce(F.forall("__p.features", _plain), F.lit(False)))
+    parsed = parsed.withColumn("__c", F.when(~F.col("__plain"), F.from_json(content, _schema(properties), {"mode": "PERMISSIVE"}))).drop(content)
+    kept = [c for c in parsed.columns if c not in ("__p", "__plain", "__c")]
+    told = lambda f, found: F.struct(f["properties"].alias("properties"), found.alias("rings"))
+    plain = F.transform("__p.features", lambda f: told(f, F.array(_ring(f["geometry"]["coordinates"][0]))))
+    other = F.transform("__c.features", lambda f: told(f, rings(f["geometry"]["type"], f["geometry"]["coordinates"])))
+    crs = F.when(F.col("__plain"), F.col("__p.crs.properties.name")).otherwise(F.col("__c.crs.properties.name"))
+    features = parsed.select(*kept, crs.alias("crs"), F.explode(F.when(F.col("__plain"), plain).otherwise(other)).alias("f"))
+    return features.select(*kept, "crs", "f.properties", F.explode_outer("f.rings").alias("ring")).withColumn("points", opened(F.col("ring"))).drop("ring")
 
 
 def read(spark: SparkSession, path: str, properties: str = "class_id int") -> tuple[DataFrame, DataFrame]:
@@ -80,11 +98,17 @@ def packed_collections(rows: DataFrame, keys: Sequence[str], points: str = "poin
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, text, head = batch.columns
-            places: dict[tuple, list[int]] = {}
-            for r, k in enumerate(zip(*[c.to_pylist() for c in key.flatten()])):
-                places.setdefault(k, []).append(r)
-            content = [f"{head[0].as_py()[:-1]},\"features\":[{','.join(text.take(pa.array(at)).to_pylist())}]}}" for at in places.values()]
-            yield pa.RecordBatch.from_arrays([key.take(pa.array([at[0] for at in places.values()], pa.int64())), pa.array(content, pa.string())], ["key", "content"])
+            if not len(key):
+                continue
+            code = np.zeros(len(key), np.int64)
+            for c in key.flatten():
+                named = c.dictionary_encode(null_encoding="encode")
+                code = code * len(named.dictionary) + named.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
+            features = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), text.take(pa.array(order))), ",")
+            content = [f"{head[0].as_py()[:-1]},\"features\":[{f}]}}" for f in features.to_pylist()]
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(order[first])), pa.array(content, pa.string())], ["key", "content"])
 
     schema = T.StructType([texts.schema["key"], T.StructField("content", T.StringType())])
     return texts.mapInArrow(work, schema).select("key.*", "content")
