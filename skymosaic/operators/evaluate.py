@@ -161,19 +161,20 @@ def outcomes(truth: DataFrame, predictions: DataFrame, matches: DataFrame, keys:
 
 
 def outcomes_by_source(found: DataFrame, names: DataFrame, key: str, label: str) -> DataFrame:
-    """The same from the rows of `gathered.match_by_source`: nothing is shuffled any more. `names`: the labels of all predictions, a few names."""
-    every = names.select(label).distinct().agg(F.collect_list(F.struct(label)).alias("names"))  # one row
-    none = F.array().cast(f"array<{found.schema['pred_id'].dataType.simpleString()}>")
-    entry = lambda name, ids, what: F.struct(name.alias("label"), ids.alias("ids"), what.alias("outcome"))
-
-    def of_truth(n: Column) -> Column:
-        ids = F.transform(F.filter("hits", lambda h: h[label] == n[label]), lambda h: h["pred_id"])
-        return entry(n[label], ids, F.when(F.size(ids) > 0, "true_positives").otherwise("false_negatives"))
+    """(properties, points, collections): the same from the rows of `gathered.match_by_source`, without a shuffle. `names`: the labels of all predictions, a few.
 
-    told = F.when(F.col("is_truth"), F.transform("names", of_truth)).when(F.col("iou").isNull(), F.array(entry(F.col(label), none, F.lit("false_positives"))))
-    rows = found.crossJoin(F.broadcast(every)).select(key, "is_truth", "truth_id", "pred_id", "points", F.explode(told).alias("o"))
-    rows = rows.select(key, "truth_id", F.col("o.label").alias("label"), F.col("o.outcome").alias("outcome"), "points", F.explode_outer(F.when(F.col("is_truth"), F.col("o.ids")).otherwise(F.array("pred_id"))).alias("pred_id"))
-    return rows.select("label", "outcome", F.struct(key, "truth_id", "pred_id").alias("properties"), "points")
+    A row is a feature, `collections` an array of the (label, outcome) that it counts for: a truth is missed for many labels at once.
+    """
+    every = names.select(label).distinct().agg(F.collect_list(F.struct(label)).alias("names"))  # one row
+    pred = found.schema["pred_id"].dataType.simpleString()
+    entry = lambda name, what: F.struct(name.alias("label"), F.lit(what).alias("outcome"))
+    feature = lambda i, held: F.struct(i.cast(pred).alias("pred_id"), held.alias("collections"))
+    missed = F.filter("names", lambda n: ~F.exists("hits", lambda h: F.coalesce(h[label] == n[label], F.lit(False))))
+    hit = F.transform("hits", lambda h: feature(h["pred_id"], F.array(entry(h[label], "true_positives"))))
+    of_truth = F.concat(hit, F.array(feature(F.lit(None), F.transform(missed, lambda n: entry(n[label], "false_negatives")))))
+    told = F.when(F.col("is_truth"), of_truth).when(F.col("iou").isNull(), F.array(feature(F.col("pred_id"), F.array(entry(F.col(label), "false_positives")))))
+    rows = found.crossJoin(F.broadcast(every)).select(key, "truth_id", "points", F.explode(told).alias("f")).filter(F.size("f.collections") > 0)
+    return rows.select(F.struct(key, "truth_id", "f.pred_id").alias("properties"), "points", "f.collections")
 
 
 def write_outcomes(found: DataFrame, path: str, parts: int = 1, epsg: int | None = None) -> None:

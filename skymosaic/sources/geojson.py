@@ -24,16 +24,17 @@ def _schema(properties: str, coordinates: str = "string") -> str:
 
 
 def _ring(ring: Column) -> Column:
+    """Points of a ring of coordinates; positions without two numbers are left out."""
     return F.transform(F.filter(ring, lambda p: (F.size(p) >= 2) & p[0].isNotNull() & p[1].isNotNull()), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
 def rings(kind: Column, coordinates: Column) -> Column:
-    """Outer rings, as arrays of points: one for a polygon, one a part for a multipolygon; none for other or malformed ones."""
+    """Coordinates of outer rings: one for a polygon, one a part for a multipolygon; none for other or malformed ones."""
     one = F.array(F.from_json(coordinates, POLYGON))  # an array of one, so that a text is parsed once
     many = F.from_json(coordinates, f"array<{POLYGON}>")
-    none = F.array().cast(f"array<array<{POINT}>>")
-    polygon = F.transform(one, lambda c: F.when(F.size(c) > 0, F.array(_ring(c[0]))).otherwise(none))[0]
-    parts = F.transform(F.filter(many, lambda p: F.size(p) > 0), lambda p: _ring(p[0]))
+    none = F.array().cast(POLYGON)
+    polygon = F.transform(one, lambda c: F.when(F.size(c) > 0, F.array(c[0])).otherwise(none))[0]
+    parts = F.transform(F.filter(many, lambda p: F.size(p) > 0), lambda p: p[0])
     return F.coalesce(F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", parts), none)
 
 
@@ -54,11 +55,11 @@ def parse_collections(texts: DataFrame, content: str, properties: str = "class_i
     parsed = parsed.withColumn("__c", F.when(~F.col("__plain"), F.from_json(content, _schema(properties), {"mode": "PERMISSIVE"}))).drop(content)
     kept = [c for c in parsed.columns if c not in ("__p", "__plain", "__c")]
     told = lambda f, found: F.struct(f["properties"].alias("properties"), found.alias("rings"))
-    plain = F.transform("__p.features", lambda f: told(f, F.array(_ring(f["geometry"]["coordinates"][0]))))
+    plain = F.transform("__p.features", lambda f: told(f, F.array(f["geometry"]["coordinates"][0])))
     other = F.transform("__c.features", lambda f: told(f, rings(f["geometry"]["type"], f["geometry"]["coordinates"])))
     crs = F.when(F.col("__plain"), F.col("__p.crs.properties.name")).otherwise(F.col("__c.crs.properties.name"))
     features = parsed.select(*kept, crs.alias("crs"), F.explode(F.when(F.col("__plain"), plain).otherwise(other)).alias("f"))
-    return features.select(*kept, "crs", "f.properties", F.explode_outer("f.rings").alias("ring")).withColumn("points", opened(F.col("ring"))).drop("ring")
+    return features.select(*kept, "crs", "f.properties", F.explode_outer("f.rings").alias("ring")).withColumn("points", F.transform(F.transform(F.array("ring"), _ring), opened)[0]).drop("ring")
 
 
 def read(spark: SparkSession, path: str, properties: str = "class_id int") -> tuple[DataFrame, DataFrame]:
@@ -88,16 +89,19 @@ def _head(name: str | None, epsg: int | None) -> list[Column]:
     return head
 
 
-def packed_collections(rows: DataFrame, keys: Sequence[str], points: str = "points", properties: str = "properties", name: str | None = None, epsg: int | None = None) -> DataFrame:
+def packed_collections(rows: DataFrame, keys: Sequence[str], points: str = "points", properties: str = "properties", name: str | None = None, epsg: int | None = None, of: str | None = None) -> DataFrame:
     """(keys, content): collections of what lies together; a key has as many as there are Arrow batches that hold it.
 
     Nothing is shuffled, and a collection has as many features as a batch at most (spark.sql.execution.arrow.maxRecordsPerBatch).
+    With `of`, an array of structs of the keys, a row is a feature of each of these collections, and its text is made once.
     """
-    texts = rows.select(F.struct(*keys).alias("key"), F.to_json(_feature(points, properties)).alias("text"), F.to_json(F.struct(*_head(name, epsg))).alias("head"))
+    held = F.array(F.struct(*keys)) if of is None else F.transform(of, lambda k: F.struct(*[k[c].alias(c) for c in keys]))
+    texts = rows.select(held.alias("keys"), F.to_json(_feature(points, properties)).alias("text"), F.to_json(F.struct(*_head(name, epsg))).alias("head"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, text, head = batch.columns
+            held, text, head = batch.columns
+            row, key = pc.list_parent_indices(held).to_numpy(zero_copy_only=False), held.flatten()
             if not len(key):
                 continue
             code = np.zeros(len(key), np.int64)
@@ -106,9 +110,9 @@ def packed_collections(rows: DataFrame, keys: Sequence[str], points: str = "poin
                 code = code * len(named.dictionary) + named.indices.to_numpy(zero_copy_only=False)
             order = np.argsort(code, kind="stable")
             first = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
-            features = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), text.take(pa.array(order))), ",")
+            features = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), text.take(pa.array(row[order]))), ",")
             content = [f"{head[0].as_py()[:-1]},\"features\":[{f}]}}" for f in features.to_pylist()]
             yield pa.RecordBatch.from_arrays([key.take(pa.array(order[first])), pa.array(content, pa.string())], ["key", "content"])
 
-    schema = T.StructType([texts.schema["key"], T.StructField("content", T.StringType())])
+    schema = T.StructType([T.StructField("key", texts.schema["keys"].dataType.elementType), T.StructField("content", T.StringType())])
     return texts.mapInArrow(work, schema).select("key.*", "content")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skymosaic.functions import pairing
 from skymosaic.operators import evaluate, gathered, inference, quadtree, spatial
 from skymosaic.plans import catalogue
+from skymosaic.sources import geojson
 
 SF = "/root/testdata/sf0.001"
 RING = "array<struct<x:double,y:double>>"
@@ -131,3 +132,36 @@ def test_far_coordinates(spark):
     found = gathered.match_by_source(truth, preds, "s", "label", 0.5).filter("iou is not null").select("truth_id", "pred_id", F.round("iou", 6))
     wanted = by_pairs(truth, preds, "label", 0.5, None)
     assert {(r[0], r[1]) for r in found.collect()} == {k[2:] for k in wanted} and len(wanted) > 20
+
+
+def test_outcomes_are_those_of_joins(spark):
+    """Features of every label and outcome, each text made once and packed into each of its collections."""
+    truth, preds = sides(spark, 11)
+    t, p = truth.filter("truth_id is not null and s is not null"), preds.filter("pred_id is not null and s is not null")
+    found = gathered.match_by_source(t, p, "s", "label", 0.3, points=True)
+    texts = geojson.packed_collections(evaluate.outcomes_by_source(found, p.select("label"), "s", "label"), ["label", "outcome"], of="collections")
+    pairs = spatial.polygon_pairs(t.withColumnRenamed("points", "truth_points"), p.withColumnRenamed("points", "pred_points"), "s")
+    matches = evaluate.greedy_match(pairs, ["s", "label"], 0.3).filter("label is not null")
+    wanted = evaluate.outcomes(t, p, matches, ["s"], "label").select("label", "outcome", "properties.*").collect()
+    told = evaluate.outcomes_by_source(found, p.select("label"), "s", "label").select(F.explode("collections").alias("c"), "properties").select("c.*", "properties.*").collect()
+    assert sorted(map(tuple, told), key=repr) == sorted(map(tuple, wanted), key=repr) and len(told) > 400
+    sound = F.expr("size(points) > 0 and forall(points, p -> p is not null)")
+    back = geojson.parse_collections(texts, "content", "s int, truth_id string, pred_id string").select("label", "outcome", "properties.*", F.size("points").alias("n"))
+    ids = {(r.s, r.truth_id) for r in t.filter(sound).collect()} | {(r.s, r.pred_id) for r in p.filter(sound).collect()}
+    keep = lambda rs: sorted((tuple(r[:5]) for r in rs if (r.s, r.truth_id or r.pred_id) in ids), key=repr)
+    assert keep(back.filter("n > 0").collect()) == keep(wanted)
+
+
+def test_collections_with_odd_features_are_read_as_before(spark):
+    """One go for sound polygons, texts for what else there is: the same rings."""
+    shapes = ['{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,2.5],[0,0]],[[0.1,0.1],[0.2,0.1],[0.2,0.2]]]}', '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1]]],[[[5,5],[6,5],[6,6]]]]}',
+              '{"type":"Polygon","coordinates":[[[0,0],[1,null],[1,1],[2,2,7]]]}', '{"type":"Polygon","coordinates":[[[0,0],["x",1],[1,1]]]}', '{"type":"Polygon","coordinates":[]}', '{"type":"Point","coordinates":[1,2]}', "null"]
+    one = lambda *s: '{"type":"FeatureCollection","features":[' + ",".join(f'{{"type":"Feature","properties":{{"class_id":{k}}},"geometry":{g}}}' for k, g in enumerate(s)) + "]}"
+    texts = spark.createDataFrame([("plain", one(shapes[0], shapes[0])), ("odd", one(*shapes)), ("bad", "no json"), ("other", '{"type":"Feature"}')], "name string, content string")
+    rows = geojson.parse_collections(texts, "content").orderBy("name", "properties.class_id").collect()
+    got = [(r.name, r.properties.class_id, r.points and [(p.x, p.y) for p in r.points]) for r in rows]
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 2.5)]
+    assert got[-2:] == [("plain", 0, ring), ("plain", 1, ring)] and {n for n, *_ in got} == {"odd", "plain"}
+    odd = [(k, p) for n, k, p in got if n == "odd"]
+    assert odd[0] == (0, ring) and [p for k, p in odd if k == 1] == [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0)]]
+    assert [p for k, p in odd if k == 2] == [[(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]] and all(not p for k, p in odd if k > 3)
